@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import licences
+from tidemark.llm import licences, suffixes
 
-MODULES = (licences,)
+MODULES = (licences, suffixes)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
