@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import licences, suffixes
+from tidemark.llm import licences, packing, suffixes
 
-MODULES = (licences, suffixes)
+MODULES = (licences, packing, suffixes)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
