@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import licences, mpeg, packing, suffixes
+from tidemark.llm import licences, mpeg, packing, quality, suffixes
 
-MODULES = (licences, mpeg, packing, suffixes)
+MODULES = (licences, mpeg, packing, quality, suffixes)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
