@@ -253,14 +253,21 @@ def _apply(body: bytes, parsed: list, facts: dict, min_bytes: int) -> np.ndarray
     return np.flatnonzero(covered[1:] != covered[:-1]).reshape(-1, 2)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, hot: int = HOT, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row per row of docs: key, n_bytes, kept (the remaining bytes), spans (removed, as array<array<int>> of [start, end))."""
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, hot: int = HOT, filter_bits: int = FILTER_BITS, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per row of docs: key, n_bytes, kept (the remaining bytes), spans (removed, as array<array<int>> of [start, end)), and the columns to keep."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = docs.select(
+        F.col(key).cast("long").alias("key"),
+        F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("row"),
+        F.coalesce(F.col(text), F.lit("")).alias("body"),
+        *[F.col(c).alias(f"keep{n}") for n, c in enumerate(keep)],
+    )
     filters = spark.sparkContext.broadcast(_filters(rows, min_bytes, hot, filter_bits))
     facts = _resolve(_dictionary(rows, filters, min_bytes), min_bytes)
     facts = facts.groupBy("row").agg(F.collect_list(F.struct("id", "bits")).alias("facts"))
-    joined = rows.join(facts, "row", "left").select("key", "body", "facts.id", "facts.bits")
+    joined = rows.join(facts, "row", "left").select("key", "body", "facts.id", "facts.bits", *[f"keep{n}" for n in range(len(keep))])
 
     def cut(batch):
         repeated, many = filters.value
@@ -285,12 +292,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
             left.append(body[at:])
             kept.append(b"".join(left))
             spans.append(found)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["key", "n_bytes", "kept", "spans"]
-        )
+        made = [pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[4:]], ["key", "n_bytes", "kept", "spans", *batch.schema.names[4:]])
 
-    out = map_batches(joined, cut, "key long, n_bytes long, kept binary, spans array<array<int>>")
-    return out.withColumnRenamed("key", key)
+    more = "".join(f", keep{n} {rows.schema[f'keep{n}'].dataType.simpleString()}" for n in range(len(keep)))
+    out = map_batches(joined, cut, f"key long, n_bytes long, kept binary, spans array<array<int>>{more}")
+    return out.select(F.col("key").alias(key), "n_bytes", "kept", "spans", *[F.col(f"keep{n}").alias(c) for n, c in enumerate(keep)])
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
