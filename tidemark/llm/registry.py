@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import licences, mpeg, neardup, packing, quality, suffixes
+from tidemark.llm import licences, mpeg, neardup, packing, quality, suffixes, topk
 
-MODULES = (licences, mpeg, neardup, packing, quality, suffixes)
+MODULES = (licences, mpeg, neardup, packing, quality, suffixes, topk)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
