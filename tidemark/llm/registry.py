@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, licences, mpeg, neardup, packing, quality, suffixes, topk
+from tidemark.llm import chat, licences, mpeg, neardup, packing, quality, rollup, suffixes, topk
 
-MODULES = (chat, licences, mpeg, neardup, packing, quality, suffixes, topk)
+MODULES = (chat, licences, mpeg, neardup, packing, quality, rollup, suffixes, topk)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
