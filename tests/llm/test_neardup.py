@@ -123,3 +123,18 @@ def test_small_scale_against_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
     got = {r.doc_id: r.class_id for r in neardup.op2_probminhash_dedup(spark, sf_dir).collect()}
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("block", [(256, 1024), (7, 11)])
+def test_family_whose_copies_are_far_from_each_other(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    rows = []
+    for k in range(110):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        rows.append((k * 7 % 110, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)

@@ -21,14 +21,12 @@ states are equally likely, and the first in order wins. Ties go to the earlier s
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, table, write_table
+from tidemark.llm.common import runs_of, table, whole_groups, write_table
 
 ROLES = ("system", "user", "assistant")
 #: Role and whether the line opens a turn, in the order that breaks ties.
@@ -166,30 +164,6 @@ def seams(model: Model, matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entry, leave
 
 
-def _groups(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of the runs of equal rows."""
-    new = np.ones(len(columns[0]), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
-    start = np.flatnonzero(new)
-    return start, np.diff(np.append(start, len(new)))
-
-
-def whole_groups(batches, keys: tuple[int, ...]):
-    """Tables of sorted batches that never cut a run of equal keys."""
-    kept: list = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        kept.append(batch)
-        joined = pa.Table.from_batches(kept).combine_chunks()
-        start, _ = _groups([joined.column(k).to_numpy() for k in keys])
-        if start[-1]:
-            yield joined.slice(0, int(start[-1]))
-            kept = joined.slice(int(start[-1])).combine_chunks().to_batches()
-    if kept:
-        yield pa.Table.from_batches(kept).combine_chunks()
-
-
 def parse(lines: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
     """Per conversation and segment: key, segment, first, n_lines, n_turns, roles (one letter a line, upper case where
     a turn opens), rendered (canonical text), wrong (lines whose role differs from the column role, if it is there)."""
@@ -209,7 +183,7 @@ def parse(lines: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
         for t in whole_groups(batches, (0, 1)):
             key, seg, first = (t[c].to_numpy() for c in ("key", "seg", "first"))
             scores = model.score([t[f].to_numpy() for f in ("f0", "f1", "f2")])
-            start, size = _groups([key, seg])
+            start, size = runs_of([key, seg])
             ms = [transfer(model, scores[a : a + n], seg[a] == first[a]).ravel().tolist() for a, n in zip(start, size)]
             yield pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array(seg[start]), pa.array(ms, pa.list_(pa.float64()))], ["key", "seg", "m"])
 
@@ -217,7 +191,7 @@ def parse(lines: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
         for t in whole_groups(batches, (0,)):
             key = t["key"].to_numpy()
             ms = np.array(t["m"].to_pylist()).reshape(-1, N, N)
-            found = [seams(model, ms[a : a + n]) for a, n in zip(*_groups([key]))]
+            found = [seams(model, ms[a : a + n]) for a, n in zip(*runs_of([key]))]
             entry = [None if np.isnan(e[0]) else e.tolist() for es, _ in found for e in es]
             leave = np.concatenate([x for _, x in found])
             yield pa.RecordBatch.from_arrays([t["key"].combine_chunks(), t["seg"].combine_chunks(), pa.array(entry, pa.list_(pa.float64())), pa.array(leave.astype(np.int32))], ["key", "seg", "entry", "leave"])
@@ -231,7 +205,7 @@ def parse(lines: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
         for t in whole_groups(batches, (0, 1)):
             key, seg = t["key"].to_numpy(), t["seg"].to_numpy()
             scores = model.score([t[f].to_numpy() for f in ("f0", "f1", "f2")])
-            start, size = _groups([key, seg])
+            start, size = runs_of([key, seg])
             longest = np.argsort(-size, kind="stable")
             s, n = start[longest], size[longest]
             chains = [s[: np.searchsorted(-n, -k, "left")] + k for k in range(int(n[0]))]

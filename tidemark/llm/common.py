@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,30 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def runs_of(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the runs of equal rows."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
+    start = np.flatnonzero(new)
+    return start, np.diff(np.append(start, len(new)))
+
+
+def whole_groups(batches, keys: tuple[int, ...]):
+    """Tables of sorted batches that never cut a run of equal keys."""
+    kept: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        joined = pa.Table.from_batches(kept).combine_chunks()
+        start, _ = runs_of([joined.column(k).to_numpy() for k in keys])
+        if start[-1]:
+            yield joined.slice(0, int(start[-1]))
+            kept = joined.slice(int(start[-1])).combine_chunks().to_batches()
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b), two longs: one row (node, root) per node, root its smallest node.
 

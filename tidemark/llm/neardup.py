@@ -7,10 +7,12 @@ next point comes after every slot of its document is taken earlier. The share of
 the probability Jaccard similarity J_P(a, b) = sum over d of 1 / sum over e of max(a_e / a_d, b_e / b_d).
 
 Copies are folded first, so a group of copies costs one row. Texts that share a band of slots are
-candidates: each is held against the least and the greatest id of its bucket, which is linear in the
-bucket; verified pairs (exact J_P of the texts) are links, and links make classes (connected
-components). Buckets that still hold several classes are then searched across classes, signatures
-first, so no link is given up for the size of a bucket; pairs inside one class are never formed.
+candidates: each is held against the least id of its bucket and against its hub, the member that meets
+most others over all its buckets (in a family of edited copies, the copy the others stem from), which
+is linear in the bucket; verified pairs (exact J_P of the texts) are links, and links make classes
+(connected components). Buckets that still hold several classes are then searched across classes in
+blocks of bounded size, longer signatures first, so no link is given up for the size of a bucket;
+a pair inside one class is never looked at, and only links that join two classes leave a block.
 
 Defined results: words are runs without ASCII white space, in lower case; a text of fewer words than a
 shingle is one shingle; a text without words equals only its copies; a null text is empty; rows of one
@@ -27,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, map_batches, table, write_table
+from tidemark.llm.common import BATCH_ROWS, components, map_batches, runs_of, table, whole_groups, write_table
 from tidemark.llm.phrases import mix
 from tidemark.llm.words import prefix, spans, stretch_hash
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SLOTS, BANDS = 64, 16
-#: Standard deviations of the estimate below the threshold at which a pair across classes is still verified.
+#: Members of a block across classes (those outside the bucket's main class, all), and slots of its signatures.
+BLOCK, FINE_SLOTS = (256, 1024), 512
+#: Standard deviations of the estimate below the threshold at which a pair in a block is still verified.
 SLACK = 4.5
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -113,7 +117,7 @@ def similarity(a: tuple, b: tuple) -> float:
 
 
 def _sign(rows: DataFrame, width: int) -> DataFrame:
-    """id, copy (hash of the text), signature, bands; null signature and no bands for a text without words."""
+    """id, copy (hash of the text) and bands; no bands for a text without words."""
 
     def run(batch):
         texts = [t.lower().encode() for t in batch.column(2).to_pylist()]
@@ -124,11 +128,10 @@ def _sign(rows: DataFrame, width: int) -> DataFrame:
             bands = bands * _U(0xD6E8FEB86659FD93) + marks[:, k::each].astype(np.uint64)
         bands = mix(bands).view(np.int64)
         keep = has.tolist()
-        signed = [m if k else None for m, k in zip(marks.view(np.int32).tolist(), keep)]
         dealt = [b if k else [] for b, k in zip(bands.tolist(), keep)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed, pa.list_(pa.int32())), pa.array(dealt, pa.list_(pa.int64()))], ["id", "copy", "marks", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dealt, pa.list_(pa.int64()))], ["id", "copy", "bands"])
 
-    return map_batches(rows.select("id", "copy", "body"), run, "id long, copy string, marks array<int>, bands array<long>")
+    return map_batches(rows.select("id", "copy", "body"), run, "id long, copy string, bands array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -143,39 +146,107 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     return map_batches(joined.select("a", "b", "left", "right"), run, "a long, b long")
 
 
+def block_links(band: int, left: list, right: list, threshold: float, width: int) -> list[tuple[int, int]]:
+    """Links that join classes, between members (id, root, bands, text, in main class) of one bucket."""
+    weights: dict = {}
+
+    def bag(row):
+        if (row[0], row[3]) not in weights:
+            weights[row[0], row[3]] = weighted(row[3], width)
+        return weights[row[0], row[3]]
+
+    roots = {r: n for n, r in enumerate({row[1] for row in (*left, *right)})}
+    label = np.arange(len(roots))
+    right_root = np.array([roots[r[1]] for r in right])
+    right_id, right_main = np.array([r[0] for r in right]), np.array([r[4] for r in right])
+    right_bands = np.array([r[2] for r in right])
+    large = len(left) * len(right) > 64
+    if large:
+        sign = lambda rows: np.concatenate([signatures([r[3].lower().encode() for r in rows[k : k + 512]], FINE_SLOTS, width)[0] for k in range(0, len(rows), 512)])
+        left_marks, right_marks = sign(left), sign(right)
+        least = threshold - SLACK * (threshold * (1 - threshold) / FINE_SLOTS) ** 0.5
+    out = []
+    for n, row in enumerate(left):
+        # A pair of the outer members is looked at once, and in the first bucket that both share.
+        on = (right_main | (right_id > row[0])) & (label[right_root] != label[roots[row[1]]])
+        same = right_bands == np.array(row[2])
+        on &= np.array(row[2])[same.argmax(1)] == band
+        at = np.flatnonzero(on)
+        if large and len(at):
+            share = (right_marks[at] == left_marks[n]).mean(1)
+            order = np.argsort(-share, kind="stable")
+            at = at[order[: np.count_nonzero(share >= least)]]
+        for j in at.tolist():
+            a, b = label[roots[row[1]]], label[right_root[j]]
+            if a != b and similarity(bag(row), bag(right[j])) >= threshold - 1e-12:
+                label[label == b] = a
+                out.append((row[0], right[j][0]))
+    return out
+
+
+def _across(mixed: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links (a, b) between classes of one bucket; mixed: (band, id, root) of the buckets that hold several."""
+    spark = mixed.sparkSession
+    sizes = mixed.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("n"))
+    sizes = sizes.select("band", F.col("m.root").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / BLOCK[0]).cast("int").alias("nu"), F.ceil(F.col("n") / BLOCK[1]).cast("int").alias("nv"))
+    rows = mixed.join(sizes, "band").join(texts, "id").withColumn("in_main", F.col("root") == F.col("main"))
+    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["band", "u", "v", "side", "id", "root", "bands", "body", "in_main"]
+    left = rows.filter("not in_main").withColumn("u", number("nu")).withColumn("v", every("nv")).withColumn("side", F.lit(0)).select(*columns)
+    right = rows.withColumn("v", number("nv")).withColumn("u", every("nu")).withColumn("side", F.lit(1)).select(*columns)
+    keys = ("band", "u", "v")
+
+    def run(batches):
+        for t in whole_groups(batches, (0, 1, 2)):
+            band = t["band"].to_numpy()
+            side = t["side"].to_numpy()
+            members = list(zip(*(t[c].to_pylist() for c in ("id", "root", "bands", "body", "in_main"))))
+            start, size = runs_of([t[c].to_numpy() for c in keys])
+            found = []
+            for a, n in zip(start.tolist(), size.tolist()):
+                cut = a + int(np.count_nonzero(side[a : a + n] == 0))
+                if a < cut < a + n:
+                    found += block_links(int(band[a]), members[a:cut], members[cut : a + n], threshold, width)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    dealt = left.unionByName(right).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "side", "id")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """One row per row of docs: key, class_id (the least key of its class), duplicate (not that key)."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("copy", F.sha2("body", 256))
     signed = write_table(_sign(rows.filter("id is not null"), width), "signed")
-    reps = signed.groupBy("copy").agg(F.min(F.struct("id", "marks", "bands")).alias("r")).select("copy", "r.*")
-    reps = write_table(reps, "reps")
+    reps = write_table(signed.groupBy("copy").agg(F.min(F.struct("id", "bands")).alias("r")).select("copy", "r.*"), "reps")
     dealt = reps.select("id", F.explode("bands").alias("band"))
-    buckets = dealt.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    buckets = dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     member = write_table(dealt.join(buckets, "band"), "member")
-    ends = member.select("id", F.explode(F.array("low", "high")).alias("end")).filter("id <> end")
-    pairs = ends.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
-    texts = write_table(rows.join(member.select("id").distinct(), "id").select("id", "body").dropDuplicates(["id", "body"]), "texts")
+    met = member.groupBy("id").agg(F.sum("n").alias("met"))
+    member = member.join(met, "id")
+    ends = member.groupBy("band").agg(F.min("id").alias("low"), F.max(F.struct("met", (-F.col("id")).alias("i"))).alias("hub"))
+    ends = ends.select("band", F.array_distinct(F.array("low", -F.col("hub.i"))).alias("ends"))
+    member = write_table(member.join(ends, "band").select("band", "id", "ends"), "member")
+    pairs = member.select("id", F.explode("ends").alias("end")).filter("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
+    texts = rows.join(member.select("id").distinct(), "id").select("id", "copy", "body").dropDuplicates(["id", "copy"])
+    texts = write_table(texts, "texts")
     copies = signed.join(reps.select("copy", F.col("id").alias("rep")), "copy").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = write_table(_verify(pairs, texts, threshold, width), "links")
     roots = write_table(components(links), "roots")
-    # Across classes: what the two ends of a bucket did not tie together.
-    rooted = member.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band")
-    held = write_table(rooted.join(mixed, "band").select("band", "id", "root").join(reps.select("id", "marks"), "id"), "mixed")
-    least = threshold - SLACK * (threshold * (1 - threshold) / SLOTS) ** 0.5
-    left = held.select("band", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("marks").alias("ma"))
-    right = held.select("band", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("marks").alias("mb"))
-    equal = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    # The root order halves the work; a class's pairs with itself never leave the join.
-    across = left.join(right, (left["band"] == right["band"]) & (F.col("ra") < F.col("rb")) & (equal >= int(least * SLOTS))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = write_table(_verify(across, texts, threshold, width), "links")
+    # Across classes: what the ends of a bucket did not tie together.
+    rooted = member.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band")
+    mixed = write_table(rooted.join(several, "band"), "mixed")
+    more = write_table(_across(mixed, texts.join(reps.select("copy", "bands"), "copy").select("id", "body", "bands"), threshold, width), "links")
     if more.isEmpty():
         found = roots
     else:
-        met = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        over = components(met.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-        merged = roots.select(F.col("node"), F.col("root").alias("old")).join(over.select(F.col("node").alias("old"), "root"), "old", "left").select("node", F.coalesce("root", "old").alias("root"))
-        lone = over.join(roots.select("node"), "node", "left_anti")
+        ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        over = write_table(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "over")
+        merged = roots.select("node", F.col("root").alias("old")).join(over.select(F.col("node").alias("old"), "root"), "old", "left").select("node", F.coalesce("root", "old").alias("root"))
+        lone = over.join(roots.select("node"), "node", "left_anti").select("node", "root")
         found = write_table(merged.unionByName(lone), "roots")
     # A document's class: that of its text's representative; rows of one key share one even if their texts differ.
     own = copies.join(found.select(F.col("node").alias("b"), "root"), "b", "left").select("a", F.coalesce("root", "b").alias("root"))
