@@ -1,36 +1,233 @@
-"""Market aggregates over the driver tables (orders as postings, order lines as their skills)."""
+"""Market aggregates over the bound driver tables, each with its oracle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import table
+from tidemark.operators import market as m
+from tidemark.sources.binding import CTE, WEEK, job_skills, jobs
 
+#: Places by which the driver's nations are told apart: the exact name first, then the first pattern contained.
+PLACES = (("nation_1", "North"), ("nation_10", "Capital"), ("nation_2", "South"), ("nation_3", "East"), ("nation_4", "West"))
+#: Stacks over the driver's brands; contained either way round.
+STACKS = {"Alpha": ("brand#1", "brand#22x", "brand#3"), "Beta": ("brand#4", "brand#5"), "Gamma": ("none", "brand#25")}
 
-def skill_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: mentions of each skill in a half-year window, the 50 most frequent."""
-    jobs = table(spark, sf_dir, "orders").filter(
-        (F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-        & (F.col("o_orderdate") < F.lit("1998-07-01").cast("timestamp_ntz"))
-    )
-    skills = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
-    )
-    return (
-        skills.join(jobs, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("p_brand").alias("skill"))
-        .agg(F.count("*").alias("mentions"))
-        .orderBy(F.desc("mentions"), "skill")
-        .limit(50)
+_WEEK = f"TIMESTAMP '{WEEK}'"
+_IN = f"scraped_at >= {_WEEK} AND scraped_at < {_WEEK} + INTERVAL 7 DAY"
+_PREV = f"scraped_at >= {_WEEK} - INTERVAL 7 DAY AND scraped_at < {_WEEK}"
+_PAY = "(salary_min IS NOT NULL OR salary_max IS NOT NULL) AND salary_min > 10000 AND (salary_max IS NULL OR salary_max < 600000)"
+_MID = "CASE WHEN salary_min <> 0 AND salary_max <> 0 THEN (salary_min + salary_max) / 2 ELSE coalesce(nullif(salary_max, 0), salary_min) END"
+_RANK = "list_sort(list(mid))[greatest(1, (count(*) * {p}) // 100)]"
+
+
+def _with(sql: str) -> str:
+    return f"WITH {CTE} {sql}"
+
+
+def _pct(p: int, where: str = "count(*) >= 5") -> str:
+    return f"CASE WHEN {where} THEN round({_RANK.format(p=p)}, 0) END AS p{p}"
+
+
+def skill_demand(spark, sf):
+    when = (F.col("scraped_at") >= m.ts("1998-01-01")) & (F.col("scraped_at") < m.ts("1998-07-01"))
+    return m.top(m.demand(jobs(spark, sf), job_skills(spark, sf), when), "mentions", "skill", 50)
+
+
+def skill_prior_counts(spark, sf):
+    return m.demand(jobs(spark, sf), job_skills(spark, sf), m.in_week(WEEK, 1))
+
+
+def skills_by_role(spark, sf):
+    named = jobs(spark, sf).filter("role_category is not null and role_category <> 'other'")
+    recent = named.filter(F.col("scraped_at") >= m.ts(WEEK))
+    counts = job_skills(spark, sf).join(recent, "job_id").groupBy("role_category", "skill").agg(F.count("*").alias("mentions"))
+    return m.top_per(counts, "role_category", "mentions", "skill", 5)
+
+
+def skill_demand_fallback(spark, sf):
+    """A week without postings: the 30 days before it step in."""
+    j, s, empty = jobs(spark, sf), job_skills(spark, sf), "2001-08-20"
+    first = m.demand(j, s, m.in_week(empty))
+    second = m.demand(j, s, (F.col("scraped_at") >= m.shifted(empty, -30)) & (F.col("scraped_at") < m.shifted(empty, 7)))
+    return m.with_fallback(first, second, [F.desc("mentions"), F.col("skill")], 50)
+
+
+def skill_movers(spark, sf):
+    return m.movers(jobs(spark, sf), job_skills(spark, sf), WEEK)
+
+
+def skill_anomalies(spark, sf):
+    return m.anomalies(jobs(spark, sf), job_skills(spark, sf), WEEK, 3)
+
+
+def rank_churn(spark, sf):
+    return m.churn(jobs(spark, sf), job_skills(spark, sf), WEEK)
+
+
+def salary_percentiles(spark, sf):
+    return m.percentiles(m.salaries(jobs(spark, sf)).filter(F.col("mid").between(20000, 300000)), "mid", ("company_stage",))
+
+
+def salary_ladder(spark, sf):
+    return m.salary_ladder(jobs(spark, sf), WEEK)
+
+
+def sponsorship_by_role_stage(spark, sf):
+    return m.sponsorship_by(jobs(spark, sf))
+
+
+def sponsorship_rate(spark, sf):
+    return m.sponsorship_rate(jobs(spark, sf))
+
+
+def hiring_momentum(spark, sf):
+    return m.momentum(jobs(spark, sf), WEEK)
+
+
+def expansion_signals(spark, sf):
+    j = jobs(spark, sf)
+    return m.expansions(j, WEEK, m.quiet_companies(j, "1998-05-25"))
+
+
+def role_velocity(spark, sf):
+    return m.role_velocity(jobs(spark, sf), m.in_week(WEEK))
+
+
+def places(spark, sf):
+    return m.places(jobs(spark, sf), F.col("scraped_at") >= m.ts(WEEK), PLACES)
+
+
+def place_share(spark, sf):
+    return m.place_share(jobs(spark, sf), WEEK, PLACES, "North")
+
+
+def skill_pmi(spark, sf):
+    when = (F.col("scraped_at") >= m.ts("1998-01-01")) & (F.col("scraped_at") < m.ts("1999-01-01"))
+    return m.cooccurrence(jobs(spark, sf), job_skills(spark, sf), when)
+
+
+def archetypes(spark, sf):
+    return m.archetypes(jobs(spark, sf), job_skills(spark, sf), F.col("scraped_at") >= m.ts(WEEK), STACKS)
+
+
+def job_count_ladder(spark, sf):
+    return m.job_count_ladder(jobs(spark, sf), "2001-08-20")
+
+
+def weekly_snapshot(spark, sf):
+    out = m.snapshot(jobs(spark, sf), job_skills(spark, sf), WEEK, 10)
+    return out.withColumn("top_skills", F.array_join(F.transform("top_skills", lambda x: F.concat_ws("=", x["skill"], x["n"].cast("string"))), ",")).drop("p10", "p90")
+
+
+def source_counts(spark, sf):
+    j = jobs(spark, sf)
+    return j.groupBy("source").agg(F.count("*").alias("raw"), F.countDistinct("company").alias("companies"))
+
+
+def startup_ratio(spark, sf):
+    return jobs(spark, sf).groupBy("source").agg(F.round(F.avg(F.col("is_startup").cast("double")), 6).alias("startup_ratio"))
+
+
+def trends_history(spark, sf):
+    """Weekly share of postings by skill category with the change against the week before."""
+    from pyspark.sql import Window
+
+    j = jobs(spark, sf).filter((F.col("scraped_at") >= m.ts("1998-01-05")) & (F.col("scraped_at") < m.ts("1998-03-30")))
+    weekly = F.date_trunc("week", F.col("scraped_at")).cast("date").alias("week_start")
+    named = job_skills(spark, sf).join(j, "job_id").groupBy(weekly, "skill_category").agg(F.countDistinct("job_id").alias("n"))
+    total = j.groupBy(weekly).agg(F.count("*").alias("total"))
+    before = F.lag("pct_of_jobs").over(Window.partitionBy("skill_category").orderBy("week_start"))
+    shared = named.join(total, "week_start").select("week_start", "skill_category", F.round(F.col("n") / F.col("total"), 6).alias("pct_of_jobs"))
+    return shared.withColumn("delta", F.round(F.col("pct_of_jobs") - before, 6))
+
+
+def salary_history(spark, sf):
+    pay = m.salaries(jobs(spark, sf)).withColumn("week_start", F.date_trunc("week", F.col("scraped_at")).cast("date"))
+    return m.percentiles(pay.filter(F.col("mid").between(20000, 300000)), "mid", ("week_start", "location"), (25, 50, 75), 1)
+
+
+def rollup_roles(spark, sf):
+    j = jobs(spark, sf).withColumn("role", F.coalesce("role_category", F.lit("other")))
+    return j.rollup("role").agg(F.count("*").alias("postings"), F.grouping("role").cast("int").alias("whole"))
+
+
+_ROLES_WITH = "role_category IS NOT NULL AND role_category <> 'other'"
+QUERIES = {
+    f.__name__: f
+    for f in (
+        skill_demand, skill_prior_counts, skills_by_role, skill_demand_fallback, skill_movers, skill_anomalies, rank_churn, salary_percentiles, salary_ladder,
+        sponsorship_by_role_stage, sponsorship_rate, hiring_momentum, expansion_signals, role_velocity, places, place_share, skill_pmi, archetypes, job_count_ladder,
+        weekly_snapshot, source_counts, startup_ratio, trends_history, salary_history, rollup_roles,
     )
+}
 
+_W = f"""w AS (SELECT skill, count(*) FILTER ({_IN}) AS w0, count(*) FILTER ({_PREV}) AS w1 FROM job_skills JOIN jobs USING (job_id)
+    WHERE scraped_at >= {_WEEK} - INTERVAL 7 DAY AND scraped_at < {_WEEK} + INTERVAL 7 DAY GROUP BY 1)"""
+_LADDER = f"""near AS (SELECT *, {_MID} AS mid, ({_PAY}) AS ok, CASE WHEN scraped_at >= {_WEEK} THEN 0 WHEN scraped_at >= {_WEEK} + INTERVAL 7 DAY - INTERVAL 30 DAY THEN 1 ELSE 2 END AS step
+    FROM jobs WHERE scraped_at < {_WEEK} + INTERVAL 7 DAY AND scraped_at >= {_WEEK} + INTERVAL 7 DAY - INTERVAL 90 DAY),
+    c AS (SELECT CASE WHEN count(*) FILTER (ok AND step <= 0) >= 5 THEN 0 WHEN count(*) FILTER (ok AND step <= 1) >= 5 THEN 1 ELSE 2 END AS chosen FROM near)"""
+_PLACE = "CASE WHEN location = '' OR location IS NULL THEN NULL " + " ".join(f"WHEN location = '{p}' THEN '{n}'" for p, n in PLACES) + " " + " ".join(f"WHEN contains(location, '{p}') THEN '{n}'" for p, n in PLACES) + " ELSE 'Other' END"
+_STACK_ROWS = ", ".join(f"('{a}', {n}, '{w}')" for a, ws in STACKS.items() for n, w in enumerate(ws))
 
-QUERIES = {"skill_demand": skill_demand}
 ORACLES = {
-    "skill_demand": """
-        SELECT p_brand AS skill, count(*) AS mentions
-        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
-        WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-07-01'
-        GROUP BY 1 ORDER BY mentions DESC, skill LIMIT 50"""
-}
+    "skill_demand": _with("SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE scraped_at >= TIMESTAMP '1998-01-01' AND scraped_at < TIMESTAMP '1998-07-01' GROUP BY 1 ORDER BY mentions DESC, skill LIMIT 50"),
+    "skill_prior_counts": _with(f"SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE {_PREV} GROUP BY 1"),
+    "skills_by_role": _with(f"""SELECT * FROM (SELECT role_category, skill, count(*) AS mentions, row_number() OVER (PARTITION BY role_category ORDER BY count(*) DESC, skill)::INT AS rank
+        FROM job_skills JOIN jobs USING (job_id) WHERE {_ROLES_WITH} AND scraped_at >= {_WEEK} GROUP BY 1, 2) WHERE rank <= 5"""),
+    "skill_demand_fallback": _with("""SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE scraped_at >= TIMESTAMP '2001-08-20' - INTERVAL 30 DAY AND scraped_at < TIMESTAMP '2001-08-27'
+        GROUP BY 1 ORDER BY mentions DESC, skill LIMIT 50"""),
+    "skill_movers": _with(f""", {_W}, t AS (SELECT * FROM w WHERE w0 > 0 ORDER BY w0 DESC, skill LIMIT 50),
+        d AS (SELECT *, CASE WHEN w1 > 0 AND (w0 - w1)::DOUBLE / w1 > 0.5 THEN 'rising' WHEN w1 > 0 AND (w0 - w1)::DOUBLE / w1 < -0.3 THEN 'declining' WHEN w1 = 0 AND w0 > 5 THEN 'rising' END AS direction FROM t)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY w0 DESC, skill)::INT AS rank FROM d WHERE direction IS NOT NULL) WHERE rank <= 20"""),
+    "skill_anomalies": _with(f", {_W} SELECT * FROM w WHERE w1 > 0 AND w0 > 3 * w1"),
+    "rank_churn": _with(f""", {_W}, a AS (SELECT skill FROM w WHERE w0 > 0 ORDER BY w0 DESC, skill LIMIT 10), b AS (SELECT skill FROM w WHERE w1 > 0 ORDER BY w1 DESC, skill LIMIT 10)
+        SELECT count(*)::INT AS new_in_top, count(*) <= 3 AS stable FROM a WHERE skill NOT IN (SELECT skill FROM b)"""),
+    "salary_percentiles": _with(f", p AS (SELECT company_stage, {_MID} AS mid FROM jobs WHERE {_PAY}) SELECT company_stage, count(*) AS sample_size, {', '.join(map(_pct, m.PERCENTS))} FROM p WHERE mid BETWEEN 20000 AND 300000 GROUP BY 1"),
+    "salary_ladder": _with(f""", {_LADDER}, u AS (SELECT mid FROM near, c WHERE ok AND step <= chosen AND mid BETWEEN 20000 AND 300000)
+        SELECT {', '.join(map(_pct, m.PERCENTS))}, count(*) AS sample_size, round(count(*)::DOUBLE / greatest((SELECT count(*) FROM near, c WHERE step <= chosen), 1), 3) AS disclosure_rate,
+        (SELECT [7, 30, 90][chosen + 1] FROM c) AS window_days FROM u"""),
+    "sponsorship_by_role_stage": _with("""SELECT coalesce(role_category, 'unknown') AS role_category, company_stage, count(*) AS postings, count(*) FILTER (offers_sponsorship) AS offering,
+        round(count(*) FILTER (offers_sponsorship)::DOUBLE / count(*), 3) AS rate FROM jobs WHERE offers_sponsorship IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10"""),
+    "sponsorship_rate": _with("SELECT count(*) AS postings, round(count(*) FILTER (offers_sponsorship)::DOUBLE / count(*), 3) AS rate FROM jobs"),
+    "hiring_momentum": _with(f""", c AS (SELECT company, count(*) FILTER ({_IN}) AS w0, count(*) FILTER ({_PREV}) AS w1,
+        count(*) FILTER (scraped_at >= {_WEEK} - INTERVAL 14 DAY AND scraped_at < {_WEEK} - INTERVAL 7 DAY) AS w2 FROM jobs WHERE scraped_at >= {_WEEK} - INTERVAL 14 DAY AND scraped_at < {_WEEK} + INTERVAL 7 DAY GROUP BY 1)
+        SELECT *, round(w0 * 1.0::DOUBLE + w1 * 0.6::DOUBLE + w2 * 0.3::DOUBLE, 2) AS momentum FROM c WHERE w0 + w1 + w2 > 0 ORDER BY momentum DESC, company LIMIT 20"""),
+    "expansion_signals": _with(f"""SELECT company, count(*) AS w0 FROM jobs WHERE {_IN} AND company IN (SELECT company FROM jobs WHERE scraped_at >= TIMESTAMP '1998-05-04' AND scraped_at < TIMESTAMP '1998-06-01'
+        GROUP BY 1 HAVING count(*) FILTER (scraped_at >= TIMESTAMP '1998-05-25') = 0) GROUP BY 1"""),
+    "role_velocity": _with(f"SELECT coalesce(role_category, 'other') AS role, count(*) AS postings FROM jobs WHERE {_IN} GROUP BY 1"),
+    "places": _with(f"SELECT {_PLACE} AS place, count(*) AS postings FROM jobs WHERE scraped_at >= {_WEEK} AND location <> '' GROUP BY 1 ORDER BY postings DESC, place LIMIT 20"),
+    "place_share": _with(f""", s AS (SELECT round(count(*) FILTER ({_IN} AND {_PLACE} = 'North')::DOUBLE / count(*) FILTER ({_IN}), 4) AS share,
+        round(count(*) FILTER ({_PREV} AND {_PLACE} = 'North')::DOUBLE / count(*) FILTER ({_PREV}), 4) AS before FROM jobs WHERE location <> '')
+        SELECT share, before, abs(share - before) > 0.10 AS shifted, share < 0.2 AS low FROM s"""),
+    "skill_pmi": _with(""", d AS (SELECT DISTINCT job_id, skill FROM job_skills JOIN jobs USING (job_id) WHERE scraped_at >= TIMESTAMP '1998-01-01' AND scraped_at < TIMESTAMP '1999-01-01'),
+        n AS (SELECT skill, count(*) AS n FROM d GROUP BY 1), t AS (SELECT count(DISTINCT job_id) AS total FROM d),
+        p AS (SELECT a.skill AS skill_a, b.skill AS skill_b, count(*) AS co_count FROM d a JOIN d b ON a.job_id = b.job_id AND a.skill < b.skill GROUP BY 1, 2 HAVING count(*) >= 3),
+        s AS (SELECT skill_a, skill_b, round(ln(co_count::DOUBLE * total / (na.n::DOUBLE * nb.n)), 4) AS pmi, co_count FROM p JOIN n na ON na.skill = skill_a JOIN n nb ON nb.skill = skill_b, t)
+        SELECT * FROM s WHERE pmi > 0 ORDER BY pmi DESC, co_count DESC, skill_a, skill_b LIMIT 200"""),
+    "archetypes": _with(f""", f AS (SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE scraped_at >= {_WEEK} GROUP BY 1 ORDER BY mentions DESC, skill LIMIT 50),
+        k(archetype, n, word) AS (VALUES {_STACK_ROWS}),
+        h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY archetype, n ORDER BY mentions DESC, skill) AS r FROM k JOIN f ON contains(skill, word) OR contains(word, skill)) WHERE r = 1)
+        SELECT a.archetype, round(coalesce(sum(mentions), 0)::DOUBLE / (SELECT sum(mentions) FROM f), 4) AS demand_share, count(skill) AS skill_count,
+        array_to_string(list(skill ORDER BY n) FILTER (skill IS NOT NULL), ',') AS dominant_skills FROM (SELECT DISTINCT archetype FROM k) a LEFT JOIN h USING (archetype) GROUP BY 1"""),
+    "job_count_ladder": _with("""SELECT coalesce(nullif(count(*) FILTER (scraped_at >= TIMESTAMP '2001-08-20' AND scraped_at < TIMESTAMP '2001-08-27'), 0),
+        nullif(count(*) FILTER (scraped_at >= TIMESTAMP '2001-08-27' - INTERVAL 30 DAY AND scraped_at < TIMESTAMP '2001-08-27'), 0),
+        nullif(count(*) FILTER (scraped_at >= TIMESTAMP '2001-08-27' - INTERVAL 90 DAY AND scraped_at < TIMESTAMP '2001-08-27'), 0), count(*)) AS job_count FROM jobs"""),
+    "weekly_snapshot": _with(f""", now AS (SELECT *, coalesce(role_category, 'other') AS role, {_MID} AS mid, ({_PAY}) AS ok FROM jobs WHERE {_IN}),
+        b AS (SELECT role AS g, * FROM now UNION ALL SELECT 'all' AS g, * FROM now),
+        f AS (SELECT g, count(*) AS job_count, round(count(*) FILTER (offers_sponsorship)::DOUBLE / count(*), 4) AS sponsorship_rate, round(count(*) FILTER (work_model = 'remote')::DOUBLE / count(*), 4) AS remote_rate,
+            round(count(*) FILTER (work_model = 'hybrid')::DOUBLE / count(*), 4) AS hybrid_rate, round(count(*) FILTER (is_startup)::DOUBLE / count(*), 4) AS startup_rate FROM b GROUP BY 1),
+        n AS (SELECT g, skill, count(*) AS n FROM b JOIN job_skills USING (job_id) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, skill) AS r FROM n),
+        s AS (SELECT g, sum(n)::BIGINT AS skill_mentions, array_to_string(list(skill || '=' || n ORDER BY r) FILTER (r <= 10), ',') AS top_skills FROM r GROUP BY 1),
+        p AS (SELECT g, count(*) AS sample_size, {_pct(25)}, {_pct(50)}, {_pct(75)} FROM b WHERE ok AND mid BETWEEN 20000 AND 300000 GROUP BY 1)
+        SELECT g AS role_category, job_count, sponsorship_rate, remote_rate, hybrid_rate, startup_rate, skill_mentions, top_skills, sample_size, p25, p50, p75, DATE '{WEEK}' AS week_start
+        FROM f LEFT JOIN s USING (g) LEFT JOIN p USING (g)"""),
+    "source_counts": _with("SELECT source, count(*) AS raw, count(DISTINCT company) AS companies FROM jobs GROUP BY 1"),
+    "startup_ratio": _with("SELECT source, round(avg(is_startup::INT::DOUBLE), 6) AS startup_ratio FROM jobs GROUP BY 1"),
+    "trends_history": _with(""", j AS (SELECT *, date_trunc('week', scraped_at)::DATE AS week_start FROM jobs WHERE scraped_at >= TIMESTAMP '1998-01-05' AND scraped_at < TIMESTAMP '1998-03-30'),
+        t AS (SELECT week_start, count(*) AS total FROM j GROUP BY 1), s AS (SELECT week_start, skill_category, count(DISTINCT job_id) AS n FROM j JOIN job_skills USING (job_id) GROUP BY 1, 2),
+        p AS (SELECT week_start, skill_category, round(n::DOUBLE / total, 6) AS pct_of_jobs FROM s JOIN t USING (week_start))
+        SELECT *, round(pct_of_jobs - lag(pct_of_jobs) OVER (PARTITION BY skill_category ORDER BY week_start), 6) AS delta FROM p"""),
+    "salary_history": _with(f""", p AS (SELECT date_trunc('week', scraped_at)::DATE AS week_start, location, {_MID} AS mid FROM jobs WHERE {_PAY})
+        SELECT week_start, location, count(*) AS sample_size, {', '.join(_pct(p, 'true') for p in (25, 50, 75))} FROM p WHERE mid BETWEEN 20000 AND 300000 GROUP BY 1, 2"""),
+    "rollup_roles": _with("SELECT role, count(*) AS postings, grouping(role)::INT AS whole FROM (SELECT coalesce(role_category, 'other') AS role FROM jobs) GROUP BY ROLLUP (role)"),
+}
