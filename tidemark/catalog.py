@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market
+from tidemark.plans import market, records, serving
 
 FLAGSHIP = "skill_demand"
-MODULES = (market,)
+MODULES = (market, serving, records)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:

@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import any_keyword
 from tidemark.functions.vocabulary import RISKY, SKILLS
@@ -52,7 +53,7 @@ def without_controls(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
@@ -110,13 +111,13 @@ def strip_html(c: Column) -> Column:
 # --- extraction -----------------------------------------------------------------------------------------------
 
 
-def alias_table(spark) -> DataFrame:
+def alias_table(spark, taxonomy=SKILLS) -> DataFrame:
     """Alias in lower case, canonical skill, category: a fixed list."""
-    rows = [(a, name, category, len(a.split())) for name, category, aliases in SKILLS for a in {name.lower(), *aliases}]
-    return spark.createDataFrame(rows, "alias string, skill string, skill_category string, n int")
+    rows = [(a, name, category) for name, category, aliases in taxonomy for a in {name.lower(), *aliases}]
+    return spark.createDataFrame(rows, "alias string, skill string, skill_category string")
 
 
-def extract_skills(df: DataFrame, key: str, text: str) -> DataFrame:
+def extract_skills(df: DataFrame, key: str, text: str, taxonomy=SKILLS) -> DataFrame:
     """(key, skill, skill_category, extraction_method, confidence) by n-grams of up to three words against the alias table."""
     token = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}+#./-]*"), F.lit(0))
     clean = F.transform(token, lambda t: F.regexp_replace(t, r"[./-]+$", ""))
@@ -125,7 +126,7 @@ def extract_skills(df: DataFrame, key: str, text: str) -> DataFrame:
         F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.array_join(F.slice(F.col("t"), i, n), " "))
     ).otherwise(F.array().cast("array<string>"))
     grams = base.select("key", F.explode(F.array_distinct(F.concat(gram(1), gram(2), gram(3)))).alias("alias"))
-    found = grams.join(F.broadcast(alias_table(df.sparkSession)), "alias")  # a fixed list
+    found = grams.join(F.broadcast(alias_table(df.sparkSession, taxonomy)), "alias")  # a fixed list
     return found.groupBy("key", "skill", "skill_category").agg(F.max(F.when(F.col("alias") == F.lower("skill"), 1.0).otherwise(0.9)).alias("confidence")).select(
         F.col("key").alias(key), "skill", "skill_category", F.lit("taxonomy").alias("extraction_method"), "confidence"
     )
@@ -214,7 +215,7 @@ def contact_flags(c: Column) -> Column:
     return F.struct(c.rlike(PII["email"]).alias("has_email"), c.rlike(PII["phone_uk"]).alias("has_phone"), low.contains("linkedin.com/").alias("has_linkedin"), low.contains("github.com/").alias("has_github"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def reading_grade(s: pd.Series) -> pd.Series:
     """Flesch-Kincaid grade; null for a text without words."""
     import re

@@ -313,11 +313,15 @@ def sector_fit_exact(people: DataFrame, sectors: dict) -> DataFrame:
     return people.select("id", F.explode(F.array(*rows)).alias("s")).select("id", "s.*").filter("fit_score > 0")
 
 
+def _holds(word: str):
+    return lambda s: F.lower(s).contains(word)
+
+
 def sector_fit_contained(people: DataFrame, sectors: dict, k: int = 3) -> DataFrame:
     """Per person the k sectors with most words contained in some skill; share rounded to 2 places."""
     rows = []
     for n, (name, words) in enumerate(sectors.items()):
-        hits = sum(F.exists("skills", lambda s, w=w: F.lower(s).contains(w)).cast("int") for w in words)
+        hits = sum(F.exists("skills", _holds(w)).cast("int") for w in words)
         rows.append(F.struct(F.lit(n).alias("n"), F.lit(name).alias("sector"), F.round(hits / len(words), 2).alias("fit_score")))
     order = lambda a, b: F.when(a["fit_score"] > b["fit_score"], -1).when(a["fit_score"] < b["fit_score"], 1).otherwise(a["n"] - b["n"])
     return people.select("id", F.explode(F.slice(F.array_sort(F.array(*rows), order), 1, k)).alias("s")).select("id", "s.sector", "s.fit_score")
