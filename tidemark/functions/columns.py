@@ -51,7 +51,7 @@ def nearest_rank(n: Column, percent: int) -> Column:
 
 def split_list(c: Column, separator: str = ",") -> Column:
     """Items of a separated list, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def any_keyword(c: Column, words: Iterable[str]) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import any_keyword
+from tidemark.functions.columns import any_keyword, strip
 from tidemark.functions.vocabulary import RISKY, SKILLS
 
 #: Personal data by type, in the order of redaction. Our patterns, to the published contract.
@@ -196,7 +196,7 @@ VERBS = ("led", "built", "deployed", "reduced", "improved", "managed", "delivere
 def sections(c: Column) -> Column:
     """Section name in lower case to its text; what comes before the first header is preamble."""
     marked = F.regexp_replace(F.concat(F.lit("preamble\u0002"), c), SECTION, "\u0001$1\u0002")
-    parts = F.transform(F.split(marked, "\u0001"), lambda p: F.struct(F.lower(F.split(p, "\u0002")[0]).alias("k"), F.trim(F.element_at(F.split(p, "\u0002"), 2)).alias("v")))
+    parts = F.transform(F.split(marked, "\u0001"), lambda p: F.struct(F.lower(F.split(p, "\u0002")[0]).alias("k"), strip(F.element_at(F.split(p, "\u0002"), 2)).alias("v")))
     kept = F.filter(parts, lambda p: (p["v"] != "") | (p["k"] != "preamble"))
     first = F.transform(F.array_distinct(F.transform(kept, lambda p: p["k"])), lambda k: F.struct(k.alias("key"), F.array_join(F.transform(F.filter(kept, lambda p: p["k"] == k), lambda p: p["v"]), "\n").alias("value")))
     return F.map_from_entries(first)

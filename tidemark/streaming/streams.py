@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators import stores
-
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -65,12 +63,11 @@ def limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 
 def merge_seen(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink of the seen store: each micro-batch makes version n + 1 from version n; a batch that is run again writes the same version."""
+    """foreachBatch sink of the seen store (dedup_hash, ts in): each micro-batch makes version n + 1 from version n; one that is run again writes the same version."""
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now = F.lit("2000-01-01").cast("timestamp") if "ts" not in batch.columns else None
-        fresh = batch.select("dedup_hash", (F.col("ts") if now is None else now).alias("first_seen")).withColumn("last_seen", F.col("first_seen")).withColumn("times_seen", F.lit(1).cast("long"))
+        fresh = batch.select("dedup_hash", F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"), F.lit(1).cast("long").alias("times_seen"))
         old = spark.read.schema(fresh.schema).parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], fresh.schema)
         merged = old.unionByName(fresh).groupBy("dedup_hash").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("times_seen").alias("times_seen"))
         merged.write.mode("overwrite").parquet(f"{path}/v={number}")
@@ -83,5 +80,3 @@ def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> None:
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
-
-__all__ = ["as_instant", "first_seen", "limited", "limiter", "merge_seen", "read_events", "run_available", "session_counts", "stores", "weekly_counts"]
