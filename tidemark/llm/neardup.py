@@ -142,7 +142,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
         ok = [similarity(known(x), weighted(y, width)) >= threshold - 1e-12 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         return batch.select([0, 1]).filter(pa.array(ok))
 
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("body").alias("right")), "b").join(texts.select(F.col("id").alias("a"), F.col("body").alias("left")), "a")
+    # One plan at every size: a broadcast of few pairs would hide what the join moves once there are many.
+    joined = pairs.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("body").alias("right")), "b").hint("merge").join(texts.select(F.col("id").alias("a"), F.col("body").alias("left")), "a")
     return map_batches(joined.select("a", "b", "left", "right"), run, "a long, b long")
 
 
@@ -230,7 +231,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     ends = ends.select("band", F.array_distinct(F.array("low", -F.col("hub.i"))).alias("ends"))
     member = write_table(member.join(ends, "band").select("band", "id", "ends"), "member")
     pairs = member.select("id", F.explode("ends").alias("end")).filter("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
-    texts = rows.join(member.select("id").distinct(), "id").select("id", "copy", "body").dropDuplicates(["id", "copy"])
+    texts = rows.join(member.select("id").distinct().hint("merge"), "id").select("id", "copy", "body").dropDuplicates(["id", "copy"])
     texts = write_table(texts, "texts")
     copies = signed.join(reps.select("copy", F.col("id").alias("rep")), "copy").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = write_table(_verify(pairs, texts, threshold, width), "links")
