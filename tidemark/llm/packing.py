@@ -39,7 +39,7 @@ from tidemark.llm.tokens import Encoder
 CAPACITY = 2048
 END_ID = 0
 #: Tried (share of the capacity above which a length is grouped, groups); the plan of fewest sequences is kept.
-SCHEMES = ((0.125, 32), (0.25, 32), (0.4, 48))
+SCHEMES = ((0.5, 64), (0.4, 48), (0.25, 32))
 #: Pieces of one length that are numbered in one task, about.
 NUMBERED = 50_000
 MOST_RUNS = 500_000
