@@ -9,10 +9,14 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+#: Iterative: tested against brute force.
+NO_SQL = {"posting_classes"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) - NO_SQL == set(catalog.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_equals_oracle(spark, sf_dir, con, name):
     same(catalog.QUERIES[name](spark, sf_dir), con, catalog.ORACLES[name])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import components
+from tidemark.tables import write_table
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -36,15 +39,51 @@ def exact_groups(df: DataFrame, key: str, hashed: Column) -> DataFrame:
     return rows.join(first, "h").select(F.col("key").alias(key), "first")
 
 
-def minhash_pairs(df: DataFrame, key: str, tokens: str, distance: float = 0.2, tables: int = 8, features: int = 1 << 18) -> DataFrame:
-    """Pairs (a < b) of token sets within a Jaccard distance, by the library's MinHash join, verified exactly there."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    rows = df.filter(F.size(tokens) > 0).select(F.col(key).alias("key"), F.col(tokens).alias("t"))
-    hashed = HashingTF(inputCol="t", outputCol="f", numFeatures=features, binary=True).transform(rows)
-    model = MinHashLSH(inputCol="f", outputCol="h", numHashTables=tables, seed=7).fit(hashed)
-    near = model.approxSimilarityJoin(hashed, hashed, distance, distCol="d").filter("datasetA.key < datasetB.key")
-    return near.select(F.col("datasetA.key").alias("a"), F.col("datasetB.key").alias("b"), F.round("d", 6).alias("distance"))
+def shingles(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
+    """Distinct hashed word shingles of each text (key, h); a shorter text is one shingle, one without words has none."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
+    base = df.select(F.col(key).alias("key"), words.alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1)))
+    return base.select("key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " "))))).alias("h"))
+
+
+def near_links(df: DataFrame, key: str, text: str, least: float = 0.8, bands: int = 12, rows: int = 3) -> DataFrame:
+    """Links (a, b) that tie all texts together whose shingle sets share a MinHash band and reach the Jaccard similarity.
+
+    Each bucket is held against its least key first, which is linear; the rest is a join inside buckets of
+    pairs that are not in one class yet, whose condition is the exact similarity, so only links leave it.
+    """
+    hashed = shingles(df, key, text)
+    mins = [F.min(F.xxhash64("h", F.lit(n))).alias(f"m{n}") for n in range(bands * rows)]
+    signed = hashed.groupBy("key").agg(*mins, F.array_sort(F.collect_set("h")).alias("s"))
+    cut = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
+    signed = write_table(signed.select("key", "s", cut.alias("bands")), "signed")
+    dealt = signed.select("key", F.explode("bands").alias("band"))
+    low = dealt.groupBy("band").agg(F.min("key").alias("low"), F.count("*").alias("n")).filter("n > 1").select("band", "low")
+    member = write_table(dealt.join(low, "band"), "member")
+    sets = signed.select("key", "s")
+    both = lambda pairs: pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    jaccard = same / (F.size("sa") + F.size("sb") - same)
+    stars = member.filter("key > low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
+    links = write_table(both(stars).filter(jaccard >= least).select("a", "b"), "links")
+    rooted = member.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band")
+    held = write_table(rooted.join(mixed, "band").select("band", "key", "root").join(sets, "key"), "mixed")
+    left, right = held.select("band", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("s").alias("sa")), held.select("band", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("s").alias("sb"))
+    across = left.join(right, (left["band"] == right["band"]) & (F.col("ra") < F.col("rb")) & (jaccard >= least)).select("a", "b").distinct()
+    return links.union(across)
+
+
+def three_signals(df: DataFrame, key: str, text: str, vectors: DataFrame | None = None, least_cosine: float = 0.95) -> DataFrame:
+    """Every row with the least key of its class: equal hash, near text, or near vector (vectors: key, vector, bucket)."""
+    exact = write_table(exact_groups(df, key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), "exact")
+    first = df.join(exact.filter(F.col(key) == F.col("first")).select(key).distinct(), key, "left_semi")
+    links = near_links(first, key, text).union(exact.select(F.col("first").alias("a"), F.col(key).alias("b")))
+    if vectors is not None:
+        links = links.union(cosine_pairs(vectors, "key", "vector", least_cosine, F.col("bucket")).select("a", "b"))
+    roots = components(links)
+    return df.select(key).join(roots, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("first"))
 
 
 def cosine_pairs(df: DataFrame, key: str, vector: str, least: float, bucket: Column) -> DataFrame:

@@ -66,6 +66,17 @@ def exact_copies(spark, sf):
     return similarity.exact_groups(docs, "doc_id", F.sha2("text", 256)).filter("first < doc_id")
 
 
+def posting_classes(spark, sf):
+    """X7 over conversations' texts: each turn with the least turn of its class."""
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return similarity.three_signals(turns, "id", "text")
+
+
+def near_vectors(spark, sf):
+    """Pairs of vectors of one label with cosine 0.9 or more."""
+    return similarity.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.9, F.col("label"))
+
+
 def salary_display(spark, sf):
     orders = table(spark, sf, "orders")
     low = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
@@ -207,7 +218,7 @@ def ops_status(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        pii_scrub, injection_scores, threat_entries, risky_terms, draft_review, control_characters, dedup_hashes, exact_copies, salary_display, skill_mentions_in_text, page_links,
+        pii_scrub, injection_scores, threat_entries, risky_terms, draft_review, control_characters, dedup_hashes, exact_copies, posting_classes, near_vectors, salary_display, skill_mentions_in_text, page_links,
         events_by_key, seen_store, new_within_ttl, weekly_dedup, upsert_postings, touched, insert_ignored, run_log, rolling_yields, rate_limiter, sessions, cost_alerts, adoption_lag,
         integrity, psi, ops_status,
     )
@@ -240,6 +251,8 @@ ORACLES = {
     "control_characters": "SELECT doc_id, length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'))::INT AS n_clean FROM documents",
     "dedup_hashes": "SELECT c_custkey, substr(sha256(lower(trim(c_name)) || '|' || lower(trim(c_mktsegment)) || '|' || c_nationkey), 1, 16) AS dedup_hash FROM customer",
     "exact_copies": "SELECT * FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE first < doc_id",
+    "near_vectors": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
+        SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.9""",
     "salary_display": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS low, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice + 1000 END AS high FROM orders),
         f AS (SELECT *, '£' || format('{:,}', floor(low)::BIGINT) AS a, '£' || format('{:,}', floor(high)::BIGINT) AS b FROM o)
         SELECT o_orderkey, CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN a || '–' || b WHEN low IS NOT NULL THEN 'From ' || a WHEN high IS NOT NULL THEN 'Up to ' || b ELSE 'Not disclosed' END AS display,
