@@ -2,46 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tidemark.operators.graph import components
+from tidemark.tables import drop_table, shared_dir, write_table
+
+__all__ = ["BATCH_ROWS", "components", "drop_table", "map_batches", "runs_of", "shared_dir", "table", "whole_groups", "write_table"]
 
 #: Rows of one Arrow batch between the JVM and Python. Texts are processed whole, so this, times
 #: the length of a long text, bounds what a Python worker holds.
 BATCH_ROWS = 500
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove a table of write_table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,36 +63,3 @@ def whole_groups(batches, keys: tuple[int, ...]):
             kept = joined.slice(int(start[-1])).combine_chunks().to_batches()
     if kept:
         yield pa.Table.from_batches(kept).combine_chunks()
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of (a, b), two longs: one row (node, root) per node, root its smallest node.
-
-    Alternating large-star and small-star steps (Kiveris et al. 2014), each a pre-aggregated minimum
-    and one join, written to the shared folder so that no lineage grows and no executor's loss costs
-    the loop. It ends when the edges no longer change: then each node points at its root. Loops
-    (a = a) keep a node that has no other edge. A null end drops the edge.
-    """
-    both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a is not null and b is not null")
-    nodes = both.select(F.col("a").alias("node")).union(both.select("b")).distinct()
-    star = write_table(both.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    nodes = write_table(nodes, "nodes")
-    before = None
-    for _ in range(rounds):
-        around = star.select("u", "v").union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = around.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        after = write_table(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct(), "star"
-        )
-        drop_table(star)
-        star = after
-        sums = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == tuple(sums):
-            break
-        before = tuple(sums)
-    else:
-        raise RuntimeError("components did not settle")
-    return nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
