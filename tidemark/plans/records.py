@@ -73,8 +73,8 @@ def posting_classes(spark, sf):
 
 
 def near_vectors(spark, sf):
-    """Pairs of vectors of one label with cosine 0.9 or more."""
-    return similarity.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.9, F.col("label"))
+    """Pairs of vectors of one label with cosine 0.3 or more."""
+    return similarity.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.3, F.col("label"))
 
 
 def salary_display(spark, sf):
@@ -252,7 +252,7 @@ ORACLES = {
     "dedup_hashes": "SELECT c_custkey, substr(sha256(lower(trim(c_name)) || '|' || lower(trim(c_mktsegment)) || '|' || c_nationkey), 1, 16) AS dedup_hash FROM customer",
     "exact_copies": "SELECT * FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE first < doc_id",
     "near_vectors": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
-        SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.9""",
+        SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.3""",
     "salary_display": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS low, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice + 1000 END AS high FROM orders),
         f AS (SELECT *, '£' || format('{:,}', floor(low)::BIGINT) AS a, '£' || format('{:,}', floor(high)::BIGINT) AS b FROM o)
         SELECT o_orderkey, CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN a || '–' || b WHEN low IS NOT NULL THEN 'From ' || a WHEN high IS NOT NULL THEN 'Up to ' || b ELSE 'Not disclosed' END AS display,
