@@ -17,8 +17,11 @@ def test_rules_and_sequences(spark):
         (4, "This text has a licence of its own kind."),
         (5, "No such thing here."),
         (6, "Released under the MIT License.\nReleased under the MIT License.\nReleased under the MIT License."),
+        (7, "# " + gpl.replace(" the ", " the\n")),
+        (8, "no end here\nReleased under the MIT License\nnor here"),
     ]
     got = scan(spark, rows)
+    assert got[7].licences == ["GPL-3-or-later"] and got[8].licences == ["MIT"]
     assert got[1].licences == ["GPL-3-or-later"] and got[1].sentence_ids == ["gplTerms", "gplNoWarranty", "gplSee"]
     assert got[2].licences == ["CC-BY-NC-4.0", "MIT"] and got[2].status == "several"
     assert got[3].licences == ["Apache-2.0"]

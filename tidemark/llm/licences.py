@@ -1,7 +1,8 @@
 """Licence scans by sentence rules (native: DataFrame functions only).
 
-A text is cut into sentences, each sentence is normalised and looked up among known licence
-sentences, and the sequence of identifiers found is matched, rule by rule in a fixed order, against
+A text is cut into sentences (once with every line's end as an end, once with lines joined; the reading
+that knows more sentences, then leaves fewer unknown, then the first, holds), each sentence is normalised
+and looked up among known licence sentences, and the sequence of identifiers found is matched, rule by rule in a fixed order, against
 rules that name a licence. A rule that matches consumes its sentences, so a general rule never
 claims what a specific one has used. All of it is row-local: no shuffle, no broadcast, no Python,
 and no row or sentence is held beyond its own document.
@@ -52,7 +53,7 @@ SENTENCES: dict[str, str] = {
     "ccBy": "licensed under cc by <v>",
     "ccByLong": "this work is licensed under a creative commons attribution <v> international license",
     "ccBySaLong": "this work is licensed under a creative commons attribution-sharealike <v> international license",
-    "ccZero": "licensed under cc0 <v>",
+    "ccZero": "licensed under cc<v> <v>",
     "bsdPerm": "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsdSource": "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsdBinary": "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
@@ -97,7 +98,7 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("ccBy",), "CC-BY-{v}"),
     (("ccByLong",), "CC-BY-{v}"),
     (("ccBySaLong",), "CC-BY-SA-{v}"),
-    (("ccZero",), "CC0-{v}"),
+    (("ccZero",), "CC0-1.0"),
     (("mplTerms",), "MPL-{v}"),
     (("mplWork",), "MPL-{v}"),
     (("iscPerm", "asIs"), "ISC"),
@@ -108,9 +109,10 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 
 #: A sentence can be known, or suspected, only if it holds one of these; every entry of SENTENCES does.
 HINT = r"licen[cs]e|copyright|warrant|redistribut|permission|public domain|all rights reserved|copy of the gnu|copies of the software"
-#: Sentence ends: a full stop, exclamation or question mark, or colon before a blank, or a line's end. A stop
-#: after a lone v (as in "v. 2.0") ends nothing.
-SENTENCE_END = r"(?<=[^\sv][.!?:])\s+|\n+"
+#: Sentence ends: a full stop, exclamation or question mark before a blank (a stop after a lone v, as in "v. 2.0", ends
+#: nothing), a colon before a list, and either every line's end or only an empty line: notices come one to a line and wrapped.
+_ENDS = r"(?<=[^\sv][.!?])\s+|(?<=:)\s+(?=[\d*(-])|"
+BY_LINE, WRAPPED = _ENDS + r"\n+", _ENDS + r"\n\s*\n"
 VERSION = r"\d+(?:\.\d+)*"
 
 
@@ -128,10 +130,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
     # The cheap test on the whole text spares most documents the cutting; it drops no sentence that could be known.
     hinted = F.col("body").rlike(f"(?i){HINT}")
-    cut = F.filter(F.split(F.col("body"), SENTENCE_END), lambda s: F.lower(s).rlike(HINT))
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("said", F.when(hinted, cut).otherwise(none))
-    rows = rows.withColumn("hits", F.transform("said", lambda s: F.struct(F.coalesce(known[_normal(s)], F.lit("?")).alias("id"), F.regexp_extract(s, VERSION, 0).alias("v"))))
+
+    def read(ends: str) -> Column:
+        cut = F.filter(F.split(F.col("body"), ends), lambda s: F.lower(s).rlike(HINT))
+        said = F.when(hinted, cut).otherwise(none)
+        return F.transform(said, lambda s: F.struct(F.coalesce(known[_normal(s)], F.lit("?")).alias("id"), F.regexp_extract(s, VERSION, 0).alias("v")))
+
+    count = lambda c, there: F.size(F.filter(c, lambda h: (h["id"] != "?") == F.lit(there)))
+    rows = rows.withColumn("by_line", read(BY_LINE)).withColumn("wrapped", read(WRAPPED))
+    better = (count("wrapped", True) > count("by_line", True)) | ((count("wrapped", True) == count("by_line", True)) & (count("wrapped", False) < count("by_line", False)))
+    rows = rows.withColumn("hits", F.when(better, F.col("wrapped")).otherwise(F.col("by_line")))
     # ";id=version;" per sentence: a rule is a substring search over whole entries, and what it used becomes "|".
     line = F.concat(F.lit(";"), F.array_join(F.transform("hits", lambda h: F.concat(h["id"], F.lit("="), h["v"])), ";"), F.lit(";"))
     state = F.struct(line.alias("left"), none.alias("found"))
@@ -185,14 +194,17 @@ def _oracle() -> str:
             f"s{k} AS (SELECT doc_id, ids, nk, nu, list_concat(found, list_transform(regexp_extract_all(l, {q(pattern)}, 1), lambda v: replace({q(licence)}, '{{v}}', v))) AS found, regexp_replace(l, {q(pattern)}, ';|;', 'g') AS l FROM {last})"
         )
         last = f"s{k}"
+    said = lambda end: f"CASE WHEN hinted THEN list_filter(string_split(regexp_replace(t, '\\{end}', chr(1), 'g'), chr(1)), lambda s: regexp_matches(lower(s), {q(HINT)})) ELSE []::VARCHAR[] END"
+    normal = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(s), '[\"''“”‘’]', '', 'g'), '\\d+(?:\\.\\d+)*', '<v>', 'g'), '\\s+', ' ', 'g'), '^[\\s*#/;.!?-]+|[\\s*#/;.!?]+$', '', 'g')"
+    hits = lambda c: f"list_transform({c}, lambda s: {{'id': coalesce(m[{normal}], '?'), 'v': regexp_extract(s, '\\d+(?:\\.\\d+)*')}})"
+    num = lambda c, op: f"len(list_filter({c}, lambda x: x.id {op} '?'))"
     return f"""
     WITH known AS (SELECT map([{keys}], [{names}]) AS m),
-    marked AS (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), {q(HINT)}) THEN
-        list_filter(string_split(regexp_replace(regexp_replace(text, '([^\\sv][.!?:])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: regexp_matches(lower(s), {q(HINT)}))
-        ELSE []::VARCHAR[] END AS said FROM documents),
-    hits AS (SELECT doc_id, list_transform(said, lambda s: {{'id': coalesce(m[
-        regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(s), '["''“”‘’]', '', 'g'), '\\d+(?:\\.\\d+)*', '<v>', 'g'), '\\s+', ' ', 'g'), '^[\\s*#/;.!?-]+|[\\s*#/;.!?]+$', '', 'g')], '?'),
-        'v': regexp_extract(s, '\\d+(?:\\.\\d+)*')}}) AS h FROM marked, known),
+    ends AS (SELECT doc_id, regexp_matches(lower(coalesce(text, '')), {q(HINT)}) AS hinted,
+        regexp_replace(regexp_replace(text, '([^\\sv][.!?])\\s+', '\\1' || chr(1), 'g'), '(:)\\s+([\\d*(-])', '\\1' || chr(1) || '\\2', 'g') AS t FROM documents),
+    marked AS (SELECT doc_id, {said("n+")} AS a, {said("n" + chr(92) + "s*" + chr(92) + "n")} AS b FROM ends),
+    read AS (SELECT doc_id, {hits("a")} AS a, {hits("b")} AS b FROM marked, known),
+    hits AS (SELECT doc_id, CASE WHEN {num("b", "<>")} > {num("a", "<>")} OR ({num("b", "<>")} = {num("a", "<>")} AND {num("b", "=")} < {num("a", "=")}) THEN b ELSE a END AS h FROM read),
     s0 AS (SELECT doc_id, list_transform(h, lambda x: x.id) AS ids, len(list_filter(h, lambda x: x.id <> '?')) AS nk, len(list_filter(h, lambda x: x.id = '?')) AS nu,
         []::VARCHAR[] AS found, array_to_string(list_transform(h, lambda x: ';' || x.id || '=' || x.v || ';'), '') AS l FROM hits),
     {", ".join(steps)},

@@ -20,6 +20,7 @@ leave the totals. Columns other than those named are never read.
 from __future__ import annotations
 
 import re
+import time
 import uuid
 
 import public_tokenizers
@@ -77,6 +78,7 @@ class Rollup:
             self._write(work, number, changes)
             if self._commit(work, number, batch):
                 return True
+            time.sleep(2)  # another writer has the number
         return False
 
     def _write(self, work: str, number: int, changes: DataFrame) -> None:
