@@ -85,20 +85,27 @@ def salaries(jobs: DataFrame) -> DataFrame:
     return jobs.filter(known).withColumn("mid", midpoint(F.col("salary_min"), F.col("salary_max")))
 
 
-def percentiles(df: DataFrame, value: str, keys: tuple[str, ...] = (), percents=PERCENTS, least: int = 5) -> DataFrame:
+def percentiles(df: DataFrame, value: str, keys: tuple[str, ...] = (), percents=PERCENTS, least: int = 5, width: float = 256.0) -> DataFrame:
     """Floor nearest-rank percentiles by group, rounded to integers, null below `least` values, and the sample size.
 
-    No group is gathered: equal values are counted first, and a running count over the distinct values
-    finds each rank, so a group's rows never meet in one place.
+    No group is gathered or sorted whole: values are counted, counts are summed into bins of `width`, and a
+    running sum over a group's bins tells which bins hold the ranks; only these few are looked into.
     """
     keys = tuple(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.col(value) / width))
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    run = part.orderBy(value)
-    ranked = counted.withColumn("_to", F.sum("_n").over(run)).withColumn("_all", F.sum("_n").over(part))
-    hit = lambda p: (F.col("_to") >= nearest_rank(F.col("_all"), p)) & (F.col("_to") - F.col("_n") < nearest_rank(F.col("_all"), p))
-    picks = [F.round(F.max(F.when((F.col("_all") >= least) & hit(p), F.col(value))), 0).alias(f"p{p}") for p in percents]
-    return ranked.groupBy(*keys).agg(F.sum("_n").alias("sample_size"), *picks)
+    bins = counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in"))
+    bins = bins.withColumn("_to", F.sum("_in").over(part.orderBy("_bin"))).withColumn("_all", F.sum("_in").over(part)).withColumn("_before", F.col("_to") - F.col("_in"))
+    ranks = [nearest_rank(F.col("_all"), p) for p in percents]
+    bins = bins.filter(reduce(lambda a, b: a | b, [(F.col("_before") < r) & (r <= F.col("_to")) for r in ranks]))
+    renamed = bins.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("_bin").alias("_b"), "_before", "_all")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)], F.col("_bin") == F.col("_b"))
+    inside = counted.join(renamed, same)
+    run = Window.partitionBy(*keys, "_bin").orderBy(value)
+    ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(run))
+    hit = lambda r: (F.col("_upto") >= r) & (F.col("_upto") - F.col("_n") < r)
+    picks = [F.round(F.max(F.when((F.col("_all") >= least) & hit(r), F.col(value))), 0).alias(f"p{p}") for p, r in zip(percents, ranks)]
+    return ranked.groupBy(*keys).agg(F.coalesce(F.max("_all"), F.lit(0)).alias("sample_size"), *picks)
 
 
 def salary_ladder(jobs: DataFrame, week: str, days: tuple[int, ...] = (7, 30, 90), least: int = 5) -> DataFrame:
