@@ -15,7 +15,7 @@ __all__ = ["BATCH_ROWS", "components", "drop_table", "map_batches", "runs_of", "
 
 #: Rows of one Arrow batch between the JVM and Python. Texts are processed whole, so this, times
 #: the length of a long text, bounds what a Python worker holds.
-BATCH_ROWS = 500
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,13 +14,21 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_ODD, _BACK)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+#: Powers that a worker keeps; a longer batch makes its own and lets them go.
+KEPT = 1 << 21
+
+
+def _grown(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (_ODD, _BACK):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps, out=steps))
+    if n <= KEPT:
+        _powers[:] = made
+    return made
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
