@@ -41,3 +41,22 @@ def test_three_signals_equal_brute_force(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.0], 1), (5, [0.99, 0.01], 1), (9, [0.0, 1.0], 1)], "key long, vector array<double>, bucket int")
     tied = {r.id: r.first for r in similarity.three_signals(df, "id", "text", vectors).collect()}
     assert tied[5] == tied[0] == 0
+
+
+def test_vectors_of_unlike_buckets_are_compared(spark):
+    df = spark.createDataFrame([(k, f"text number {k}") for k in (0, 5, 9)], "id long, text string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0], 1), (5, [0.99, 0.01], 2), (9, [0.0, 1.0], 1)], "key long, vector array<double>, bucket int")
+    got = {r.id: r.first for r in similarity.three_signals(df, "id", "text", vectors).collect()}
+    assert got == {0: 0, 5: 0, 9: 9}
+
+
+def test_all_cosine_pairs_equal_brute_force_over_several_blocks(spark):
+    rng = random.Random(3)
+    rows = [(k, [float(rng.randrange(-3, 4)) for _ in range(3)]) for k in range(1200)]
+    size = lambda v: sum(x * x for x in v)
+    want = {(a, b) for a, va in rows for b, vb in rows if a < b and size(va) * size(vb) > 0 and sum(x * y for x, y in zip(va, vb)) / (size(va) * size(vb)) ** 0.5 >= 0.97}
+    odd = [(None, [1.0, 0.0, 0.0]), (1200, None), (1201, [1.0, None, 0.0]), (1202, [1.0, 0.0])]
+    df = spark.createDataFrame(rows + odd, "key long, vector array<double>")
+    got = [(r.a, r.b) for r in similarity.all_cosine_pairs(df, "key", "vector", 0.97).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert similarity.all_cosine_pairs(df.limit(0), "key", "vector", 0.97).collect() == []

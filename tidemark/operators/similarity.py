@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,12 +78,12 @@ def near_links(df: DataFrame, key: str, text: str, least: float = 0.8, bands: in
 
 
 def three_signals(df: DataFrame, key: str, text: str, vectors: DataFrame | None = None, least_cosine: float = 0.95) -> DataFrame:
-    """Every row with the least key of its class: equal hash, near text, or near vector (vectors: key, vector, bucket)."""
+    """Every row with the least key of its class: equal hash, near text, or near vector (vectors: key, vector; all are compared with all)."""
     exact = write_table(exact_groups(df, key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), "exact")
     first = df.join(exact.filter(F.col(key) == F.col("first")).select(key).distinct(), key, "left_semi")
     links = near_links(first, key, text).union(exact.select(F.col("first").alias("a"), F.col(key).alias("b")))
     if vectors is not None:
-        links = links.union(cosine_pairs(vectors, "key", "vector", least_cosine, F.col("bucket")).select("a", "b"))
+        links = links.union(all_cosine_pairs(vectors, "key", "vector", least_cosine).select("a", "b"))
     roots = components(links)
     return df.select(key).join(roots, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("first"))
 
@@ -92,3 +94,50 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, least: float, bucket: Col
     left, right = rows.select("g", F.col("k").alias("a"), F.col("v").alias("va")), rows.select("g", F.col("k").alias("b"), F.col("v").alias("vb"))
     similarity = cosine(F.col("va"), F.col("vb"))
     return left.join(right, (left["g"] == right["g"]) & (F.col("a") < F.col("b")) & (similarity >= least)).select("a", "b", F.round(similarity, 6).alias("similarity"))
+
+
+#: Vectors in a block of all_cosine_pairs.
+BLOCK = 512
+
+
+def all_cosine_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """Pairs (a < b) of any two rows whose cosine is at least `least` > 0: every block of rows is held against every block.
+
+    Keys are longs. A null key, a null vector or element, a vector of zeros, and vectors of unlike lengths have no cosine.
+    Rows are dealt to blocks by number, so that no key or vector makes a large one; the work is that of all pairs.
+    """
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.filter(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    rows = write_table(rows.withColumn("n", F.monotonically_increasing_id()), "vectors")
+    blocks = rows.count() // BLOCK + 1
+    dealt = rows.select(F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("g"), F.size("v").alias("d"), "k", "v").repartition(max(1, blocks // 8), "g")
+    packed = write_table(dealt.groupBy("g", "d").applyInArrow(_pack, "g long, d int, k binary, v binary"), "blocks")
+    left, right = packed.toDF("g", "d", "ka", "va"), packed.toDF("h", "e", "kb", "vb")
+    met = left.join(right.hint("shuffle_replicate_nl"), F.col("g") <= F.col("h")).filter("d = e")
+    found = met.select("g", "h", "d", "ka", "va", "kb", "vb").mapInArrow(_meet(least), "a long, b long, s double")
+    return found.select("a", "b", F.round("s", 6).alias("similarity"))
+
+
+def _pack(block: pa.Table) -> pa.Table:
+    keys = block["k"].to_numpy()
+    vectors = block["v"].combine_chunks().flatten().to_numpy()
+    return pa.table({"g": block["g"][:1], "d": block["d"][:1], "k": pa.array([keys.tobytes()], pa.binary()), "v": pa.array([vectors.tobytes()], pa.binary())})
+
+
+def _meet(least: float):
+    def pairs(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                g, h, d, ka, va, kb, vb = (batch.column(c)[n] for c in range(7))
+                ka, kb = (np.frombuffer(k.as_buffer(), np.int64) for k in (ka, kb))
+                va, vb = (np.frombuffer(v.as_buffer(), np.float64).reshape(len(k), d.as_py()) for v, k in ((va, ka), (vb, kb)))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (va @ vb.T) / np.sqrt(np.outer((va * va).sum(1), (vb * vb).sum(1)))
+                    i, j = np.nonzero(s >= least)
+                a, b, s = ka[i], kb[j], s[i, j]
+                there = a < b if g == h else a != b
+                a, b, s = a[there], b[there], s[there]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], ["a", "b", "s"])
+
+    return pairs

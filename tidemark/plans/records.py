@@ -77,6 +77,11 @@ def near_vectors(spark, sf):
     return similarity.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.3, F.col("label"))
 
 
+def near_vectors_all_labels(spark, sf):
+    """Pairs of any two vectors with cosine 0.3 or more."""
+    return similarity.all_cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.3)
+
+
 def salary_display(spark, sf):
     orders = table(spark, sf, "orders")
     low = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
@@ -218,7 +223,7 @@ def ops_status(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        pii_scrub, injection_scores, threat_entries, risky_terms, draft_review, control_characters, dedup_hashes, exact_copies, posting_classes, near_vectors, salary_display, skill_mentions_in_text, page_links,
+        pii_scrub, injection_scores, threat_entries, risky_terms, draft_review, control_characters, dedup_hashes, exact_copies, posting_classes, near_vectors, near_vectors_all_labels, salary_display, skill_mentions_in_text, page_links,
         events_by_key, seen_store, new_within_ttl, weekly_dedup, upsert_postings, touched, insert_ignored, run_log, rolling_yields, rate_limiter, sessions, cost_alerts, adoption_lag,
         integrity, psi, ops_status,
     )
@@ -253,6 +258,8 @@ ORACLES = {
     "exact_copies": "SELECT * FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE first < doc_id",
     "near_vectors": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
         SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.3""",
+    "near_vectors_all_labels": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+        SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.3""",
     "salary_display": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS low, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice + 1000 END AS high FROM orders),
         f AS (SELECT *, '£' || format('{:,}', floor(low)::BIGINT) AS a, '£' || format('{:,}', floor(high)::BIGINT) AS b FROM o)
         SELECT o_orderkey, CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN a || '–' || b WHEN low IS NOT NULL THEN 'From ' || a WHEN high IS NOT NULL THEN 'Up to ' || b ELSE 'Not disclosed' END AS display,
