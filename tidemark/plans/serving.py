@@ -73,6 +73,11 @@ def newest_of_role(spark, sf):
     return newest_sample(jobs(spark, sf).filter(F.col("scraped_at") >= m.ts("2001-07-20")), "data_scientist").select("job_id", "scraped_at")
 
 
+def newest_of_role_all_dates(spark, sf):
+    """The sample over the whole table."""
+    return newest_sample(jobs(spark, sf), "data_scientist").select("job_id", "scraped_at")
+
+
 _HAVE = ("Brand#3", "BRAND#14", "brand#25", "brand#7")
 
 
@@ -116,7 +121,7 @@ def latest_snapshot(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (jobs_page, top_skills_per_job, unenriched_jobs, implied_skills, pipeline_health, newest_of_role, skill_gaps, match_score, sector_fit, sector_fit_contained, market_match, latest_snapshot)
+    for f in (jobs_page, top_skills_per_job, unenriched_jobs, implied_skills, pipeline_health, newest_of_role, newest_of_role_all_dates, skill_gaps, match_score, sector_fit, sector_fit_contained, market_match, latest_snapshot)
 }
 
 
@@ -147,6 +152,9 @@ ORACLES = {
     "newest_of_role": _with(""", f AS (SELECT * FROM jobs WHERE scraped_at >= TIMESTAMP '2001-07-20'), a AS (SELECT job_id, scraped_at FROM f WHERE role_category = 'data_scientist' ORDER BY scraped_at DESC, job_id LIMIT 300),
         b AS (SELECT job_id, scraped_at FROM f ORDER BY scraped_at DESC, job_id LIMIT 200)
         SELECT * FROM a WHERE (SELECT count(*) FROM a) >= 20 UNION ALL SELECT * FROM b WHERE (SELECT count(*) FROM a) < 20"""),
+    "newest_of_role_all_dates": _with(""", a AS (SELECT job_id, scraped_at FROM jobs WHERE role_category = 'data_scientist' ORDER BY scraped_at DESC, job_id LIMIT 300),
+        b AS (SELECT job_id, scraped_at FROM jobs ORDER BY scraped_at DESC, job_id LIMIT 200)
+        SELECT * FROM a WHERE (SELECT count(*) FROM a) >= 20 UNION ALL SELECT * FROM b WHERE (SELECT count(*) FROM a) < 20"""),
     "skill_gaps": _with(f""", r AS (SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE scraped_at >= TIMESTAMP '2001-01-01' GROUP BY 1 ORDER BY mentions DESC, skill LIMIT 20),
         g AS (SELECT * FROM r WHERE skill NOT IN ({_HAVE_SQL}) ORDER BY mentions DESC, skill LIMIT 8)
         SELECT *, row_number() OVER (ORDER BY mentions DESC, skill)::INT AS priority, CASE WHEN mentions > 250 THEN 'high' ELSE 'medium' END AS importance FROM g"""),
