@@ -1,6 +1,7 @@
 import random
 
 from tidemark.operators import similarity
+from tidemark.plans import records
 
 
 def brute(rows, least=0.8):
@@ -60,3 +61,11 @@ def test_all_cosine_pairs_equal_brute_force_over_several_blocks(spark):
     got = [(r.a, r.b) for r in similarity.all_cosine_pairs(df, "key", "vector", 0.97).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert similarity.all_cosine_pairs(df.limit(0), "key", "vector", 0.97).collect() == []
+
+
+def test_turns_of_a_long_conversation_keep_their_own_classes(spark):
+    text = lambda k: " ".join(f"w{k}x{n}" for n in range(12))
+    rows = [(1, n, text(n)) for n in range(1100)] + [(2, 0, text(7)), (2, 1, text(2000)), (10, 0, text(1000)), (10, 1, None)]
+    got = {r.id: r.first for r in records.turn_classes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert len(got) == len(rows)
+    assert {k: v for k, v in got.items() if k != v} == {"2:0": "1:7", "10:0": "1:1000"}

@@ -10,6 +10,7 @@ from tidemark.functions import text as t
 from tidemark.operators import quality, similarity, stores
 from tidemark.sources.landed import links
 from tidemark.sources.tables import table
+from tidemark.tables import write_table
 
 
 #: Longer turns count as rejected input.
@@ -67,9 +68,17 @@ def exact_copies(spark, sf):
 
 
 def posting_classes(spark, sf):
-    """X7 over conversations' texts: each turn with the least turn of its class."""
-    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return similarity.three_signals(turns, "id", "text")
+    """X7 over conversations' texts: each turn with the least turn of its class, both as conv_id:turn."""
+    return turn_classes(table(spark, sf, "conversations"))
+
+
+def turn_classes(turns):
+    """Turns are numbered in order of (conv_id, turn), so that no two share a number however long a conversation is."""
+    ordered = turns.select("conv_id", "turn", "text").orderBy("conv_id", "turn", "text")
+    numbered = write_table(ordered.withColumn("n", F.monotonically_increasing_id()), "turns")
+    names = numbered.select("n", F.concat_ws(":", "conv_id", "turn").alias("id"))
+    found = similarity.three_signals(numbered, "n", "text").join(names, "n")
+    return found.join(names.toDF("first", "name"), "first").select("id", F.col("name").alias("first"))
 
 
 def near_vectors(spark, sf):
