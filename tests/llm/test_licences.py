@@ -41,3 +41,19 @@ def test_nulls_empty_long(spark):
     got = scan(spark, [(1, None), (2, ""), (None, "Released under the MIT License."), (4, long)])
     assert got[1].status == got[2].status == "none" and got[None].licences == ["MIT"] and got[4].n_unknown + got[4].n_licence_sentences == 1
     assert scan(spark, []) == {}
+
+
+def test_every_sentence_is_found_wrapped_at_each_blank(spark):
+    rows, want = [], []
+    for name, sentence in S.items():
+        words = (sentence.replace("<v>", "2.1").capitalize() + ("" if sentence.endswith(":") else ".")).split(" ")
+        for n in range(1, len(words)):
+            if words[n - 1].endswith(":"):
+                continue
+            for gap in ("\n", "\t", "  "):
+                rows.append((len(rows), " ".join(words[:n]) + gap + " ".join(words[n:])))
+                want.append([name])
+    rows.append((len(rows), 'This work is in the "public" domain.'))
+    want.append(["publicDomain"])
+    got = scan(spark, rows)
+    assert [(rows[k][1], got[k].sentence_ids) for k in range(len(rows)) if got[k].sentence_ids != want[k]] == []

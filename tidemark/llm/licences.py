@@ -109,6 +109,8 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 
 #: A sentence can be known, or suspected, only if it holds one of these; every entry of SENTENCES does.
 HINT = r"licen[cs]e|copyright|warrant|redistribut|permission|public domain|all rights reserved|copy of the gnu|copies of the software"
+#: The same words as they stand in a raw text, where a line's end, more blanks or a quote may part the words of a phrase.
+RAW_HINT = HINT.replace(" ", r"[\"'“”‘’]*\s[\s\"'“”‘’]*")
 #: Sentence ends: a full stop, exclamation or question mark before a blank (a stop after a lone v, as in "v. 2.0", ends
 #: nothing), a colon before a list, and either every line's end or only an empty line: notices come one to a line and wrapped.
 _ENDS = r"(?<=[^\sv][.!?])\s+|(?<=:)\s+(?=[\d*(-])|"
@@ -129,11 +131,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
     # The cheap test on the whole text spares most documents the cutting; it drops no sentence that could be known.
-    hinted = F.col("body").rlike(f"(?i){HINT}")
+    hinted = F.col("body").rlike(f"(?i){RAW_HINT}")
     none = F.array().cast("array<string>")
 
     def read(ends: str) -> Column:
-        cut = F.filter(F.split(F.col("body"), ends), lambda s: F.lower(s).rlike(HINT))
+        cut = F.filter(F.split(F.col("body"), ends), lambda s: F.lower(s).rlike(RAW_HINT))
         said = F.when(hinted, cut).otherwise(none)
         return F.transform(said, lambda s: F.struct(F.coalesce(known[_normal(s)], F.lit("?")).alias("id"), F.regexp_extract(s, VERSION, 0).alias("v")))
 
