@@ -57,3 +57,18 @@ def test_every_sentence_is_found_wrapped_at_each_blank(spark):
     want.append(["publicDomain"])
     got = scan(spark, rows)
     assert [(rows[k][1], got[k].sentence_ids) for k in range(len(rows)) if got[k].sentence_ids != want[k]] == []
+
+
+def test_wrapped_and_line_by_line_notices_in_one_document(spark):
+    gpl = "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License version 2\nas published by the Free Software Foundation"
+    rows = [
+        (1, gpl + ".\n\nReleased under the MIT License\nData Team"),
+        (2, "Released under the MIT License\nLicensed under CC BY 4.0\n" + gpl + "\nData Team"),
+        (3, gpl + "\nReleased under the MIT License\n\nof no licence\nat all"),
+        (4, "Words\nReleased under the\nMIT License\nits own licence\nAll rights\nreserved"),
+    ]
+    got = scan(spark, rows)
+    assert got[1].licences == ["GPL-2-only", "MIT"] and (got[1].sentence_ids, got[1].n_unknown) == (["gplOnly", "mitReleased"], 0)
+    assert got[2].sentence_ids == ["mitReleased", "ccBy", "gplOnly"] and got[2].licences == ["CC-BY-4.0", "GPL-2-only", "MIT"]
+    assert got[3].sentence_ids == ["gplOnly", "mitReleased", "?"]
+    assert got[4].sentence_ids == ["mitReleased", "?", "reserved"]

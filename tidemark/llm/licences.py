@@ -1,8 +1,9 @@
 """Licence scans by sentence rules (native: DataFrame functions only).
 
-A text is cut into sentences (once with every line's end as an end, once with lines joined; the reading
-that knows more sentences, then leaves fewer unknown, then the first, holds), each sentence is normalised
-and looked up among known licence sentences, and the sequence of identifiers found is matched, rule by rule in a fixed order, against
+A text is cut into sentences, lines joined; each is normalised and looked up among known licence sentences. In one
+that is not known as a whole, every line may end a sentence: from each line on, the longest run of lines that is
+known counts, and each other line with a licence word is unknown (where no run is known, the sentence is, once).
+The sequence of identifiers found is matched, rule by rule in a fixed order, against
 rules that name a licence. A rule that matches consumes its sentences, so a general rule never
 claims what a specific one has used. All of it is row-local: no shuffle, no broadcast, no Python,
 and no row or sentence is held beyond its own document.
@@ -134,15 +135,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     hinted = F.col("body").rlike(f"(?i){RAW_HINT}")
     none = F.array().cast("array<string>")
 
-    def read(ends: str) -> Column:
-        cut = F.filter(F.split(F.col("body"), ends), lambda s: F.lower(s).rlike(RAW_HINT))
-        said = F.when(hinted, cut).otherwise(none)
-        return F.transform(said, lambda s: F.struct(F.coalesce(known[_normal(s)], F.lit("?")).alias("id"), F.regexp_extract(s, VERSION, 0).alias("v")))
-
-    count = lambda c, there: F.size(F.filter(c, lambda h: (h["id"] != "?") == F.lit(there)))
-    rows = rows.withColumn("by_line", read(BY_LINE)).withColumn("wrapped", read(WRAPPED))
-    better = (count("wrapped", True) > count("by_line", True)) | ((count("wrapped", True) == count("by_line", True)) & (count("wrapped", False) < count("by_line", False)))
-    rows = rows.withColumn("hits", F.when(better, F.col("wrapped")).otherwise(F.col("by_line")))
+    said = F.when(hinted, F.filter(F.split(F.col("body"), WRAPPED), lambda s: F.lower(s).rlike(RAW_HINT))).otherwise(none)
+    rows = rows.withColumn("hits", F.flatten(F.transform(said, lambda s: _hits(s, known))))
     # ";id=version;" per sentence: a rule is a substring search over whole entries, and what it used becomes "|".
     line = F.concat(F.lit(";"), F.array_join(F.transform("hits", lambda h: F.concat(h["id"], F.lit("="), h["v"])), ";"), F.lit(";"))
     state = F.struct(line.alias("left"), none.alias("found"))
@@ -163,6 +157,50 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
+#: No known sentence has more words, so none stands on more lines.
+LONGEST = max(len(s.split()) for s in SENTENCES.values())
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _hit(name: Column, sentence: Column) -> Column:
+    return F.struct(name.alias("id"), F.regexp_extract(sentence, VERSION, 0).alias("v"))
+
+
+def _hits(sentence: Column, known: Column) -> Column:
+    """The identifiers, with versions, of a sentence with licence words, in order of position."""
+    lines = F.filter(F.split(sentence, r"\n+"), lambda s: F.regexp_replace(s, r"[\s\"'“”‘’]+", "") != "")
+    begun = F.array(*[F.lit(s) for s in SENTENCES.values()])
+
+    def within(ls: Column) -> Column:
+        def run(i: Column) -> Column:
+            """The longest known run of lines from line i on: its identifier, text and length, or null."""
+            runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size(ls) - i)), lambda n: F.array_join(F.slice(ls, i + 1, n), "\n"))
+            named = F.transform(runs, lambda s, n: F.struct(known[_normal(s)].alias("id"), s.alias("s"), (n + 1).alias("n")))
+            return F.element_at(F.reverse(F.filter(named, lambda r: r["id"].isNotNull())), 1)
+
+        def at(state: Column, i: Column) -> Column:
+            """Lines below "upto" are used; a line that begins no known sentence is not tried."""
+            line = F.element_at(ls, i + 1)
+            starts = _let(_normal(line), lambda s: (s != "") & F.exists(begun, lambda k: k.startswith(s)))
+            lone = F.when(F.lower(line).rlike(RAW_HINT), F.array(_hit(F.lit("?"), line))).otherwise(empty)
+            tried = lambda r: F.when(r.isNull(), F.struct((i + 1).alias("upto"), F.concat(state["hits"], lone).alias("hits"))).otherwise(
+                F.struct((i + r["n"]).alias("upto"), F.concat(state["hits"], F.array(_hit(r["id"], r["s"]))).alias("hits"))
+            )
+            return F.when(i < state["upto"], state).when(starts, _let(run(i), tried)).otherwise(F.struct((i + 1).alias("upto"), F.concat(state["hits"], lone).alias("hits")))
+
+        empty = F.array().cast("array<struct<id:string,v:string>>")
+        begin = F.struct(F.lit(0).alias("upto"), empty.alias("hits"))
+        found = F.aggregate(F.sequence(F.lit(0), F.size(ls) - 1), begin, at, lambda s: s["hits"])
+        unknown = F.array(_hit(F.lit("?"), sentence))
+        return F.when(F.size(ls) < 2, unknown).otherwise(_let(found, lambda f: F.when(F.exists(f, lambda h: h["id"] != "?"), f).otherwise(unknown)))
+
+    return _let(known[_normal(sentence)], lambda name: F.when(name.isNotNull(), F.array(_hit(name, sentence))).otherwise(_let(lines, within)))
+
+
 def _step(state: Column, pattern: str, licence: str) -> Column:
     """Apply one rule: note the licence for each match and consume the sentences matched."""
     # A lambda's argument is a bound variable: evaluated once, where a nested expression would be copied per use.
