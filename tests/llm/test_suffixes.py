@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import suffixes
+from tidemark.llm.common import table
 
 
 def brute(rows, n):
@@ -23,7 +25,7 @@ def brute(rows, n):
 
 def got(spark, rows, **more):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = suffixes.remove_repeats(df, **({"filter_bits": 16} | more)).collect()
+    out = suffixes.remove_repeats(df, **more).collect()
     return {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out}
 
 
@@ -54,15 +56,41 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_equals_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,block,several", [(1000, 1 << 20, 8000), (3, 1 << 20, 8000), (1000, 3000, 5), (3, 3000, 1)])
+def test_equals_brute_force(spark, hot, block, several):
     rows = corpus(hot)
-    assert got(spark, rows, hot=hot) == brute([(k, t.encode()) for k, t in rows], 100)
+    assert got(spark, rows, hot=hot, block_bytes=block, sorted_=several) == brute([(k, t.encode()) for k, t in rows], 100)
 
 
-def test_saturated_filter_is_still_exact(spark):
-    rows = corpus(5, 60)
-    assert got(spark, rows, filter_bits=8, hot=5) == brute([(k, t.encode()) for k, t in rows], 100)
+def test_the_query_equals_brute_force(spark, sf_dir):
+    texts = [(r.doc_id, (r.text or "").encode()) for r in table(spark, sf_dir, "documents").collect()]
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op10_suffix_dedup(spark, sf_dir).collect()}
+    assert out == brute(texts, 100) and sum(r[1] for r in out.values()) > 0
+
+
+def test_highly_repetitive_texts(spark):
+    """Versions of one text, each with a few edits of the last: nearly all of it repeats."""
+    rng = random.Random(9)
+    now, rows = "".join(rng.choice("acgt") for _ in range(3000)), []
+    for k in range(25):
+        rows.append((k, now))
+        for _ in range(2):
+            at = rng.randrange(len(now))
+            now = now[:at] + rng.choice(["", "a", "ct", now[at : at + 150]]) + now[at + rng.randint(0, 3) :]
+    want = brute([(k, t.encode()) for k, t in rows], 100)
+    assert got(spark, rows) == want == got(spark, rows, hot=2, sorted_=50)
+    assert sum(r[1] for r in want.values()) > 0.7 * sum(r[0] for r in want.values())
+
+
+@pytest.mark.parametrize("width", [3, 8, 20, 100])
+def test_suffix_ranks_order_by_letters(width):
+    rng = random.Random(width)
+    data = bytes(rng.choice(b"ab\x00\xff") for _ in range(400)) + b"ab" * 200
+    at = np.array(sorted(rng.sample(range(len(data) - width), 300)))
+    rank = suffixes.suffix_ranks(np.frombuffer(data, np.uint8), width, at)
+    words = [data[i : i + width] for i in at]
+    order = {w: n for n, w in enumerate(sorted(set(words)))}
+    assert rank.tolist() == [order[w] for w in words]
 
 
 def test_long_texts_cross_blocks(spark):
@@ -78,14 +106,14 @@ def test_nulls_empty_and_clashing_columns(spark):
     found = got(spark, rows)
     assert found == brute([(k, (t or "").encode()) for k, t in rows], 100)
     wide = spark.createDataFrame([(1, "a", 2, b"k", 3)], "doc_id long, text string, row long, body binary, key int")
-    assert suffixes.remove_repeats(wide, filter_bits=16).collect()[0].kept == b"a"
+    assert suffixes.remove_repeats(wide).collect()[0].kept == b"a"
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert suffixes.remove_repeats(none, filter_bits=16).collect() == []
+    assert suffixes.remove_repeats(none).collect() == []
 
 
 def test_rows_of_one_key_do_not_repeat_each_other(spark):
     body = "".join(chr(97 + i * 7 % 26) for i in range(300)) + "q" * 3
     df = spark.createDataFrame([(1, body), (1, body), (2, body)], "doc_id long, text string")
-    out = suffixes.remove_repeats(df, filter_bits=16).collect()
+    out = suffixes.remove_repeats(df).collect()
     kept = sorted(r.n_bytes - len(r.kept) for r in out)
     assert kept[-1] == len(body) and kept[0] == kept[1]

@@ -1,26 +1,29 @@
 """Exact removal of repeated byte strings by prefix-free parsing.
 
 Removed is every byte covered by a `min_bytes`-byte string that also starts earlier in the corpus
-(smaller key, or same row and earlier start). Rolling-hash triggers (phrases.py) cut each text into
-phrases that hold each such string exactly once, so the corpus is a dictionary of distinct phrases
-and a parse over it, and whether a string was seen before is a question about the dictionary:
-
-1. Triggers are counted over all rows. Phrases whose trigger occurs once hold no repeated string.
-   The rest is marked in a filter of fixed size; a false mark costs time, never a wrong result.
-2. The marked phrases form the dictionary, each with the first row that holds it. Tasks fold copies
-   before the shuffle, so a phrase held by a third of all rows moves once a task.
-3. Per trigger, the dictionary's suffixes, cut at `min_bytes` (longer order decides nothing here), are
-   sorted with the corpus order behind them; the first of each run of equal suffixes is kept, all
-   others are repeats. A trigger above `hot` occurrences is dealt out suffix by suffix instead, so no
-   group of more than `hot` phrases meets in one task.
-4. Each row gets back the first occurrences it holds; every marked suffix it holds otherwise goes.
-
-The suffix order is by 64-bit hash within a trigger's 64-bit hash, not by letters: equality is all
-that the removal asks of it.
+(smaller key, or same row and earlier start). That asks for the order of the corpus's suffixes to
+`min_bytes` letters: suffixes equal to that depth stand in one run, the first place of a run stays.
+
+1. Rolling-hash triggers (phrases.py) cut each text into phrases that hold each such string exactly
+   once, so the corpus is a dictionary of distinct phrases and a parse, the places where they occur.
+2. Texts are dealt to blocks of about `BLOCK_BYTES`. A block names each trigger it holds once, with its
+   count; triggers that occur once in the corpus hold no repeat, and each block is told the others.
+3. Blocks send their distinct phrases of those triggers on, each with its first place, dealt by trigger:
+   equal strings have equal triggers, so all that has to be compared meets. A group of copies costs a
+   phrase a block. A trigger of more than `hot` occurrences would meet in one task; its phrases are cut
+   to single strings first, dealt by their own hash, so a string costs a row a block however common.
+4. There the suffix array of the dictionary is made by letters (ranks of 8, 24, 72 and 100 letters, each
+   from those before), the parse is sorted by phrase and place, and both combine into the corpus order:
+   by dictionary rank, then by place. The first place of each run of equal strings is a fact.
+5. Each block gets its facts back, and each string of a repeated trigger that is no fact goes.
+
+Only triggers are hashes, and they only deal out work: strings are compared by their bytes. Nothing
+is collected or broadcast; texts are shuffled once (the three steps over blocks share the exchange).
 
 Defined results: a null text is empty; texts shorter than `min_bytes` stay whole; rows with an equal
 key are at one place in the corpus order, so none of them repeats another; a null key comes first.
-Other columns are never read. Memory: one batch of texts, the filter, and `hot` phrases a worker.
+Other columns are never read. Memory: a block of texts (or its longest text), and a few thousand
+phrases a worker.
 """
 
 from __future__ import annotations
@@ -32,271 +35,331 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import phrases
-from tidemark.llm.common import map_batches, table
+from tidemark.llm.common import BATCH_ROWS, table
 
 MIN_BYTES = 100
-#: Bits of the filter of repeated triggers (32 MB). At n repeated triggers, about (2n / bits) ** 2 of
-#: the others are marked needlessly; raise it with the corpus.
-FILTER_BITS = 28
-HOT_BITS = 22
+BLOCK_BYTES = 8 << 20
+#: Occurrences from which on a trigger's phrases are cut to single strings, so that they meet in many tasks.
 HOT = 1000
-#: Phrases that a task holds to fold copies before it sends them on.
-FOLD = 60_000
+#: Phrases whose suffixes are sorted at once; whole triggers, so a few more at most.
+SORTED = 8_000
 NULL_KEY = -(2**63)
 _U = np.uint64
+DICTIONARY = "trigger long, bytes binary, row long, tie long, block long, place long"
+FACTS = "block long, row long, tie long, place long, bits binary, marks binary"
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
-    return [b"" if v is None else v for v in batch.column(column).cast(pa.binary()).to_pylist()]
+def _texts(column: pa.ChunkedArray) -> list[bytes]:
+    return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
-def _marked(bits: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
-    low = _U((1 << width) - 1)
-    out = np.ones(len(h), bool)
-    for at in (h & low, (h >> _U(28)) & low):
-        out &= (bits[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
-    return out
+def _one(table_: pa.Table, column: str) -> int:
+    return table_.column(column)[0].as_py()
 
 
-def _filters(docs: DataFrame, min_bytes: int, hot: int, filter_bits: int):
-    """Filters of the triggers that occur more than once and more than `hot` times, as numpy words."""
+def _count(min_bytes: int):
+    """Of a block: its distinct triggers with their counts."""
 
-    def count(batch):
-        seen = [h for *_, h in phrases.parse(_texts(batch, 0), min_bytes)]
-        if not seen:
-            return None
-        h, n = np.unique(np.concatenate(seen), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+    def run(rows: pa.Table) -> pa.Table:
+        seen = [h for *_, h in phrases.parse(_texts(rows.column("body")), min_bytes)]
+        h, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return pa.table({"h": h.view(np.int64), "n": n.astype(np.int64), "block": np.full(len(h), _one(rows, "block"), np.int64)})
 
-    counts = map_batches(docs.select("body"), count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    place = lambda shift, width: F.shiftrightunsigned("h", shift).bitwiseAND(F.lit((1 << width) - 1))
-    start = 1 << filter_bits
-    found = counts.select(
-        F.explode(
-            F.when(F.col("n") > hot, F.array(place(0, filter_bits), place(28, filter_bits), place(0, HOT_BITS) + start, place(28, HOT_BITS) + start)).otherwise(
-                F.array(place(0, filter_bits), place(28, filter_bits))
-            )
-        ).alias("bit")
-    )
-    words = found.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).toArrow()
-    bits = np.zeros(((1 << filter_bits) + (1 << HOT_BITS)) // 64, np.uint64)
-    bits[words["word"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
-    return bits[: start // 64], bits[start // 64 :]
-
-
-def _window_key(h: int, window: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(window, seed=h & 0xFFFFFFFFFFFFFFFF)
+    return run
 
 
-_signed = lambda x: x - 2**64 if x >= 2**63 else x
+def _repeated(hot: int):
+    """Of triggers in order: those that occur more than once, for each block that holds them, and whether they are hot."""
 
-
-def _dictionary(docs: DataFrame, filters, min_bytes: int) -> DataFrame:
-    """Marked phrases: key (their trigger, or a suffix of a hot one), id, first row of this task, bytes (null: a suffix)."""
+    def told(h, n, block):
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        total = np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(h))))
+        on = total > 1
+        return pa.RecordBatch.from_arrays([pa.array(block[on]), pa.array(h[on]), pa.array(total[on] > hot)], ["block", "h", "hot"])
 
     def run(batches):
-        repeated, many = filters.value
-        held: dict = {}
-
-        def flush():
-            rows = list(held.values())
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
-                ["trigger", "id", "row", "bytes"],
-            )
-
-        def keep(trigger, ident, row, body):
-            old = held.get((trigger, ident))
-            if old is None:
-                held[trigger, ident] = [trigger, ident, row, body]
-            elif row < old[2]:
-                old[2] = row
-
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = batch.column(0).to_pylist()
-            for data, number, _, i0, i1, h in phrases.parse(_texts(batch, 1), min_bytes):
-                on = np.flatnonzero(_marked(repeated, h, repeated.size.bit_length() + 5))
-                hot = _marked(many, h[on], HOT_BITS)
-                for k, a, b, trigger, spread in zip(number[on].tolist(), i0[on].tolist(), i1[on].tolist(), h[on].view(np.int64).tolist(), hot.tolist()):
+            held = [np.concatenate((a, batch.column(c).to_numpy())) for a, c in zip(held, ("h", "n", "block"))]
+            cut = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last trigger may go on
+            if cut:
+                yield told(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield told(*held)
+
+    return run
+
+
+def _lookup(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of h in the sorted array `known`, -1 where it is not there."""
+    if not len(known):
+        return np.full(len(h), -1)
+    at = np.searchsorted(known, h).clip(max=len(known) - 1)
+    return np.where(known[at] == h, at, -1)
+
+
+def _dictionary(min_bytes: int):
+    """Of a block and its repeated triggers: its distinct phrases with their first places, and the triggers themselves for the block's last step."""
+
+    def run(rows: pa.Table, marks: pa.Table) -> pa.Table:
+        columns: list = [[] for _ in range(6)]
+        if rows.num_rows and marks.num_rows:
+            block = _one(rows, "block")
+            h = marks.column("h").to_numpy()
+            order = np.argsort(h)
+            known, hot = h[order], marks.column("hot").to_numpy()[order]
+            row, tie = rows.column("row").to_pylist(), rows.column("tie").to_pylist()
+            held: dict = {}
+
+            def keep(trigger, body, k, place):
+                old = held.get(body)
+                if old is None or row[k] < old[0][1]:
+                    held[body] = [(trigger, row[k], tie[k], place)]
+                elif row[k] == old[0][1] and all(tie[k] != o[2] for o in old):
+                    old.append((trigger, row[k], tie[k], place))
+
+            for data, number, shift, i0, i1, t in phrases.parse(_texts(rows.column("body")), min_bytes):
+                t = t.view(np.int64)
+                at = _lookup(known, t)
+                on = np.flatnonzero(at >= 0)
+                for k, a, b, off, trigger, spread in zip(number[on].tolist(), i0[on].tolist(), i1[on].tolist(), shift[on].tolist(), t[on].tolist(), hot[at[on]].tolist()):
                     if spread:
                         for i in range(a, b + 1):
-                            w = _signed(_window_key(trigger, data[i : i + min_bytes]))
-                            keep(w, w, rows[k], None)
+                            body = data[i : i + min_bytes]
+                            keep(None, body, k, i + off)
                     else:
-                        body = data[a : b + min_bytes]
-                        keep(trigger, _signed(xxhash.xxh3_64_intdigest(body)), rows[k], body)
-                if len(held) >= FOLD:
-                    yield flush()
-        if held:
-            yield flush()
-
-    return docs.select("row", "body").mapInArrow(run, "trigger long, id long, row long, bytes binary")
-
-
-def _first(rows: np.ndarray, triggers: np.ndarray, ids: np.ndarray, bodies: list, min_bytes: int):
-    """Of whole groups of one trigger each: (row, id, packed bits of the suffixes first met in row; null: all)."""
-    order = np.lexsort((rows, ids, triggers))
-    t, i = triggers[order], ids[order]
-    lead = np.ones(len(order), bool)
-    lead[1:] = (t[1:] != t[:-1]) | (i[1:] != i[:-1])
-    one = order[lead]  # each distinct phrase with its first row
-    t = triggers[one]
-    alone = np.ones(len(one), bool)
-    same = t[1:] == t[:-1]
-    alone[1:] &= ~same
-    alone[:-1] &= ~same
-    whole = one[alone]
-    out_row, out_id, out_bits = [rows[whole]], [ids[whole]], [None] * len(whole)
-    rest = one[~alone]
+                        keep(trigger, data[a : b + min_bytes], k, a + off)
+            for body, places in held.items():
+                for trigger, r, t, place in places:
+                    if trigger is None:
+                        trigger = xxhash.xxh3_64_intdigest(body) - 2**63
+                    for column, v in zip(columns, (trigger, body, r, t, block, place)):
+                        column.append(v)
+            # The block's triggers travel with it: a row without a place, dealt by its own hash.
+            flagged = np.concatenate((known.view(np.uint8), np.packbits(hot))).tobytes()
+            for column, v in zip(columns, (xxhash.xxh3_64_intdigest(flagged) - 2**63, flagged, len(known), 0, block, -1)):
+                column.append(v)
+        kinds = [pa.binary() if k == 1 else pa.int64() for k in range(6)]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["trigger", "bytes", "row", "tie", "block", "place"])
+
+    return run
+
+
+def suffix_ranks(data: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """Rank by letters of the `width`-letter strings that start at `at`, equal strings alike: the suffix array of
+    `data` to this depth. Each round puts ranks of known depth side by side, so it compares letters, never hashes."""
+
+    def ranks(keys: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys)
+        new = np.zeros(len(keys), np.uint64)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        out = np.empty(len(keys), np.uint64)
+        out[order] = np.cumsum(new, dtype=np.uint64)
+        return out
+
+    padded = np.concatenate((data, np.zeros(width + 8, np.uint8)))
+    n = len(data)
+    word = np.zeros(n, np.uint64)
+    depth = min(8, width)
+    for k in range(depth):
+        word = (word << _U(8)) | padded[k : n + k]
+    rank = ranks(word)
+    while depth < width:
+        bits = int(rank.max(initial=0)).bit_length() or 1
+        parts = min(3, 63 // bits)
+        if parts < 2:
+            raise ValueError("too many phrases are sorted at once")
+        reach = min(width, parts * depth)
+        last = reach == width
+        start = at if last else np.arange(n)
+        tail = np.concatenate((rank, np.zeros(width, np.uint64)))
+        key = tail[start]
+        offsets = [min(p * depth, reach - depth) for p in range(1, -(-reach // depth))]  # the last may overlap the one before
+        for o in offsets:
+            key = (key << _U(bits)) | tail[start + o]
+        rank, depth = ranks(key), reach
+        if last:
+            return rank
+    return ranks(rank[at])
+
+
+def corpus_order(bodies: list[bytes], triggers: np.ndarray, row: np.ndarray, tie: np.ndarray, place: np.ndarray, min_bytes: int):
+    """Of whole triggers' phrase places: their numbers and the packed bits of the strings first met there (None: all).
+
+    The dictionary's suffix array and the parse, sorted by phrase and place, combine into the order of the
+    places' strings; a string's first places are those of its least row, one for each of that row's texts.
+    """
+    codes: dict = {}
+    phrase = np.array([codes.setdefault(b, len(codes)) for b in bodies])
+    parse = np.lexsort((place, tie, row, phrase))
+    p, r, t = phrase[parse], row[parse], tie[parse]
+    lead = np.append(True, p[1:] != p[:-1])
+    least = r[lead][np.cumsum(lead) - 1]
+    again = np.append(False, (p[1:] == p[:-1]) & (r[1:] == r[:-1]) & (t[1:] == t[:-1]))
+    parse = parse[(r == least) & ~again]  # later places of a phrase hold no first string
+    # A trigger with one phrase has no other string to be equal to.
+    own = np.empty(len(codes), np.int64)
+    own[phrase] = triggers
+    _, group, many = np.unique(own, return_inverse=True, return_counts=True)
+    alone = many[group] == 1
+    whole = parse[alone[phrase[parse]]]
+    numbers, bits = whole.tolist(), [None] * len(whole)
+    rest = parse[~alone[phrase[parse]]]
     if len(rest):
-        size = np.array([len(bodies[k]) for k in rest])
-        data = np.frombuffer(b"".join(bodies[k] for k in rest), np.uint8)
-        start = np.concatenate(([0], np.cumsum(size)[:-1]))
-        number = size - min_bytes + 1
-        first = np.concatenate(([0], np.cumsum(number)[:-1]))
-        owner = np.repeat(np.arange(len(rest)), number)
-        at = np.arange(number.sum()) - np.repeat(first, number) + np.repeat(start, number)
-        w = phrases.rolling(data, min_bytes)[at]
-        own_row, own_trigger = rows[rest][owner], triggers[rest][owner]
-        order = np.lexsort((own_row, w, own_trigger))
-        a, b = own_trigger[order], w[order]
-        lead = np.ones(len(order), bool)
-        lead[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        least = own_row[order][np.flatnonzero(lead)][np.cumsum(lead) - 1]
-        mine = np.empty(len(order), bool)
-        mine[order] = own_row[order] == least
-        for k, (f, n) in enumerate(zip(first.tolist(), number.tolist())):
-            part = mine[f : f + n]
-            if part.all():
-                out_bits.append(None)
-            elif part.any():
-                out_bits.append(np.packbits(part).tobytes())
-            else:
-                continue
-            out_row.append(rows[rest[k] : rest[k] + 1])
-            out_id.append(ids[rest[k] : rest[k] + 1])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_row)), pa.array(np.concatenate(out_id)), pa.array(out_bits, pa.binary())], ["row", "id", "bits"])
-
-
-def _resolve(dictionary: DataFrame, min_bytes: int) -> DataFrame:
-    """First occurrences by row; groups of one trigger come whole, sorted, to one task."""
+        distinct = list(codes)
+        used = np.flatnonzero(~alone)
+        size = np.array([len(distinct[k]) for k in used])
+        data = np.frombuffer(b"".join(distinct[k] for k in used), np.uint8)
+        start = np.cumsum(size) - size
+        strings = size - min_bytes + 1
+        first = np.cumsum(strings) - strings
+        at = np.repeat(start - first, strings) + np.arange(strings.sum())
+        rank = suffix_ranks(data, min_bytes, at)
+        slot = np.zeros(len(codes), np.int64)
+        slot[used] = np.arange(len(used))
+        mine = slot[phrase[rest]]
+        each = strings[mine]
+        begin = np.cumsum(each) - each
+        inside = np.arange(each.sum()) - np.repeat(begin, each)
+        string = rank[np.repeat(first[mine], each) + inside]
+        r, t = np.repeat(row[rest], each), np.repeat(tie[rest], each)
+        where = np.repeat(place[rest], each) + inside
+        order = np.lexsort((where, t, r, string))
+        s, r, t = string[order], r[order], t[order]
+        lead = np.append(True, s[1:] != s[:-1])
+        least = r[lead][np.cumsum(lead) - 1]
+        again = np.append(False, (s[1:] == s[:-1]) & (r[1:] == r[:-1]) & (t[1:] == t[:-1]))
+        kept = np.empty(len(order), bool)
+        kept[order] = (r == least) & ~again
+        for k, b, n in zip(rest.tolist(), begin.tolist(), each.tolist()):
+            part = kept[b : b + n]
+            if part.any():
+                numbers.append(k)
+                bits.append(None if part.all() else np.packbits(part).tobytes())
+    return numbers, bits
+
+
+def _resolve(min_bytes: int, sorted_: int):
+    """Of phrases dealt by trigger, in order: the facts; a block's triggers pass through."""
+
+    def answer(part: pa.Table) -> pa.RecordBatch:
+        place = part["place"].to_numpy()
+        real = np.flatnonzero(place >= 0)
+        passed = np.flatnonzero(place < 0)
+        bodies = part["bytes"].take(pa.array(real)).to_pylist()
+        row, tie, block, trigger = (part[c].to_numpy() for c in ("row", "tie", "block", "trigger"))
+        numbers, bits = corpus_order(bodies, trigger[real], row[real], tie[real], place[real], min_bytes) if len(real) else ([], [])
+        at = np.concatenate((real[np.array(numbers, np.int64)], passed)).astype(np.int64)
+        marks = [None] * len(numbers) + part["bytes"].take(pa.array(passed)).to_pylist()
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c[at]) for c in (block, row, tie, place)), pa.array(bits + [None] * len(passed), pa.binary()), pa.array(marks, pa.binary())], [x.split()[0] for x in FACTS.split(", ")]
+        )
 
     def run(batches):
-        kept: list = []
+        kept, n = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             kept.append(batch)
-            joined = pa.Table.from_batches(kept)
-            if joined.num_rows < 20_000:
+            n += batch.num_rows
+            if n < sorted_:
                 continue
+            joined = pa.Table.from_batches(kept)
             triggers = joined["trigger"].to_numpy()
-            cut = int(np.searchsorted(triggers, triggers[-1], "left"))  # the last group may go on
+            cut = int(np.searchsorted(triggers, triggers[-1], "left"))  # the last trigger may go on
             if cut:
                 yield answer(joined.slice(0, cut))
                 kept = joined.slice(cut).combine_chunks().to_batches()
+                n -= cut
         if kept:
             yield answer(pa.Table.from_batches(kept))
 
-    def answer(part):
-        return _first(part["row"].to_numpy(), part["trigger"].to_numpy(), part["id"].to_numpy(), part["bytes"].to_pylist(), min_bytes)
+    return run
 
-    spark = dictionary.sparkSession
-    dealt = dictionary.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "trigger").sortWithinPartitions("trigger")
-    return dealt.mapInArrow(run, "row long, id long, bits binary")
 
-
-def _apply(body: bytes, parsed: list, facts: dict, min_bytes: int) -> np.ndarray:
-    """The removed spans of one text, from its marked phrases [(data, first, last window in data, offset, trigger, hot)]."""
-    edge = np.zeros(len(body) + 1, np.int32)
-    used: set = set()
-    before: dict = {}
-    for data, a, b, off, trigger, hot in parsed:
-        if not facts:
-            edge[a + off] += 1
-            edge[b + off + min_bytes] -= 1
+def _spans(size: int, marked: list, facts: dict, row: int, tie: int, min_bytes: int) -> list:
+    """The removed spans of one text, from its phrases of repeated triggers [(first string, last string, hot)]."""
+    edge = np.zeros(size + 1, np.int32)
+    for a, b, spread in marked:
+        if spread:
+            gone = [i for i in range(a, b + 1) if (row, tie, i) not in facts]
+        elif (row, tie, a) not in facts:
+            edge[a] += 1
+            edge[b + min_bytes] -= 1
             continue
-        if hot:
-            gone = []
-            for i in range(a, b + 1):
-                w = _signed(_window_key(trigger, data[i : i + min_bytes]))
-                if w in facts and w not in used:
-                    used.add(w)
-                else:
-                    gone.append(i)
-        else:
-            ident = _signed(xxhash.xxh3_64_intdigest(data[a : b + min_bytes]))
-            if ident not in facts or ident in used:
-                gone = None
-            else:
-                used.add(ident)
-                bits = facts[ident]
-                first = np.ones(b - a + 1, bool) if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a + 1).astype(bool)
-                earlier = before.setdefault(trigger, [])
-                if earlier:
-                    had = {data2[i : i + min_bytes] for data2, a2, b2 in earlier for i in range(a2, b2 + 1)}
-                    for i in np.flatnonzero(first).tolist():
-                        first[i] = data[a + i : a + i + min_bytes] not in had
-                earlier.append((data, a, b))
-                gone = (np.flatnonzero(~first) + a).tolist()
-        if gone is None:
-            edge[a + off] += 1
-            edge[b + off + min_bytes] -= 1
         else:
-            for i in gone:
-                edge[i + off] += 1
-                edge[i + off + min_bytes] -= 1
+            bits = facts[row, tie, a]
+            if bits is None:
+                continue
+            gone = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a + 1) == 0) + a
+        for i in gone:
+            edge[i] += 1
+            edge[i + min_bytes] -= 1
     covered = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
-    return np.flatnonzero(covered[1:] != covered[:-1]).reshape(-1, 2)
+    return np.flatnonzero(covered[1:] != covered[:-1]).reshape(-1, 2).tolist()
+
+
+def _cut(min_bytes: int, keep: list[str]):
+    """Of a block and its facts: the texts without the strings that are no facts."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        texts = _texts(rows.column("body"))
+        row, tie = rows.column("row").to_pylist(), rows.column("tie").to_pylist()
+        facts, known, hot = {}, np.zeros(0, np.int64), np.zeros(0, bool)
+        for r, t, place, bits, marks in zip(*(told.column(c).to_pylist() for c in ("row", "tie", "place", "bits", "marks"))):
+            if marks is None:
+                facts[r, t, place] = bits
+            else:  # the triggers: r says how many
+                known = np.frombuffer(marks, np.int64, r)
+                hot = np.unpackbits(np.frombuffer(marks, np.uint8, offset=8 * r), count=r).astype(bool)
+        marked: list = [[] for _ in texts]
+        for _, number, shift, i0, i1, h in phrases.parse(texts, min_bytes):
+            at = _lookup(known, h.view(np.int64))
+            on = np.flatnonzero(at >= 0)
+            for k, a, b, spread in zip(number[on].tolist(), (i0 + shift)[on].tolist(), (i1 + shift)[on].tolist(), hot[at[on]].tolist()):
+                marked[k].append((a, b, spread))
+        kept, spans = [], []
+        for body, parsed, r, t in zip(texts, marked, row, tie):
+            found = _spans(len(body), parsed, facts, r, t, min_bytes) if parsed else []
+            at, left = 0, []
+            for a, b in found:
+                left.append(body[at:a])
+                at = b
+            left.append(body[at:])
+            kept.append(b"".join(left) if found else body)
+            spans.append(found)
+        made = {"key": rows.column("key"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32())))}
+        return pa.table(made | {c: rows.column(c) for c in keep})
+
+    return run
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, hot: int = HOT, filter_bits: int = FILTER_BITS, keep: tuple[str, ...] = ()
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, hot: int = HOT, block_bytes: int = BLOCK_BYTES, sorted_: int = SORTED, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per row of docs: key, n_bytes, kept (the remaining bytes), spans (removed, as array<array<int>> of [start, end)), and the columns to keep."""
-    spark = docs.sparkSession
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    body = F.coalesce(F.col(text), F.lit(""))
+    blocks = 1 + (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // block_bytes
+    tie = F.xxhash64(body)
     rows = docs.select(
         F.col(key).cast("long").alias("key"),
         F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("row"),
-        F.coalesce(F.col(text), F.lit("")).alias("body"),
+        tie.alias("tie"),
+        F.pmod(F.xxhash64(F.col(key).cast("long"), tie), F.lit(blocks)).alias("block"),
+        body.alias("body"),
         *[F.col(c).alias(f"keep{n}") for n, c in enumerate(keep)],
     )
-    filters = spark.sparkContext.broadcast(_filters(rows, min_bytes, hot, filter_bits))
-    facts = _resolve(_dictionary(rows, filters, min_bytes), min_bytes)
-    facts = facts.groupBy("row").agg(F.collect_list(F.struct("id", "bits")).alias("facts"))
-    joined = rows.join(facts, "row", "left").select("key", "body", "facts.id", "facts.bits", *[f"keep{n}" for n in range(len(keep))])
-
-    def cut(batch):
-        repeated, many = filters.value
-        texts = _texts(batch, 1)
-        marked: list = [[] for _ in texts]
-        for data, number, shift, i0, i1, h in phrases.parse(texts, min_bytes):
-            on = np.flatnonzero(_marked(repeated, h, repeated.size.bit_length() + 5))
-            spread = _marked(many, h[on], HOT_BITS).tolist()
-            for k, a, b, off, trigger, s in zip(number[on].tolist(), i0[on].tolist(), i1[on].tolist(), shift[on].tolist(), h[on].view(np.int64).tolist(), spread):
-                marked[k].append((data, a, b, off, trigger, s))
-        kept, spans = [], []
-        for body, parsed, ids, bits in zip(texts, marked, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if not parsed:
-                kept.append(body)
-                spans.append([])
-                continue
-            found = _apply(body, parsed, dict(zip(ids, bits)) if ids else {}, min_bytes).tolist()
-            at, left = 0, []
-            for a, b in found:
-                left.append(body[at:a])
-                at = b
-            left.append(body[at:])
-            kept.append(b"".join(left))
-            spans.append(found)
-        made = [pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[4:]], ["key", "n_bytes", "kept", "spans", *batch.schema.names[4:]])
-
-    more = "".join(f", keep{n} {rows.schema[f'keep{n}'].dataType.simpleString()}" for n in range(len(keep)))
-    out = map_batches(joined, cut, f"key long, n_bytes long, kept binary, spans array<array<int>>{more}")
+    carried = [f"keep{n}" for n in range(len(keep))]
+    counts = rows.groupBy("block").applyInArrow(_count(min_bytes), "h long, n long, block long")
+    marks = counts.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated(hot), "block long, h long, hot boolean")
+    found = rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_dictionary(min_bytes), DICTIONARY)
+    facts = found.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_resolve(min_bytes, sorted_), FACTS)
+    more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    out = rows.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(_cut(min_bytes, carried), f"key long, n_bytes long, kept binary, spans array<array<int>>{more}")
     return out.select(F.col("key").alias(key), "n_bytes", "kept", "spans", *[F.col(f"keep{n}").alias(c) for n, c in enumerate(keep)])
 
 
