@@ -7,11 +7,12 @@ Removed is every byte covered by a `min_bytes`-byte string that also starts earl
 1. Rolling-hash triggers (phrases.py) cut each text into phrases that hold each such string exactly
    once, so the corpus is a dictionary of distinct phrases and a parse, the places where they occur.
 2. Texts are dealt to blocks of about `BLOCK_BYTES`. A block names each trigger it holds once, with its
-   count; triggers that occur once in the corpus hold no repeat, and each block is told the others.
+   counts; triggers that occur once in the corpus hold no repeat, and each block is told the others.
 3. Blocks send their distinct phrases of those triggers on, each with its first place, dealt by trigger:
    equal strings have equal triggers, so all that has to be compared meets. A group of copies costs a
-   phrase a block. A trigger of more than `hot` occurrences would meet in one task; its phrases are cut
-   to single strings first, dealt by their own hash, so a string costs a row a block however common.
+   phrase a block. A trigger of which the blocks hold more than `hot` phrases would be a large group of
+   one task; its phrases are cut to single strings first, dealt by their own hash, so a string costs a
+   row a block however common.
 4. There the suffix array of the dictionary is made by letters (ranks of 8, 24, 72 and 100 letters, each
    from those before), the parse is sorted by phrase and place, and both combine into the corpus order:
    by dictionary rank, then by place. The first place of each run of equal strings is a fact.
@@ -36,10 +37,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import phrases
 from tidemark.llm.common import BATCH_ROWS, table
+from tidemark.llm.words import prefix, stretch_hash
 
 MIN_BYTES = 100
 BLOCK_BYTES = 8 << 20
-#: Occurrences from which on a trigger's phrases are cut to single strings, so that they meet in many tasks.
+#: Phrases (a distinct one a block) above which a trigger's phrases are cut to single strings, so that they meet in many tasks.
 HOT = 1000
 #: Phrases whose suffixes are sorted at once; whole triggers, so a few more at most.
 SORTED = 8_000
@@ -58,31 +60,40 @@ def _one(table_: pa.Table, column: str) -> int:
 
 
 def _count(min_bytes: int):
-    """Of a block: its distinct triggers with their counts."""
+    """Of a block: its distinct triggers with how often they occur and (by hash) in how many distinct phrases."""
 
     def run(rows: pa.Table) -> pa.Table:
-        seen = [h for *_, h in phrases.parse(_texts(rows.column("body")), min_bytes)]
-        h, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return pa.table({"h": h.view(np.int64), "n": n.astype(np.int64), "block": np.full(len(h), _one(rows, "block"), np.int64)})
+        seen = [(np.zeros(0, np.uint64),) * 2]
+        for data, _, _, i0, i1, h in phrases.parse(_texts(rows.column("body")), min_bytes):
+            seen.append((h, stretch_hash(prefix(np.frombuffer(data, np.uint8)), i0, i1 + min_bytes)))
+        h, body = (np.concatenate(x) for x in zip(*seen))
+        order = np.lexsort((body, h))
+        h, body = h[order], body[order]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
+        new = np.append(True, (h[1:] != h[:-1]) | (body[1:] != body[:-1]))[: len(h)]
+        n = np.diff(np.append(start, len(h)))
+        several = np.add.reduceat(new.astype(np.int64), start) if len(h) else n
+        return pa.table({"h": h[start].view(np.int64), "n": n, "phrases": several, "block": np.full(len(start), _one(rows, "block"), np.int64)})
 
     return run
 
 
 def _repeated(hot: int):
-    """Of triggers in order: those that occur more than once, for each block that holds them, and whether they are hot."""
+    """Of triggers in order: those that occur more than once, for each block that holds them, and whether their blocks would send over `hot` phrases."""
 
-    def told(h, n, block):
+    def told(h, n, several, block):
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        total = np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(h))))
-        on = total > 1
-        return pa.RecordBatch.from_arrays([pa.array(block[on]), pa.array(h[on]), pa.array(total[on] > hot)], ["block", "h", "hot"])
+        size = np.diff(np.append(start, len(h)))
+        on = np.repeat(np.add.reduceat(n, start), size) > 1
+        many = np.repeat(np.add.reduceat(several, start), size) > hot
+        return pa.RecordBatch.from_arrays([pa.array(block[on]), pa.array(h[on]), pa.array(many[on])], ["block", "h", "hot"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = [np.concatenate((a, batch.column(c).to_numpy())) for a, c in zip(held, ("h", "n", "block"))]
+            held = [np.concatenate((a, batch.column(c).to_numpy())) for a, c in zip(held, ("h", "n", "phrases", "block"))]
             cut = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last trigger may go on
             if cut:
                 yield told(*(x[:cut] for x in held))
@@ -354,7 +365,7 @@ def remove_repeats(
         *[F.col(c).alias(f"keep{n}") for n, c in enumerate(keep)],
     )
     carried = [f"keep{n}" for n in range(len(keep))]
-    counts = rows.groupBy("block").applyInArrow(_count(min_bytes), "h long, n long, block long")
+    counts = rows.groupBy("block").applyInArrow(_count(min_bytes), "h long, n long, phrases long, block long")
     marks = counts.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated(hot), "block long, h long, hot boolean")
     found = rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_dictionary(min_bytes), DICTIONARY)
     facts = found.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_resolve(min_bytes, sorted_), FACTS)
