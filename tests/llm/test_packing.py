@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -17,7 +18,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def slow():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -25,7 +25,7 @@ def test_ids_equal_the_library(slow, spark, sf_dir):
     enc = Encoder(PATH)
     texts = [r.text for r in table(spark, sf_dir, "documents").limit(80).collect()]
     rng = random.Random(3)
-    odd = ["", " ", "  ", "a  b", " a", "a ", "a \n b", "x\n\ny", "it's don't 's", "a\tb", "é ñ z", "　x y", "a\x1cb c", "<|endoftext|> a", "1 2,3  4 .", "日本 語", "a b c", "​ x"]
+    odd = ["", " ", "  ", "a  b", " a", "a ", "a \n b", "x\n\ny", "it's don't 's", "a\tb", "é ñ z", "　x y", "a\x1cb c", "<|endoftext|> a", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "<|endoftext|>", " <|endoftext|>  \n<|endoftext", "1 2,3  4 .", "日本 語", "a b c", "​ x"]
     odd += ["".join(rng.choice(" \n\tabé'1.,  ") for _ in range(rng.randint(0, 30))) for _ in range(400)]
     for t in [*texts, *odd]:
         assert np.frombuffer(enc.encode(t, t.encode()), "<u4").tolist() == slow(t), repr(t[:80])
@@ -52,6 +52,25 @@ def test_plan_places_every_piece_once(seed):
     assert used <= least * 1.06 + 3
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_grouping_equals_best_fit_decreasing_at_least(sf):
+    enc, counts = Encoder(PATH), defaultdict(int)
+    for text in pq.read_table(f"/root/testdata/{sf}/documents.parquet").column("text").to_pylist():
+        n = len(enc.encode(text or "", (text or "").encode())) // 4 + 1
+        counts[2048] += (n - 1) // 2048
+        counts[(n - 1) % 2048 + 1] += 1
+    used = lambda *scheme: sum(m for _, m in packing.plan(counts, 2048, *scheme))
+    plain = used(1.0, 1)  # nothing is grouped
+    assert min(used(*s) for s in packing.SCHEMES) <= plain and used(*packing.SCHEMES[0]) <= plain
+
+
+def test_a_special_string_is_one_id(spark, slow):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 40)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), capacity=16).collect()
+    check(out, dict(rows), slow, 16)
+    assert sum(r.length for r in out if r.doc_id == 1) == 5
+
+
 def check(rows, texts, slow, capacity):
     ids = {k: [*slow(t or ""), 0] for k, t in texts.items()}
     by_sequence = defaultdict(list)

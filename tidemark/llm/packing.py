@@ -8,7 +8,8 @@ of pieces by length, which the sequence length bounds whatever the corpus:
    length is rounded up to its group's largest.
 2. Over these few sizes, the configurations of a sequence are optimised by column generation
    (fractional, then rounded down).
-3. Actual pieces take the places of their group, longest first, which leaves gaps of the actual size.
+3. Actual pieces take the places of their group, longest first; the last place of a sequence goes to the
+   longest piece that its group or one of longer pieces has for the room actually left.
 4. What is left, longest first, goes to the smallest gap that holds it, or opens a sequence.
 
 The plan is a list of runs (so many pieces of one length, the sequence of the first, the place there).
@@ -39,9 +40,10 @@ from tidemark.llm.tokens import Encoder
 CAPACITY = 2048
 END_ID = 0
 #: Tried (share of the capacity above which a length is grouped, groups); the plan of fewest sequences is kept.
-SCHEMES = ((0.5, 64), (0.4, 48), (0.25, 32))
+SCHEMES = ((0.45, 64), (0.4, 48), (0.25, 32))
 #: Pieces of one length that are numbered in one task, about.
 NUMBERED = 50_000
+#: Runs of a plan that are broadcast; a larger plan is shuffled.
 MOST_RUNS = 500_000
 
 
@@ -84,54 +86,53 @@ def plan(counts: dict[int, int], capacity: int, share: float, groups: int) -> li
     made: list[tuple[tuple, int]] = []
     gaps: dict[int, list[tuple[tuple, int]]] = defaultdict(list)
     big = sorted((n for n in counts if n > share * capacity and n < capacity), reverse=True)
-    total = sum(counts[n] for n in big)
-    if total > 4 * groups:
-        queues: list[list[list[int]]] = []
-        each, left = -(-total // groups), 0
-        for n in big:
-            c = counts[n]
-            while c:
-                if not left:
-                    queues.append([])
-                    left = each
-                part = min(c, left)
-                queues[-1].append([n, part])
-                c, left = c - part, left - part
-        for q in queues:
-            q.reverse()  # the longest at the end, to pop
-        sizes = [q[-1][0] for q in queues]
-        for pattern, times in configurations(sizes, [sum(c for _, c in q) for q in queues], capacity):
-            bins, used = int(times + 1e-9), [(g, a) for g, a in enumerate(pattern.tolist()) if a]
-            while bins and all(sum(c for _, c in queues[g][-a:]) >= a for g, a in used):
-                step = min([bins, *(max(1, queues[g][-1][1] // a) for g, a in used)])
-                filled: dict[int, int] = defaultdict(int)
-                for g, a in used:
-                    need = a * step
-                    if queues[g][-1][1] < need:
-                        need = a
-                    while need:
-                        last = queues[g][-1]
-                        part = min(need, last[1])
-                        filled[last[0]] += part
-                        last[1] -= part
-                        need -= part
-                        if not last[1]:
-                            queues[g].pop()
-                    if not queues[g]:
-                        queues[g] = [[0, 0]]
-                gap = capacity - sum(n * c for n, c in filled.items()) // step
-                gaps[gap].append((tuple((n, c // step) for n, c in filled.items()), step))
-                bins -= step
-        rest: dict[int, int] = defaultdict(int)
-        for q in queues:
-            for n, c in q:
-                rest[n] += c
-        rest.pop(0, None)
-        for n, c in counts.items():
-            if n not in big:
-                rest[n] += c
-    else:
-        rest = dict(counts)
+    queues: list[list[list[int]]] = []
+    each, left = -(-sum(counts[n] for n in big) // groups), 0
+    for n in big:
+        c = counts[n]
+        while c:
+            if not left:
+                queues.append([])
+                left = each
+            part = min(c, left)
+            queues[-1].append([n, part])
+            c, left = c - part, left - part
+    held = [dict(q) for q in queues]  # a group's pieces by length, longest first
+    sizes = [q[0][0] for q in queues]
+    for pattern, times in configurations(sizes, [sum(g.values()) for g in held], capacity) if queues else ():
+        bins, used = int(times + 1e-9), [g for g, a in enumerate(pattern.tolist()) for _ in range(a)]
+        while bins and used:
+            # So many sequences alike: their groups' longest pieces, then, for the last place, the longest piece of any
+            # group that the actual lengths leave room for.
+            took: list[tuple[int, int]] = []
+            room = capacity
+            for k, g in enumerate(used):
+                among = range(g + 1) if 0 < k == len(used) - 1 else (g,)
+                fits = [(n, h) for h in among for n, c in held[h].items() if n <= room and c > took.count((h, n))]
+                if not fits:
+                    break
+                n, h = max(fits)
+                took.append((h, n))
+                room -= n
+            if len(took) < len(used):
+                break
+            step = min(bins, *(held[g][n] // took.count((g, n)) for g, n in set(took)))
+            filled: dict[int, int] = defaultdict(int)
+            for g, n in took:
+                filled[n] += 1
+                held[g][n] -= step
+                if not held[g][n]:
+                    del held[g][n]
+            gaps[room].append((tuple(filled.items()), step))
+            bins -= step
+    rest: dict[int, int] = defaultdict(int)
+    for group in held:
+        for n, c in group.items():
+            rest[n] += c
+    grouped = set(big)
+    for n, c in counts.items():
+        if n not in grouped:
+            rest[n] += c
     open_gaps = sorted(g for g in gaps if gaps[g])
     for n in sorted(rest, reverse=True):
         c = rest[n]
@@ -208,9 +209,8 @@ def pack(
     cut = write_table(pieces(docs, key, text, path, capacity, end_id, keep_ids), "pieces")
     counts = dict(cut.groupBy("length").count().collect())  # a row for each length at most
     taken = runs(best_plan(counts, capacity), capacity)
-    if len(taken) > MOST_RUNS:
-        raise ValueError(f"a plan of {len(taken)} runs is too large to broadcast")
     by_run = spark.createDataFrame(taken or [(0, 0, 0, 1, 0, 0)], "length long, r0 long, r1 long, each long, s0 long, o0 long")
+    by_run = F.broadcast(by_run) if len(taken) <= MOST_RUNS else by_run
     salts = max(8, -(-max(counts.values(), default=0) // NUMBERED))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(salts)))
     group = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
@@ -218,7 +218,7 @@ def pack(
     group = group.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "salt").orderBy("key", "piece", "ids_crc32")
     ranked = salted.withColumn("rn", F.row_number().over(inside)).join(group, ["length", "salt"]).withColumn("rank", F.col("rn") - 1 + F.col("before"))
-    placed = ranked.join(F.broadcast(by_run), "length").filter("rank >= r0 and rank < r1")
+    placed = ranked.join(by_run, "length").filter("rank >= r0 and rank < r1")
     return placed.select(
         F.col("key").alias(key),
         "piece",

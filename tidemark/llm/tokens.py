@@ -1,7 +1,8 @@
 """Byte-level BPE ids of whole texts, fast enough for a corpus.
 
 The vocabulary file is that of the `tokenizers` library; ids equal those of its encode with
-add_special_tokens=False where special strings count as ordinary text. A blank before a character
+add_special_tokens=False, which finds the strings of added tokens in a text first: each is one id and
+parts the text around it. A blank before a character
 that is no white space always starts a new pre-token, so a text falls into chunks at such blanks
 whose ids do not depend on each other, and a chunk seen before costs one dictionary lookup.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import array
 import base64
 import json
+import re
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that one worker remembers; beyond it starts anew.
@@ -39,6 +41,14 @@ def ranks(path: str) -> dict[bytes, int]:
     return {bytes(back[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in special}
 
 
+def added(path: str) -> dict[str, int]:
+    """Strings that are one id wherever they stand; a tiktoken file has none."""
+    if path.endswith(".tiktoken"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f).get("added_tokens", [])}
+
+
 class _Chunks(dict):
     def __init__(self, encode, lead: str):
         self.encode, self.lead = encode, lead
@@ -58,8 +68,15 @@ class Encoder:
 
         self._plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={}).encode_ordinary
         self._inner, self._head = _Chunks(self._plain, " "), _Chunks(self._plain, "")
+        self._added = {name: array.array("I", [i]).tobytes() for name, i in added(path).items()}
+        self._parted = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
 
     def encode(self, text: str, raw: bytes) -> bytes:
+        if any(name in text for name in self._added):
+            return b"".join(self._added[part] if n % 2 else self._ordinary(part, part.encode()) for n, part in enumerate(self._parted.split(text)) if part)
+        return self._ordinary(text, raw)
+
+    def _ordinary(self, text: str, raw: bytes) -> bytes:
         if (
             b"  " in raw
             or b" \n" in raw
