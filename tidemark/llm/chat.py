@@ -5,18 +5,23 @@ and whether it opens a turn; what is seen is its speaker marker ("User:", "Q:",
 its length class and its ending. Start, transition and emission probabilities are counted over all
 labelled turns (a few hundred sums, the only thing gathered), and Viterbi finds the likeliest states.
 
-A conversation is cut into segments of `SEGMENT` consecutive order numbers, so one that holds a third
-of all lines is spread over tasks: each segment yields a (max, +) matrix from entry to exit state,
-these few numbers per segment settle the states at the seams, and each segment is then decoded on its
-own from them. The result is that of one pass over the whole conversation.
-
-Rendering is by line as well: a line that opens a turn closes the one before it, so the texts of a
-conversation's segments, in order, followed by END where there is any line, are its canonical form.
+A conversation is cut into segments of `SEGMENT` consecutive order numbers (of `PART` lines where a turn
+among them is longer), so one that holds a third of all lines is spread over tasks: each segment yields
+a (max, +) matrix from entry to exit state, products of `GROUP` of them settle the states at the seams in
+two steps, and each segment is then decoded on its own from them. The result is that of one pass over
+the whole conversation.
+
+A marker is taken off only after decoding, only where a line opens a turn, and only if it names the role
+that was decoded; a speaker's word without mark or colon is content. Rendering is by line as well: a line
+that opens a turn closes the one before it, so the texts of a conversation's segments, in order, followed
+by END where there is any line, are its canonical form. A line that is nothing but a marker opens its
+turn, whose text begins on the next line.
 
 Defined results: a null text is one empty line; rows with a null key or order form no conversation
 and are left out; rows of one key and order are taken in the order of their texts, and equal rows
-are lines each; an unknown role in the labelled turns teaches nothing; without labelled turns all
-states are equally likely, and the first in order wins. Ties go to the earlier state in STATES.
+are lines each; an unknown role in the labelled turns teaches nothing; without labelled turns only
+markers tell the states apart. Ties go to the earlier state in STATES.
+Columns other than those named are never read.
 """
 
 from __future__ import annotations
@@ -31,26 +36,31 @@ from tidemark.llm.common import runs_of, table, whole_groups, write_table
 ROLES = ("system", "user", "assistant")
 #: Role and whether the line opens a turn, in the order that breaks ties.
 STATES = [(role, opens) for role in ROLES for opens in (True, False)]
-SEGMENT = 64
+#: Order numbers a segment; lines a segment where one of its turns has more; segments whose matrices meet at once.
+SEGMENT, PART, GROUP = 64, 4096, 4096
 #: Words that speakers are marked with, by role.
 MARKERS = {"system": "system|sys|context|instructions?", "user": "user|human|customer|prompt|q", "assistant": "assistant|ai|bot|model|answer|a"}
 SIZES = (1, 40, 120, 300)
-OPEN, END = "<|{}|>\n", "\n<|end|>\n"
+OPEN, END = "<|{}|>", "\n<|end|>\n"
 N = len(STATES)
-_LEAD = r"^\s*[#>*\[]*\s*"
+
+
+def _pattern(words: str) -> str:
+    """A word before a colon or a closing mark, or alone behind an opening mark."""
+    return rf"(?i)^\s*(?:[#>*\[]*\s*(?:{words})\s*[:>\]]+\s*|[#>*\[]+\s*(?:{words})\s*$)"
 
 
 def _marker(line: Column) -> Column:
     """0 none, 1 to 3 by role, 4 another name before a colon."""
-    out = F.when(line.rlike(_LEAD + r"[A-Z][\w ]{0,20}:(\s|$)"), 4).otherwise(0)
+    out = F.when(line.rlike(r"^\s*[#>*\[]*\s*[A-Z][\w ]{0,20}[:\]](\s|$)"), 4).otherwise(0)
     for n, words in reversed(list(enumerate(MARKERS.values(), 1))):
-        out = F.when(line.rlike(f"(?i){_LEAD}({words})(\\s*[:>\\]]|\\s*$)"), n).otherwise(out)
+        out = F.when(line.rlike(_pattern(words)), n).otherwise(out)
     return out
 
 
-def _bare(line: Column) -> Column:
+def _marker_length(line: Column) -> Column:
     words = "|".join(MARKERS.values())
-    return F.when(_marker(line).between(1, 3), F.regexp_replace(line, f"(?i){_LEAD}({words})(\\s*[:>\\]]+\\s*|\\s*$)", "")).otherwise(line)
+    return F.length(line) - F.length(F.regexp_replace(line, _pattern(words), ""))
 
 
 def _features(line: Column) -> list[Column]:
@@ -64,12 +74,21 @@ def _features(line: Column) -> list[Column]:
 WIDTHS = (5, len(SIZES) + 1, 3)
 
 
+#: Pseudo-counts of the marker by state, which speak where few labelled turns do: a marker opens a turn of the role it names.
+_MARKED = np.full((N, WIDTHS[0]), 0.1)
+for _k, (_role, _opens) in enumerate(STATES):
+    _MARKED[_k, 0] = 0.5 if _opens else 2.0
+    _MARKED[_k, 4] = 0.5 if _opens else 0.2
+    if _opens:
+        _MARKED[_k, 1 + ROLES.index(_role)] = 2.0
+
+
 class Model:
     """Log probabilities: start (states), step (from, to), emit (one table per feature: state, value)."""
 
     def __init__(self, start, step, emit):
-        def log(x):
-            x = np.asarray(x, float) + 0.5
+        def log(x, prior=0.5):
+            x = np.asarray(x, float) + prior
             return np.log(x / x.sum(-1, keepdims=True))
 
         opens = np.array([o for _, o in STATES])
@@ -79,7 +98,7 @@ class Model:
             for b in range(N):
                 if not STATES[b][1] and STATES[a][0] != STATES[b][0]:
                     step[a, b] = -1e9
-        self.step, self.emit = step, [log(e) for e in emit]
+        self.step, self.emit = step, [log(e, p) for e, p in zip(emit, (_MARKED, 0.5, 0.5))]
 
     def score(self, features: list[np.ndarray]) -> np.ndarray:
         return sum(e[:, f].T for e, f in zip(self.emit, features))
@@ -138,104 +157,153 @@ def decode(model: Model, scores: np.ndarray, chains: list[np.ndarray], entry: np
     return out
 
 
-def transfer(model: Model, scores: np.ndarray, at_start: bool) -> np.ndarray:
-    """(max, +) matrix of one segment: best score from each state before it to each state at its end."""
+def transfer(model: Model, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one segment: the (max, +) matrix, best score from each state before it to each at its end, and the best scores at its end if it is the first."""
     m = np.where(np.eye(N, dtype=bool), 0.0, -np.inf)
-    for t, s in enumerate(scores):
-        m = np.tile(model.start + s, (N, 1)) if at_start and t == 0 else (m[:, :, None] + model.step).max(1) + s
-    return m
-
-
-def seams(model: Model, matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of one conversation's segments in order: best scores before each, and the state each ends in."""
-    entry, ways = np.full((len(matrices), N), np.nan), []
-    now = np.zeros(N)
+    first = None
+    for s in scores:
+        m = (m[:, :, None] + model.step).max(1) + s
+        first = model.start + s if first is None else (first[:, None] + model.step).max(0) + s
+    return m, first
+
+
+def product(matrices: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What `transfer` gives, of segments in order."""
+    m, first = matrices[0], firsts[0]
+    for k in range(1, len(matrices)):
+        m = (m[:, :, None] + matrices[k]).max(1)
+        first = (first[:, None] + matrices[k]).max(0)
+    return m, first
+
+
+def seams(matrices: np.ndarray, firsts: np.ndarray, entry: np.ndarray | None = None, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Of segments in order: best scores before each (NaN: at a start), and the state each ends in. entry: scores before the first; leave: the last state (-1: free)."""
+    before, ways = np.full((len(matrices), N), np.nan), []
+    now = entry
     for k, m in enumerate(matrices):
-        if k:
-            entry[k] = now
-        way = now[:, None] + m
+        if now is None:
+            way = np.tile(firsts[k], (N, 1))
+        else:
+            before[k] = now
+            way = now[:, None] + m
         ways.append(way.argmax(0))
         now = way.max(0)
-    leave = np.zeros(len(matrices), int)
-    state = int(now.argmax())
+    out = np.zeros(len(matrices), int)
+    state = int(now.argmax()) if leave < 0 else leave
     for k in reversed(range(len(matrices))):
-        leave[k] = state
+        out[k] = state
         state = int(ways[k][state])
-    return entry, leave
+    return before, out
+
+
+_LONG, _LIST = pa.int64(), pa.list_(pa.float64())
+
+
+def _matrices(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(t["m"].to_pylist()).reshape(-1, N, N), np.array(t["first"].to_pylist()).reshape(-1, N)
+
 
+def _settled(found: list) -> list[pa.Array]:
+    entry = [None if np.isnan(e[0]) else e.tolist() for es, _ in found for e in es]
+    return [pa.array(entry, _LIST), pa.array(np.concatenate([x for _, x in found]).astype(np.int32))]
 
-def parse(lines: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
-    """Per conversation and segment: key, segment, first, n_lines, n_turns, roles (one letter a line, upper case where
-    a turn opens), rendered (canonical text), wrong (lines whose role differs from the column role, if it is there)."""
+
+def parse(lines: DataFrame, model: Model, segment: int = SEGMENT, part: int = PART, group: int = GROUP) -> DataFrame:
+    """Per conversation and segment: key, segment, part, n_lines, n_turns, roles (one letter a line, upper case where a turn
+    opens), rendered (canonical text), and, where lines tell (role, mark), wrong (lines whose role differs), lost (characters
+    taken off that were no marker) and left (characters of markers that stayed)."""
     spark = lines.sparkSession
     truth = F.coalesce(F.col("role"), F.lit("")) if "role" in lines.columns else F.lit("")
+    mark = F.coalesce(F.col("mark"), F.lit(0)) if "mark" in lines.columns else F.lit(None).cast("int")
     rows = lines.filter("key is not null and ord is not null").select(
-        F.col("key").cast("long").alias("key"), F.expr(f"floor(ord / {segment})").cast("long").alias("seg"), F.col("ord").cast("long").alias("ord"), F.col("line_no").cast("int").alias("line_no"),
-        F.coalesce("line", F.lit("")).alias("line"), truth.alias("role"),
-    ).select("key", "seg", "ord", "line_no", _bare(F.col("line")).alias("bare"), "role", *_features(F.col("line")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "seg", "ord", "line_no", "bare", "role", "f0", "f1", "f2"]
-    deal = lambda df: df.repartition(parts, "key", "seg").sortWithinPartitions(*order)
-    spread = rows.groupBy("key").agg(F.min("seg").alias("first"), F.max("seg").alias("last"))
-    several = spread.filter("first < last")
+        F.col("key").cast("long").alias("key"), F.expr(f"floor(ord / {segment})").cast("long").alias("seg"), F.col("ord").cast("long").alias("ord"), F.col("line_no").cast("long").alias("line_no"),
+        F.coalesce("line", F.lit("")).alias("line"), truth.alias("role"), mark.alias("mark"),
+    )
+    rows = rows.select(*rows.columns, _marker_length(F.col("line")).alias("cut"), *_features(F.col("line")))
+    # Segments that hold a turn of over `part` lines are cut again, by turn and lines.
+    long = rows.filter(F.col("line_no") >= part).select("key", "seg").distinct().withColumn("long", F.lit(True))
+    again = F.when(F.col("long"), F.expr(f"1 + pmod(ord, {segment}) * {1 << 40} + line_no div {part}")).otherwise(F.lit(0)).cast("long")
+    rows = rows.join(long, ["key", "seg"], "left").withColumn("part", again).drop("long")
+    ids, order = ["key", "seg", "part"], ["key", "seg", "part", "ord", "line_no", "line", "role", "mark", "cut", "f0", "f1", "f2"]
+    rows = rows.select(*order)
 
     def matrix(batches):
-        for t in whole_groups(batches, (0, 1)):
-            key, seg, first = (t[c].to_numpy() for c in ("key", "seg", "first"))
+        for t in whole_groups(batches, (0, 1, 2)):
+            columns = [t[c].to_numpy() for c in ids]
             scores = model.score([t[f].to_numpy() for f in ("f0", "f1", "f2")])
-            start, size = runs_of([key, seg])
-            ms = [transfer(model, scores[a : a + n], seg[a] == first[a]).ravel().tolist() for a, n in zip(start, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array(seg[start]), pa.array(ms, pa.list_(pa.float64()))], ["key", "seg", "m"])
+            start, size = runs_of(columns)
+            found = [transfer(model, scores[a : a + n]) for a, n in zip(start, size)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[start]) for c in columns), pa.array([m.ravel().tolist() for m, _ in found], _LIST), pa.array([f.tolist() for _, f in found], _LIST)], [*ids, "m", "first"])
 
-    def settle(batches):
+    def shrink(batches):
+        for t in whole_groups(batches, (0, 1)):
+            key, big = t["key"].to_numpy(), t["big"].to_numpy()
+            ms, firsts = _matrices(t)
+            start, size = runs_of([key, big])
+            found = [product(ms[a : a + n], firsts[a : a + n]) for a, n in zip(start, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array(big[start]), pa.array([m.ravel().tolist() for m, _ in found], _LIST), pa.array([f.tolist() for _, f in found], _LIST)], ["key", "big", "m", "first"])
+
+    def top(batches):
         for t in whole_groups(batches, (0,)):
-            key = t["key"].to_numpy()
-            ms = np.array(t["m"].to_pylist()).reshape(-1, N, N)
-            found = [seams(model, ms[a : a + n]) for a, n in zip(*runs_of([key]))]
-            entry = [None if np.isnan(e[0]) else e.tolist() for es, _ in found for e in es]
-            leave = np.concatenate([x for _, x in found])
-            yield pa.RecordBatch.from_arrays([t["key"].combine_chunks(), t["seg"].combine_chunks(), pa.array(entry, pa.list_(pa.float64())), pa.array(leave.astype(np.int32))], ["key", "seg", "entry", "leave"])
-
-    cut = rows.join(several.select("key", "first"), "key").select(*order, "first")
-    mats = cut.repartition(parts, "key", "seg").sortWithinPartitions(*order).mapInArrow(matrix, "key long, seg long, m array<double>")
-    met = mats.repartition(parts, "key").sortWithinPartitions("key", "seg").mapInArrow(settle, "key long, seg long, entry array<double>, leave int")
-    met = write_table(met, "seams")
+            ms, firsts = _matrices(t)
+            found = [seams(ms[a : a + n], firsts[a : a + n]) for a, n in zip(*runs_of([t["key"].to_numpy()]))]
+            yield pa.RecordBatch.from_arrays([t["key"].combine_chunks(), t["big"].combine_chunks(), *_settled(found)], ["key", "big", "entry", "leave"])
 
-    def render(batches):
+    def settle(batches):
         for t in whole_groups(batches, (0, 1)):
-            key, seg = t["key"].to_numpy(), t["seg"].to_numpy()
+            ms, firsts = _matrices(t)
+            entry, leave = t["entry"].to_pylist(), t["leave"].to_numpy()
+            runs = zip(*runs_of([t["key"].to_numpy(), t["big"].to_numpy()]))
+            found = [seams(ms[a : a + n], firsts[a : a + n], None if entry[a] is None else np.array(entry[a]), int(leave[a])) for a, n in runs]
+            yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in ids), *_settled(found)], [*ids, "entry", "leave"])
+
+    deal = lambda df, keys, by: df.repartition(*keys).sortWithinPartitions(*by)
+    mats = deal(rows, ids, order).mapInArrow(matrix, "key long, seg long, part long, m array<double>, first array<double>")
+    mats = write_table(mats.withColumn("big", F.expr(f"seg div {group}")), "matrices")
+    whole = deal(mats, ["key", "big"], ["key", "big", "seg", "part"]).select("key", "big", "m", "first")
+    bigs = whole.mapInArrow(shrink, "key long, big long, m array<double>, first array<double>")
+    tops = deal(bigs, ["key"], ["key", "big"]).mapInArrow(top, "key long, big long, entry array<double>, leave int")
+    met = mats.join(tops, ["key", "big"]).select("key", "big", "seg", "part", "m", "first", "entry", "leave")
+    met = deal(met, ["key", "big"], ["key", "big", "seg", "part"]).mapInArrow(settle, "key long, seg long, part long, entry array<double>, leave int")
+
+    def render(batches):
+        for t in whole_groups(batches, (0, 1, 2)):
+            columns = [t[c].to_numpy() for c in ids]
             scores = model.score([t[f].to_numpy() for f in ("f0", "f1", "f2")])
-            start, size = runs_of([key, seg])
+            start, size = runs_of(columns)
             longest = np.argsort(-size, kind="stable")
             s, n = start[longest], size[longest]
             chains = [s[: np.searchsorted(-n, -k, "left")] + k for k in range(int(n[0]))]
             entry = np.array([e or [np.nan] * N for e in t["entry"].take(pa.array(s)).to_pylist()], float)
-            leave = np.array([-1 if x is None else x for x in t["leave"].take(pa.array(s)).to_pylist()])
-            states = decode(model, scores, chains, entry, leave)
-            bare, role = t["bare"].to_pylist(), t["role"].to_pylist()
+            states = decode(model, scores, chains, entry, t["leave"].to_numpy()[s])
+            line, role, marks, cuts, spoken = (t[c].to_pylist() for c in ("line", "role", "mark", "cut", "f0"))
             out: list = [[] for _ in range(7)]
             for a, n in zip(start.tolist(), size.tolist()):
-                text, roles, wrong, opened = [], [], 0, 0
+                text, roles, wrong, opened, lost, left = [], [], 0, 0, 0, 0
                 first = t["entry"][a].as_py() is None
                 for k in range(a, a + n):
                     name, opens = STATES[states[k]]
+                    off = cuts[k] if opens and 0 < spoken[k] < 4 and ROLES[spoken[k] - 1] == name else 0
                     if opens:
                         text.append(("" if first else END) + OPEN.format(name))
                         opened += 1
-                    else:
-                        text.append("\n")
+                    if not off or off < len(line[k]):
+                        text.append("\n" + line[k][off:])
                     first = False
-                    text.append(bare[k])
                     roles.append(name[0].upper() if opens else name[0])
                     wrong += role[k] != "" and role[k] != name
-                for column, v in zip(out, (key[a], seg[a], n, opened, "".join(roles), "".join(text), wrong)):
+                    if marks[k] is not None:
+                        lost += max(0, off - marks[k])
+                        left += max(0, marks[k] - off)
+                for column, v in zip(out, (n, opened, "".join(roles), "".join(text), wrong, lost, left)):
                     column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["key", "segment", "n_lines", "n_turns", "roles", "rendered", "wrong"])
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), _LONG, _LONG)
+            names = [*ids, "n_lines", "n_turns", "roles", "rendered", "wrong", "lost", "left"]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[start]) for c in columns), *(pa.array(c, k) for c, k in zip(out, kinds))], names)
 
-    ready = rows.join(met, ["key", "seg"], "left")
-    ready = ready.repartition(parts, "key", "seg").sortWithinPartitions(*order)
-    return ready.mapInArrow(render, "key long, segment long, n_lines int, n_turns int, roles string, rendered string, wrong int")
+    ready = deal(rows.join(met, ids), ids, order)
+    out = ready.mapInArrow(render, "key long, seg long, part long, n_lines int, n_turns int, roles string, rendered string, wrong int, lost long, left long")
+    return out.withColumnRenamed("seg", "segment")
 
 
 def lines_of(transcripts: DataFrame, key: str, text: str) -> DataFrame:
@@ -244,25 +312,49 @@ def lines_of(transcripts: DataFrame, key: str, text: str) -> DataFrame:
     return cut.select("key", F.col("ord").cast("long").alias("ord"), F.lit(0).alias("line_no"), "line")
 
 
-#: How transcripts name their speakers, by style.
-STYLES = (("System: ", "User: ", "Assistant: "), ("Context: ", "Human: ", "AI: "), ("### System\n", "### Prompt\n", "### Answer\n"), ("[sys] ", "Q: ", "A: "))
+#: How transcripts name their speakers, by style; the last two use words that no list above knows.
+STYLES = (
+    ("System: ", "User: ", "Assistant: "), ("Context: ", "Human: ", "AI: "), ("### System\n", "### Prompt\n", "### Answer\n"), ("[sys] ", "Q: ", "A: "),
+    ("Setting: ", "Client: ", "Helper: "), ("[note] ", "[me] ", "[you] "),
+)
 
 
 def transcribe(turns: DataFrame) -> DataFrame:
-    """Lines of raw transcripts from (conv_id, turn, role, text): one style a conversation, every fifth marker or so left out."""
+    """Lines of raw transcripts from (conv_id, turn, role, text): one style a conversation; of ten markers about two are left
+    out and one is damaged (its vowels are gone). mark: characters of the marker in the line."""
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
     marks = F.array(*[F.create_map(*[F.lit(x) for pair in zip(ROLES, s) for x in pair]) for s in STYLES])
-    bare = (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0) & (F.col("turn") > 0)
-    lead = F.when(bare, "").otherwise(F.coalesce(marks[style][F.col("role")], F.lit("")))
-    whole = F.concat(lead, F.coalesce("text", F.lit("")))
-    return turns.select(F.col("conv_id").alias("key"), F.col("turn").alias("ord"), "role", F.posexplode(F.split(whole, "\n", -1)).alias("line_no", "line"))
+    chance = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(10))
+    lead = F.coalesce(marks[style][F.col("role")], F.lit(""))
+    lead = F.when((chance < 2) & (F.col("turn") > 0), "").when(chance == 2, F.regexp_replace(lead, "[aeiouAEIOU]", "")).otherwise(lead)
+    whole = turns.withColumn("_lead", lead).select(
+        F.col("conv_id").alias("key"), F.col("turn").alias("ord"), "role", F.length(F.regexp_replace("_lead", "\n", "")).alias("_mark"),
+        F.posexplode(F.split(F.concat("_lead", F.coalesce("text", F.lit(""))), "\n", -1)).alias("line_no", "line"),
+    )
+    return whole.select("key", "ord", "role", "line_no", "line", F.when(F.col("line_no") == 0, F.col("_mark")).otherwise(0).alias("mark"))
+
+
+def held_out(key: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+
+
+def conversations(parsed: DataFrame) -> DataFrame:
+    """Of `parse`: one row a conversation. rendered_hash names its segments' texts and their places, so it changes with any
+    letter or order; it is an aggregate of two 64-bit hashes, and no conversation is gathered."""
+    one = lambda seed: F.bit_xor(F.xxhash64("segment", "part", F.sha2("rendered", 256), F.lit(seed)))
+    sums = [F.sum(F.col(c).cast("long")).alias(c) for c in ("n_lines", "n_turns", "wrong", "lost", "left")]
+    chars = (F.sum(F.length("rendered")) + len(END)).alias("rendered_chars")
+    out = parsed.groupBy("key").agg(*sums, chars, one(1).alias("_a"), one(2).alias("_b"))
+    return out.withColumn("rendered_hash", F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("_a", "_b")]))).drop("_a", "_b")
 
 
 def op9_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as a raw transcript, its roles recovered and its turns rendered anew."""
+    """Every conversation as a raw transcript, its roles recovered and its turns rendered anew. The model learns from the
+    conversations that are not held out; wrong, lost and left of the held-out ones are its errors."""
     lines = transcribe(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    out = parse(lines, train(lines))
-    return out.select(F.col("key").alias("conv_id"), "segment", "n_lines", "n_turns", "roles", F.sha2("rendered", 256).alias("rendered_sha256"), F.length("rendered").alias("rendered_chars"), "wrong")
+    model = train(lines.filter(~held_out(F.col("key"))))
+    out = conversations(parse(lines, model))
+    return out.select(F.col("key").alias("conv_id"), held_out(F.col("key")).alias("held_out"), *[c for c in out.columns if c != "key"])
 
 
 QUERIES = {"op9_chat_transcripts": op9_chat_transcripts}
