@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import components
+from tidemark.operators.joins import with_group
 from tidemark.tables import write_table
 
 
@@ -35,10 +36,9 @@ def match_histogram(similarities: DataFrame, column: str) -> DataFrame:
 
 
 def exact_groups(df: DataFrame, key: str, hashed: Column) -> DataFrame:
-    """Every row with the least key of its hash; a hot hash is one partial minimum a task."""
+    """Every row with the least key of its hash; the rows of a hot hash are spread over tasks."""
     rows = df.select(F.col(key).alias("key"), hashed.alias("h"))
-    first = rows.groupBy("h").agg(F.min("key").alias("first"))
-    return rows.join(first, "h").select(F.col("key").alias(key), "first")
+    return with_group(rows, "h", df.count(), first=F.min("key")).select(F.col("key").alias(key), "first")
 
 
 def shingles(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
