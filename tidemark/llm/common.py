@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.graph import components
+from tidemark.operators.joins import hot_keys, salted_join
 from tidemark.tables import drop_table, shared_dir, write_table
 
-__all__ = ["BATCH_ROWS", "components", "drop_table", "map_batches", "runs_of", "shared_dir", "table", "whole_groups", "write_table"]
+__all__ = ["BATCH_ROWS", "by_bytes", "components", "drop_table", "hot_keys", "map_batches", "runs_of", "salted_join", "shared_dir", "table", "whole_groups", "write_table"]
 
 #: Rows of one Arrow batch between the JVM and Python. Texts are processed whole, so this, times
 #: the length of a long text, bounds what a Python worker holds.
@@ -22,8 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_bytes(sizes: list[int], most: int = 2 << 20) -> list[slice]:
+    """Stretches of neighbours whose sizes sum up to about `most`; a larger one is alone."""
+    out, start, total = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > most:
+            out.append(slice(start, k))
+            start, total = k, 0
+        total += n
+    return [*out, slice(start, len(sizes))] if sizes else []
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str, setup: Callable | None = None) -> DataFrame:
-    """mapInArrow with a function of one batch. setup() runs once a task and its result is passed on."""
+    """mapInArrow with a function of one batch. setup() runs once a task and its result is passed on.
+
+    Spark reads the rows of a batch from a setting of the session when the job runs; it is set here.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches):

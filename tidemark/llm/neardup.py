@@ -11,8 +11,10 @@ candidates: each is held against the least id of its bucket and against its hub,
 most others over all its buckets (in a family of edited copies, the copy the others stem from), which
 is linear in the bucket; verified pairs (exact J_P of the texts) are links, and links make classes
 (connected components). Buckets that still hold several classes are then searched across classes in
-blocks of bounded size, longer signatures first, so no link is given up for the size of a bucket;
-a pair inside one class is never looked at, and only links that join two classes leave a block.
+blocks of bounded size, so no link is given up for the size of a bucket: J_P is at most the sum of the
+smaller shares, sum over d of min(a_d / |a|, b_d / |b|), so only pairs that reach the threshold there are
+computed; a pair inside one class is never looked at, and only links that join two classes leave a block.
+Joins on a band, a copy or an end that very many rows share are dealt to several tasks.
 
 Defined results: words are runs without ASCII white space, in lower case; a text of fewer words than a
 shingle is one shingle; a text without words equals only its copies; a null text is empty; rows of one
@@ -29,17 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BATCH_ROWS, components, map_batches, runs_of, table, whole_groups, write_table
+from tidemark.llm.common import BATCH_ROWS, by_bytes, components, drop_table, hot_keys, map_batches, runs_of, salted_join, table, whole_groups, write_table
 from tidemark.llm.phrases import mix
 from tidemark.llm.words import prefix, spans, stretch_hash
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SLOTS, BANDS = 64, 16
-#: Members of a block across classes (those outside the bucket's main class, all), and slots of its signatures.
-BLOCK, FINE_SLOTS = (256, 1024), 512
-#: Standard deviations of the estimate below the threshold at which a pair in a block is still verified.
-SLACK = 4.5
+#: Members of a block across classes: those outside the bucket's main class, all.
+BLOCK = (256, 1024)
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -121,7 +121,7 @@ def _sign(rows: DataFrame, width: int) -> DataFrame:
 
     def run(batch):
         texts = [t.lower().encode() for t in batch.column(2).to_pylist()]
-        marks, has = signatures(texts, SLOTS, width)
+        marks, has = (np.concatenate(x) for x in zip(*(signatures(texts[part], SLOTS, width) for part in by_bytes(list(map(len, texts))))))
         each = SLOTS // BANDS
         bands = np.zeros((len(texts), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
         for k in range(each):
@@ -138,50 +138,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     """The pairs (a, b) whose texts reach the threshold."""
 
     def run(batch):
-        known = lru_cache(maxsize=64)(lambda t: weighted(t, width))
-        ok = [similarity(known(x), weighted(y, width)) >= threshold - 1e-12 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        return batch.select([0, 1]).filter(pa.array(ok))
+        known = lru_cache(maxsize=16)(lambda t: weighted(t, width))
+        ok = [similarity(known(x), weighted(y, width)) >= threshold - 1e-12 for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        return batch.select([2, 3]).filter(pa.array(ok))
 
-    # One plan at every size: a broadcast of few pairs would hide what the join moves once there are many.
-    joined = pairs.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("body").alias("right")), "b").hint("merge").join(texts.select(F.col("id").alias("a"), F.col("body").alias("left")), "a")
-    return map_batches(joined.select("a", "b", "left", "right"), run, "a long, b long")
+    total = pairs.count()
+    hot = lambda end: hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), end, total)
+    # One plan at every size: a broadcast of few texts would hide what the join moves once there are many.
+    joined = salted_join(pairs, texts.select(F.col("id").alias("b"), F.col("body").alias("right")), "b", hot("b"), hint="merge", by=("a", "b"))
+    joined = salted_join(joined, texts.select(F.col("id").alias("a"), F.col("body").alias("left")), "a", hot("a"), hint="merge", by=("a", "b"))
+    return map_batches(joined.select("left", "right", "a", "b"), run, "a long, b long")
 
 
-def block_links(band: int, left: list, right: list, threshold: float, width: int) -> list[tuple[int, int]]:
-    """Links that join classes, between members (id, root, bands, text, in main class) of one bucket."""
-    weights: dict = {}
+class Shares:
+    """An inverted index of some texts' shingles: each text's share of each of its shingles."""
+
+    def __init__(self, bags: list):
+        h = np.concatenate([h for h, _ in bags])
+        share = np.concatenate([w / max(1, w.sum()) for _, w in bags])
+        text = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
+        order = np.argsort(h, kind="stable")
+        self.h, self.share, self.text, self.n = h[order], share[order], text[order], len(bags)
 
-    def bag(row):
-        if (row[0], row[3]) not in weights:
-            weights[row[0], row[3]] = weighted(row[3], width)
-        return weights[row[0], row[3]]
+    def bounds(self, bag: tuple) -> np.ndarray:
+        """For each text, the sum of the smaller shares: at least its similarity to the bag."""
+        h, w = bag
+        low, high = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+        many = high - low
+        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.bincount(self.text[at], np.minimum(self.share[at], np.repeat(w / max(1, w.sum()), many)), self.n)
 
+
+def block_links(band: int, left: list, right: list, threshold: float, width: int) -> list[tuple[int, int]]:
+    """Links that join classes, between members (id, root, bands, text, in main class) of one bucket."""
     roots = {r: n for n, r in enumerate({row[1] for row in (*left, *right)})}
     label = np.arange(len(roots))
-    right_root = np.array([roots[r[1]] for r in right])
-    right_id, right_main = np.array([r[0] for r in right]), np.array([r[4] for r in right])
-    right_bands = np.array([r[2] for r in right])
-    large = len(left) * len(right) > 64
-    if large:
-        sign = lambda rows: np.concatenate([signatures([r[3].lower().encode() for r in rows[k : k + 512]], FINE_SLOTS, width)[0] for k in range(0, len(rows), 512)])
-        left_marks, right_marks = sign(left), sign(right)
-        least = threshold - SLACK * (threshold * (1 - threshold) / FINE_SLOTS) ** 0.5
     out = []
-    for n, row in enumerate(left):
-        # A pair of the outer members is looked at once, and in the first bucket that both share.
-        on = (right_main | (right_id > row[0])) & (label[right_root] != label[roots[row[1]]])
-        same = right_bands == np.array(row[2])
-        on &= np.array(row[2])[same.argmax(1)] == band
-        at = np.flatnonzero(on)
-        if large and len(at):
-            share = (right_marks[at] == left_marks[n]).mean(1)
-            order = np.argsort(-share, kind="stable")
-            at = at[order[: np.count_nonzero(share >= least)]]
-        for j in at.tolist():
-            a, b = label[roots[row[1]]], label[right_root[j]]
-            if a != b and similarity(bag(row), bag(right[j])) >= threshold - 1e-12:
-                label[label == b] = a
-                out.append((row[0], right[j][0]))
+    for part in by_bytes([len(r[3]) for r in right]):
+        some = right[part]
+        root = np.array([roots[r[1]] for r in some])
+        ids, main, bands = np.array([r[0] for r in some]), np.array([r[4] for r in some]), np.array([r[2] for r in some])
+        bags = [weighted(r[3], width) for r in some]
+        index = Shares(bags)
+        for row in left:
+            # A pair of the outer members is looked at once, and in the first bucket that both share.
+            own = np.array(row[2])
+            same = bands == own
+            on = (main | (ids > row[0])) & (label[root] != label[roots[row[1]]]) & (own[same.argmax(1)] == band)
+            if not on.any():
+                continue
+            bag = weighted(row[3], width)
+            most = index.bounds(bag)
+            on &= most >= threshold - 1e-9
+            for j in sorted(np.flatnonzero(on).tolist(), key=lambda j: -most[j]):
+                a, b = label[roots[row[1]]], label[root[j]]
+                if a != b and similarity(bag, bags[j]) >= threshold - 1e-12:
+                    label[label == b] = a
+                    out.append((row[0], some[j][0]))
     return out
 
 
@@ -189,8 +202,9 @@ def _across(mixed: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     """Links (a, b) between classes of one bucket; mixed: (band, id, root) of the buckets that hold several."""
     spark = mixed.sparkSession
     sizes = mixed.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("n"))
+    hot = hot_keys(sizes, "band", mixed.count())
     sizes = sizes.select("band", F.col("m.root").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / BLOCK[0]).cast("int").alias("nu"), F.ceil(F.col("n") / BLOCK[1]).cast("int").alias("nv"))
-    rows = mixed.join(sizes, "band").join(texts, "id").withColumn("in_main", F.col("root") == F.col("main"))
+    rows = salted_join(mixed, sizes, "band", hot).join(texts, "id").withColumn("in_main", F.col("root") == F.col("main"))
     number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["band", "u", "v", "side", "id", "root", "bands", "body", "in_main"]
@@ -221,38 +235,39 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """One row per row of docs: key, class_id (the least key of its class), duplicate (not that key)."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("copy", F.sha2("body", 256))
     signed = write_table(_sign(rows.filter("id is not null"), width), "signed")
-    reps = write_table(signed.groupBy("copy").agg(F.min(F.struct("id", "bands")).alias("r")).select("copy", "r.*"), "reps")
+    reps = write_table(signed.groupBy("copy").agg(F.min(F.struct("id", "bands")).alias("r"), F.count("*").alias("n")).select("copy", "r.*", "n"), "reps")
     dealt = reps.select("id", F.explode("bands").alias("band"))
+    # Members of buckets of several: with the bucket's size, then with its least id and its hub.
     buckets = dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    member = write_table(dealt.join(buckets, "band"), "member")
-    met = member.groupBy("id").agg(F.sum("n").alias("met"))
-    member = member.join(met, "id")
-    ends = member.groupBy("band").agg(F.min("id").alias("low"), F.max(F.struct("met", (-F.col("id")).alias("i"))).alias("hub"))
-    ends = ends.select("band", F.array_distinct(F.array("low", -F.col("hub.i"))).alias("ends"))
-    member = write_table(member.join(ends, "band").select("band", "id", "ends"), "member")
+    sized = write_table(salted_join(dealt, buckets, "band", hot_keys(buckets, "band", reps.count() * BANDS)), "member")
+    met = sized.groupBy("id").agg(F.sum("n").alias("met"))
+    ends = sized.join(met, "id").groupBy("band").agg(F.min("id").alias("low"), F.max(F.struct("met", (-F.col("id")).alias("i"))).alias("hub"), F.count("*").alias("n"))
+    total = sized.count()
+    both = ends.select("band", F.array_distinct(F.array("low", -F.col("hub.i"))).alias("ends"))
+    member = write_table(salted_join(sized.select("band", "id"), both, "band", hot_keys(ends, "band", total)), "member")
     pairs = member.select("id", F.explode("ends").alias("end")).filter("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
+    pairs = write_table(pairs, "pairs")
     texts = rows.join(member.select("id").distinct().hint("merge"), "id").select("id", "copy", "body").dropDuplicates(["id", "copy"])
     texts = write_table(texts, "texts")
-    copies = signed.join(reps.select("copy", F.col("id").alias("rep")), "copy").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = write_table(_verify(pairs, texts, threshold, width), "links")
     roots = write_table(components(links), "roots")
     # Across classes: what the ends of a bucket did not tie together.
-    rooted = member.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    several = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band")
-    mixed = write_table(rooted.join(several, "band"), "mixed")
+    rooted = member.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 < r1")
+    mixed = write_table(salted_join(rooted, several.select("band"), "band", hot_keys(several, "band", total)), "mixed")
     more = write_table(_across(mixed, texts.join(reps.select("copy", "bands"), "copy").select("id", "body", "bands"), threshold, width), "links")
-    if more.isEmpty():
-        found = roots
-    else:
-        ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        over = write_table(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "over")
-        merged = roots.select("node", F.col("root").alias("old")).join(over.select(F.col("node").alias("old"), "root"), "old", "left").select("node", F.coalesce("root", "old").alias("root"))
-        lone = over.join(roots.select("node"), "node", "left_anti").select("node", "root")
-        found = write_table(merged.unionByName(lone), "roots")
+    drop_table(sized, member, pairs, texts, links, mixed)
+    ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    over = write_table(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "over")
+    merged = roots.select("node", F.col("root").alias("old")).join(over.select(F.col("node").alias("old"), "root"), "old", "left").select("node", F.coalesce("root", "old").alias("root"))
+    lone = over.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    found = write_table(merged.unionByName(lone), "roots")
     # A document's class: that of its text's representative; rows of one key share one even if their texts differ.
-    own = copies.join(found.select(F.col("node").alias("b"), "root"), "b", "left").select("a", F.coalesce("root", "b").alias("root"))
-    own = own.groupBy("a").agg(F.min("root").alias("root"))
-    out = rows.select("id").join(own, F.col("id") == F.col("a"), "left")
+    named = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("copy", F.coalesce("root", "id").alias("root"))
+    own = salted_join(signed.select("id", "copy"), named, "copy", hot_keys(reps, "copy", signed.count())).groupBy("id").agg(F.min("root").alias("root"))
+    own = write_table(own, "classes")
+    drop_table(signed, reps, roots, more, over, found)
+    out = rows.select("id").join(own.withColumnRenamed("id", "a"), F.col("id") == F.col("a"), "left")
     return out.select(F.col("id").alias(key), F.col("root").alias("class_id"), (F.col("id").isNotNull() & (F.col("root") < F.col("id"))).alias("duplicate"))
 
 
