@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import public_tokenizers
@@ -52,6 +53,46 @@ def test_equals_a_replay(spark, tmp_path):
     assert set(again.batches()) == {"one", "two", "three", "four"} and totals(again) == totals(r)
 
 
+def _insert(doc, n=3):
+    return ("insert", doc, "t", "a", "x", n, n, 0)
+
+
+def test_a_batch_reads_the_buckets_it_changes(spark, tmp_path):
+    r = rollup.Rollup(spark, str(tmp_path), buckets=16)
+    r.apply("load", spark.createDataFrame([_insert(k) for k in range(200)], SCHEMA))
+    old = r.changed(spark.createDataFrame([(5,)], "doc_id long"))
+    [scan] = re.findall(r"FileScan parquet .*", old._jdf.queryExecution().sparkPlan().toString())
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN \(\d+\)|= \d+)", scan)  # one of 16
+    assert [x.doc_id for x in old.collect()] == [5]
+
+
+def test_compaction_changes_no_result(spark, tmp_path):
+    r = rollup.Rollup(spark, str(tmp_path), buckets=4)
+    r.compact()
+    r.apply("one", spark.createDataFrame([_insert(k) for k in range(9)], SCHEMA))
+    r.apply("two", spark.createDataFrame([("delete", 3, "t", None, None, 0, 0, 0), ("revise", 4, "t", "b", "x", 7, 7, 0)], SCHEMA))
+    before, counts = totals(r), sorted(r.counts().collect())
+    r.compact()
+    assert totals(r) == before and sorted(r.counts().collect()) == counts and r._folders()[0][0].startswith("base-") and len(r._folders()[0]) == 1
+    assert not r.apply("one", spark.createDataFrame([_insert(50)], SCHEMA))
+    r.apply("three", spark.createDataFrame([("delete", 4, "t", None, None, 0, 0, 0), _insert(3, 5)], SCHEMA))
+    assert totals(r) == {("a", "x", "t"): (8, 7 * 3 + 5, 7 * 3 + 5)}
+    assert totals(rollup.Rollup(spark, str(tmp_path), buckets=4)) == totals(r)
+
+
+def test_a_writer_that_lost_its_claim_is_not_seen(spark, tmp_path, monkeypatch):
+    """Two interleaved writers: one pauses between claim and rename, its claim is given away, and it wakes."""
+    slow, fast = rollup.Rollup(spark, str(tmp_path)), rollup.Rollup(spark, str(tmp_path))
+    one, two = (spark.createDataFrame([_insert(k)], SCHEMA) for k in (1, 2))
+    monkeypatch.setattr(rollup, "STALE", -1)
+    slow._write(f"{slow.path}/_work-{'a' * 32}", 1, one)
+    assert slow._claim(1, "a" * 32)
+    assert not fast._claim(1, "b" * 32) and fast.apply("fast", two)
+    assert slow._fs.rename(slow._at(f"{slow.path}/_work-{'a' * 32}"), slow._at(f"{slow.path}/batch-00000001-{'a' * 32}-slow"))
+    assert slow.batches() == fast.batches() == {"fast": 1} and totals(slow) == {("a", "x", "t"): (1, 3, 3)}
+    assert slow.apply("slow", one) and totals(fast) == {("a", "x", "t"): (2, 6, 6)}
+
+
 def test_nulls_and_a_failed_batch(spark, tmp_path):
     r = rollup.Rollup(spark, str(tmp_path))
     rows = [("insert", 1, "t", None, None, None, 4, 0), ("insert", 2, "t", None, None, 3, 4, 0), ("other", 3, "t", "a", "x", 1, 1, 0)]
