@@ -73,3 +73,90 @@ def test_vbri_table():
     s = mpeg.read(data)
     assert (s.table, s.table_bytes, s.table_frames, s.seek_points, len(s.headers)) == ("VBRI", 5000, 12, [200, 600, 1200], 3)
     assert s.duration == (3 * 1152, 44100)
+
+
+def bitwise(bits):
+    c = 0xFFFF
+    for bit in bits:
+        top = (c >> 15) ^ bit
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
+
+
+def as_bits(data):
+    return [b >> (7 - k) & 1 for b in data for k in range(8)]
+
+
+def framed(four, body, covered):
+    """A protected frame: header, checksum over the header's last two bytes and the `covered` first bits of the body."""
+    c = bitwise(as_bits(four[2:4]) + as_bits(body)[:covered])
+    frame = four + c.to_bytes(2, "big") + body
+    return frame.ljust(mpeg.header(four).length, b"\0")
+
+
+def test_checksums_of_layers_one_and_two():
+    rng = random.Random(5)
+    # Layer I, 32 kbit/s, 44.1 kHz, mono: 32 allocations of 4 bits; stereo: 64; joint with bound 8: 8 * 2 + 24.
+    for mode, covered in ((0xC0, 128), (0x00, 256), (0x50, 160)):
+        four = bytes((0xFF, 0xFE, 0x50, mode))
+        frame = framed(four, bytes(rng.randrange(256) for _ in range(40)), covered)
+        s = mpeg.read(frame * 3)
+        assert s.crc_ok == [True] * 3 and s.samples == 3 * 384
+        assert mpeg.read(frame[:8] + bytes((frame[8] ^ 8,)) + frame[9:] + frame * 2).crc_ok == [False, True, True]
+    # Layer II, 64 kbit/s, 48 kHz, mono (table a): 11 * 4 + 12 * 3 + 4 * 2 = 88 bits, then 2 for each band that is used.
+    four = bytes((0xFF, 0xFC, 0x44, 0xC0))
+    empty = framed(four, bytes(60), 88)
+    used = framed(four, b"\x10\x20" + bytes(58), 88 + 2 * 2)
+    assert mpeg.read(empty + used * 2).crc_ok == [True] * 3
+    # Table d (32 kHz, 32 kbit/s): 2 * 4 + 10 * 3 = 38 bits; MPEG-2: 4 * 4 + 7 * 3 + 19 * 2 = 75 bits; a stereo band counts twice.
+    assert mpeg.read(framed(bytes((0xFF, 0xFC, 0x18, 0xC0)), bytes(30), 38) * 2).crc_ok == [True] * 2
+    assert mpeg.read(framed(bytes((0xFF, 0xF4, 0x84, 0xC0)), bytes(30), 75) * 2).crc_ok == [True] * 2
+    assert mpeg.read(framed(bytes((0xFF, 0xFC, 0x84, 0x00)), b"\x11" + bytes(60), 2 * 88 + 2 * 2) * 2).crc_ok == [True] * 2
+
+
+def test_rates_that_change_and_exact_durations():
+    a, b = bytes((0xFF, 0xFB, 0x90, 0x00)).ljust(417, b"\0"), bytes((0xFF, 0xFB, 0x94, 0x00)).ljust(384, b"\0")
+    s = mpeg.read(a * 3 + b * 3)
+    assert (len(s.headers), s.skipped, s.resyncs) == (6, 0, 0)
+    assert s.duration[0] * 44100 * 48000 == s.duration[1] * (3 * 1152 * 48000 + 3 * 1152 * 44100)
+    assert s.offsets == [0, 417, 834, 1251, 1635, 2019]
+
+
+def test_free_format():
+    four = bytes((0xFF, 0xFB, 0x00, 0x00))
+    padded_four = bytes((0xFF, 0xFB, 0x02, 0x00))
+    data = four.ljust(700, b"\1") + padded_four.ljust(701, b"\1") + four.ljust(700, b"\1")
+    s = mpeg.read(data)
+    assert s.offsets == [0, 700, 1401] and s.skipped == 0 and s.headers[0].bitrate == 700 * 8 * 44100 // 1152
+    assert mpeg.read(four.ljust(700, b"\1")).headers == []
+
+
+def tag(major, flags, body):
+    n = len(body)
+    return b"ID3" + bytes((major, 0, flags, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127)) + body
+
+
+def test_tags_of_all_versions():
+    frame = bytes((0xFF, 0xFB, 0x90, 0x00)).ljust(417, b"\0") * 2
+    read = lambda t: (lambda s: (s.tags, s.offsets, s.skipped))(mpeg.read(t + frame))
+    two = b"TT2" + (6).to_bytes(3, "big") + b"\0title" + b"TXX" + (5).to_bytes(3, "big") + b"\0k\0vv"
+    t = tag(2, 0, two)
+    assert read(t) == ({"TT2": "title", "k": "vv"}, [len(t), len(t) + 417], 0)
+    three = b"TIT2" + (6).to_bytes(4, "big") + b"\0\0" + b"\0title"
+    assert read(tag(3, 0x40, (6).to_bytes(4, "big") + bytes(6) + three))[0] == {"TIT2": "title"}
+    wide = b"\1" + "\ufeffaÿb".encode("utf-16-le")
+    loose = b"TIT2" + len(wide).to_bytes(4, "big") + b"\0\0" + wide
+    assert read(tag(3, 0x80, loose.replace(b"\xff", b"\xff\0")))[0] == {"TIT2": "aÿb"}
+    four = b"TIT2" + bytes((0, 0, 0, 6)) + b"\0\0" + b"\3title"
+    assert read(tag(4, 0x40, bytes((0, 0, 0, 6, 1, 0)) + four))[0] == {"TIT2": "title"}
+    secret = b"TPE1" + bytes((0, 0, 0, 3)) + b"\0\x04" + b"\3xx"
+    assert read(tag(4, 0, secret + four + bytes(20)))[0] == {"TIT2": "title"}
+    assert read(tag(4, 0x10, four) + b"3DI" + bytes(7))[2] == 0
+
+
+def test_repeated_rows_and_a_very_long_text(spark):
+    body = "lörem ipsum " * 100_000
+    df = spark.createDataFrame([(1, body), (1, body), (2, "")], "doc_id long, text string")
+    out = mpeg.digest(mpeg.parse(mpeg.store(df))).collect()
+    want = padded(body.encode())
+    assert sorted((r.doc_id, r.payload_sha256) for r in out)[:2] == [(1, hashlib.sha256(want).hexdigest())] * 2 and len(out) == 3

@@ -1,18 +1,20 @@
 """Media columns: MPEG audio streams as binary values, written and read whole.
 
-The reader walks a stream frame by frame: it skips ID3v2 and reads its text frames, finds frame
-headers (MPEG-1, 2 and 2.5, layers I to III), and where one is broken searches on for the next header
-whose own frame is followed by another header, a tag or the end. It reads a Xing, Info or VBRI table,
-verifies the CRC-16 of protected frames, and returns exact durations (samples over sample rate) and
-the offset of every frame.
+The reader walks a stream frame by frame: it skips ID3v2 (2.2 to 2.4, with extended headers and
+unsynchronisation) and reads its text frames, finds frame headers (MPEG-1, 2 and 2.5, layers I to III, free
+format too), and where one is broken searches on for the next header whose own frame is followed by another
+header, a tag or the end. It reads a Xing, Info or VBRI table, verifies the CRC-16 of protected frames of
+all layers, and returns exact durations (samples over sample rate, summed by rate) and the offset of
+every frame.
 
 The writer stores bytes losslessly in a valid stream: MPEG-2 layer III frames of 576 samples of
 silence (no main data, so the standard leaves the rest of the frame to ancillary data) carry 576
 bytes each, protected by CRC, behind an ID3v2 tag with the byte count and an Info table.
 
 Defined results: a null value reads as an empty stream (no frames, duration 0); bytes that are no
-frame are counted as skipped; a free-format header (bit rate 0) is not taken for a frame; a damaged
-frame is returned with crc false, its bytes as they stand. Other columns are never read.
+frame are counted as skipped; a free-format header (bit rate 0) counts where a second one of its kind
+follows, whose distance is its length; a damaged frame is returned with crc false, its bytes as they
+stand; equal rows are read each. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import functools
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,8 @@ class Header:
     length: int
     samples: int
     side: int  # bytes of layer III side information
+    mode: int  # channel mode and its extension, four bits
+    padding: int
 
     @property
     def body(self) -> int:
@@ -74,15 +78,17 @@ def header(four: bytes) -> Header | None:
         return None
     version, layer = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3)
     index, rate = four[2] >> 4, four[2] >> 2 & 3
-    if version == 1 or layer == 4 or index in (0, 15) or rate == 3 or four[3] & 3 == 2:
+    if version == 1 or layer == 4 or index == 15 or rate == 3 or four[3] & 3 == 2:
         return None
     one, padding = version == 3, four[2] >> 1 & 1
-    bitrate, hertz = BITRATES[one, layer][index - 1] * 1000, RATES[version][rate]
+    bitrate, hertz = BITRATES[one, layer][index - 1] * 1000 if index else 0, RATES[version][rate]
     samples = 384 if layer == 1 else 1152 if layer == 2 or one else 576
     length = (12 * bitrate // hertz + padding) * 4 if layer == 1 else samples // 8 * bitrate // hertz + padding
+    if not index:
+        length = 0  # free format: the stream tells
     mono = four[3] >> 6 == 3
     side = 0 if layer != 3 else (17 if mono else 32) if one else (9 if mono else 17)
-    return Header(version, layer, not four[1] & 1, bitrate, hertz, 2 - mono, length, samples, side)
+    return Header(version, layer, not four[1] & 1, bitrate, hertz, 2 - mono, length, samples, side, four[3] >> 4, padding * (4 if layer == 1 else 1))
 
 
 def _crc_table() -> tuple[int, ...]:
@@ -106,6 +112,67 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def _crc_bits(data: bytes, bits: int, c: int) -> int:
+    """The CRC of the first `bits` bits of data, carried on from c."""
+    for b in data[: bits >> 3]:
+        c = (c << 8 & 0xFFFF) ^ _CRC[c >> 8 ^ b]
+    for k in range(bits & 7):
+        bit = data[bits >> 3] >> (7 - k) & 1
+        c = (c << 1 ^ 0x8005) & 0xFFFF if (c >> 15) ^ bit else c << 1 & 0xFFFF
+    return c
+
+
+#: Fixed values of the standard: bits of a layer II allocation as (subbands, bits), by table; the last is that of MPEG-2.
+ALLOCATIONS = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
+
+
+def _allocation(h: Header) -> tuple[int, ...]:
+    """Bits of each subband's allocation in layer II."""
+    each = h.bitrate // h.channels
+    if h.version != 3:
+        name = "lsf"
+    elif 0 < each <= 48000:
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "a" if each and each <= 80000 or h.rate == 48000 else "b"
+    return tuple(bits for many, bits in ALLOCATIONS[name] for _ in range(many))
+
+
+def protected_bits(h: Header, body: bytes) -> int:
+    """How many bits behind the checksum it covers (body begins there)."""
+    if h.layer == 3:
+        return 8 * h.side
+    bound = 0 if h.channels == 1 else 4 * (h.mode & 3) + 4 if h.mode >> 2 == 1 else 32
+    if h.layer == 1:
+        return 4 * (32 + min(bound, 32))
+    bits = _allocation(h)
+    word, total, at = int.from_bytes(body, "big"), 8 * len(body), 0
+    used = 0
+    for band, n in enumerate(bits):
+        for _ in range(2 if band < bound else 1):
+            value = word >> max(0, total - at - n) & ((1 << n) - 1)
+            at += n
+            # A band above the bound is coded once for both channels, whose scale factors are chosen apart.
+            used += (value != 0) * (2 if bound <= band and h.channels == 2 else 1)
+    return at + 2 * used
+
+
+def crc_holds(h: Header, data: bytes, at: int) -> bool | None:
+    """Whether the checksum of the frame at `at` is that of its bytes; None where it has none."""
+    if not h.protected:
+        return None
+    want = data[at + 4] << 8 | data[at + 5]
+    if h.layer == 3:
+        return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == want
+    body = data[at + 6 : at + 6 + 48]  # more than any allocation takes
+    bits = protected_bits(h, body)
+    return bits <= 8 * len(body) and _crc_bits(body, bits, _crc_bits(data[at + 2 : at + 4], 16, 0xFFFF)) == want
+
+
+#: Parts of a second that every sample rate divides.
+FLICKS = 705_600_000
+
+
 @dataclass
 class Stream:
     tags: dict = field(default_factory=dict)
@@ -123,10 +190,16 @@ class Stream:
     def samples(self) -> int:
         return sum(h.samples for h in self.headers)
 
+    @property
+    def flicks(self) -> int:
+        """The exact duration in 1 / FLICKS seconds, each frame at its own rate."""
+        return sum(h.samples * (FLICKS // h.rate) for h in self.headers)
+
     @property
     def duration(self) -> tuple[int, int]:
-        """Samples and their rate: exact seconds as a fraction (of the first frame's rate)."""
-        return self.samples, self.headers[0].rate if self.headers else 0
+        """Exact seconds as a fraction: samples over their rate, or flicks where the rate changes."""
+        rates = {h.rate for h in self.headers}
+        return (self.flicks, FLICKS) if len(rates) > 1 else (self.samples, *rates) if rates else (0, 0)
 
 
 def _syncsafe(four: bytes) -> int:
@@ -134,29 +207,70 @@ def _syncsafe(four: bytes) -> int:
 
 
 def _id3v2(data: bytes, at: int) -> tuple[int, dict]:
-    """End of the tag at `at`, and its text frames (TXXX by its description)."""
+    """End of the tag at `at`, and its text frames (user-defined ones by their description)."""
     major, flags = data[at + 3], data[at + 5]
-    end = min(len(data), at + 10 + _syncsafe(data[at + 6 : at + 10]) + 10 * (flags >> 4 & 1))
-    out, p = {}, at + 10
-    while p + 10 <= end and data[p : p + 4].isalnum():
-        name, raw = data[p : p + 4].decode("ascii"), data[p + 4 : p + 8]
+    end = min(len(data), at + 10 + _syncsafe(data[at + 6 : at + 10]))
+    body = data[at + 10 : end]
+    end = min(len(data), end + 10 * (major == 4 and flags >> 4 & 1))  # a footer
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    p = 0
+    if flags & 0x40 and major == 3:
+        p = 4 + int.from_bytes(body[:4], "big")
+    elif flags & 0x40 and major == 4:
+        p = _syncsafe(body[:4].ljust(4, b"\0"))
+    wide = 3 if major == 2 else 4
+    head = 6 if major == 2 else 10
+    out: dict = {}
+    while p + head <= len(body) and body[p : p + wide].isalnum():
+        name, raw = body[p : p + wide].decode("ascii"), body[p + wide : p + 2 * wide]
         size = _syncsafe(raw) if major == 4 else int.from_bytes(raw, "big")
-        body = data[p + 10 : min(end, p + 10 + size)]
-        if name[0] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace")
-            if name == "TXXX":
+        part, form = body[p + head : p + head + size], body[p + 9] if major > 2 else 0
+        p += head + size
+        if major == 3 and form & 0xC0 or major == 4 and form & 0x0C:
+            continue  # compressed or encrypted
+        part = part[(1 if form & 0x20 and major == 3 or form & 0x40 and major == 4 else 0) + (4 if form & 1 and major == 4 else 0) :]
+        if major == 4 and (form & 2 or flags & 0x80):
+            part = part.replace(b"\xff\0", b"\xff")
+        if name[0] == "T" and part:
+            text = part[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(part[0], "utf-8"), "replace")
+            if name in ("TXXX", "TXX"):
                 name, _, text = text.partition("\0")
+                text = text.removeprefix("\ufeff")
             out[name] = text.rstrip("\0")
-        p += 10 + size
     return end, out
 
 
-def _follows(data: bytes, at: int, kind: tuple) -> bool:
-    """Is a frame of this kind, a tag, or the end at `at`?"""
-    if at == len(data) or data[at : at + 3] in (b"TAG", b"ID3"):
+def _ends(data: bytes, at: int) -> bool:
+    return at == len(data) or data[at : at + 3] in (b"TAG", b"ID3")
+
+
+def _follows(data: bytes, at: int, kind: tuple, free: dict, change: bool) -> bool:
+    """Is a frame of this kind, a tag, or the end at `at`? With change, also a frame of another kind that is itself so followed."""
+    if _ends(data, at):
         return True
     h = header(data[at : at + 4])
-    return h is not None and h.kind == kind
+    if h is None:
+        return False
+    if h.kind == kind:
+        return True
+    n = h.length or (free[h.kind] + h.padding if h.kind in free else 0)
+    return change and n > 0 and at + n <= len(data) and _follows(data, at + n, h.kind, free, False)
+
+
+def _free_length(data: bytes, at: int, h: Header) -> int:
+    """Length without padding of free-format frames like the one at `at`: the distance to the next like it, whose own frame ends the same way; 0 if there is none."""
+    p = at + 4 + h.side
+    while (p := data.find(data[at : at + 2], p + 1)) >= 0:
+        n = header(data[p : p + 4])
+        if n is None or n.length or n.kind != h.kind:
+            continue
+        length = p - at - h.padding
+        after = p + length + n.padding
+        third = header(data[after : after + 4])
+        if _ends(data, after) or third is not None and not third.length and third.kind == h.kind:
+            return length
+    return 0
 
 
 def _rate_table(data: bytes, at: int, h: Header, out: Stream) -> bool:
@@ -190,17 +304,21 @@ def _rate_table(data: bytes, at: int, h: Header, out: Stream) -> bool:
 def read(data: bytes | None) -> Stream:
     out, at, lost = Stream(), 0, False
     data = data or b""
+    free: dict = {}
     while at < len(data):
         h = header(data[at : at + 4])
-        if h is not None and at + h.length <= len(data) and _follows(data, at + h.length, h.kind):
+        if h is not None and not h.length:
+            if h.kind not in free and (n := _free_length(data, at, h)):
+                free[h.kind] = n
+            n = free.get(h.kind, 0) + h.padding
+            h = replace(h, length=n, bitrate=n * 8 * h.rate // h.samples) if h.kind in free else None
+        # In step with a stream a frame of another kind may follow; behind junk only one of its own.
+        if h is not None and at + h.length <= len(data) and _follows(data, at + h.length, h.kind, free, not lost):
             lost = False
             if out.headers or out.table or not _rate_table(data, at, h, out):
                 out.offsets.append(at)
                 out.headers.append(h)
-                ok = None
-                if h.protected and h.layer == 3:
-                    ok = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == data[at + 4] << 8 | data[at + 5]
-                out.crc_ok.append(ok)
+                out.crc_ok.append(crc_holds(h, data, at))
             at += h.length
             continue
         if data[at : at + 3] == b"ID3" and at + 10 <= len(data) and max(data[at + 6 : at + 10]) < 128:
@@ -275,7 +393,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 READ = (
-    "media_bytes long, tags map<string,string>, rate_table string, frames int, samples long, sample_rate int, crc_checked int, crc_ok int, "
+    "media_bytes long, tags map<string,string>, rate_table string, frames int, samples long, sample_rate int, duration_flicks long, crc_checked int, crc_ok int, "
     "resyncs int, skipped long, offsets array<long>, seek_points array<long>, payload binary"
 )
 
@@ -288,12 +406,12 @@ def parse(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataF
         for data in batch.column(1).to_pylist():
             s = read(data)
             checked = [c for c in s.crc_ok if c is not None]
-            samples, rate = s.duration
+            rate = s.headers[0].rate if s.headers else 0
             rows.append(
-                (len(data or b""), list(s.tags.items()), s.table, len(s.headers), samples, rate, len(checked), sum(checked), s.resyncs, s.skipped, s.offsets, s.seek_points, payload_of(data or b"", s))
+                (len(data or b""), list(s.tags.items()), s.table, len(s.headers), s.samples, rate, s.flicks, len(checked), sum(checked), s.resyncs, s.skipped, s.offsets, s.seek_points, payload_of(data or b"", s))
             )
         i32, i64 = pa.int32(), pa.int64()
-        kinds = (i64, pa.map_(pa.string(), pa.string()), pa.string(), i32, i64, i32, i32, i32, i32, i64, pa.list_(i64), pa.list_(i64), pa.binary())
+        kinds = (i64, pa.map_(pa.string(), pa.string()), pa.string(), i32, i64, i32, i64, i32, i32, i32, i64, pa.list_(i64), pa.list_(i64), pa.binary())
         names = ["key", "media", *(x.split()[0] for x in READ.split(", "))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
