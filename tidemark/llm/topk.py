@@ -6,9 +6,11 @@ and its distance from it; a pivot's vectors are cut into annuli of similar count
 inequality a query at distance dq from a pivot is at least dq - d_max or d_min - dq from all of an
 annulus, which bounds every score there. A query visits annuli in the order of that bound, in three
 rounds, and stops where no bound reaches its k-th best score so far; equal bounds are visited, for ties.
+A round moves only the blocks of vectors that some query visits.
 
 Every vector is indexed and the answer is exact; only the pivots come from a bounded sample (`sample`
-vectors of least hash). Equal vectors are folded first and keep their k + 1 least ids: more can never
+vectors of least hash). Pivots and annuli grow with the vectors, to a catalogue that each task can hold
+(an eighth of the sample times MOST_ANNULI); beyond it annuli are searched in more blocks. Equal vectors are folded first and keep their k + 1 least ids: more can never
 be among k answers. An annulus is searched in blocks of at most about `block` vectors against as many
 queries, so neither a common vector nor a common query gathers in one task.
 
@@ -25,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, table, write_table
+from tidemark.llm.common import drop_table, map_batches, table, write_table
 
-PIVOTS, ANNULI, SAMPLE, BLOCK = 32, 4, 2048, 2048
+SAMPLE, BLOCK = 2048, 2048
+LEAST_ANNULI, MOST_ANNULI = 4, 64
 #: Annuli visited in the first rounds; the last round takes what the bounds leave.
 ROUNDS = (2, 8)
 SCALE = 256
@@ -47,6 +50,12 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
     return out
 
 
+def layout(count: int, sample: int = SAMPLE, block: int = BLOCK) -> tuple[int, int]:
+    """Pivots and annuli a pivot for so many vectors."""
+    pivots = max(1, min(sample // 8, round(count**0.5 / 3)))
+    return pivots, min(MOST_ANNULI, max(LEAST_ANNULI, -(-count // (pivots * block))))
+
+
 class Space:
     """The augmented space: pivots, the common squared norm, and the distances to the pivots."""
 
@@ -107,8 +116,8 @@ def _best(scores: np.ndarray, ids: list, first: np.ndarray, k: int) -> list[tupl
     return sorted(out, key=lambda x: (-x[0], x[1]))[:k]
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int, pivots: int = PIVOTS, annuli: int = ANNULI, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, id, score: the k best rows for each query; both sides are (id, v) of `quantised`."""
+def search(queries: DataFrame, rows: DataFrame, k: int, pivots: int | None = None, annuli: int | None = None, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, id, score: the k best rows for each query; both sides are (id, v) of `quantised`. Without pivots or annuli, as many as `layout` says."""
     spark = rows.sparkSession
     more = k + 1
     order = Window.partitionBy("v").orderBy("id")
@@ -120,6 +129,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int, pivots: int = PIVOTS, an
     empty = "query_id long, rank int, id long, score long"
     if not count:
         return spark.createDataFrame([], empty)
+    fit = layout(count, sample, block)
+    pivots, annuli = pivots or fit[0], annuli or fit[1]
     picked = [r.v for r in folded.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(sample).collect()]  # bounded: the sample
     space = spark.sparkContext.broadcast(Space(picked, width, float(facts[1]), pivots))
 
@@ -142,7 +153,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int, pivots: int = PIVOTS, an
     asked = write_table(asked, "asked")
     distinct = write_table(asked.select("q", "qv").distinct(), "queries")
     chunks = max(1, -(-distinct.count() // block))
-    blocks = salted.select("cell", "salt", "v", "ids", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    salted = salted.select("cell", "salt", "v", "ids")
     best = distinct.select("q", "qv", F.lit(None).cast("array<struct<s:long,i:long>>").alias("top"))
     start = 0
     for stop in (*ROUNDS, len(cells)):
@@ -172,7 +183,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int, pivots: int = PIVOTS, an
                 )
 
         visits = map_batches(best.select("q", "qv", "top"), visit, "cell int, salt int, q long, qv array<long>, kth long")
-        visits = visits.withColumn("chunk", F.pmod("q", F.lit(chunks)).cast("int"))
+        visits = write_table(visits.withColumn("chunk", F.pmod("q", F.lit(chunks)).cast("int")), "visits")
+        blocks = salted.join(visits.select("cell", "salt", F.col("chunk").alias("part")).distinct().hint("merge"), ["cell", "salt"])
 
         def meet(left, right):
             out: list = [[], [], []]
@@ -186,11 +198,13 @@ def search(queries: DataFrame, rows: DataFrame, k: int, pivots: int = PIVOTS, an
                             out[0].append(q), out[1].append(score), out[2].append(i)
             return pa.table([pa.array(c, pa.int64()) for c in out], ["q", "score", "id"])
 
-        met = visits.groupBy("cell", "salt", "chunk").cogroup(blocks.groupBy("cell", "salt", "chunk")).applyInArrow(meet, "q long, score long, id long")
+        met = visits.groupBy("cell", "salt", "chunk").cogroup(blocks.groupBy("cell", "salt", "part")).applyInArrow(meet, "q long, score long, id long")
         found = met.select("q", F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")).alias("t"))
         old = best.filter("top is not null").select("q", F.explode("top").alias("t"))
         merged = found.union(old).groupBy("q").agg(F.slice(F.array_sort(F.collect_set("t")), 1, more).alias("top"))
+        before = best
         best = write_table(distinct.join(merged, "q", "left"), "best")
+        drop_table(visits, *([before] if start else []))
         start = stop
     answers = asked.join(best.select("q", F.col("qv").alias("bv"), "top"), "q").filter(F.col("qv") == F.col("bv"))
     own = F.slice(F.filter("top", lambda t: t["i"] != F.col("query_id")), 1, k)
