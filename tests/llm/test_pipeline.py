@@ -27,9 +27,19 @@ def test_stages_take_effect(spark, sf_dir):
 
 def test_odd_rows_pass_every_stage(spark, sf_dir):
     rows = [(None, "one two three four five six.", "en", None, 3, "x"), (2, None, None, "s", None, "x"), (3, "", "en", "s", 0, "x"), (3, "", "en", "s", 0, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _score string")
     for d in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:3]:
             out = stage(spark, d, sf_dir)
             assert out.columns == d.columns and out.count() <= d.count()
         assert corpus_pipeline.pack(spark, d, sf_dir).count() == d.count()
+
+
+def test_clashing_names(spark, sf_dir):
+    names = ["_score", "score", "key", "row", "block", "body", "tie", "keep0", "kept", "spans", "id", "copy", "label", "length", "ids"]
+    docs = spark.createDataFrame([(k, "one two three four five six. " * k, *names) for k in range(1, 5)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        now = stage(spark, now, sf_dir)
+        assert now.columns == docs.columns and all(list(r)[2:] == names for r in now.collect())
+    assert corpus_pipeline.pack(spark, docs, sf_dir).count() == 4

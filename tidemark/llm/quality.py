@@ -6,18 +6,21 @@ Forward-backward gives each line's marginal probability of good, and a document'
 mean, weighted by the lines' lengths.
 
 The field is fitted by L-BFGS on the driver, on the `sample` labelled documents whose ids hash
-lowest: a bounded sample, and a documented parameter. A label marks a document; its lines take it,
-and the chain learns from them how far a line speaks for its neighbours. Documents, labels and
-features of one Arrow batch are all that a worker holds; the sample's features are all the driver holds.
+lowest, of each at most `lines` lines in a row from a place its hash names: a bounded sample by two
+documented parameters; scoring reads every line. A label marks a document and its lines take it, so no
+change of label occurs in training: the transition weights learn how strongly a line speaks for its
+neighbours, not where quality changes. Documents, labels and features of one Arrow batch are all that a
+worker holds; the sample's features are all the driver holds.
 
 Defined results: a null or empty text, or one of white space only, has no line and scores the share
 of good documents in the sample; without labels of both kinds every document scores that share (0.5
-without any). Several labels of one document count as the lowest; null labels are none. Equal texts
+without any); a null key is not held out. Several labels of one document count as the lowest; null labels are none. Equal texts
 score alike. Language, source, label and key are no features, and no other column is read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_batches, table
 from tidemark.llm.words import prefix, spans, stretch_hash
 
-SAMPLE = 4000
+SAMPLE, SAMPLE_LINES = 4000, 1000
 RIDGE = 1e-3
 _COMMON = np.zeros(256, np.uint8)
 _COMMON[list(b".,;:'\"!?()-")] = 1
@@ -235,11 +238,11 @@ def score_texts(model: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def held_out(key: Column) -> Column:
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> dict:
-    """Fit on at most `sample` labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> dict:
+    """Fit on at most `sample` labelled documents that are not held out, at most `lines` lines of each."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)")
     known = known.filter(~held_out(F.col("key"))).groupBy("key").agg(F.min("label").alias("label"))
     known = known.orderBy(F.xxhash64("key"), "key").limit(sample)  # bounded: the sample
@@ -248,8 +251,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def run(batch):
         texts = [t.encode() for t in batch.column(2).to_pylist()]
         owner, _, own = line_features(texts)
-        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-        rows = [own[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        rows = []
+        for t, a, b in zip(texts, cuts[:-1], cuts[1:]):
+            at = a + zlib.crc32(t) % (b - a - lines + 1) if b - a > lines else a
+            rows.append(own[at : min(b, at + lines)].tobytes())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["key", "label", "lines"])
 
     got = map_batches(rows.select("key", "label", "body"), run, f"key {rows.schema['key'].dataType.simpleString()}, label int, lines binary").collect()
@@ -257,8 +263,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit([(np.frombuffer(r.lines, np.float32).reshape(-1, OWN), r.label) for r in got])
 
 
-def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns to keep, and score (probability-like, 1 is good)."""
+def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "_score") -> DataFrame:
+    """key, the columns to keep, and the score (probability-like, 1 is good) as column `name`, which none of them may have."""
+    if name in (key, *keep):
+        raise ValueError(f"a column {name} is there already")
     rows = docs.select(*[F.col(c) for c in dict.fromkeys((key, text, *keep))])
     names = rows.columns
     at = names.index(text)
@@ -267,9 +275,9 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text",
     def run(batch):
         texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
         columns = [batch.column(names.index(c)) for c in wanted]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(score_texts(model, texts))], [*wanted, "_score"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(score_texts(model, texts))], [*wanted, name])
 
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in wanted) + ", _score double"
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in wanted) + f", `{name}` double"
     return map_batches(rows, run, schema)
 
 
