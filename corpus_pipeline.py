@@ -15,13 +15,21 @@ from tidemark.llm.common import map_batches, table, write_table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field, fitted on this input's labelled documents, does not reject."""
+    """Documents that the line field, fitted on this input's labelled documents, does not reject (0.5 is kept).
+
+    A text that is null, empty or all white space scores the share of good documents in the sample; equal texts are
+    kept or go together, and rows that repeat are kept each. No documents give no rows; any column names may occur.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=tuple(docs.columns)).filter("_score >= 0.5").select(*docs.columns)
+    name = "score_" + "_" * max(map(len, docs.columns))  # longer than any name that is there
+    return quality.score(docs, model, keep=tuple(docs.columns), name=name).filter(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each class of near-duplicates; a null id is kept."""
+    """One document, the one of least id, of each class of near-duplicates; a null id is kept.
+
+    A null text is an empty one; rows of one id are one document and stay or go together; no documents give no rows.
+    """
     found = neardup.classes(docs).filter("duplicate").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
@@ -29,7 +37,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that a 100-byte string repeats; a character that a removal's edge cuts goes whole.
 
-    A null text stays null, and n_chars follows the text.
+    A null text stays null, and n_chars follows the text. Rows of one id do not repeat each other; a null id comes
+    first. No documents give no rows; any column names may occur.
     """
     rest = tuple(c for c in docs.columns if c != "doc_id")
     cut = suffixes.remove_repeats(docs, keep=rest)
@@ -47,7 +56,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is one end id; rows of one id, and rows that repeat, are packed each; other columns are
+    not read. No documents give no rows.
+    """
     return packing.pack(docs).drop("ids")
 
 
