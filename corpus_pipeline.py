@@ -40,10 +40,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null text stays null, and n_chars follows the text. Rows of one id do not repeat each other; a null id comes
     first. No documents give no rows; any column names may occur.
     """
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    cut = suffixes.remove_repeats(docs, keep=rest)
-    bare = cut.select("kept", F.size("spans").alias("cuts"), *[F.col(c).alias(f"c{n}") for n, c in enumerate(docs.columns)])
-    at = 2 + docs.columns.index("text")
+    names = [f"c{n}" for n in range(len(docs.columns))]  # no name of ours may meet one of theirs
+    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    cut = suffixes.remove_repeats(docs.toDF(*names), key=key, text=text, keep=tuple(n for n in names if n != key))
+    bare = cut.select("kept", F.size("spans").alias("cuts"), *names)
+    at = 2 + names.index(text)
 
     def decode(batch):
         kept = [old if not cuts else body.decode("utf-8", "ignore") for body, cuts, old in zip(*(batch.column(k).to_pylist() for k in (0, 1, at)))]
