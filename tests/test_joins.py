@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import hot_keys, salted_join, with_group
+from tidemark.operators.joins import hot_keys, salted_join, sized_join, with_group
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -23,3 +23,11 @@ def test_a_hot_key_is_spread(spark):
     groups = left.groupBy("k").agg(F.count("*").alias("n"))
     assert hot_keys(groups, "k", 8000).first()._salts == 1000
     assert with_group(left, "k", 8000, low=F.min("v")).filter("n = 8000 and low = 0").count() == 8000
+
+
+def test_sized_join_equals_a_plain_one(spark):
+    left = spark.range(5000).select(F.expr("if(id % 3 = 0, 7, id % 90)").alias("k"), F.col("id").alias("v"))
+    left = with_group(left, "k", 5000)
+    right = left.groupBy("k").agg(F.max("v").alias("w"), F.first("n").alias("n"))
+    rows = lambda df: sorted(df.select("k", "v", "w", "n").collect())
+    assert rows(sized_join(left, right, "k", "n", 5000)) == rows(left.join(right.drop("n"), "k"))

@@ -31,6 +31,14 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how
     return dealt.join(spread, [key, "_salt"], how).drop("_salt")
 
 
+def sized_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """salted_join where both sides know, as column n, how many rows left has of the key: no hot list is needed."""
+    salts = F.greatest(F.lit(1), F.ceil(F.col(n) / max(1, total // SHARE))).cast("int")
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(n)
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def with_group(rows: DataFrame, key: str, total: int, **sums) -> DataFrame:
     """rows with aggregates over their key (and n, its rows); total: how many rows there are."""
     groups = rows.groupBy(key).agg(F.count("*").alias("n"), *[c.alias(name) for name, c in sums.items()])
