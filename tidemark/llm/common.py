@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.graph import components
-from tidemark.operators.joins import hot_keys, salted_join
+from tidemark.operators.joins import hot_keys, salted_join, sized_join
 from tidemark.tables import drop_table, shared_dir, write_table
 
-__all__ = ["BATCH_ROWS", "by_bytes", "components", "drop_table", "hot_keys", "map_batches", "runs_of", "salted_join", "shared_dir", "table", "whole_groups", "write_table"]
+__all__ = ["BATCH_ROWS", "by_bytes", "components", "drop_table", "hot_keys", "map_batches", "runs_of", "salted_join", "shared_dir", "sized_join", "table", "whole_groups", "write_table"]
 
 #: Rows of one Arrow batch between the JVM and Python. Texts are processed whole, so this, times
 #: the length of a long text, bounds what a Python worker holds.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BATCH_ROWS, by_bytes, components, drop_table, hot_keys, map_batches, runs_of, salted_join, table, whole_groups, write_table
+from tidemark.llm.common import BATCH_ROWS, by_bytes, components, drop_table, hot_keys, map_batches, runs_of, salted_join, sized_join, table, whole_groups, write_table
 from tidemark.llm.phrases import mix
 from tidemark.llm.words import prefix, spans, stretch_hash
 
@@ -39,7 +39,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SLOTS, BANDS = 64, 16
 #: Members of a block across classes: those outside the bucket's main class, all.
-BLOCK = (256, 1024)
+BLOCK = (256, 512)
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -199,12 +199,11 @@ def block_links(band: int, left: list, right: list, threshold: float, width: int
 
 
 def _across(mixed: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Links (a, b) between classes of one bucket; mixed: (band, id, root) of the buckets that hold several."""
+    """Links (a, b) between classes of one bucket; mixed: (band, id, n, root) of the buckets that hold several, n members each."""
     spark = mixed.sparkSession
     sizes = mixed.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("n"))
-    hot = hot_keys(sizes, "band", mixed.count())
-    sizes = sizes.select("band", F.col("m.root").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / BLOCK[0]).cast("int").alias("nu"), F.ceil(F.col("n") / BLOCK[1]).cast("int").alias("nv"))
-    rows = salted_join(mixed, sizes, "band", hot).join(texts, "id").withColumn("in_main", F.col("root") == F.col("main"))
+    sizes = sizes.select("band", "n", F.col("m.root").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / BLOCK[0]).cast("int").alias("nu"), F.ceil(F.col("n") / BLOCK[1]).cast("int").alias("nv"))
+    rows = sized_join(mixed, sizes, "band", "n", mixed.count()).join(texts, "id").withColumn("in_main", F.col("root") == F.col("main"))
     number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["band", "u", "v", "side", "id", "root", "bands", "body", "in_main"]
@@ -241,10 +240,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     buckets = dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     sized = write_table(salted_join(dealt, buckets, "band", hot_keys(buckets, "band", reps.count() * BANDS)), "member")
     met = sized.groupBy("id").agg(F.sum("n").alias("met"))
-    ends = sized.join(met, "id").groupBy("band").agg(F.min("id").alias("low"), F.max(F.struct("met", (-F.col("id")).alias("i"))).alias("hub"), F.count("*").alias("n"))
+    ends = sized.join(met, "id").groupBy("band").agg(F.min("id").alias("low"), F.max(F.struct("met", (-F.col("id")).alias("i"))).alias("hub"), F.first("n").alias("n"))
     total = sized.count()
-    both = ends.select("band", F.array_distinct(F.array("low", -F.col("hub.i"))).alias("ends"))
-    member = write_table(salted_join(sized.select("band", "id"), both, "band", hot_keys(ends, "band", total)), "member")
+    both = ends.select("band", "n", F.array_distinct(F.array("low", -F.col("hub.i"))).alias("ends"))
+    member = write_table(sized_join(sized, both, "band", "n", total), "member")
     pairs = member.select("id", F.explode("ends").alias("end")).filter("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
     pairs = write_table(pairs, "pairs")
     texts = rows.join(member.select("id").distinct().hint("merge"), "id").select("id", "copy", "body").dropDuplicates(["id", "copy"])
@@ -252,9 +251,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     links = write_table(_verify(pairs, texts, threshold, width), "links")
     roots = write_table(components(links), "roots")
     # Across classes: what the ends of a bucket did not tie together.
-    rooted = member.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    several = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 < r1")
-    mixed = write_table(salted_join(rooted, several.select("band"), "band", hot_keys(several, "band", total)), "mixed")
+    rooted = member.select("band", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.first("n").alias("n")).filter("r0 < r1")
+    mixed = write_table(sized_join(rooted, several.select("band", "n"), "band", "n", total), "mixed")
     more = write_table(_across(mixed, texts.join(reps.select("copy", "bands"), "copy").select("id", "body", "bands"), threshold, width), "links")
     drop_table(sized, member, pairs, texts, links, mixed)
     ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
