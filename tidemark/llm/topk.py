@@ -52,7 +52,7 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
 
 def layout(count: int, sample: int = SAMPLE, block: int = BLOCK) -> tuple[int, int]:
     """Pivots and annuli a pivot for so many vectors."""
-    pivots = max(1, min(sample // 8, round(count**0.5 / 3)))
+    pivots = max(1, min(sample // 8, round(count**0.5 / 8)))
     return pivots, min(MOST_ANNULI, max(LEAST_ANNULI, -(-count // (pivots * block))))
 
 
