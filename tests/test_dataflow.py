@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidemark.plans import dataflow, serving
+from tidemark.sources.schemas import conform
 
 NOW = dt.datetime(2024, 1, 3, 12)
 JOBS = "job_id string, title string, company string, location string, description string, source string, work_model string, dedup_hash string, role_category string, salary_min double, salary_max double, offers_sponsorship boolean, is_startup boolean, scraped_at timestamp"
@@ -15,8 +16,10 @@ def test_weekly_run(spark):
         [("1", "Senior ML Engineer", "Acme", "London", "PyTorch and Docker. £90,000 - £130,000. " + "x " * 90, "a", "remote"), ("2", "senior ml engineer", "ACME ", "london", "copy", "b", "remote"), ("3", "Data Scientist", "Beta", "Leeds", "Short.", "a", "onsite")],
         "job_id string, title string, company string, location string, description string, source string, work_model string",
     )
-    kept = {}
+    kept, shape = {}, []
     sinks = {name: (lambda df, n=name: kept.__setitem__(n, df.collect())) for name in ("jobs", "seen", "skills", "snapshot")}
+    more = {name: (lambda df, n=name: kept.__setitem__(n, df.collect())) for name in dataflow.HISTORIES}
+    sinks["snapshot"] = lambda df: (shape.append(df.schema), kept.__setitem__("snapshot", df.collect()))
     empty = lambda schema: spark.createDataFrame([], schema)
     run = dataflow.weekly(raw, empty(JOBS), empty(SKILLS), empty(SEEN), F.lit(NOW), "2024-01-01", sinks)
     assert run.passed and run.steps["collected"] == {"new": 2, "sources": 1}
@@ -25,6 +28,15 @@ def test_weekly_run(spark):
     assert ("1", "PyTorch", "taxonomy") in skills and ("3", "Pandas", "role_inference") in skills
     snap = {r.role_category: r for r in kept["snapshot"]}
     assert snap["all"].job_count == 2 and snap["all"].remote_rate == 0.5 and snap["all"].quality == "poor" and snap["ml_engineer"].top_skills[0].r == 1
+    assert snap["all"].top_cities[0].n == 1 and snap["all"].salary_sample_size == 1 and snap["all"].computed_at == NOW
+    stored = conform(spark.createDataFrame(kept["snapshot"], shape[0]), "weekly_snapshots")
+    assert serving.trending_view(stored).first().top_now[:1] == [snap["all"].top_skills[0].skill]
+    assert serving.salary_view(stored, "ml_engineer").first().salary_sample_size == 1
+    bad = spark.createDataFrame([({"a": 0.9}, {"b": 0.9}, {"c": 0.1}), ({"a": 0.2}, {"b": 0.9}, {"c": 0.1})], "health map<string,double>, batch map<string,double>, drift map<string,double>")
+    gated = dataflow.weekly(raw, empty(JOBS), empty(SKILLS), empty(SEEN), F.lit(NOW), "2024-01-01", sinks, checks=bad)
+    assert not gated.passed and gated.steps["checked"] == {"checks": 2, "failed": 1} and "analysed" not in gated.steps
+    assert dataflow.weekly(raw, empty(JOBS), empty(SKILLS), empty(SEEN), F.lit(NOW), "2024-01-01", {**sinks, **more}, checks=bad.limit(1)).passed
+    assert {r.skill for r in kept["trends"]} >= {"PyTorch"} and kept["salaries"] and set(kept) >= {"cooccurrence"}
     closed = dataflow.weekly(raw.limit(0), empty(JOBS), empty(SKILLS), empty(SEEN), F.lit(NOW), "2024-01-01", sinks)
     assert not closed.passed and "analysed" not in closed.steps
 

@@ -54,5 +54,6 @@ def monotone(df: DataFrame, low: str, mid: str, high: str) -> Column:
 
 def snapshot_quality(df: DataFrame) -> DataFrame:
     """poor below 10 postings, warning without skills, or where pay is not in order or disclosed below 0.25."""
-    bad = F.when(F.col("job_count") < 10, "poor").when(F.coalesce(F.size("top_skills"), F.lit(0)) <= 0, "warning").when(~monotone(df, "p25", "p50", "p75"), "warning")
+    bad = F.when(F.col("job_count") < 10, "poor").when(F.coalesce(F.size("top_skills"), F.lit(0)) <= 0, "warning").when(~monotone(df, "salary_p25", "salary_p50", "salary_p75"), "warning")
+    bad = bad.when(F.col("disclosure_rate") < 0.25, "warning")
     return df.withColumn("quality", F.coalesce(bad, F.lit("good")))

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
-from tidemark.functions.columns import dedup_hash, week_start
+from tidemark.functions.columns import dedup_hash
 from tidemark.functions.vocabulary import IMPLIED
 from tidemark.operators import market, quality, stores
+from tidemark.sources.schemas import conform
+from tidemark.tables import write_table
 
 
 def prepare(raw: DataFrame, now) -> DataFrame:
@@ -47,8 +49,8 @@ def enrich(jobs: DataFrame, skills: DataFrame) -> DataFrame:
     return found.unionByName(market.implied(thin, found, IMPLIED))
 
 
-def analyse(jobs: DataFrame, skills: DataFrame, week: str) -> DataFrame:
-    return quality.snapshot_quality(market.snapshot(jobs, skills, week))
+def analyse(jobs: DataFrame, skills: DataFrame, week: str, now=None) -> DataFrame:
+    return quality.snapshot_quality(market.snapshot(jobs, skills, week, now=now))
 
 
 @dataclass
@@ -66,22 +68,47 @@ class Run:
         return said
 
 
-def weekly(raw: DataFrame, jobs: DataFrame, skills: DataFrame, seen: DataFrame, now, week: str, sinks: dict[str, Callable[[DataFrame], None]], least: int = 1) -> Run:
-    """Ingest, gate, enrich, analyse. Sinks: jobs, seen, skills, snapshot. Nothing after a closed gate is written but the stores of what came in."""
+#: Stores that the analysis fills, where their sinks are given.
+HISTORIES = ("cooccurrence", "salaries", "trends")
+
+
+def histories(jobs: DataFrame, skills: DataFrame, snapshot: DataFrame, week: str, now) -> dict[str, DataFrame]:
+    """Rows of the week for the stores of pairs, pay by role and shares by skill, each in its table's schema."""
+    when, at = market.in_week(week), F.lit(week).cast("date")
+    pairs = market.cooccurrence(jobs, skills, when).select("skill_a", "skill_b", F.col("pmi").alias("pmi_score"), "co_count", at.alias("week"))
+    pay = snapshot.filter("salary_sample_size > 0").withColumn("sample_size", F.col("salary_sample_size"))
+    named = market.demand(jobs, skills, when).crossJoin(F.broadcast(jobs.filter(when).agg(F.count("*").alias("total"))))  # one row
+    shares = stores.trends(named, F.col("total")).select(at.alias("week_start"), "skill", F.col("mentions").alias("job_count"), "pct_of_jobs", now.alias("computed_at"))
+    return {"cooccurrence": conform(pairs, "skill_cooccurrence"), "salaries": conform(pay, "salary_history"), "trends": conform(shares, "skill_trends")}
+
+
+def weekly(
+    raw: DataFrame, jobs: DataFrame, skills: DataFrame, seen: DataFrame, now, week: str, sinks: dict[str, Callable[[DataFrame], None]], least: int = 1, checks: DataFrame | None = None
+) -> Run:
+    """Ingest, gate, enrich, analyse. Sinks: jobs, seen, skills, snapshot, and those of HISTORIES that are given.
+
+    What came in is stored whatever the gates say; nothing is after a closed one. checks (maps health, batch, drift, of
+    one row or more): the quality gate, which has to pass for all rows before anything is analysed. Each step's result
+    is written once and read from there, so no sink can change what a later step reads.
+    """
     run = Run()
-    new, jobs_now, seen_now = ingest(raw, jobs, seen, now)
+    new, jobs_now, seen_now = (write_table(df, name) for df, name in zip(ingest(raw, jobs, seen, now), ("new", "jobs", "seen")))
     run.step("collected", new.agg(F.count("*").alias("new"), F.countDistinct("source").alias("sources")), lambda s: s["new"] >= least)
+    skills = write_table(skills, "skills")
     sinks["jobs"](jobs_now)
     sinks["seen"](seen_now)
+    if run.passed and checks is not None:
+        run.step("checked", quality.gate(checks, "health", "batch", "drift").agg(F.count("*").alias("checks"), F.count_if(~F.col("passed")).alias("failed")), lambda s: s["failed"] == 0)
     if not run.passed:
         return run
-    more = enrich(jobs_now, skills)
+    more = write_table(enrich(jobs_now, skills), "enriched")
     sinks["skills"](more)
-    snapshot = analyse(jobs_now, skills.unionByName(more.select(*skills.columns)), week)
+    every = skills.unionByName(more.select(*skills.columns))
+    snapshot = write_table(analyse(jobs_now, every, week, now), "snapshot")
     run.step("analysed", snapshot.agg(F.count("*").alias("roles"), F.count_if(F.col("quality") == "poor").alias("poor")), lambda s: s["roles"] > 0)
     sinks["snapshot"](snapshot)
+    wanted = [name for name in HISTORIES if name in sinks]
+    for name, rows in histories(jobs_now, every, snapshot, week, now).items() if wanted else ():
+        if name in wanted:
+            sinks[name](rows)
     return run
-
-
-def weeks_of(jobs: DataFrame) -> DataFrame:
-    return jobs.select(week_start(F.col("scraped_at")).alias("week_start")).distinct()

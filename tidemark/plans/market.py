@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import market as m
 from tidemark.sources.binding import CTE, WEEK, job_skills, jobs
+from tidemark.sources.landed import fan_in
+from tidemark.sources.schemas import conform
 
+#: The week before WEEK.
+BEFORE = "1998-05-25"
 #: Places by which the driver's nations are told apart: the exact name first, then the first pattern contained.
 PLACES = (("nation_1", "North"), ("nation_10", "Capital"), ("nation_2", "South"), ("nation_3", "East"), ("nation_4", "West"))
 #: Stacks over the driver's brands; contained either way round.
@@ -114,14 +120,63 @@ def job_count_ladder(spark, sf):
     return m.job_count_ladder(jobs(spark, sf), "2001-08-20")
 
 
+def _flat(snapshot):
+    """The snapshot with its lists as text."""
+    pairs = lambda c, a: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x[a], x["n"].cast("string"))), ",")
+    out = snapshot.withColumns({"top_skills": pairs("top_skills", "skill"), "top_cities": pairs("top_cities", "place")})
+    return out.withColumns({c: F.array_join(c, ",") for c in ("rising_skills", "declining_skills")}).drop("computed_at")
+
+
 def weekly_snapshot(spark, sf):
-    out = m.snapshot(jobs(spark, sf), job_skills(spark, sf), WEEK, 10)
-    return out.withColumn("top_skills", F.array_join(F.transform("top_skills", lambda x: F.concat_ws("=", x["skill"], x["n"].cast("string"))), ",")).drop("p10", "p90")
+    return _flat(m.snapshot(jobs(spark, sf), job_skills(spark, sf), WEEK, 50, PLACES))
+
+
+def snapshot_views(spark, sf):
+    """The snapshot, trending and salary views on two weeks' snapshots in the stored schema."""
+    from tidemark.plans import serving
+
+    stored = fan_in([conform(m.snapshot(jobs(spark, sf), job_skills(spark, sf), w, 50, PLACES), "weekly_snapshots") for w in (BEFORE, WEEK)])
+    text = lambda c: F.array_join(c, ",")
+    trending = serving.trending_view(stored).select("week_start", text("rising").alias("rising"), text("declining").alias("declining"), text("top_now").alias("top_now"))
+    salary = serving.salary_view(stored, "data_scientist").select(*[F.col(f"salary_p{p}").alias(f"p{p}") for p in (25, 50, 75)], "salary_sample_size")
+    whole = serving.snapshot_view(stored, BEFORE).select(F.col("job_count").alias("job_count_before"))
+    return trending.crossJoin(salary).crossJoin(whole)  # a row each
+
+
+def role_velocity_fallback(spark, sf):
+    """A week without postings: the 30 days before it step in."""
+    empty = "2001-08-20"
+    since = (F.col("scraped_at") >= m.shifted(empty, -30)) & (F.col("scraped_at") < m.shifted(empty, 7))
+    return m.role_velocity(jobs(spark, sf), m.in_week(empty), since)
+
+
+def migration(spark, sf):
+    """Archetypes that fell in share between two weeks."""
+    j, s = jobs(spark, sf), job_skills(spark, sf)
+    return m.migration_signals(m.archetypes(j, s, m.in_week(WEEK), STACKS), m.archetypes(j, s, m.in_week(BEFORE), STACKS), 1.0)
+
+
+def skill_trends(spark, sf):
+    """K5: shares by skill of the week's postings, in the stored schema."""
+    from tidemark.operators import stores
+
+    j = jobs(spark, sf)
+    total = j.filter(m.in_week(WEEK)).agg(F.count("*").alias("total"))
+    named = m.demand(j, job_skills(spark, sf), m.in_week(WEEK)).crossJoin(F.broadcast(total))  # one row
+    rows = stores.trends(named, F.col("total")).select(F.lit(WEEK).cast("date").alias("week_start"), "skill", F.col("mentions").alias("job_count"), "pct_of_jobs")
+    return conform(rows, "skill_trends").drop("computed_at")
+
+
+def cooccurrence_rows(spark, sf):
+    """K7: the week's pairs in the stored schema."""
+    pairs = m.cooccurrence(jobs(spark, sf), job_skills(spark, sf), m.in_week(WEEK) | m.in_week(WEEK, 1), least=2)
+    return conform(pairs.select("skill_a", "skill_b", F.col("pmi").alias("pmi_score"), "co_count", F.lit(WEEK).cast("date").alias("week")), "skill_cooccurrence")
 
 
 def source_counts(spark, sf):
     j = jobs(spark, sf)
-    return j.groupBy("source").agg(F.count("*").alias("raw"), F.countDistinct("company").alias("companies"))
+    copies = F.countDistinct(F.struct("company", F.coalesce("role_category", F.lit("")), "location"))
+    return j.groupBy("source").agg(F.count("*").alias("raw"), F.countDistinct("company").alias("companies"), copies.alias("deduped"))
 
 
 def startup_ratio(spark, sf):
@@ -157,7 +212,7 @@ QUERIES = {
     for f in (
         skill_demand, skill_prior_counts, skills_by_role, skill_demand_fallback, skill_movers, skill_anomalies, rank_churn, salary_percentiles, salary_ladder,
         sponsorship_by_role_stage, sponsorship_rate, hiring_momentum, expansion_signals, role_velocity, places, place_share, skill_pmi, archetypes, job_count_ladder,
-        weekly_snapshot, source_counts, startup_ratio, trends_history, salary_history, rollup_roles,
+        weekly_snapshot, snapshot_views, role_velocity_fallback, migration, skill_trends, cooccurrence_rows, source_counts, startup_ratio, trends_history, salary_history, rollup_roles,
     )
 }
 
@@ -169,6 +224,40 @@ _LADDER = f"""near AS (SELECT *, {_MID} AS mid, ({_PAY}) AS ok, CASE WHEN scrape
 _PLACE = "CASE WHEN location = '' OR location IS NULL THEN NULL " + " ".join(f"WHEN location = '{p}' THEN '{n}'" for p, n in PLACES) + " " + " ".join(f"WHEN contains(location, '{p}') THEN '{n}'" for p, n in PLACES) + " ELSE 'Other' END"
 _STACK_ROWS = ", ".join(f"('{a}', {n}, '{w}')" for a, ws in STACKS.items() for n, w in enumerate(ws))
 
+
+
+def _snapshot(week: str, tag: str = "") -> str:
+    """Common table expressions up to snap: the flat snapshot of a week."""
+    at = f"TIMESTAMP '{week}'"
+    inside = f"scraped_at >= {at} AND scraped_at < {at} + INTERVAL 7 DAY"
+    before = f"scraped_at >= {at} - INTERVAL 7 DAY AND scraped_at < {at}"
+    rate = lambda c, name: f"round(count(*) FILTER ({c})::DOUBLE / count(*), 4) AS {name}"
+    pays = ", ".join(_pct(p).replace(f"AS p{p}", f"AS salary_p{p}") for p in m.PERCENTS)
+    sql = f"""two AS (SELECT *, coalesce(role_category, 'other') AS role, {_MID} AS mid, ({_PAY}) AS ok, ({inside}) AS cur FROM jobs WHERE ({inside}) OR ({before})),
+        b AS (SELECT role AS g, * FROM two UNION ALL SELECT 'all' AS g, * FROM two),
+        f AS (SELECT g, count(*) AS job_count, count(*) AS new_job_count, {rate("offers_sponsorship", "sponsorship_rate")}, {rate("work_model = 'remote'", "remote_rate")}, {rate("work_model = 'hybrid'", "hybrid_rate")}, {rate("is_startup", "startup_rate")} FROM b WHERE cur GROUP BY 1),
+        n AS (SELECT g, skill, count(*) FILTER (cur) AS n, count(*) FILTER (NOT cur) AS o FROM b JOIN job_skills USING (job_id) GROUP BY 1, 2 HAVING count(*) FILTER (cur) > 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, skill) AS r, CASE WHEN o > 0 THEN (n - o)::DOUBLE / o END AS c FROM n),
+        s AS (SELECT g, sum(n)::BIGINT AS skill_mentions, array_to_string(list(skill || '=' || n ORDER BY r) FILTER (r <= 50), ',') AS top_skills,
+            coalesce(array_to_string((list(skill ORDER BY r) FILTER (r <= 50 AND (c > 0.5 OR (o = 0 AND n > 5))))[1:20], ','), '') AS rising_skills,
+            coalesce(array_to_string((list(skill ORDER BY r) FILTER (r <= 50 AND c < -0.3))[1:20], ','), '') AS declining_skills FROM r GROUP BY 1),
+        q AS (SELECT g, {_PLACE} AS place, count(*) AS n FROM b WHERE cur GROUP BY 1, 2), v AS (SELECT g, array_to_string(list(place || '=' || n ORDER BY n DESC, place), ',') AS top_cities FROM q WHERE place IS NOT NULL GROUP BY 1),
+        p AS (SELECT g, count(*) AS salary_sample_size, {pays} FROM b WHERE cur AND ok AND mid BETWEEN 20000 AND 300000 GROUP BY 1),
+        snap AS (SELECT g AS role_category, * EXCLUDE (g, salary_sample_size), coalesce(salary_sample_size, 0) AS salary_sample_size, round(coalesce(salary_sample_size, 0)::DOUBLE / job_count, 3) AS disclosure_rate, DATE '{week}' AS week_start
+            FROM f LEFT JOIN s USING (g) LEFT JOIN v USING (g) LEFT JOIN p USING (g))"""
+    for name in ("two", "b", "f", "n", "r", "s", "q", "v", "p", "snap") if tag else ():
+        sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}{tag}", re.sub(rf"(?<![\w.]){name} AS \(", f"{name}{tag} AS (", sql))
+    return sql
+
+
+def _stacks(when: str, tag: str) -> str:
+    """Common table expressions up to a: the archetypes' shares in a window."""
+    return f"""f{tag} AS (SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE {when} GROUP BY 1 ORDER BY mentions DESC, skill LIMIT 50),
+        k{tag}(archetype, n, word) AS (VALUES {_STACK_ROWS}),
+        h{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY archetype, n ORDER BY mentions DESC, skill) AS r FROM k{tag} JOIN f{tag} ON contains(skill, word) OR contains(word, skill)) WHERE r = 1),
+        a{tag} AS (SELECT archetype, round(coalesce(sum(mentions), 0)::DOUBLE / (SELECT sum(mentions) FROM f{tag}), 4) AS demand_share FROM (SELECT DISTINCT archetype FROM k{tag}) LEFT JOIN h{tag} USING (archetype) GROUP BY 1)"""
+
+
 ORACLES = {
     "skill_demand": _with("SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE scraped_at >= TIMESTAMP '1998-01-01' AND scraped_at < TIMESTAMP '1998-07-01' GROUP BY 1 ORDER BY mentions DESC, skill LIMIT 50"),
     "skill_prior_counts": _with(f"SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE {_PREV} GROUP BY 1"),
@@ -212,16 +301,20 @@ ORACLES = {
     "job_count_ladder": _with("""SELECT coalesce(nullif(count(*) FILTER (scraped_at >= TIMESTAMP '2001-08-20' AND scraped_at < TIMESTAMP '2001-08-27'), 0),
         nullif(count(*) FILTER (scraped_at >= TIMESTAMP '2001-08-27' - INTERVAL 30 DAY AND scraped_at < TIMESTAMP '2001-08-27'), 0),
         nullif(count(*) FILTER (scraped_at >= TIMESTAMP '2001-08-27' - INTERVAL 90 DAY AND scraped_at < TIMESTAMP '2001-08-27'), 0), count(*)) AS job_count FROM jobs"""),
-    "weekly_snapshot": _with(f""", now AS (SELECT *, coalesce(role_category, 'other') AS role, {_MID} AS mid, ({_PAY}) AS ok FROM jobs WHERE {_IN}),
-        b AS (SELECT role AS g, * FROM now UNION ALL SELECT 'all' AS g, * FROM now),
-        f AS (SELECT g, count(*) AS job_count, round(count(*) FILTER (offers_sponsorship)::DOUBLE / count(*), 4) AS sponsorship_rate, round(count(*) FILTER (work_model = 'remote')::DOUBLE / count(*), 4) AS remote_rate,
-            round(count(*) FILTER (work_model = 'hybrid')::DOUBLE / count(*), 4) AS hybrid_rate, round(count(*) FILTER (is_startup)::DOUBLE / count(*), 4) AS startup_rate FROM b GROUP BY 1),
-        n AS (SELECT g, skill, count(*) AS n FROM b JOIN job_skills USING (job_id) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, skill) AS r FROM n),
-        s AS (SELECT g, sum(n)::BIGINT AS skill_mentions, array_to_string(list(skill || '=' || n ORDER BY r) FILTER (r <= 10), ',') AS top_skills FROM r GROUP BY 1),
-        p AS (SELECT g, count(*) AS sample_size, {_pct(25)}, {_pct(50)}, {_pct(75)} FROM b WHERE ok AND mid BETWEEN 20000 AND 300000 GROUP BY 1)
-        SELECT g AS role_category, job_count, sponsorship_rate, remote_rate, hybrid_rate, startup_rate, skill_mentions, top_skills, sample_size, p25, p50, p75, DATE '{WEEK}' AS week_start
-        FROM f LEFT JOIN s USING (g) LEFT JOIN p USING (g)"""),
-    "source_counts": _with("SELECT source, count(*) AS raw, count(DISTINCT company) AS companies FROM jobs GROUP BY 1"),
+    "weekly_snapshot": _with(f", {_snapshot(WEEK)} SELECT * FROM snap"),
+    "snapshot_views": _with(f""", {_snapshot(WEEK)}, {_snapshot(BEFORE, "_b")} SELECT a.week_start, a.rising_skills AS rising, a.declining_skills AS declining,
+        array_to_string(list_transform(string_split(a.top_skills, ',')[1:10], lambda x: string_split(x, '=')[1]), ',') AS top_now,
+        s.salary_p25 AS p25, s.salary_p50 AS p50, s.salary_p75 AS p75, s.salary_sample_size, b.job_count AS job_count_before FROM snap a, snap s, snap_b b WHERE a.role_category = 'all' AND s.role_category = 'data_scientist' AND b.role_category = 'all'"""),
+    "role_velocity_fallback": _with("SELECT coalesce(role_category, 'other') AS role, count(*) AS postings FROM jobs WHERE scraped_at >= TIMESTAMP '2001-08-20' - INTERVAL 30 DAY AND scraped_at < TIMESTAMP '2001-08-27' GROUP BY 1"),
+    "migration": _with(f""", {_stacks(_IN, "")}, {_stacks(_PREV, "_b")} SELECT a.archetype, b.demand_share AS before, a.demand_share FROM a JOIN a_b b USING (archetype) WHERE b.demand_share > 0 AND a.demand_share < b.demand_share"""),
+    "skill_trends": _with(f"""SELECT DATE '{WEEK}' AS week_start, skill, count(*) AS job_count, round(count(*)::DOUBLE / (SELECT count(*) FROM jobs WHERE {_IN}), 6) AS pct_of_jobs, 'all' AS role_category
+        FROM job_skills JOIN jobs USING (job_id) WHERE {_IN} GROUP BY skill"""),
+    "cooccurrence_rows": _with(f""", d AS (SELECT DISTINCT job_id, skill FROM job_skills JOIN jobs USING (job_id) WHERE ({_IN}) OR ({_PREV})),
+        n AS (SELECT skill, count(*) AS n FROM d GROUP BY 1), t AS (SELECT count(DISTINCT job_id) AS total FROM d),
+        p AS (SELECT a.skill AS skill_a, b.skill AS skill_b, count(*) AS co_count FROM d a JOIN d b ON a.job_id = b.job_id AND a.skill < b.skill GROUP BY 1, 2 HAVING count(*) >= 2),
+        s AS (SELECT skill_a, skill_b, round(ln(co_count::DOUBLE * total / (na.n::DOUBLE * nb.n)), 4) AS pmi_score, co_count, DATE '{WEEK}' AS week FROM p JOIN n na ON na.skill = skill_a JOIN n nb ON nb.skill = skill_b, t)
+        SELECT * FROM s WHERE pmi_score > 0 ORDER BY pmi_score DESC, co_count DESC, skill_a, skill_b LIMIT 200"""),
+    "source_counts": _with("SELECT source, count(*) AS raw, count(DISTINCT company) AS companies, count(DISTINCT (company, coalesce(role_category, ''), location)) AS deduped FROM jobs GROUP BY 1"),
     "startup_ratio": _with("SELECT source, round(avg(is_startup::INT::DOUBLE), 6) AS startup_ratio FROM jobs GROUP BY 1"),
     "trends_history": _with(""", j AS (SELECT *, date_trunc('week', scraped_at)::DATE AS week_start FROM jobs WHERE scraped_at >= TIMESTAMP '1998-01-05' AND scraped_at < TIMESTAMP '1998-03-30'),
         t AS (SELECT week_start, count(*) AS total FROM j GROUP BY 1), s AS (SELECT week_start, skill_category, count(DISTINCT job_id) AS n FROM j JOIN job_skills USING (job_id) GROUP BY 1, 2),

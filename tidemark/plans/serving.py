@@ -28,7 +28,13 @@ def skills_view(snapshots: DataFrame, role: str) -> DataFrame:
 
 def trending_view(snapshots: DataFrame, k: int = 10) -> DataFrame:
     latest = snapshot_view(snapshots)
-    return latest.select("week_start", F.slice("rising_skills", 1, k).alias("rising"), F.slice("declining_skills", 1, k).alias("declining"))
+    now = F.transform(F.slice("top_skills", 1, k), lambda x: x["skill"])
+    return latest.select("week_start", F.col("rising_skills").alias("rising"), F.col("declining_skills").alias("declining"), now.alias("top_now"))
+
+
+def salary_view(snapshots: DataFrame, role: str = "all") -> DataFrame:
+    """Pay of the role's latest snapshot; no row where there is none."""
+    return snapshot_view(snapshots, role=role).select("role_category", "week_start", "salary_p25", "salary_p50", "salary_p75", "salary_sample_size")
 
 
 def health(log: DataFrame, now, hours: float = 72.0) -> DataFrame:
