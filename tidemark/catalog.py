@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, records, serving
+from tidemark.plans import extraction, market, records, serving
 
 FLAGSHIP = "skill_demand"
-MODULES = (market, serving, records)
+MODULES = (market, serving, records, extraction)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:

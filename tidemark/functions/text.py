@@ -58,6 +58,11 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def sanitise(c: Column) -> Column:
+    """Without outer blanks and control characters, in composed form."""
+    return nfc(without_controls(F.trim(c)))
+
+
 def too_long(c: Column, most: int = 4000) -> Column:
     return F.coalesce(F.length(c) > most, F.lit(False))
 
@@ -74,7 +79,7 @@ def threat_level(score: Column, rejected: Column, pii: Column) -> Column:
 
 def security_check(df: DataFrame, key: str, text: str, most: int = 4000) -> DataFrame:
     """Sanitised text, injection score, types of personal data, redacted text, threat level, and whether it may pass."""
-    out = df.select(key, without_controls(F.trim(F.col(text))).alias("_t"), too_long(F.col(text), most).alias("rejected"))
+    out = df.select(key, sanitise(F.col(text)).alias("_t"), too_long(F.col(text), most).alias("rejected"))
     out = out.withColumn("injection_score", injection_score(F.col("_t"))).withColumn("pii", pii_types(F.col("_t")))
     out = out.withColumn("threat", threat_level(F.col("injection_score"), F.col("rejected"), F.col("pii")))
     return out.select(key, "rejected", "injection_score", "pii", scrub(F.col("_t")).alias("scrubbed"), "threat", (~F.col("rejected") & (F.col("injection_score") == 0)).alias("allowed"))
@@ -237,6 +242,13 @@ def _issue(bad: Column, text: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), F.lit(text))
 
 
+def grade(total: Column) -> Column:
+    letter = F.lit(GRADES[-1][1])
+    for least, name in reversed(GRADES[:-1]):
+        letter = F.when(total >= least, name).otherwise(letter)
+    return letter
+
+
 def ats_scores(cvs: DataFrame, role_words: Column) -> DataFrame:
     """Adds five scores from 0 to 100, their weighted total, a grade, and what is wrong.
 
@@ -248,8 +260,8 @@ def ats_scores(cvs: DataFrame, role_words: Column) -> DataFrame:
     numbers = part("experience").rlike(r"[0-9]+ ?%|[0-9]+x\b|£ ?[0-9]|\b[0-9]{2,}\+")
     missing = {k: part(k) == "" for k in ("experience", "education", "skills")}
     structure = 100 - sum(F.when(m, 25).otherwise(0) for m in missing.values()) - F.when(numbers, 0).otherwise(10) - F.when(verbs >= 3, 0).otherwise(15 - verbs * 5)
-    grade = reading_grade("raw_text")
-    readability = F.when(grade.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.abs(grade - 11) * 5)))
+    level = reading_grade("raw_text")
+    readability = F.when(level.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.abs(level - 11) * 5)))
     dated = part("experience").rlike(r"(?:19|20)[0-9]{2}")
     few = words(part("skills")) < 2
     complete = 100 - F.when(F.col("has_email"), 0).otherwise(20) - F.when(F.col("has_phone"), 0).otherwise(10) - F.when(dated, 0).otherwise(20) - F.when(few, 20).otherwise(0) - F.when(missing["education"], 15).otherwise(0)
@@ -259,9 +271,6 @@ def ats_scores(cvs: DataFrame, role_words: Column) -> DataFrame:
     at_least_0 = lambda c: F.greatest(c.cast("double"), F.lit(0.0))
     out = cvs.withColumns({"keyword": keyword, "structure": at_least_0(structure), "readability": readability, "completeness": at_least_0(complete), "format": at_least_0(form)})
     total = F.round(0.3 * F.col("keyword") + 0.25 * F.col("structure") + 0.15 * F.col("readability") + 0.2 * F.col("completeness") + 0.1 * F.col("format"), 1)
-    letter = F.lit("D")
-    for least, name in reversed(GRADES[:-1]):
-        letter = F.when(total >= least, name).otherwise(letter)
     issues = F.array_compact(
         F.array(
             *[_issue(m, f"no {k} section") for k, m in missing.items()],
@@ -274,7 +283,7 @@ def ats_scores(cvs: DataFrame, role_words: Column) -> DataFrame:
             _issue(F.col("page_count") > 3, "too many pages"),
         )
     )
-    return out.withColumns({"total": total, "grade": letter, "issues": issues})
+    return out.withColumns({"total": total, "grade": grade(total), "issues": issues})
 
 
 def gap_plan(gaps: DataFrame) -> DataFrame:

@@ -66,6 +66,22 @@ LEVELS = {"entry": "junior", "graduate": "junior", "grad": "junior", "mid-level"
 # Terms that a report must not lean on.
 RISKY = ("age", "young", "old", "male", "female", "nationality", "accent", "religion")
 
+# Companies whose career pages are always looked at, with page and stage.
+SEEDS = (
+    ("Wayve", "https://wayve.ai/careers", "series_c"), ("Synthesia", "https://www.synthesia.io/careers", "series_d_plus"), ("Tractable", "https://tractable.ai/careers", "series_d_plus"),
+    ("PolyAI", "https://poly.ai/careers", "series_c"), ("Quantexa", "https://www.quantexa.com/careers", "series_d_plus"), ("ElevenLabs", "https://elevenlabs.io/careers", "series_c"),
+    ("Darktrace", "https://www.darktrace.com/careers", "public"), ("Graphcore", "https://www.graphcore.ai/careers", "series_e"), ("Exscientia", "https://www.exscientia.ai/careers", "public"),
+    ("Thought Machine", "https://thoughtmachine.net/careers", "series_d_plus"), ("Cohere", "https://cohere.com/careers", "series_c"), ("incident.io", "https://incident.io/careers", "series_b"),
+    ("V7 Labs", "https://www.v7labs.com/careers", "series_b"), ("PhysicsX", "https://www.physicsx.ai/careers", "series_b"), ("Featurespace", "https://www.featurespace.com/careers", "series_d_plus"),
+    ("Speechmatics", "https://www.speechmatics.com/company/careers", "series_b"), ("Luminance", "https://www.luminance.com/careers", "series_b"), ("Oxa", "https://oxa.tech/careers", "series_b"),
+    ("Healx", "https://healx.io/about/careers", "series_b"), ("BenevolentAI", "https://benevolent.ai/careers", "series_c"), ("Reka AI", "https://reka.ai/careers", "series_b"),
+    ("Monolith AI", "https://www.monolith.ai/careers", "series_b"), ("Signal AI", "https://www.signal-ai.com/careers", "series_c"), ("Mind Foundry", "https://www.mindfoundry.ai/careers", "series_b"),
+    ("Seldon", "https://www.seldon.io/careers", "series_b"), ("Stability AI", "https://stability.ai/careers", "series_c"), ("Poolside AI", "https://www.poolside.ai/careers", "series_a"),
+    ("Humanloop", "https://humanloop.com/careers", "series_a"), ("Causaly", "https://www.causaly.com/careers", "series_a"), ("Faculty AI", "https://faculty.ai/careers", "series_b"),
+    ("Conjecture", "https://conjecture.dev/careers", "seed"), ("Apollo Research", "https://apolloresearch.ai/careers", "seed"), ("Gradient Labs", "https://www.gradientlabs.ai/careers", "seed"),
+    ("Cleo", "https://web.meetcleo.com/careers", "series_c"), ("Monzo", "https://monzo.com/careers", "growth"),
+)
+
 #: Our own taxonomy: canonical skill, category, aliases in lower case (the canonical name is one too).
 SKILLS = (
     ("Python", "language", ()), ("SQL", "language", ()), ("R", "language", ()), ("Java", "language", ()), ("Scala", "language", ()), ("Go", "language", ("golang",)),

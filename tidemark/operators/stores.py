@@ -64,6 +64,16 @@ def load_state(states: DataFrame, agents: DataFrame) -> DataFrame:
     return out.withColumns({"run_count": F.coalesce("run_count", F.lit(0)), "consecutive_failures": F.coalesce("consecutive_failures", F.lit(0)), "adaptive_params": F.coalesce("adaptive_params", F.lit("{}"))})
 
 
+def save_state(states: DataFrame, new: DataFrame, by: str = "updated_at") -> DataFrame:
+    """Every agent's state after a save: the latest by `by`; of equal times the greatest by the other columns."""
+    return latest(states.unionByName(new), ["agent_id"], by)
+
+
+def params(c: Column) -> Column:
+    """A state's JSON as a map of strings; no JSON, or none, is an empty map."""
+    return F.coalesce(F.from_json(c, "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
 def last_entries(log: Column, entry: Column, k: int) -> Column:
     """The array with one more entry, cut to its last k."""
     longer = F.concat(F.coalesce(log, F.array()), F.array(entry))

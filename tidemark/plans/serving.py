@@ -53,6 +53,17 @@ def newest_sample(jobs_: DataFrame, role: str, k: int = 300, least: int = 20, fa
     return both.crossJoin(F.broadcast(count)).filter(F.col("_own") == (F.col("mine") >= least)).drop("_own", "mine", "own")  # one row is broadcast
 
 
+def career(spark, skills: tuple[str, ...], role: str, similarities: DataFrame, ranked: DataFrame, sectors: dict, snapshots: DataFrame, k: int = 5) -> DataFrame:
+    """One row for a profile: market match, the first k missing skills, the three best sectors, pay of the role's latest snapshot."""
+    have = spark.createDataFrame([(s,) for s in skills], "skill string")
+    match = similarity.match_histogram(similarities, "similarity").withColumn("match_pct", F.round("match_pct", 1))
+    gaps = m.gaps(ranked, have, k).agg(F.array_sort(F.collect_list(F.struct("priority", "skill", "importance"))).alias("gaps"))
+    fit = m.sector_fit_exact(spark.createDataFrame([(1, list(skills))], "id int, skills array<string>"), sectors)
+    place = F.array_position(F.array(*map(F.lit, sectors)), F.col("sector"))
+    best = fit.orderBy(F.desc("fit_score"), place).limit(3).agg(F.array_sort(F.collect_list(F.struct((-F.col("fit_score")).alias("o"), place.alias("p"), "sector", "fit_score"))).alias("sectors"))
+    return match.crossJoin(gaps).crossJoin(best).join(salary_view(snapshots, role), F.lit(True), "left")  # a row each
+
+
 def jobs_page(spark, sf):
     return m.page(jobs(spark, sf), job_skills(spark, sf), 2, 20, role="ml_engineer", work_model="onsite", visa=True).select("job_id", "scraped_at", "company", "skills", "total", "pages")
 

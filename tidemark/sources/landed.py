@@ -89,6 +89,14 @@ def first_of_copies(postings: DataFrame, order: list[Column]) -> DataFrame:
     return postings.withColumn("_n", F.row_number().over(key)).filter("_n = 1").drop("_n")
 
 
+def scout(results: DataFrame, site: str, order: list[Column]) -> DataFrame:
+    """Search results (title, description, url) of one site as postings of start-ups: the first of each title and company."""
+    rows = results.filter(F.col("url").contains(site) & (F.trim("title") != "")).withColumns({"title": F.trim("title"), "company": company_of(F.col("url"))})
+    first = first_of_copies(rows, order)
+    out = _posting(first, "wf_", F.lit(None).cast("string"), F.col("title"), F.col("company"), F.lit("UK"), F.col("description"), F.col("url"), "wellfound")
+    return out.withColumn("is_startup", F.lit(True))
+
+
 def watchlist(known: DataFrame, seeds: DataFrame, k: int = 80) -> DataFrame:
     """Known companies and the seeds not among them (whatever the case), by last yield, the first k."""
     new = seeds.withColumn("low", F.lower("company")).join(known.select(F.lower("company").alias("low")), "low", "left_anti").drop("low")
