@@ -47,7 +47,7 @@ def skills_by_role(spark, sf):
     named = jobs(spark, sf).filter("role_category is not null and role_category <> 'other'")
     recent = named.filter(F.col("scraped_at") >= m.ts(WEEK))
     counts = job_skills(spark, sf).join(recent, "job_id").groupBy("role_category", "skill").agg(F.count("*").alias("mentions"))
-    return m.top_per(counts, "role_category", "mentions", "skill", 5)
+    return m.top_per(counts, "role_category", "mentions", "skill", 50)
 
 
 def skill_demand_fallback(spark, sf):
@@ -262,7 +262,7 @@ ORACLES = {
     "skill_demand": _with("SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE scraped_at >= TIMESTAMP '1998-01-01' AND scraped_at < TIMESTAMP '1998-07-01' GROUP BY 1 ORDER BY mentions DESC, skill LIMIT 50"),
     "skill_prior_counts": _with(f"SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE {_PREV} GROUP BY 1"),
     "skills_by_role": _with(f"""SELECT * FROM (SELECT role_category, skill, count(*) AS mentions, row_number() OVER (PARTITION BY role_category ORDER BY count(*) DESC, skill)::INT AS rank
-        FROM job_skills JOIN jobs USING (job_id) WHERE {_ROLES_WITH} AND scraped_at >= {_WEEK} GROUP BY 1, 2) WHERE rank <= 5"""),
+        FROM job_skills JOIN jobs USING (job_id) WHERE {_ROLES_WITH} AND scraped_at >= {_WEEK} GROUP BY 1, 2) WHERE rank <= 50"""),
     "skill_demand_fallback": _with("""SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE scraped_at >= TIMESTAMP '2001-08-20' - INTERVAL 30 DAY AND scraped_at < TIMESTAMP '2001-08-27'
         GROUP BY 1 ORDER BY mentions DESC, skill LIMIT 50"""),
     "skill_movers": _with(f""", {_W}, t AS (SELECT * FROM w WHERE w0 > 0 ORDER BY w0 DESC, skill LIMIT 50),

@@ -108,7 +108,7 @@ def skill_mentions_in_text(spark, sf):
 
 
 def page_links(spark, sf):
-    return links(table(spark, sf, "pages"), "page_id", "html", "url", None, 5)
+    return links(table(spark, sf, "pages"), "page_id", "html", "url", None)
 
 
 # --- events: stores, windows ----------------------------------------------------------------------------------
@@ -134,10 +134,10 @@ def seen_store(spark, sf):
 
 
 def new_within_ttl(spark, sf):
-    """The batch's first rows whose key was not seen within 3 days."""
-    e = _hits(spark, sf).filter("event_type = 'purchase'")
-    seen = e.filter(F.expr(f"ts < {_DAY}")).groupBy(F.col("user_id").alias("dedup_hash")).agg(F.max("ts").alias("last_seen"))
-    batch = e.filter(F.expr(f"ts >= {_DAY} and ts < {_DAY} + interval 1 day")).withColumn("dedup_hash", F.col("user_id"))
+    """The batch's first rows of a user and type that were not seen within 3 days."""
+    e = _hits(spark, sf).withColumn("dedup_hash", F.concat_ws(":", "user_id", "event_type"))
+    seen = e.filter(F.expr(f"ts < {_DAY}")).groupBy("dedup_hash").agg(F.max("ts").alias("last_seen"))
+    batch = e.filter(F.expr(f"ts >= {_DAY} and ts < {_DAY} + interval 1 day"))
     return stores.filter_new(batch, seen, F.expr(_DAY), [F.col("ts"), F.col("event_id")], 3).select("event_id", "user_id")
 
 
@@ -178,7 +178,7 @@ def run_log(spark, sf):
 
 def rolling_yields(spark, sf):
     """Per user and day the last four daily counts, and three empty days in a row."""
-    days = _hits(spark, sf).filter("event_type = 'purchase'").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    days = _hits(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     last4 = Window.partitionBy("user_id").orderBy("day").rowsBetween(-3, 0)
     return days.select("user_id", "day", F.array_join(F.transform(F.collect_list("n").over(last4), lambda x: x.cast("string")), ",").alias("last_four"), F.round(F.avg("n").over(last4), 4).alias("mean"))
 
@@ -280,12 +280,12 @@ ORACLES = {
     "page_links": """WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?href=["'']([^"'']+)["''][^>]*>(.*?)</a>')) AS a, generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*?href=["'']([^"'']+)["''][^>]*>(.*?)</a>'), 1) AS pos FROM pages),
         b AS (SELECT page_id, pos, regexp_extract(a, '(?is)href=["'']([^"'']+)["'']', 1) AS h, trim(regexp_replace(regexp_replace(a, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text, regexp_extract(url, '^(https?://[^/]+)', 1) AS root FROM a),
         d AS (SELECT page_id, CASE WHEN starts_with(h, '/') THEN root || h ELSE h END AS href, arg_min(text, pos) AS text, min(pos) AS pos FROM b WHERE length(text) BETWEEN 5 AND 100 GROUP BY 1, 2)
-        SELECT page_id, rank::INT AS rank, href, text FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM d) WHERE rank <= 5""",
+        SELECT page_id, rank::INT AS rank, href, text FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM d) WHERE rank <= 15""",
     "events_by_key": "SELECT event_type, sum((props::JSON->>'$.k')::INT)::BIGINT AS k_sum, max((props::JSON->>'$.k')::INT) AS k_max FROM events GROUP BY 1",
     "seen_store": f"""SELECT user_id AS dedup_hash, coalesce(min(ts) FILTER (ts < {_D}), {_D}) AS first_seen, CASE WHEN count(*) FILTER (ts >= {_D}) > 0 THEN {_D} ELSE max(ts) END AS last_seen, count(*) AS times_seen
         FROM events WHERE ts < {_D} + INTERVAL 1 DAY GROUP BY 1""",
-    "new_within_ttl": f"""WITH p AS (SELECT * FROM events WHERE event_type = 'purchase') SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM p WHERE ts >= {_D} AND ts < {_D} + INTERVAL 1 DAY) WHERE n = 1
-        AND user_id NOT IN (SELECT user_id FROM p WHERE ts < {_D} GROUP BY 1 HAVING max(ts) > {_D} - INTERVAL 3 DAY)""",
+    "new_within_ttl": f"""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE ts >= {_D} AND ts < {_D} + INTERVAL 1 DAY) WHERE n = 1
+        AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE ts < {_D} GROUP BY user_id, event_type HAVING max(ts) > {_D} - INTERVAL 3 DAY)""",
     "weekly_dedup": "SELECT strftime(ts, '%G:%V') AS week, user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2, 3",
     "upsert_postings": """SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '2001-01-01' THEN o_totalprice ELSE 0.0 END AS o_totalprice,
         CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01' OR o_orderkey % 10 = 0 THEN TIMESTAMP '2001-12-01' ELSE o_orderdate END AS scraped_at FROM orders""",
@@ -294,7 +294,7 @@ ORACLES = {
         UNION ALL SELECT p_name, min(p_type) FROM part WHERE p_name NOT IN (SELECT p_name FROM h) GROUP BY 1""",
     "run_log": """WITH l AS (SELECT user_id || '-' || strftime(ts, '%d') AS run_id, ts AS t, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'success' ELSE 'running' END AS status, CASE WHEN event_type = 'purchase' THEN value END AS figure FROM events)
         SELECT run_id, min(t) AS started_at, max(t) FILTER (status <> 'running') AS completed_at, arg_max(status, t) AS status, arg_max(figure, t) FILTER (figure IS NOT NULL) AS figure FROM l GROUP BY 1""",
-    "rolling_yields": """WITH d AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+    "rolling_yields": """WITH d AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2)
         SELECT user_id, day, array_to_string(list(n) OVER w, ',') AS last_four, round(avg(n) OVER w, 4) AS mean FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""",
     "rate_limiter": f"""SELECT event_id, user_id, before, before < 3 AS allowed FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY {_US} RANGE BETWEEN 21600000000 PRECEDING AND 1 PRECEDING) AS before FROM events)""",
     "sessions": f"""WITH g AS (SELECT *, coalesce(({_US} - lag({_US}) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 43200000000, true)::INT AS new FROM events),

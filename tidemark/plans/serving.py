@@ -69,7 +69,7 @@ def jobs_page(spark, sf):
 
 
 def top_skills_per_job(spark, sf):
-    return m.top_skills_of(job_skills(spark, sf), 3)
+    return m.top_skills_of(job_skills(spark, sf))
 
 
 def unenriched_jobs(spark, sf):
@@ -82,16 +82,11 @@ def implied_skills(spark, sf):
 
 
 def pipeline_health(spark, sf):
-    log = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderdate").alias("completed_at"))
+    log = table(spark, sf, "orders").select(F.col("o_orderdate").alias("completed_at"))
     return health(log, F.lit("2001-08-03 06:00:00"))
 
 
 def newest_of_role(spark, sf):
-    return newest_sample(jobs(spark, sf).filter(F.col("scraped_at") >= m.ts("2001-07-20")), "data_scientist").select("job_id", "scraped_at")
-
-
-def newest_of_role_all_dates(spark, sf):
-    """The sample over the whole table."""
     return newest_sample(jobs(spark, sf), "data_scientist").select("job_id", "scraped_at")
 
 
@@ -138,7 +133,7 @@ def latest_snapshot(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (jobs_page, top_skills_per_job, unenriched_jobs, implied_skills, pipeline_health, newest_of_role, newest_of_role_all_dates, skill_gaps, match_score, sector_fit, sector_fit_contained, market_match, latest_snapshot)
+    for f in (jobs_page, top_skills_per_job, unenriched_jobs, implied_skills, pipeline_health, newest_of_role, skill_gaps, match_score, sector_fit, sector_fit_contained, market_match, latest_snapshot)
 }
 
 
@@ -160,16 +155,13 @@ ORACLES = {
         t AS (SELECT count(*) AS total, greatest(1, ceil(count(*) / 20.0))::INT AS pages FROM f), g AS (SELECT * FROM f ORDER BY scraped_at DESC, job_id LIMIT 20 OFFSET 20),
         s AS (SELECT job_id, string_agg(skill, ', ' ORDER BY r) AS skills FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY confidence DESC, skill) AS r FROM job_skills) WHERE r <= 8 GROUP BY 1)
         SELECT job_id, scraped_at, company, skills, total, pages FROM g LEFT JOIN s USING (job_id), t"""),
-    "top_skills_per_job": _with("SELECT job_id, string_agg(skill, ', ' ORDER BY r) AS skills FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY confidence DESC, skill) AS r FROM job_skills) WHERE r <= 3 GROUP BY 1"),
+    "top_skills_per_job": _with("SELECT job_id, string_agg(skill, ', ' ORDER BY r) AS skills FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY confidence DESC, skill) AS r FROM job_skills) WHERE r <= 8 GROUP BY 1"),
     "unenriched_jobs": _with("SELECT job_id, role_category FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM job_skills s WHERE s.job_id = j.job_id)"),
     "implied_skills": _with(f""", k(role, skill, skill_category) AS (VALUES {_IMPLIED_ROWS}), j AS (SELECT job_id, CASE WHEN role_category IN (SELECT role FROM k) THEN role_category ELSE 'other' END AS role
         FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM job_skills s WHERE s.job_id = j.job_id)) SELECT job_id, skill, skill_category, 'role_inference' AS extraction_method, 0.6::DOUBLE AS confidence FROM j JOIN k USING (role)"""),
     "pipeline_health": """SELECT max(o_orderdate) AS last_run, count(*) AS "rows", round(date_diff('second', max(o_orderdate), TIMESTAMP '2001-08-03 06:00:00') / 3600.0::DOUBLE, 1) AS hours,
-        CASE WHEN date_diff('second', max(o_orderdate), TIMESTAMP '2001-08-03 06:00:00') / 3600.0 < 72 THEN 'healthy' ELSE 'stale' END AS status FROM orders WHERE o_orderstatus = 'F'""",
-    "newest_of_role": _with(""", f AS (SELECT * FROM jobs WHERE scraped_at >= TIMESTAMP '2001-07-20'), a AS (SELECT job_id, scraped_at FROM f WHERE role_category = 'data_scientist' ORDER BY scraped_at DESC, job_id LIMIT 300),
-        b AS (SELECT job_id, scraped_at FROM f ORDER BY scraped_at DESC, job_id LIMIT 200)
-        SELECT * FROM a WHERE (SELECT count(*) FROM a) >= 20 UNION ALL SELECT * FROM b WHERE (SELECT count(*) FROM a) < 20"""),
-    "newest_of_role_all_dates": _with(""", a AS (SELECT job_id, scraped_at FROM jobs WHERE role_category = 'data_scientist' ORDER BY scraped_at DESC, job_id LIMIT 300),
+        CASE WHEN date_diff('second', max(o_orderdate), TIMESTAMP '2001-08-03 06:00:00') / 3600.0 < 72 THEN 'healthy' ELSE 'stale' END AS status FROM orders""",
+    "newest_of_role": _with(""", a AS (SELECT job_id, scraped_at FROM jobs WHERE role_category = 'data_scientist' ORDER BY scraped_at DESC, job_id LIMIT 300),
         b AS (SELECT job_id, scraped_at FROM jobs ORDER BY scraped_at DESC, job_id LIMIT 200)
         SELECT * FROM a WHERE (SELECT count(*) FROM a) >= 20 UNION ALL SELECT * FROM b WHERE (SELECT count(*) FROM a) < 20"""),
     "skill_gaps": _with(f""", r AS (SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE scraped_at >= TIMESTAMP '2001-01-01' GROUP BY 1 ORDER BY mentions DESC, skill LIMIT 20),
