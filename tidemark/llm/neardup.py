@@ -39,7 +39,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SLOTS, BANDS = 64, 16
 #: Members of a block across classes: those outside the bucket's main class, all.
-BLOCK = (256, 512)
+BLOCK = (128, 256)
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
