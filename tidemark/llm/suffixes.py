@@ -313,7 +313,7 @@ def _spans(size: int, marked: list, facts: dict, row: int, tie: int, min_bytes:
     return np.flatnonzero(covered[1:] != covered[:-1]).reshape(-1, 2).tolist()
 
 
-def _cut(min_bytes: int, keep: list[str]):
+def _cut(min_bytes: int, keep: list[str], as_text: bool):
     """Of a block and its facts: the texts without the strings that are no facts."""
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -342,16 +342,21 @@ def _cut(min_bytes: int, keep: list[str]):
             left.append(body[at:])
             kept.append(b"".join(left) if found else body)
             spans.append(found)
-        made = {"key": rows.column("key"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32())))}
+        if as_text:
+            kept = [None if gone else body.decode("utf-8", "ignore") for body, gone in zip(kept, rows.column("absent").to_pylist())]
+        made = {"key": rows.column("key"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "kept": pa.array(kept, pa.string() if as_text else pa.binary()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32())))}
         return pa.table(made | {c: rows.column(c) for c in keep})
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, hot: int = HOT, block_bytes: int = BLOCK_BYTES, sorted_: int = SORTED, keep: tuple[str, ...] = ()
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, hot: int = HOT, block_bytes: int = BLOCK_BYTES, sorted_: int = SORTED, keep: tuple[str, ...] = (), as_text: bool = False
 ) -> DataFrame:
-    """One row per row of docs: key, n_bytes, kept (the remaining bytes), spans (removed, as array<array<int>> of [start, end)), and the columns to keep."""
+    """One row per row of docs: key, n_bytes, kept (the remaining bytes), spans (removed, as array<array<int>> of [start, end)), and the columns to keep.
+
+    as_text: kept is a string, without the characters that an edge cuts, and null where the text is null.
+    """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     body = F.coalesce(F.col(text), F.lit(""))
     blocks = 1 + (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // block_bytes
@@ -362,6 +367,7 @@ def remove_repeats(
         tie.alias("tie"),
         F.pmod(F.xxhash64(F.col(key).cast("long"), tie), F.lit(blocks)).alias("block"),
         body.alias("body"),
+        *([F.col(text).isNull().alias("absent")] if as_text else []),
         *[F.col(c).alias(f"keep{n}") for n, c in enumerate(keep)],
     )
     carried = [f"keep{n}" for n in range(len(keep))]
@@ -370,7 +376,7 @@ def remove_repeats(
     found = rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_dictionary(min_bytes), DICTIONARY)
     facts = found.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_resolve(min_bytes, sorted_), FACTS)
     more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
-    out = rows.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(_cut(min_bytes, carried), f"key long, n_bytes long, kept binary, spans array<array<int>>{more}")
+    out = rows.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(_cut(min_bytes, carried, as_text), f"key long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<array<int>>{more}")
     return out.select(F.col("key").alias(key), "n_bytes", "kept", "spans", *[F.col(f"keep{n}").alias(c) for n, c in enumerate(keep)])
 
 
