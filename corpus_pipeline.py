@@ -6,12 +6,11 @@ docs. run() writes each stage's result to the shared folder and reads it as the
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import neardup, packing, quality, suffixes
-from tidemark.llm.common import map_batches, table, write_table
+from tidemark.llm.common import table, write_table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,17 +41,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     names = [f"c{n}" for n in range(len(docs.columns))]  # no name of ours may meet one of theirs
     key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    cut = suffixes.remove_repeats(docs.toDF(*names), key=key, text=text, keep=tuple(n for n in names if n != key))
-    bare = cut.select("kept", F.size("spans").alias("cuts"), *names)
-    at = 2 + names.index(text)
-
-    def decode(batch):
-        kept = [old if not cuts else body.decode("utf-8", "ignore") for body, cuts, old in zip(*(batch.column(k).to_pylist() for k in (0, 1, at)))]
-        columns = [pa.array(kept, pa.string()) if k == at else c for k, c in enumerate(batch.columns)][2:]
-        return pa.RecordBatch.from_arrays(columns, batch.schema.names[2:])
-
-    out = map_batches(bare, decode, ", ".join(f"c{n} {docs.schema[c].dataType.simpleString()}" for n, c in enumerate(docs.columns)))
-    out = out.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)])
+    cut = suffixes.remove_repeats(docs.toDF(*names), key=key, text=text, keep=tuple(n for n in names if n not in (key, text)), as_text=True)
+    out = cut.select(*[F.col("kept" if n == text else n).cast(docs.schema[c].dataType).alias(c) for n, c in zip(names, docs.columns)])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
