@@ -16,7 +16,7 @@ import re
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that one worker remembers; beyond it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 350_000
 _CONTROL = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 #: UTF-8 starts of white space beyond ASCII (some also start other characters: those texts take the plain way).
 _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
