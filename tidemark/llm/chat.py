@@ -258,7 +258,10 @@ def parse(lines: DataFrame, model: Model, segment: int = SEGMENT, part: int = PA
             yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in ids), *_settled(found)], [*ids, "entry", "leave"])
 
     deal = lambda df, keys, by: df.repartition(*keys).sortWithinPartitions(*by)
-    mats = deal(rows, ids, order).mapInArrow(matrix, "key long, seg long, part long, m array<double>, first array<double>")
+    # A conversation with nothing beyond its first segment has no seams; of the others that segment is bounded, so the join is even.
+    inner = rows.filter("seg <> 0 or part <> 0")
+    begun = rows.filter("seg = 0 and part = 0").join(inner.select("key").distinct(), "key", "left_semi")
+    mats = deal(inner.unionByName(begun), ids, order).mapInArrow(matrix, "key long, seg long, part long, m array<double>, first array<double>")
     mats = write_table(mats.withColumn("big", F.expr(f"seg div {group}")), "matrices")
     whole = deal(mats, ["key", "big"], ["key", "big", "seg", "part"]).select("key", "big", "m", "first")
     bigs = whole.mapInArrow(shrink, "key long, big long, m array<double>, first array<double>")
@@ -301,7 +304,7 @@ def parse(lines: DataFrame, model: Model, segment: int = SEGMENT, part: int = PA
             names = [*ids, "n_lines", "n_turns", "roles", "rendered", "wrong", "lost", "left"]
             yield pa.RecordBatch.from_arrays([*(pa.array(c[start]) for c in columns), *(pa.array(c, k) for c, k in zip(out, kinds))], names)
 
-    ready = deal(rows.join(met, ids), ids, order)
+    ready = deal(rows.join(met, ids, "left").withColumn("leave", F.coalesce("leave", F.lit(-1))), ids, order)
     out = ready.mapInArrow(render, "key long, seg long, part long, n_lines int, n_turns int, roles string, rendered string, wrong int, lost long, left long")
     return out.withColumnRenamed("seg", "segment")
 
