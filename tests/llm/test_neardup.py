@@ -138,3 +138,28 @@ def test_family_whose_copies_are_far_from_each_other(spark, monkeypatch, block):
         rows.append((k * 7 % 110, " ".join(w)))
     got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
+
+
+def test_the_query_equals_all_pairs_of_a_thousand_documents(spark):
+    """Every pair of sf0.01 by the exact bound, then exactly: its classes, and so its links, are the query's."""
+    sf = "/root/testdata/sf0.01"
+    docs = sorted((r.doc_id, r.text or "") for r in table(spark, sf, "documents").select("doc_id", "text").collect())
+    first = {}
+    root = {k: first.setdefault(t, k) for k, t in docs}  # copies
+    texts = [(k, neardup.weighted(t)) for t, k in first.items()]
+    index = neardup.Shares([b for _, b in texts])
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for n, (k, bag) in enumerate(texts):
+        most = index.bounds(bag) if len(bag[0]) else []
+        for j in [j for j, m in enumerate(most) if j < n and m >= 0.8 - 1e-9]:
+            if neardup.similarity(bag, texts[j][1]) >= 0.8 - 1e-12:
+                a, b = find(k), find(texts[j][0])
+                root[max(a, b)] = min(a, b)
+    want = {k: find(k) for k, _ in docs}
+    got = {r.doc_id: r.class_id for r in neardup.op2_probminhash_dedup(spark, sf).collect()}
+    assert got == want and 10 < sum(k != c for k, c in want.items())
