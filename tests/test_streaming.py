@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.streaming import streams
@@ -42,13 +43,44 @@ def test_limiter_equals_the_definition(spark, tmp_path):
     assert got == want
 
 
-def test_seen_sink_is_idempotent(spark, tmp_path):
-    path = str(tmp_path / "seen")
-    sink = streams.merge_seen(path)
+def test_limiter_forgets_users_of_long_ago(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for user, second in ((1, 0), (2, 10_000), (3, 20_000)):
+        spark.createDataFrame([(user, user, second * 10**6)], "user_id long, event_id long, ts long").coalesce(1).write.mode("append").parquet(path)
+    src = streams.read_events(spark, path, "user_id long, event_id long, ts long")
+    query = streams.run_available(streams.limited(src, 5, 60, late=100), "forgotten", "append", str(tmp_path / "c"))
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress][-1] == 1  # the last user alone
+    assert spark.table("forgotten").filter("allowed").count() == 3
+
+
+def seen(store):
+    return {r.dedup_hash: r.times_seen for r in store.read().collect()}
+
+
+def test_seen_store_counts_each_batch_once(spark, tmp_path):
     batch = lambda *keys: spark.createDataFrame([(k, START) for k in keys], "dedup_hash string, ts timestamp")
-    sink(batch("a", "b"), 0)
+    store = streams.SeenStore(spark, str(tmp_path / "seen"), "first")
+    assert seen(store) == {}
+    store.write(batch("a", "b", "b"), 0)
     for _ in range(2):
-        sink(batch("b", "c"), 1)
-    got = {r.dedup_hash: r.times_seen for r in spark.read.parquet(f"{path}/v=1").collect()}
-    assert got == {"a": 1, "b": 2, "c": 1}
+        store.write(batch("b", "c"), 1)
+    assert seen(store) == {"a": 1, "b": 3, "c": 1}
+    store.fold()
+    store.write(batch("b", "c"), 1)  # run again after the fold
+    assert seen(store) == {"a": 1, "b": 3, "c": 1}
+    again = streams.SeenStore(spark, str(tmp_path / "seen"), "second", every=2)  # a new checkpoint starts at 0
+    again.write(batch("a"), 0)
+    again.write(batch(), 1)  # nothing came; folds
+    assert seen(again) == seen(store) == {"a": 2, "b": 3, "c": 1}
+    assert sorted(p.name for p in (tmp_path / "seen").iterdir()) == ["base=1"]
+    for name in ("", "a=b", "a/b"):
+        with pytest.raises(ValueError):
+            streams.SeenStore(spark, str(tmp_path / "seen"), name)
     assert streams.as_instant(batch("a").withColumn("ts", F.col("ts").cast("timestamp_ntz"))).schema["ts"].dataType.simpleString() == "timestamp"
+
+
+def test_seen_store_as_the_sink_of_a_stream(spark, tmp_path):
+    src = stream(spark, tmp_path, [("a", START), ("a", START + dt.timedelta(days=1)), ("b", START)], "dedup_hash string, ts timestamp")
+    store = streams.SeenStore(spark, str(tmp_path / "seen"), "run")
+    src.writeStream.foreachBatch(store.write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in store.read().collect()) == [("a", START, START + dt.timedelta(days=1), 2), ("b", START, START, 1)]

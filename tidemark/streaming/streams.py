@@ -5,11 +5,15 @@ State is bounded everywhere: by a watermark, by a time-to-live, or by a window t
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -40,43 +44,111 @@ def first_seen(df: DataFrame, keys: list[str], column: str = "ts", ttl: str = "3
 LIMITED = "user_id long, event_id long, allowed boolean"
 
 
-def limiter(limit: int, seconds: int) -> Callable:
-    """State function of a sliding-window limiter: below `limit` hits in the `seconds` before, the hit is allowed; denied hits count."""
+def limiter(limit: int, seconds: int, late: int) -> Callable:
+    """State function of a sliding-window limiter: below `limit` hits in the `seconds` before, the hit is allowed; denied hits count.
+
+    State keeps the hits that a row within `late` seconds may still look back on, and goes when the watermark passes the last.
+    """
+    window = seconds * 10**6
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-        out = []
-        for at, event in zip(rows["ts"].astype("int64") // 1000 if rows["ts"].dtype != "int64" else rows["ts"], rows["event_id"]):
-            hits = [h for h in hits if h >= at - seconds * 10**6]
-            out.append((key[0], event, len([h for h in hits if h < at]) < limit))
-            hits.append(at)
-        state.update((hits,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames), ignore_index=True)
+        at = rows["ts"].to_numpy(np.int64)
+        hits = np.sort(np.concatenate([np.asarray(state.get[0] if state.exists else [], np.int64), at]))
+        before = np.searchsorted(hits, at, "left") - np.searchsorted(hits, at - window, "left")
+        last = int(hits[-1])
+        state.update((hits[hits >= last - window - late * 10**6].tolist(),))
+        state.setTimeoutTimestamp((last + window) // 1000 + late * 1000 + 1)
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "allowed": before < limit})
 
     return run
 
 
-def limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """events: user_id, event_id, ts (microseconds). A user's state holds only the hits of the last window."""
-    return events.groupBy("user_id").applyInPandasWithState(limiter(limit, seconds), LIMITED, "hits array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def merge_seen(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink of the seen store (dedup_hash, ts in): each micro-batch makes version n + 1 from version n; one that is run again writes the same version."""
-
-    def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select("dedup_hash", F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"), F.lit(1).cast("long").alias("times_seen"))
-        old = spark.read.schema(fresh.schema).parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], fresh.schema)
-        merged = old.unionByName(fresh).groupBy("dedup_hash").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("times_seen").alias("times_seen"))
-        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return sink
-
-
-def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> None:
+def limited(events: DataFrame, limit: int, seconds: int, late: int = 3600) -> DataFrame:
+    """events: user_id, event_id, ts (microseconds). A hit is judged on the hits known when it arrives.
+
+    Hits over `late` seconds behind the newest event are dropped by the watermark. A user without hits for the window
+    and that time is forgotten, so state holds only users of late.
+    """
+    due = F.timestamp_micros(F.col("ts") + late * 10**6)  # the first watermark is the epoch, before which no hit may be due
+    timed = events.withColumn("at", due).withWatermark("at", f"{late} seconds")
+    return timed.groupBy("user_id").applyInPandasWithState(limiter(limit, seconds, late), LIMITED, "hits array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+SEEN = "dedup_hash string, first_seen timestamp, last_seen timestamp, times_seen long"
+
+
+class SeenStore:
+    """The seen store as a base and the batches after it: a micro-batch writes what it saw, not the store.
+
+    base=<n> holds the counts of all batches up to the one of each run that its file folded.json names; batch=<run>=<n> those
+    of one. A batch that is run again replaces its own folder, or is passed over where a base holds it, so each counts
+    once. A run is one checkpoint: another checkpoint takes another name and adds to the store. One writer at a time; the
+    folder's file system has to rename a folder in one step.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, run: str, every: int = 32):
+        """every: so many batches are folded into a new base."""
+        if not run or "=" in run or "/" in run:
+            raise ValueError("a run's name is not empty and holds no = and no /")
+        self.spark, self.path, self.run, self.every = spark, path.rstrip("/"), run, every
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _state(self) -> tuple[int, dict[str, int], dict[str, tuple[str, int]]]:
+        """The number of the newest base (-1: none), the last batch of each run in it, and the whole batches that are not."""
+        root = self._path(self.path)
+        names = [f.getPath().getName() for f in self._files.listStatus(root)] if self._files.exists(root) else []
+        base = max((int(n.split("=")[1]) for n in names if n.startswith("base=")), default=-1)
+        folded = {}
+        if base >= 0:
+            told = self.spark.read.text(f"{self.path}/base={base}/folded.json", wholetext=True).first()
+            folded = json.loads(told["value"])
+        batches = {n: (n.split("=")[1], int(n.split("=")[2])) for n in names if n.startswith("batch=") and self._files.exists(self._path(f"{self.path}/{n}/_SUCCESS"))}
+        return base, folded, {n: (run, k) for n, (run, k) in batches.items() if k > folded.get(run, -1)}
+
+    def _rows(self, base: int, batches) -> DataFrame:
+        parts = [f"{self.path}/{n}" for n in batches] + ([f"{self.path}/base={base}/rows"] if base >= 0 else [])
+        rows = self.spark.read.schema(SEEN).parquet(*parts) if parts else self.spark.createDataFrame([], SEEN)
+        return rows.groupBy("dedup_hash").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("times_seen").alias("times_seen"))
+
+    def read(self) -> DataFrame:
+        base, _, batches = self._state()
+        return self._rows(base, batches)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        """The foreachBatch sink; batch: dedup_hash, ts."""
+        base, folded, batches = self._state()
+        if number <= folded.get(self.run, -1):
+            return
+        counts = batch.groupBy("dedup_hash").agg(F.min("ts").cast("timestamp").alias("first_seen"), F.max("ts").cast("timestamp").alias("last_seen"), F.count("*").alias("times_seen"))
+        counts.write.mode("overwrite").parquet(f"{self.path}/batch={self.run}={number}")
+        if len(batches) + 1 >= self.every:
+            self.fold()
+
+    def fold(self) -> None:
+        """A new base of all there is. The old one and its batches go once the new one stands; its readers must be done."""
+        base, folded, batches = self._state()
+        if not batches:
+            return
+        made = f"{self.path}/made-{uuid.uuid4().hex}"
+        self._rows(base, batches).write.parquet(f"{made}/rows")
+        for run, number in batches.values():
+            folded[run] = max(number, folded.get(run, -1))
+        out = self._files.create(self._path(f"{made}/folded.json"))
+        out.write(bytearray(json.dumps(folded), "utf-8"))
+        out.close()
+        if not self._files.rename(self._path(made), self._path(f"{self.path}/base={base + 1}")):
+            raise RuntimeError("the new base could not be put in place")
+        for name in [*batches, f"base={base}"]:
+            self._files.delete(self._path(f"{self.path}/{name}"), True)
+
+
+def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
     """Run a stream over all that is there into a memory table, as a scheduler's trigger would."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-
+    return query
