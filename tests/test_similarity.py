@@ -69,3 +69,27 @@ def test_turns_of_a_long_conversation_keep_their_own_classes(spark):
     got = {r.id: r.first for r in records.turn_classes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
     assert len(got) == len(rows)
     assert {k: v for k, v in got.items() if k != v} == {"2:0": "1:7", "10:0": "1:1000"}
+
+
+def test_document_classes_equal_brute_force_over_all_three_signals(spark, sf_dir):
+    docs, vectors = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "embeddings"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    v = {r.vec_id: [float(x) for x in r.embedding] for r in vectors.collect() if r.vec_id in texts}
+    bags = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for k, t in texts.items()}
+    size = {k: sum(x * x for x in u) for k, u in v.items()}
+
+    def tied(a, b):
+        both = len(bags[a] & bags[b])
+        if texts[a] == texts[b] or (both and both >= 0.8 * (len(bags[a]) + len(bags[b]) - both)):
+            return True
+        return a in v and b in v and sum(x * y for x, y in zip(v[a], v[b])) >= 0.4 * (size[a] * size[b]) ** 0.5
+
+    want = {k: k for k in texts}
+    for a in sorted(texts):
+        for b in (k for k in texts if k > a):
+            if want[a] != want[b] and tied(a, b):
+                low, high = sorted((want[a], want[b]))
+                want = {k: low if r == high else r for k, r in want.items()}
+    got = {r.doc_id: r.first for r in records.vector_classes(docs, vectors, 0.4).collect()}
+    assert got == want
+    assert len(set(want.values())) < len(set(texts.values()))  # more than equal texts are tied

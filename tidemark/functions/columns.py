@@ -71,7 +71,3 @@ def level(c: Column, spellings: dict[str, str]) -> Column:
 def client_ip(forwarded: Column, peer: Column) -> Column:
     """The last entry of a forwarding header, or the peer's address."""
     return F.coalesce(F.nullif(F.trim(F.element_at(F.split(forwarded, ","), -1)), F.lit("")), peer)
-
-
-def ceil_div(a: Column, b: Column | int) -> Column:
-    return F.ceil(a / b).cast("long")

@@ -88,14 +88,6 @@ def three_signals(df: DataFrame, key: str, text: str, vectors: DataFrame | None
     return df.select(key).join(roots, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("first"))
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, least: float, bucket: Column) -> DataFrame:
-    """Pairs (a < b) of one bucket whose cosine is at least `least`; the bucket keeps a vector's partners few."""
-    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), bucket.alias("g"))
-    left, right = rows.select("g", F.col("k").alias("a"), F.col("v").alias("va")), rows.select("g", F.col("k").alias("b"), F.col("v").alias("vb"))
-    similarity = cosine(F.col("va"), F.col("vb"))
-    return left.join(right, (left["g"] == right["g"]) & (F.col("a") < F.col("b")) & (similarity >= least)).select("a", "b", F.round(similarity, 6).alias("similarity"))
-
-
 #: Vectors in a block of all_cosine_pairs.
 BLOCK = 512
 

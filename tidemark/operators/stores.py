@@ -1,13 +1,13 @@
 """Store protocols as set-based merges over DataFrames: old state and a batch in, new state out.
 
-Parquet has no MERGE; each protocol is one aggregation or join, and `save_version` writes the result
-beside what is being read, so nothing is overwritten while it is read. Only the weekly snapshot, whose
-partitions are whole weeks, uses dynamic partition overwrite.
+Parquet has no MERGE; each protocol is one aggregation or join, whose result is written beside what is
+being read, so nothing is overwritten while it is read. Only the weekly snapshot, whose partitions are
+whole weeks, uses dynamic partition overwrite.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -97,13 +97,6 @@ def backfill(rows: DataFrame, column: str, value: Column) -> DataFrame:
     return rows.withColumn(column, F.coalesce(F.col(column), value))
 
 
-def save_version(df: DataFrame, path: str, version: int, keys: list[str] | None = None) -> str:
-    """Write a new version of a store beside the old ones and return its path."""
-    target = f"{path.rstrip('/')}/v={version}"
-    (df.repartition(*keys) if keys else df).write.parquet(target)
-    return target
-
-
 def save_weeks(df: DataFrame, path: str, by: str = "week_start") -> None:
     """Replace exactly the weeks that df holds; other weeks stay."""
     df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
@@ -116,7 +109,3 @@ def trends(skills: DataFrame, total: Column) -> DataFrame:
 
 def expired(cache: DataFrame, now: Column) -> DataFrame:
     return cache.filter(F.col("expires_at") <= now)
-
-
-def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], df.schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as c
 from tidemark.functions import text as t
 from tidemark.operators import quality, similarity, stores
+from tidemark.sources.binding import CTE, jobs
 from tidemark.sources.landed import links
 from tidemark.sources.tables import table
 from tidemark.tables import write_table
@@ -40,7 +41,7 @@ def injection_scores(spark, sf):
 def threat_entries(spark, sf):
     turns = table(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
     checked = t.security_check(turns, "id", "text", LONGEST).join(turns.select("id", "text"), "id")
-    return checked.filter(F.col("threat").isin("high", "medium")).select("id", "threat", F.substring(F.sha2(F.substring("text", 1, 200), 256), 1, 32).alias("input_hash"))
+    return t.threat_log(checked, "id", F.col("text"))
 
 
 def risky_terms(spark, sf):
@@ -81,13 +82,20 @@ def turn_classes(turns):
     return found.join(names.toDF("first", "name"), "first").select("id", F.col("name").alias("first"))
 
 
-def near_vectors(spark, sf):
-    """Pairs of vectors of one label with cosine 0.3 or more."""
-    return similarity.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.3, F.col("label"))
+def document_classes(spark, sf):
+    """X7 with all three signals over documents, whose vectors are those of their number: each with the least of its class."""
+    return vector_classes(table(spark, sf, "documents"), table(spark, sf, "embeddings"), 0.95)
+
+
+def vector_classes(docs, vectors, least):
+    """A vector without a document ties no documents together."""
+    keyed = vectors.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    known = keyed.join(docs.select(F.col("doc_id").alias("key")), "key", "left_semi")
+    return similarity.three_signals(docs, "doc_id", "text", known, least)
 
 
-def near_vectors_all_labels(spark, sf):
-    """Pairs of any two vectors with cosine 0.3 or more."""
+def near_vectors(spark, sf):
+    """Pairs of any two vectors, of whatever labels, with cosine 0.3 or more."""
     return similarity.all_cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.3)
 
 
@@ -169,6 +177,17 @@ def insert_ignored(spark, sf):
     return stores.append_unknown(first, table(spark, sf, "part").select("p_name", "p_type"), ["p_name"])
 
 
+def roles_filled(spark, sf):
+    """A role only where there is none."""
+    return stores.backfill(jobs(spark, sf), "role_category", F.lit("other")).select("job_id", "role_category")
+
+
+def expired_entries(spark, sf):
+    """Orders as cache entries that live for 30 days, as of August 2001."""
+    cache = table(spark, sf, "orders").select("o_orderkey", F.expr("o_orderdate + interval 30 days").alias("expires_at"))
+    return stores.expired(cache, F.expr("timestamp_ntz'2001-08-02'"))
+
+
 def run_log(spark, sf):
     """K9: state of each run (a user's day) from its events."""
     e = _hits(spark, sf)
@@ -232,8 +251,8 @@ def ops_status(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        pii_scrub, injection_scores, threat_entries, risky_terms, draft_review, control_characters, dedup_hashes, exact_copies, posting_classes, near_vectors, near_vectors_all_labels, salary_display, skill_mentions_in_text, page_links,
-        events_by_key, seen_store, new_within_ttl, weekly_dedup, upsert_postings, touched, insert_ignored, run_log, rolling_yields, rate_limiter, sessions, cost_alerts, adoption_lag,
+        pii_scrub, injection_scores, threat_entries, risky_terms, draft_review, control_characters, dedup_hashes, exact_copies, posting_classes, document_classes, near_vectors, salary_display, skill_mentions_in_text, page_links,
+        events_by_key, seen_store, new_within_ttl, weekly_dedup, upsert_postings, touched, insert_ignored, roles_filled, expired_entries, run_log, rolling_yields, rate_limiter, sessions, cost_alerts, adoption_lag,
         integrity, psi, ops_status,
     )
 }
@@ -265,9 +284,7 @@ ORACLES = {
     "control_characters": "SELECT doc_id, length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'))::INT AS n_clean FROM documents",
     "dedup_hashes": "SELECT c_custkey, substr(sha256(lower(trim(c_name)) || '|' || lower(trim(c_mktsegment)) || '|' || c_nationkey), 1, 16) AS dedup_hash FROM customer",
     "exact_copies": "SELECT * FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE first < doc_id",
-    "near_vectors": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
-        SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.3""",
-    "near_vectors_all_labels": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+    "near_vectors": """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
         SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.3""",
     "salary_display": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS low, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice + 1000 END AS high FROM orders),
         f AS (SELECT *, '£' || format('{:,}', floor(low)::BIGINT) AS a, '£' || format('{:,}', floor(high)::BIGINT) AS b FROM o)
@@ -292,6 +309,8 @@ ORACLES = {
     "touched": "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01') THEN TIMESTAMP '2001-08-02' ELSE TIMESTAMP '2000-01-01' END AS scraped_at FROM customer",
     "insert_ignored": """WITH h AS (SELECT p_name, min(p_type) AS p_type FROM part WHERE p_size <= 25 GROUP BY 1) SELECT * FROM h
         UNION ALL SELECT p_name, min(p_type) FROM part WHERE p_name NOT IN (SELECT p_name FROM h) GROUP BY 1""",
+    "roles_filled": f"WITH {CTE} SELECT job_id, coalesce(role_category, 'other') AS role_category FROM jobs",
+    "expired_entries": "SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY AS expires_at FROM orders WHERE o_orderdate + INTERVAL 30 DAY <= TIMESTAMP '2001-08-02'",
     "run_log": """WITH l AS (SELECT user_id || '-' || strftime(ts, '%d') AS run_id, ts AS t, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'success' ELSE 'running' END AS status, CASE WHEN event_type = 'purchase' THEN value END AS figure FROM events)
         SELECT run_id, min(t) AS started_at, max(t) FILTER (status <> 'running') AS completed_at, arg_max(status, t) AS status, arg_max(figure, t) FILTER (figure IS NOT NULL) AS figure FROM l GROUP BY 1""",
     "rolling_yields": """WITH d AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2)
