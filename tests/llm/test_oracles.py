@@ -10,5 +10,5 @@ def test_equals_oracle(spark, name):
     assert same(registry.QUERIES[name](spark, sf), connect(sf), registry.ORACLES[name]) > 0
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))

@@ -1,10 +1,10 @@
-"""The corpus queries op1 to op10, by name, with the oracles that SQL can express."""
+"""The corpus queries op1 to op13, by name, with the oracles that SQL can express."""
 
 from __future__ import annotations
 
-from tidemark.llm import chat, licences, mpeg, neardup, packing, pieces, quality, rollup, suffixes, topk
+from tidemark.llm import chat, codes, licences, mpeg, neardup, packing, pieces, quality, rollup, suffixes, topk
 
-MODULES = (chat, licences, mpeg, neardup, packing, pieces, quality, rollup, suffixes, topk)
+MODULES = (chat, codes, licences, mpeg, neardup, packing, pieces, quality, rollup, suffixes, topk)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
