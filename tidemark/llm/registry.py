@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, codes, hardneg, licences, mpeg, neardup, packing, pieces, quality, rollup, suffixes, topk
+from tidemark.llm import chat, codes, hardneg, licences, lm, mpeg, neardup, packing, pieces, quality, rollup, suffixes, topk
 
-MODULES = (chat, codes, hardneg, licences, mpeg, neardup, packing, pieces, quality, rollup, suffixes, topk)
+MODULES = (chat, codes, hardneg, licences, lm, mpeg, neardup, packing, pieces, quality, rollup, suffixes, topk)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
