@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as c
 from tidemark.functions import text as t
 from tidemark.operators import quality, similarity, stores
+from tidemark.operators.keyed import replaced, temporary
 from tidemark.sources.binding import CTE, jobs
 from tidemark.sources.landed import links
 from tidemark.sources.tables import table
@@ -138,7 +139,9 @@ def seen_store(spark, sf):
     e = _hits(spark, sf)
     old = e.filter(F.expr(f"ts < {_DAY}")).groupBy(F.col("user_id").alias("dedup_hash")).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("times_seen"))
     batch = e.filter(F.expr(f"ts >= {_DAY} and ts < {_DAY} + interval 1 day")).select(F.col("user_id").alias("dedup_hash"))
-    return stores.mark_seen(old, batch, F.expr(_DAY))
+    store = temporary(old, ["dedup_hash"])
+    store.merge(batch, lambda rows, new: stores.mark_seen(rows, new, F.expr(_DAY)))
+    return store.read()
 
 
 def new_within_ttl(spark, sf):
@@ -160,21 +163,38 @@ def upsert_postings(spark, sf):
     o = table(spark, sf, "orders")
     old = o.filter("o_orderdate < timestamp_ntz'2001-01-01'").select("o_orderkey", "o_totalprice", F.col("o_orderdate").alias("scraped_at"))
     batch = o.filter("o_orderdate >= timestamp_ntz'2001-01-01' or o_orderkey % 10 = 0").select("o_orderkey", F.lit(0.0).alias("o_totalprice"), F.expr("timestamp_ntz'2001-12-01'").alias("scraped_at"))
-    return stores.upsert_first_wins(old, batch, "o_orderkey", ("scraped_at",))
+    store = temporary(old, ["o_orderkey"])
+    store.merge(batch, lambda rows, new: stores.upsert_first_wins(rows, new, "o_orderkey", ("scraped_at",)))
+    return store.read()
+
+
+def upsert_history(spark, sf):
+    """K4, K5: monthly pay by customer segment up to 1998, then the months from June 1998 on, computed anew and doubled, written over them; last write wins."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    joined = o.join(c, o["o_custkey"] == c["c_custkey"])
+    month = F.date_trunc("month", "o_orderdate").cast("date")
+    monthly = lambda rows, times: rows.groupBy(month.alias("month"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.round(F.max("o_totalprice") * times, 2).alias("top"))
+    store = temporary(monthly(joined.filter("o_orderdate < timestamp_ntz'1999-01-01'"), 1), ["month", "segment"])
+    store.merge(monthly(joined.filter("o_orderdate >= timestamp_ntz'1998-06-01'"), 2), lambda rows, new: replaced(rows, new, ["month", "segment"]))
+    return store.read()
 
 
 def touched(spark, sf):
     """K2: customers with a posting since July 2001 are touched."""
     cust = table(spark, sf, "customer").select("c_custkey", F.expr("timestamp_ntz'2000-01-01'").alias("scraped_at"))
     keys = table(spark, sf, "orders").filter("o_orderdate >= timestamp_ntz'2001-07-01'").select(F.col("o_custkey").alias("c_custkey"))
-    return stores.touch(cust, keys, "c_custkey", "scraped_at", F.expr("timestamp_ntz'2001-08-02'"))
+    store = temporary(cust, ["c_custkey"])
+    store.merge(keys, lambda rows, new: stores.touch(rows, new, "c_custkey", "scraped_at", F.expr("timestamp_ntz'2001-08-02'")))
+    return store.read()
 
 
 def insert_ignored(spark, sf):
     """Names that are not there yet."""
     have = table(spark, sf, "part").filter("p_size <= 25").select("p_name", "p_type").dropDuplicates(["p_name", "p_type"])
     first = have.groupBy("p_name").agg(F.min("p_type").alias("p_type"))
-    return stores.append_unknown(first, table(spark, sf, "part").select("p_name", "p_type"), ["p_name"])
+    store = temporary(first, ["p_name"])
+    store.merge(table(spark, sf, "part").select("p_name", "p_type"), lambda rows, new: stores.append_unknown(rows, new, ["p_name"]))
+    return store.read()
 
 
 def roles_filled(spark, sf):
@@ -252,7 +272,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pii_scrub, injection_scores, threat_entries, risky_terms, draft_review, control_characters, dedup_hashes, exact_copies, posting_classes, document_classes, near_vectors, salary_display, skill_mentions_in_text, page_links,
-        events_by_key, seen_store, new_within_ttl, weekly_dedup, upsert_postings, touched, insert_ignored, roles_filled, expired_entries, run_log, rolling_yields, rate_limiter, sessions, cost_alerts, adoption_lag,
+        events_by_key, seen_store, new_within_ttl, weekly_dedup, upsert_postings, upsert_history, touched, insert_ignored, roles_filled, expired_entries, run_log, rolling_yields, rate_limiter, sessions, cost_alerts, adoption_lag,
         integrity, psi, ops_status,
     )
 }
@@ -306,6 +326,8 @@ ORACLES = {
     "weekly_dedup": "SELECT strftime(ts, '%G:%V') AS week, user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2, 3",
     "upsert_postings": """SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '2001-01-01' THEN o_totalprice ELSE 0.0 END AS o_totalprice,
         CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01' OR o_orderkey % 10 = 0 THEN TIMESTAMP '2001-12-01' ELSE o_orderdate END AS scraped_at FROM orders""",
+    "upsert_history": """WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, c_mktsegment AS segment, count(*) AS n, max(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+        SELECT month, segment, n, round(top * CASE WHEN month >= DATE '1998-06-01' THEN 2 ELSE 1 END, 2) AS top FROM m""",
     "touched": "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01') THEN TIMESTAMP '2001-08-02' ELSE TIMESTAMP '2000-01-01' END AS scraped_at FROM customer",
     "insert_ignored": """WITH h AS (SELECT p_name, min(p_type) AS p_type FROM part WHERE p_size <= 25 GROUP BY 1) SELECT * FROM h
         UNION ALL SELECT p_name, min(p_type) FROM part WHERE p_name NOT IN (SELECT p_name FROM h) GROUP BY 1""",
