@@ -80,10 +80,13 @@ def with_fallback(first: DataFrame, second: DataFrame, order: list[Column], k: i
     return both.join(F.broadcast(best), F.col("_try") == F.col("_best")).drop("_try", "_best").orderBy(*order).limit(k)  # one row is broadcast
 
 
+def usable_pay() -> Column:
+    return (F.col("salary_min").isNotNull() | F.col("salary_max").isNotNull()) & (F.col("salary_min") > 10000) & (F.col("salary_max").isNull() | (F.col("salary_max") < 600000))
+
+
 def salaries(jobs: DataFrame) -> DataFrame:
     """Postings whose pay can be used, with its midpoint (mid)."""
-    known = (F.col("salary_min").isNotNull() | F.col("salary_max").isNotNull()) & (F.col("salary_min") > 10000) & (F.col("salary_max").isNull() | (F.col("salary_max") < 600000))
-    return jobs.filter(known).withColumn("mid", midpoint(F.col("salary_min"), F.col("salary_max")))
+    return jobs.filter(usable_pay()).withColumn("mid", midpoint(F.col("salary_min"), F.col("salary_max")))
 
 
 def percentiles(df: DataFrame, value: str, keys: tuple[str, ...] = (), percents=PERCENTS, least: int = 5, width: float = 256.0, weight: str | None = None) -> DataFrame:
@@ -234,55 +237,6 @@ def job_count_ladder(jobs: DataFrame, week: str) -> DataFrame:
     return jobs.agg(F.coalesce(*steps, F.count("*")).alias("job_count"))
 
 
-def _ranked(counts: DataFrame, item: str, k: int, name: str, when: Column | None = None) -> DataFrame:
-    """Per role the first k items by n, as one array of (r, item, n); only rows that meet `when` are listed."""
-    order = Window.partitionBy("role").orderBy(F.desc("n"), item)
-    best = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
-    return best.groupBy("role").agg(F.array_sort(F.collect_list(F.when(when if when is not None else F.lit(True), F.struct("r", item, "n")))).alias(name))
-
-
-def with_all(counts: DataFrame, *sums: str) -> DataFrame:
-    """Counts by role and, from them, those of all roles."""
-    keys = [c for c in counts.columns if c != "role" and c not in sums]
-    whole = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("role", F.lit("all"))
-    return counts.unionByName(whole)
-
-
-def snapshot(jobs: DataFrame, skills: DataFrame, week: str, k: int = 50, patterns=CITIES, cities: int = 20, now: Column | None = None) -> DataFrame:
-    """The weekly snapshot, for all roles and each role: postings, rates, ranked, rising and declining skills, places, pay.
-
-    Its columns are those of the stored table, and skill_mentions and disclosure_rate (pay that can be used, by postings).
-    Skills move as in `movers`, among the role's 50 most named; new postings are those no earlier week saw (first_seen,
-    where there is that column, else all of the week's).
-    """
-    both = jobs.filter(in_week(week) | in_week(week, 1)).withColumn("role", F.coalesce("role_category", F.lit("other")))
-    week_now = both.filter(in_week(week))
-    share = lambda c: F.round(F.count_if(c) / F.count("*"), 4)
-    fresh = F.count_if(F.col("first_seen") >= shifted(week, 0)) if "first_seen" in jobs.columns else F.count("*")
-    facts = week_now.rollup("role").agg(
-        F.count("*").alias("job_count"), fresh.alias("new_job_count"), share(F.col("offers_sponsorship")).alias("sponsorship_rate"), share(F.col("work_model") == "remote").alias("remote_rate"),
-        share(F.col("work_model") == "hybrid").alias("hybrid_rate"), share(F.col("is_startup")).alias("startup_rate"),
-    )
-    weeks = [F.count_if(in_week(week)).alias("n"), F.count_if(in_week(week, 1)).alias("before")]
-    mentions = skills.join(both.select("job_id", "role", "scraped_at"), "job_id").groupBy("skill", "role").agg(*weeks)
-    mentions = with_all(mentions, "n", "before").filter("n > 0")
-    best = _ranked(mentions, "skill", k, "top_skills").join(mentions.groupBy("role").agg(F.sum("n").alias("skill_mentions")), "role")
-    change = F.when(F.col("before") > 0, (F.col("n") - F.col("before")) / F.col("before"))
-    up = (change > 0.5) | ((F.col("before") == 0) & (F.col("n") > 5))
-    moving = [_ranked(mentions, "skill", 50, name, when).withColumn(name, F.transform(F.slice(name, 1, 20), lambda x: x["skill"])) for name, when in (("rising_skills", up), ("declining_skills", change < -0.3))]
-    named = week_now.groupBy("role", canonical_place(F.col("location"), patterns).alias("place")).agg(F.count("*").alias("n")).filter("place is not null")
-    where = _ranked(with_all(named, "n"), "place", cities, "top_cities").withColumn("top_cities", F.transform("top_cities", lambda x: F.struct(x["place"], x["n"])))
-    pay = salaries(week_now).filter(F.col("mid").between(20000, 300000))
-    pay = percentiles(with_all(pay.groupBy("role", "mid").agg(F.count("*").alias("n")), "n"), "mid", ("role",), weight="n")
-    pay = pay.select("role", F.col("sample_size").alias("salary_sample_size"), *[F.col(f"p{p}").alias(f"salary_p{p}") for p in PERCENTS])
-    out = facts.withColumn("role", F.coalesce("role", F.lit("all")))
-    for part in (best, *moving, where, pay):
-        out = out.join(part, "role", "left")
-    out = out.withColumnRenamed("role", "role_category").withColumn("salary_sample_size", F.coalesce("salary_sample_size", F.lit(0)))
-    out = out.withColumn("disclosure_rate", F.round(F.col("salary_sample_size") / F.col("job_count"), 3))
-    return out.withColumns({"week_start": F.lit(week).cast("date"), "computed_at": now if now is not None else F.current_timestamp()})
-
-
 def migration_signals(now: DataFrame, before: DataFrame, fall: float = 0.75) -> DataFrame:
     """Archetypes (archetype, demand_share) whose share fell below `fall` of what it was."""
     old = before.select("archetype", F.col("demand_share").alias("before"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as t
 from tidemark.functions.columns import dedup_hash
 from tidemark.functions.vocabulary import IMPLIED
-from tidemark.operators import market, quality, stores
+from tidemark.operators import cubes, market, quality, stores
 from tidemark.sources.schemas import conform
 from tidemark.tables import write_table
 
@@ -50,7 +50,10 @@ def enrich(jobs: DataFrame, skills: DataFrame) -> DataFrame:
 
 
 def analyse(jobs: DataFrame, skills: DataFrame, week: str, now=None) -> DataFrame:
-    return quality.snapshot_quality(market.snapshot(jobs, skills, week, now=now))
+    """The week's snapshot out of the cells of its two weeks, which postings and skills are read for once."""
+    weeks = market.in_week(week) | market.in_week(week, 1)
+    cells = write_table(cubes.cells(jobs.filter(weeks), skills, ("postings", "skills")), "cells")
+    return quality.snapshot_quality(cubes.snapshot(cells, week, now=now))
 
 
 @dataclass

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as c
 from tidemark.functions import text as t
 from tidemark.functions.vocabulary import LEVELS, SEEDS
+from tidemark.operators import cubes
 from tidemark.operators import market as m
 from tidemark.operators import quality, similarity, stores
 from tidemark.plans import serving
@@ -68,7 +69,7 @@ def board_postings(spark, sf):
 
 def scouted(spark, sf):
     """Search results of one site, the first of each title and company."""
-    p = _postings(spark, sf).filter("job_id % 5 = 0")
+    p = _postings(spark, sf)
     host = F.when(F.col("job_id") % 2 == 0, "wellfound.com").otherwise("elsewhere.org")
     url = F.concat(F.lit("https://"), host, F.lit("/company/firm-"), (F.col("job_id") % 40).cast("string"), F.lit("/jobs"))
     return landed.scout(p.select("title", "description", url.alias("url")), "wellfound.com", [F.col("url")]).select("title", "company", "source", "is_startup")
@@ -132,11 +133,11 @@ def yields_ema(spark, sf):
 
 
 def agent_states(spark, sf):
-    """users' states saved from two batches, loaded for all of the first 60 users, their JSON decoded."""
-    e = table(spark, sf, "events").filter("user_id % 2 = 0")
+    """users' states saved from two batches, loaded for every customer (a default where there are no events), their JSON decoded."""
+    e = table(spark, sf, "events")
     row = lambda df, n: df.groupBy(F.col("user_id").alias("agent_id")).agg(F.max("ts").alias("updated_at"), F.count("*").cast("int").alias("run_count"), F.lit(n).alias("consecutive_failures"), F.max(F.struct("ts", "event_id", "props"))["props"].alias("adaptive_params"))
     saved = stores.save_state(row(e, 0), row(e.filter("event_type = 'error'"), 1), "updated_at")
-    loaded = stores.load_state(saved, spark.range(60).select(F.col("id").alias("agent_id")))
+    loaded = stores.load_state(saved, table(spark, sf, "customer").select(F.col("c_custkey").alias("agent_id")))
     return loaded.select("agent_id", "run_count", "consecutive_failures", stores.params(F.col("adaptive_params"))["k"].alias("k"))
 
 
@@ -182,11 +183,11 @@ MINE = ("brand#3", "brand#14", "brand#25", "brand#7")
 
 def career_analysis(spark, sf):
     """The composed career analysis for one profile: match, gaps, sectors, pay."""
-    from tidemark.plans.market import WEEK
+    from tidemark.plans.market import AFTER, BEFORE, WEEK, _cells
 
     j, s = jobs(spark, sf), job_skills(spark, sf)
     near = similarity.nearest_labels(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
-    snapshots = m.snapshot(j, s, WEEK)
+    snapshots = cubes.snapshot(_cells(spark, sf, BEFORE, AFTER), WEEK)
     ranked = m.demand(j, s, m.in_week(WEEK))
     out = serving.career(spark, MINE, "data_scientist", near, ranked, serving._SECTORS, snapshots)
     text = lambda name, f: F.array_join(F.transform(name, lambda x: x[f].cast("string")), ",").alias(f"{name}_{f}")
@@ -226,7 +227,7 @@ ORACLES = {
     "board_postings": f"""WITH {_POST}, q AS (SELECT *, job_id % 3 AS b, {_list(("gh_", "lv_", "ab_"))}[job_id % 3 + 1] || job_id AS id FROM p WHERE job_id % 9 IN (0, 1, 2, 3, 4, 6) OR (SELECT regexp_matches(lower(any_value({_BODY})), 'pytorch|llm|mlops') FROM orders WHERE o_orderkey = job_id)),
         r AS (SELECT *, row_number() OVER (PARTITION BY lower(title), lower(company) ORDER BY id) AS n FROM q)
         SELECT id AS job_id, title, company, {_list(("Remote", "UK", "Leeds"))}[b + 1] AS location, {_list(("remote", "hybrid", "unknown"))}[b + 1] AS work_model, {_list(("greenhouse", "lever", "ashby"))}[b + 1] AS source, 'https://x.io/' || job_id AS url FROM r WHERE n = 1""",
-    "scouted": f"SELECT DISTINCT {_TITLE} AS title, 'Firm ' || (o_orderkey % 40) AS company, 'wellfound' AS source, true AS is_startup FROM orders WHERE o_orderkey % 10 = 0",
+    "scouted": f"SELECT DISTINCT {_TITLE} AS title, 'Firm ' || (o_orderkey % 40) AS company, 'wellfound' AS source, true AS is_startup FROM orders WHERE o_orderkey % 2 = 0",
     "watchlist": f"""WITH k AS (SELECT CASE WHEN s_suppkey % 10 = 1 THEN 'WAYVE' ELSE s_name END AS company, max(s_suppkey % 7)::INT AS last_yield FROM supplier GROUP BY 1),
         s AS (SELECT unnest({_list([x[0] for x in SEEDS])}) AS company) SELECT company, last_yield FROM (SELECT * FROM k UNION ALL SELECT company, 0 FROM s WHERE lower(company) NOT IN (SELECT lower(company) FROM k)) ORDER BY last_yield DESC, company LIMIT 80""",
     "parse_rate": """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?href=["''][^"'']+["''][^>]*>(.*?)</a>', 1)) AS t FROM pages),
@@ -247,10 +248,10 @@ ORACLES = {
         c AS (SELECT n_name AS source, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 3 <> 0 GROUP BY 1),
         j AS (SELECT source, ema, coalesce(n, 0) AS n, list_concat(coalesce(history, []), [coalesce(n, 0)]) AS h FROM s FULL JOIN c USING (source)), k AS (SELECT *, h[greatest(1, len(h) - 3):] AS last FROM j)
         SELECT source, round(0.7::DOUBLE * coalesce(ema, 1.0) + 0.3::DOUBLE * n, 2) AS ema, array_to_string(last, ',') AS history, len(last) >= 3 AND len(list_filter(last[greatest(1, len(last) - 2):], lambda y: y <> 0)) = 0 AS disabled FROM k""",
-    "agent_states": """WITH e AS (SELECT * FROM events WHERE user_id % 2 = 0), a AS (SELECT user_id, max(ts) AS tm, count(*)::INT AS n, 0 AS f, arg_max(props, (ts, event_id)) AS p FROM e GROUP BY 1),
+    "agent_states": """WITH e AS (SELECT * FROM events), a AS (SELECT user_id, max(ts) AS tm, count(*)::INT AS n, 0 AS f, arg_max(props, (ts, event_id)) AS p FROM e GROUP BY 1),
         b AS (SELECT user_id, max(ts) AS tm, count(*)::INT AS n, 1 AS f, arg_max(props, (ts, event_id)) AS p FROM e WHERE event_type = 'error' GROUP BY 1),
         l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tm DESC, n DESC, f DESC) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE r = 1)
-        SELECT range AS agent_id, coalesce(n, 0) AS run_count, coalesce(f, 0) AS consecutive_failures, (p::JSON->>'$.k') AS k FROM range(60) LEFT JOIN l ON user_id = range""",
+        SELECT c_custkey AS agent_id, coalesce(n, 0) AS run_count, coalesce(f, 0) AS consecutive_failures, (p::JSON->>'$.k') AS k FROM customer LEFT JOIN l ON user_id = c_custkey""",
     "qa_gate": """WITH u AS (SELECT user_id, (round(avg((value > 0)::INT), 4) + round(avg((event_type <> 'error')::INT), 4)) / 2 AS h, round(avg((event_type <> 'signup')::INT), 4) AS b, round(avg((event_type = 'purchase')::INT), 4) AS d FROM events GROUP BY 1)
         SELECT user_id, h > 0.7 AS health_ok, b > 0.8 AS batch_ok, d < 0.2 AS drift_ok, h > 0.7 AND b > 0.8 AND d < 0.2 AS passed FROM u""",
     "gap_horizons": """WITH s AS (SELECT p_size AS person, p_partkey AS skill, round(p_retailprice / 2500 * (p_partkey % 11 / 11.0::DOUBLE) * (p_partkey % 7 / 7.0::DOUBLE), 6) AS priority_score FROM part)

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import cubes
 from tidemark.operators import market as m
 from tidemark.sources.binding import CTE, WEEK, job_skills, jobs
 from tidemark.sources.landed import fan_in
 from tidemark.sources.schemas import conform
+from tidemark.tables import shared_dir, write_table
 
-#: The week before WEEK.
-BEFORE = "1998-05-25"
+#: The weeks before WEEK and the one after.
+EARLIER, BEFORE, AFTER = "1998-05-18", "1998-05-25", "1998-06-08"
 #: Places by which the driver's nations are told apart: the exact name first, then the first pattern contained.
 PLACES = (("nation_1", "North"), ("nation_10", "Capital"), ("nation_2", "South"), ("nation_3", "East"), ("nation_4", "West"))
 #: Stacks over the driver's brands; contained either way round.
@@ -127,15 +130,22 @@ def _flat(snapshot):
     return out.withColumns({c: F.array_join(c, ",") for c in ("rising_skills", "declining_skills")}).drop("computed_at")
 
 
+def _cells(spark, sf, since: str, until: str):
+    """Cells of the days from since to before until, written once."""
+    days = (F.col("scraped_at") >= m.ts(since)) & (F.col("scraped_at") < m.ts(until))
+    return write_table(cubes.cells(jobs(spark, sf).filter(days), job_skills(spark, sf), ("postings", "skills")), "cells")
+
+
 def weekly_snapshot(spark, sf):
-    return _flat(m.snapshot(jobs(spark, sf), job_skills(spark, sf), WEEK, 50, PLACES))
+    return _flat(cubes.snapshot(_cells(spark, sf, BEFORE, AFTER), WEEK, 50, PLACES))
 
 
 def snapshot_views(spark, sf):
     """The snapshot, trending and salary views on two weeks' snapshots in the stored schema."""
     from tidemark.plans import serving
 
-    stored = fan_in([conform(m.snapshot(jobs(spark, sf), job_skills(spark, sf), w, 50, PLACES), "weekly_snapshots") for w in (BEFORE, WEEK)])
+    cells = _cells(spark, sf, EARLIER, AFTER)
+    stored = write_table(fan_in([conform(cubes.snapshot(cells, w, 50, PLACES), "weekly_snapshots") for w in (BEFORE, WEEK)]), "snapshots")
     text = lambda c: F.array_join(c, ",")
     trending = serving.trending_view(stored).select("week_start", text("rising").alias("rising"), text("declining").alias("declining"), text("top_now").alias("top_now"))
     salary = serving.salary_view(stored, "data_scientist").select(*[F.col(f"salary_p{p}").alias(f"p{p}") for p in (25, 50, 75)], "salary_sample_size")
@@ -143,6 +153,42 @@ def snapshot_views(spark, sf):
     return trending.crossJoin(salary).crossJoin(whole)  # a row each
 
 
+def _maintained(spark, sf, kinds, weeks_wanted: tuple[str, str]):
+    """Cells of a cube that was built and then changed: it starts without every 11th posting, which come in; every 5th but one is
+    scraped again a week later; every 13th goes. Returned are the cells of the days wanted, read by day."""
+    j, s = jobs(spark, sf), job_skills(spark, sf)
+    late = F.col("job_id") % 11 == 0
+    cube = cubes.DayCube.create(f"{shared_dir(spark)}/cube-{uuid.uuid4().hex}", j.filter(~late), s, kinds, 16)
+    cube.apply(cubes.changes(j.limit(0), j.filter(late), s, kinds=kinds), "postings", 0)
+    again = j.filter(F.col("job_id") % 5 == 1)
+    cube.apply(cubes.changes(again, again.withColumn("scraped_at", F.expr("scraped_at + interval 7 days")), s, kinds=kinds), "postings", 1)
+    gone = j.filter(F.col("job_id") % 13 == 0).withColumn("scraped_at", F.when(F.col("job_id") % 5 == 1, F.expr("scraped_at + interval 7 days")).otherwise(F.col("scraped_at")))
+    cube.apply(cubes.changes(gone, j.limit(0), s, kinds=kinds), "postings", 2)
+    return cube.days(*weeks_wanted)
+
+
+def cube_snapshot(spark, sf):
+    """The snapshot out of a cube that saw inserts, postings that moved to another day, and deletions."""
+    return _flat(cubes.snapshot(_maintained(spark, sf, ("postings", "skills"), (BEFORE, AFTER)), WEEK, 50, PLACES))
+
+
+def cube_ladder(spark, sf):
+    return cubes.salary_ladder(_maintained(spark, sf, ("postings",), ("1998-01-01", AFTER)), WEEK)
+
+
+def cube_momentum(spark, sf):
+    return cubes.momentum(_maintained(spark, sf, ("postings",), ("1998-05-18", AFTER)), WEEK)
+
+
+def cube_velocity(spark, sf):
+    return cubes.role_velocity(_maintained(spark, sf, ("postings",), (WEEK, AFTER)), WEEK, AFTER)
+
+
+def cube_pmi(spark, sf):
+    """Pairs of a year out of the maintained cells."""
+    return cubes.cooccurrence(_maintained(spark, sf, ("pairs",), ("1998-01-01", "1999-01-01")), "1998-01-01", "1999-01-01")
+
+
 def role_velocity_fallback(spark, sf):
     """A week without postings: the 30 days before it step in."""
     empty = "2001-08-20"
@@ -212,7 +258,7 @@ QUERIES = {
     for f in (
         skill_demand, skill_prior_counts, skills_by_role, skill_demand_fallback, skill_movers, skill_anomalies, rank_churn, salary_percentiles, salary_ladder,
         sponsorship_by_role_stage, sponsorship_rate, hiring_momentum, expansion_signals, role_velocity, places, place_share, skill_pmi, archetypes, job_count_ladder,
-        weekly_snapshot, snapshot_views, role_velocity_fallback, migration, skill_trends, cooccurrence_rows, source_counts, startup_ratio, trends_history, salary_history, rollup_roles,
+        weekly_snapshot, snapshot_views, cube_snapshot, cube_ladder, cube_momentum, cube_velocity, cube_pmi, role_velocity_fallback, migration, skill_trends, cooccurrence_rows, source_counts, startup_ratio, trends_history, salary_history, rollup_roles,
     )
 }
 
@@ -258,6 +304,8 @@ def _stacks(when: str, tag: str) -> str:
         a{tag} AS (SELECT archetype, round(coalesce(sum(mentions), 0)::DOUBLE / (SELECT sum(mentions) FROM f{tag}), 4) AS demand_share FROM (SELECT DISTINCT archetype FROM k{tag}) LEFT JOIN h{tag} USING (archetype) GROUP BY 1)"""
 
 
+#: The postings as the maintained cube has them after its changes.
+_CHANGED = "WITH " + CTE.replace("jobs AS (SELECT", "before AS (SELECT", 1) + """, jobs AS (SELECT * REPLACE (CASE WHEN job_id % 5 = 1 THEN scraped_at + INTERVAL 7 DAY ELSE scraped_at END AS scraped_at) FROM before WHERE job_id % 13 <> 0)"""
 ORACLES = {
     "skill_demand": _with("SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE scraped_at >= TIMESTAMP '1998-01-01' AND scraped_at < TIMESTAMP '1998-07-01' GROUP BY 1 ORDER BY mentions DESC, skill LIMIT 50"),
     "skill_prior_counts": _with(f"SELECT skill, count(*) AS mentions FROM job_skills JOIN jobs USING (job_id) WHERE {_PREV} GROUP BY 1"),
@@ -324,3 +372,4 @@ ORACLES = {
         SELECT week_start, location, count(*) AS sample_size, {', '.join(_pct(p, 'true') for p in (25, 50, 75))} FROM p WHERE mid BETWEEN 20000 AND 300000 GROUP BY 1, 2"""),
     "rollup_roles": _with("SELECT role, count(*) AS postings, grouping(role)::INT AS whole FROM (SELECT coalesce(role_category, 'other') AS role FROM jobs) GROUP BY ROLLUP (role)"),
 }
+ORACLES |= {f"cube_{name}": ORACLES[of].replace(_with(""), _CHANGED, 1) for name, of in (("snapshot", "weekly_snapshot"), ("ladder", "salary_ladder"), ("momentum", "hiring_momentum"), ("velocity", "role_velocity"), ("pmi", "skill_pmi"))}
