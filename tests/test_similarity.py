@@ -93,3 +93,40 @@ def test_document_classes_equal_brute_force_over_all_three_signals(spark, sf_dir
     got = {r.doc_id: r.first for r in records.vector_classes(docs, vectors, 0.4).collect()}
     assert got == want
     assert len(set(want.values())) < len(set(texts.values()))  # more than equal texts are tied
+
+
+def test_near_links_equal_all_pairs_where_a_third_are_near_copies(spark):
+    rng = random.Random(21)
+    base, passage = [f"b{n}" for n in range(60)], [f"p{n}" for n in range(40)]
+    rows = []
+    for k in range(240):
+        kind = k % 3
+        if kind == 0:  # near copies of one text
+            w = list(base)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(60)] = f"x{k}"
+        elif kind == 1:  # a passage that many share, with words of their own
+            w = passage + [f"y{k}x{n}" for n in range(rng.randrange(0, 60))]
+        else:
+            w = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 30))]
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.first for r in similarity.three_signals(df, "id", "text").collect()}
+    assert got == brute(rows)
+
+
+def test_near_links_of_odd_texts(spark):
+    rows = [(0, None), (1, ""), (2, "  "), (3, "a b"), (4, "A  b"), (5, "a b c"), (6, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (8, " ".join("abcdefghij") + " k")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    links = {(r.a, r.b) for r in similarity.near_links(df, "id", "text").collect()}
+    assert (3, 4) in links and (6, 7) in links and all(a in (3, 6, 7) for a, _ in links)
+    assert similarity.near_links(df.limit(0), "id", "text").collect() == []
+
+
+def test_near_links_hold_the_edge_of_the_similarity(spark):
+    words = [f"w{n}" for n in range(13)]  # nine shingles, then one more each: 9 / 10, 9 / 11, 9 / 12
+    rows = [(0, " ".join(words)), (1, " ".join([*words, "x"])), (2, " ".join(["y", "z", *words])), (3, " ".join([*words, "q", "r", "s"]))]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = {(a, b) for a, ta in rows for b, tb in rows if a < b and (lambda x, y: 10 * len(x & y) >= 9 * len(x | y))({tuple(ta.split()[i : i + 5]) for i in range(len(ta.split()) - 4)}, {tuple(tb.split()[i : i + 5]) for i in range(len(tb.split()) - 4)})}
+    got = {(r.a, r.b) for r in similarity.near_links(df, "id", "text", 0.9).collect()}
+    assert want == {(0, 1)} and got == want

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import components
-from tidemark.operators.joins import with_group
-from tidemark.tables import write_table
+from tidemark.operators.joins import hot_keys, salted_join, sized_join, with_group
+from tidemark.tables import drop_table, write_table
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,42 +51,68 @@ def shingles(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
     return base.select("key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " "))))).alias("h"))
 
 
-def near_links(df: DataFrame, key: str, text: str, least: float = 0.8, bands: int = 12, rows: int = 3) -> DataFrame:
-    """Links (a, b) that tie all texts together whose shingle sets share a MinHash band and reach the Jaccard similarity.
+def near_links(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
+    """Links (a, b) that tie all texts together whose shingle sets reach the Jaccard similarity: an exact prefix-filter join.
 
-    Each bucket is held against its least key first, which is linear; the rest is a join inside buckets of
-    pairs that are not in one class yet, whose condition is the exact similarity, so only links leave it.
+    A set's shingles are ordered rare first, the same way for all. Two sets of the similarity share a shingle among the
+    first |s| - ceil(least * |s|) + 1 of both, so only these are indexed, and of these only shingles that several
+    sets hold. A pair meets in the list of such a shingle if the sets' lengths, and what is left of both behind
+    the shingle's places, allow the similarity. Each list is held against its least key first, which is linear;
+    then members of unlike classes meet in it, so that a list of near copies costs no pairs. Rows of a list, and of a
+    text with many partners, that are many are dealt to several tasks. Keys are longs, one row each.
     """
-    hashed = shingles(df, key, text)
-    mins = [F.min(F.xxhash64("h", F.lit(n))).alias(f"m{n}") for n in range(bands * rows)]
-    signed = hashed.groupBy("key").agg(*mins, F.array_sort(F.collect_set("h")).alias("s"))
-    cut = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    signed = write_table(signed.select("key", "s", cut.alias("bands")), "signed")
-    dealt = signed.select("key", F.explode("bands").alias("band"))
-    low = dealt.groupBy("band").agg(F.min("key").alias("low"), F.count("*").alias("n")).filter("n > 1").select("band", "low")
-    member = write_table(dealt.join(low, "band"), "member")
-    sets = signed.select("key", "s")
-    both = lambda pairs: pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    jaccard = same / (F.size("sa") + F.size("sb") - same)
-    stars = member.filter("key > low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
-    links = write_table(both(stars).filter(jaccard >= least).select("a", "b"), "links")
-    rooted = member.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band")
-    held = write_table(rooted.join(mixed, "band").select("band", "key", "root").join(sets, "key"), "mixed")
-    left, right = held.select("band", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("s").alias("sa")), held.select("band", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("s").alias("sb"))
-    across = left.join(right, (left["band"] == right["band"]) & (F.col("ra") < F.col("rb")) & (jaccard >= least)).select("a", "b").distinct()
-    return links.union(across)
+    ratio = Fraction(str(least))
+    num, den = ratio.numerator, ratio.denominator
+    hashed = write_table(shingles(df, key, text), "shingles")
+    counted = with_group(hashed, "h", hashed.count())
+    sets = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("t"))
+    sets = write_table(sets.select("key", F.size("t").alias("m"), "t"), "sets")
+    drop_table(hashed)
+    first = F.col("m") - F.expr(f"({num} * m + {den - 1}) div {den}").cast("int") + 1
+    index = sets.select("key", "m", F.posexplode(F.slice("t", 1, first)).alias("at", "x")).filter("x.n > 1").select("key", "m", (F.col("at") + 1).alias("at"), F.col("x.h").alias("h"))
+    index = write_table(index, "prefixes")
+    total = index.count()
+    lists = index.groupBy("h").agg(F.min(F.struct("key", "m", "at")).alias("low"), F.count("*").alias("n")).filter("n > 1")
+    member = write_table(salted_join(index, lists, "h", hot_keys(lists, "h", total)), "members")
+
+    def may(a: Column, at: Column, b: Column, to: Column) -> Column:
+        """Lengths a and b, with a common first shingle at the places at and to, allow the similarity."""
+        left = F.least(a - at, b - to) + 1
+        return (den * F.least(a, b) >= num * F.greatest(a, b)) & ((num + den) * left >= num * (a + b))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = write_table(pairs.distinct(), "pairs")
+        count, held = pairs.count(), sets.select("key", "m", F.transform("t", lambda x: x["h"]).alias("s"))
+        for end in ("a", "b"):
+            mine = held.toDF(end, f"m{end}", f"s{end}")
+            pairs = salted_join(pairs, mine, end, hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), end, count))
+        same = F.size(F.array_intersect("sa", "sb"))
+        return pairs.filter(den * same >= num * (F.col("ma") + F.col("mb") - same)).select("a", "b")
+
+    low = F.col("low")
+    stars = member.filter((F.col("key") > low["key"]) & may(F.col("m"), F.col("at"), low["m"], low["at"])).select(low["key"].alias("a"), F.col("key").alias("b"))
+    links = write_table(verified(stars), "links")
+    rooted = member.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).drop("low", "n")
+    rooted = write_table(rooted, "rooted")
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 < r1").select("h", "n")
+    held = salted_join(rooted, mixed, "h", hot_keys(mixed, "h", total))
+    end = lambda x: held.select("h", "n", *[F.col(c).alias(f"{c}{x}") for c in ("key", "root", "m", "at")])
+    met = sized_join(end("a"), end("b"), "h", "n", total).filter((F.col("roota") < F.col("rootb")) & may(F.col("ma"), F.col("ata"), F.col("mb"), F.col("atb")))
+    out = write_table(links.union(verified(met.select(F.col("keya").alias("a"), F.col("keyb").alias("b")))), "links")
+    drop_table(sets, index, member, links, rooted)
+    return out
 
 
 def three_signals(df: DataFrame, key: str, text: str, vectors: DataFrame | None = None, least_cosine: float = 0.95) -> DataFrame:
-    """Every row with the least key of its class: equal hash, near text, or near vector (vectors: key, vector; all are compared with all)."""
+    """Every row with the least key of its class: equal hash, near text, or near vector (vectors: key, vector; all that can be near are compared)."""
     exact = write_table(exact_groups(df, key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), "exact")
     first = df.join(exact.filter(F.col(key) == F.col("first")).select(key).distinct(), key, "left_semi")
-    links = near_links(first, key, text).union(exact.select(F.col("first").alias("a"), F.col(key).alias("b")))
+    near = near_links(first, key, text)
+    links = near.union(exact.select(F.col("first").alias("a"), F.col(key).alias("b")))
     if vectors is not None:
         links = links.union(all_cosine_pairs(vectors, "key", "vector", least_cosine).select("a", "b"))
-    roots = components(links)
+    roots = write_table(components(links), "roots")
+    drop_table(exact, near)
     return df.select(key).join(roots, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("first"))
 
 
