@@ -130,3 +130,18 @@ def test_near_links_hold_the_edge_of_the_similarity(spark):
     want = {(a, b) for a, ta in rows for b, tb in rows if a < b and (lambda x, y: 10 * len(x & y) >= 9 * len(x | y))({tuple(ta.split()[i : i + 5]) for i in range(len(ta.split()) - 4)}, {tuple(tb.split()[i : i + 5]) for i in range(len(tb.split()) - 4)})}
     got = {(r.a, r.b) for r in similarity.near_links(df, "id", "text", 0.9).collect()}
     assert want == {(0, 1)} and got == want
+
+
+def test_blocks_that_cannot_hold_a_near_pair_never_meet(spark):
+    rng = random.Random(12)
+    centres = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(8)]
+    rows = [(k, [c + rng.gauss(0, 0.08) for c in centres[k % 8]]) for k in range(800)] + [(800 + k, centres[0]) for k in range(300)]
+    df = spark.createDataFrame(rows, "key long, vector array<double>")
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    units = [(k, [x / size(v) for x in v]) for k, v in rows]
+    want = {(a, b) for n, (a, u) in enumerate(units) for b, v in units[n + 1 :] if sum(x * y for x, y in zip(u, v)) >= 0.99}
+    blocks, pairs = similarity.cosine_blocks(df, "key", "vector", 0.99, 64, 8)
+    count = blocks.count()
+    assert pairs.count() < count * (count + 1) / 2 / 3
+    got = [(r.a, r.b) for r in similarity.all_cosine_pairs(df, "key", "vector", 0.99, 64).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

@@ -116,46 +116,114 @@ def three_signals(df: DataFrame, key: str, text: str, vectors: DataFrame | None
     return df.select(key).join(roots, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("first"))
 
 
-#: Vectors in a block of all_cosine_pairs.
-BLOCK = 512
+#: Vectors in a block of all_cosine_pairs, in the sample that gives the pivots, and most pivots and annuli of one.
+BLOCK, SAMPLE, PIVOTS, ANNULI = 512, 2048, 128, 64
 
 
-def all_cosine_pairs(df: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """Pairs (a < b) of any two rows whose cosine is at least `least` > 0: every block of rows is held against every block.
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(1))[:, None]
 
-    Keys are longs. A null key, a null vector or element, a vector of zeros, and vectors of unlike lengths have no cosine.
-    Rows are dealt to blocks by number, so that no key or vector makes a large one; the work is that of all pairs.
+
+def _padded(vectors: pa.Array, width: int) -> np.ndarray:
+    flat, sizes = vectors.flatten().to_numpy(zero_copy_only=False), np.diff(vectors.offsets.to_numpy())
+    out = np.zeros((len(vectors), width))
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
+
+
+def _centres(sample: np.ndarray, count: int) -> np.ndarray:
+    """Unit vectors about which the sample gathers, by a few rounds of spherical means."""
+    points, centres = _unit(sample), _unit(sample)[:count]
+    for _ in range(4):
+        near = (points @ centres.T).argmax(1)
+        sums = np.stack([points[near == c].sum(0) for c in range(len(centres))])
+        size = np.sqrt((sums * sums).sum(1))
+        centres = np.where(size[:, None] > 1e-9, sums / np.maximum(size, 1e-9)[:, None], centres)
+    return centres
+
+
+def cosine_blocks(df: DataFrame, key: str, vector: str, least: float, block: int = BLOCK, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Blocks of vectors (cell, salt, d, k, v: keys and vectors as bytes), written, and the pairs of them that can hold a cosine of `least`.
+
+    Vectors are unit vectors in balls about pivots, cut into annuli by their angle from the pivot. By the triangle
+    inequality of angles, vectors of two annuli are at least the pivots' angle less both outer ones apart, or one's
+    inner angle less the pivots' and the other's outer one; a pair of annuli whose bound is beyond the angle of
+    `least` never meets. No result depends on the pivots, which a bounded sample gives.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.filter(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    size = dot(F.col("v"), F.col("v"))
+    rows = rows.filter(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).filter((size > 0) & (size < float("inf")))
     rows = write_table(rows.withColumn("n", F.monotonically_increasing_id()), "vectors")
-    blocks = rows.count() // BLOCK + 1
-    dealt = rows.select(F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("g"), F.size("v").alias("d"), "k", "v").repartition(max(1, blocks // 8), "g")
-    packed = write_table(dealt.groupBy("g", "d").applyInArrow(_pack, "g long, d int, k binary, v binary"), "blocks")
-    left, right = packed.toDF("g", "d", "ka", "va"), packed.toDF("h", "e", "kb", "vb")
-    met = left.join(right.hint("shuffle_replicate_nl"), F.col("g") <= F.col("h")).filter("d = e")
-    found = met.select("g", "h", "d", "ka", "va", "kb", "vb").mapInArrow(_meet(least), "a long, b long, s double")
+    count, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    width = width or 1
+    sample = rows.select("v", F.xxhash64("n").alias("h")).orderBy("h").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()  # bounded: the sample
+    pivots = pivots or max(1, min(PIVOTS, round(count**0.5 / 16)))
+    centres = _centres(_padded(sample, width), pivots) if count else np.ones((1, width))
+    told = spark.sparkContext.broadcast(centres)
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                s = _unit(_padded(batch.column(1), width)) @ told.value.T
+                near = s.argmax(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(np.arccos(np.clip(s[np.arange(len(s)), near], -1, 1)))], ["k", "v", "n", "p", "angle"])
+
+    placed = write_table(rows.mapInArrow(assign, "k long, v array<double>, n long, p int, angle double"), "placed")
+    drop_table(rows)
+    shares = [n / ANNULI for n in range(1, ANNULI)]
+    cuts = {r.p: r.cuts[:: max(1, ANNULI * block // max(r.n, 1))] for r in placed.groupBy("p").agg(F.count("*").alias("n"), F.percentile_approx("angle", shares).alias("cuts")).collect()}  # a row a pivot
+    known = spark.createDataFrame([(p, c) for p, c in cuts.items()], "p int, cuts array<double>")
+    celled = placed.join(F.broadcast(known), "p").withColumn("cell", F.col("p") * ANNULI + F.size(F.filter("cuts", lambda c: c < F.col("angle"))))  # at most PIVOTS rows
+    sizes = celled.groupBy("cell", "p", F.size("v").alias("d")).agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    sizes = write_table(sizes.withColumn("salts", F.ceil(F.col("n") / block).cast("int")), "cells")
+    parts = F.broadcast(sizes.groupBy("cell").agg(F.max("salts").alias("salts")))  # at most PIVOTS * ANNULI rows
+    dealt = celled.join(parts, "cell").select("cell", F.pmod(F.xxhash64("n"), F.col("salts")).cast("int").alias("salt"), F.size("v").alias("d"), "k", "v")
+    blocks = write_table(dealt.groupBy("cell", "salt", "d").applyInArrow(_pack, "cell int, salt int, d int, k binary, v binary"), "blocks")
+    drop_table(placed)
+    angles = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    between = spark.createDataFrame([(p, q, float(angles[p, q])) for p in range(len(centres)) for q in range(len(centres))], "p int, q int, apart double")
+    one = sizes.select("p", "d", F.col("cell").alias("cell"), "low", "high")
+    two = sizes.select(F.col("p").alias("q"), "d", F.col("cell").alias("cell2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    met = one.join(F.broadcast(between), "p").join(two, ["q", "d"]).filter("cell <= cell2")  # PIVOTS * PIVOTS rows
+    bound = F.greatest(F.col("apart") - F.col("high") - F.col("high2"), F.col("low") - F.col("apart") - F.col("high2"), F.col("low2") - F.col("apart") - F.col("high"))
+    near = met.filter(bound <= float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6).select("cell", "cell2", "d")
+    ends = blocks.select("cell", "salt", "d")
+    pairs = near.join(ends, ["cell", "d"]).join(ends.toDF("cell2", "salt2", "d"), ["cell2", "d"]).filter("cell < cell2 or salt <= salt2")
+    return blocks, pairs.select("cell", "salt", "cell2", "salt2", "d")
+
+
+def all_cosine_pairs(df: DataFrame, key: str, vector: str, least: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a < b) of any two rows whose cosine is at least `least` > 0, exactly: blocks that can hold such a pair meet.
+
+    Keys are longs. A null key, a null vector or element, a vector of zeros, and vectors of unlike lengths have no cosine.
+    No key or vector makes a large block. Where vectors gather nowhere all blocks can meet, and the work is that of all pairs.
+    """
+    blocks, pairs = cosine_blocks(df, key, vector, least, block)
+    left, right = blocks.toDF("cell", "salt", "d", "ka", "va"), blocks.toDF("cell2", "salt2", "d", "kb", "vb")
+    met = pairs.join(left.hint("merge"), ["cell", "salt", "d"]).join(right.hint("merge"), ["cell2", "salt2", "d"])
+    same = ((F.col("cell") == F.col("cell2")) & (F.col("salt") == F.col("salt2"))).alias("same")
+    found = met.select(same, "d", "ka", "va", "kb", "vb").mapInArrow(_meet(least), "a long, b long, s double")
     return found.select("a", "b", F.round("s", 6).alias("similarity"))
 
 
 def _pack(block: pa.Table) -> pa.Table:
     keys = block["k"].to_numpy()
     vectors = block["v"].combine_chunks().flatten().to_numpy()
-    return pa.table({"g": block["g"][:1], "d": block["d"][:1], "k": pa.array([keys.tobytes()], pa.binary()), "v": pa.array([vectors.tobytes()], pa.binary())})
+    return pa.table({**{c: block[c][:1] for c in ("cell", "salt", "d")}, "k": pa.array([keys.tobytes()], pa.binary()), "v": pa.array([vectors.tobytes()], pa.binary())})
 
 
 def _meet(least: float):
     def pairs(batches):
         for batch in batches:
             for n in range(batch.num_rows):
-                g, h, d, ka, va, kb, vb = (batch.column(c)[n] for c in range(7))
+                same, d, ka, va, kb, vb = (batch.column(c)[n] for c in range(6))
                 ka, kb = (np.frombuffer(k.as_buffer(), np.int64) for k in (ka, kb))
                 va, vb = (np.frombuffer(v.as_buffer(), np.float64).reshape(len(k), d.as_py()) for v, k in ((va, ka), (vb, kb)))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = (va @ vb.T) / np.sqrt(np.outer((va * va).sum(1), (vb * vb).sum(1)))
-                    i, j = np.nonzero(s >= least)
+                s = (va @ vb.T) / np.sqrt(np.outer((va * va).sum(1), (vb * vb).sum(1)))
+                i, j = np.nonzero(s >= least)
                 a, b, s = ka[i], kb[j], s[i, j]
-                there = a < b if g == h else a != b
+                there = a < b if same.as_py() else a != b
                 a, b, s = a[there], b[there], s[there]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], ["a", "b", "s"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
 from tidemark.functions import text as t
-from tidemark.operators import quality, similarity, stores
+from tidemark.operators import quality, similarity, stores, timeline
 from tidemark.operators.keyed import replaced, temporary
 from tidemark.sources.binding import CTE, jobs
 from tidemark.sources.landed import links
@@ -222,18 +222,19 @@ def rolling_yields(spark, sf):
     return days.select("user_id", "day", F.array_join(F.transform(F.collect_list("n").over(last4), lambda x: x.cast("string")), ",").alias("last_four"), F.round(F.avg("n").over(last4), 4).alias("mean"))
 
 
+def _timed(spark, sf):
+    return _hits(spark, sf).withColumn("at", F.unix_micros(F.to_timestamp("ts")))
+
+
 def rate_limiter(spark, sf):
     """Sliding window: an event is allowed below 3 earlier ones of its user within 6 hours; denied ones count too."""
-    seconds = F.unix_micros(F.to_timestamp("ts")).cast("long")
-    window = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-6 * 3600 * 10**6, -1)
-    return _hits(spark, sf).select("event_id", "user_id", F.count("*").over(window).alias("before")).withColumn("allowed", F.col("before") < 3)
+    found = timeline.hits_before(_timed(spark, sf).select("event_id", "user_id", "at"), "user_id", "at", 6 * 3600 * 10**6)
+    return found.select("event_id", "user_id", F.col("n").alias("before"), (F.col("n") < 3).alias("allowed"))
 
 
 def sessions(spark, sf):
-    """Sessions that end after 12 quiet hours, by lag and running sum."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.coalesce((F.unix_micros(F.to_timestamp("ts")) - F.lag(F.unix_micros(F.to_timestamp("ts"))).over(order)) > 12 * 3600 * 10**6, F.lit(True))
-    marked = _hits(spark, sf).withColumn("new", gap.cast("int")).withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """Sessions that end after 12 quiet hours."""
+    marked = timeline.sessions(_timed(spark, sf).select("user_id", "at", "event_id", "ts"), "user_id", "at", "event_id", 12 * 3600 * 10**6)
     return marked.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("ts").alias("start"), F.max("ts").alias("end"))
 
 
