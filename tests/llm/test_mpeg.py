@@ -1,8 +1,11 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
+import numpy as np
+
 from tidemark.llm import mpeg
 from tidemark.llm.common import table
 
@@ -160,3 +163,19 @@ def test_repeated_rows_and_a_very_long_text(spark):
     out = mpeg.digest(mpeg.parse(mpeg.store(df))).collect()
     want = padded(body.encode())
     assert sorted((r.doc_id, r.payload_sha256) for r in out)[:2] == [(1, hashlib.sha256(want).hexdigest())] * 2 and len(out) == 3
+
+
+def test_megabytes_of_junk_are_read_in_one_pass():
+    rng = np.random.default_rng(3)
+    junk = rng.integers(0, 256, 8 << 20, np.uint8).tobytes()
+    began = time.perf_counter()
+    out = mpeg.read(junk)
+    assert time.perf_counter() - began < 2 and out.skipped > 8_000_000
+    began = time.perf_counter()
+    assert not mpeg.read(bytes((0xFF, 0xFB, 0x00, 0xC0)) + bytes(4 << 20)).headers  # a free-format header whose like never comes
+    assert not mpeg.read(b"\xff\xfb\x00\xc0" + b"\xff" * (1 << 18)).headers
+    assert time.perf_counter() - began < 2
+    payload = bytes(range(256)) * 9
+    whole = mpeg.write(payload, len(payload))
+    again = mpeg.read(junk[:100_000].replace(b"\xff", b"\xfe") + whole)
+    assert len(again.headers) == len(mpeg.read(whole).headers) and again.resyncs == 1

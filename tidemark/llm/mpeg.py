@@ -258,10 +258,28 @@ def _follows(data: bytes, at: int, kind: tuple, free: dict, change: bool) -> boo
     return change and n > 0 and at + n <= len(data) and _follows(data, at + n, h.kind, free, False)
 
 
+#: No free-format frame is longer, at 640 kbit/s and 8 kHz either (144 * 640000 / 8000 bytes and one of padding).
+FREE_MOST = 11521
+
+
+class _Places:
+    """Where a marker comes next: each stretch of the data is searched for it once."""
+
+    def __init__(self, data: bytes, marker: bytes):
+        self.data, self.marker, self.place = data, marker, -1
+
+    def after(self, at: int) -> int:
+        """The first place at or behind `at`, which does not fall from call to call; the end where there is none."""
+        if self.place < at:
+            found = self.data.find(self.marker, at)
+            self.place = found if found >= 0 else len(self.data)
+        return self.place
+
+
 def _free_length(data: bytes, at: int, h: Header) -> int:
     """Length without padding of free-format frames like the one at `at`: the distance to the next like it, whose own frame ends the same way; 0 if there is none."""
-    p = at + 4 + h.side
-    while (p := data.find(data[at : at + 2], p + 1)) >= 0:
+    p, end = at + 4 + h.side, at + FREE_MOST + 2
+    while (p := data.find(data[at : at + 2], p + 1, end)) >= 0:
         n = header(data[p : p + 4])
         if n is None or n.length or n.kind != h.kind:
             continue
@@ -305,6 +323,7 @@ def read(data: bytes | None) -> Stream:
     out, at, lost = Stream(), 0, False
     data = data or b""
     free: dict = {}
+    markers = [_Places(data, m) for m in (b"\xff", b"ID3", b"TAG")]
     while at < len(data):
         h = header(data[at : at + 4])
         if h is not None and not h.length:
@@ -331,8 +350,7 @@ def read(data: bytes | None) -> Stream:
         if not lost:
             out.resyncs += 1
             lost = True
-        places = [p for p in (data.find(b"\xff", at + 1), data.find(b"ID3", at + 1), data.find(b"TAG", at + 1)) if p >= 0]
-        after = min(places, default=len(data))
+        after = min(m.after(at + 1) for m in markers)
         out.skipped += after - at
         at = after
     return out
