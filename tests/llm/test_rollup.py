@@ -117,6 +117,7 @@ def test_documents_against_brute_force(spark, sf_dir):
         if first[d.text] == d.doc_id:
             for name, f in count.items():
                 tidy = rollup._tidy(d.text)
-                want[d.source, d.lang, name] = [x + y for x, y in zip(want[d.source, d.lang, name], (1, f(tidy), len(d.text.encode())))]
+                want[d.source, d.lang, name] = [x + y for x, y in zip(want[d.source, d.lang, name], (1, f(tidy), len(tidy.encode())))]
     got = {(x.source, x.lang, x.tokenizer): [x.docs, x.tokens, x.bytes] for x in rollup.op8_token_rollup(spark, sf_dir).collect()}
     assert got == want
+    assert any(rollup._tidy(d.text) != d.text for d in docs)  # the batch of revisions is not empty

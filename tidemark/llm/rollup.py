@@ -207,8 +207,9 @@ class Rollup:
 
 
 def _tidy(text: str) -> str:
-    """Runs of blanks as one, none at a line's end."""
-    return re.sub(r" +(?=\n|$)", "", re.sub(r"[ \t]+", " ", text))
+    """Runs of blanks as one, none at a line's end, and a line that repeats the one before it left out."""
+    lines = re.sub(r" +(?=\n|$)", "", re.sub(r"[ \t]+", " ", text)).split("\n")
+    return "\n".join(line for n, line in enumerate(lines) if not n or line != lines[n - 1])
 
 
 def counted(docs: DataFrame, tokenizers=TOKENIZERS) -> DataFrame:
@@ -216,7 +217,7 @@ def counted(docs: DataFrame, tokenizers=TOKENIZERS) -> DataFrame:
     paths = {name: public_tokenizers.path(name) for name in tokenizers}
 
     def run(batch, encoders):
-        rows: list = [[] for _ in range(8)]
+        rows: list = [[] for _ in range(9)]
         for doc, source, lang, copy, text in zip(*(c.to_pylist() for c in batch.columns)):
             raw = text.encode()
             tidy = _tidy(text)
@@ -224,28 +225,28 @@ def counted(docs: DataFrame, tokenizers=TOKENIZERS) -> DataFrame:
             for name, encoder in encoders.items():
                 n = len(encoder.encode(text, raw)) // 4
                 m = len(encoder.encode(tidy, tidy_raw)) // 4 if tidy_raw is not None else None
-                for column, v in zip(rows, (doc, source, lang, copy, name, n, len(raw), m)):
+                for column, v in zip(rows, (doc, source, lang, copy, name, n, len(raw), m, None if tidy_raw is None else len(tidy_raw))):
                     column.append(v)
         s, i = pa.string(), pa.int64()
-        names = ["doc_id", "source", "lang", "copy", "tokenizer", "tokens", "bytes", "tidy_tokens"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (i, s, s, s, s, i, i, i))], names)
+        names = ["doc_id", "source", "lang", "copy", "tokenizer", "tokens", "bytes", "tidy_tokens", "tidy_bytes"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (i, s, s, s, s, i, i, i, i))], names)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.sha2(text, 256), text)
-    schema = "doc_id long, source string, lang string, copy string, tokenizer string, tokens long, bytes long, tidy_tokens long"
+    schema = "doc_id long, source string, lang string, copy string, tokenizer string, tokens long, bytes long, tidy_tokens long, tidy_bytes long"
     return map_batches(rows, run, schema, lambda: {name: Encoder(path) for name, path in paths.items()})
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: every document inserted, all but one of equal texts deleted, counts revised where
-    tidying blanks changes a text, and the first two run again (which changes nothing)."""
+    tidying blanks and repeated lines changes a text, and the first two run again (which changes nothing)."""
     counts = write_table(counted(table(spark, sf_dir, "documents")), "counts")
     rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     with_op = lambda df, op: df.withColumn("op", F.lit(op))
     first = counts.groupBy("copy").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     hot = hot_keys(first, "copy", counts.count())
     copies = salted_join(counts, first.select("copy", "first"), "copy", hot).filter("doc_id > first").drop("first")
-    tidied = counts.filter("tidy_tokens is not null").withColumn("tokens", F.col("tidy_tokens"))
+    tidied = counts.filter("tidy_tokens is not null").withColumns({"tokens": F.col("tidy_tokens"), "bytes": F.col("tidy_bytes")})
     batches = {"load": with_op(counts, "insert"), "copies": with_op(copies, "delete"), "tidy": with_op(tidied, "revise")}
     for name in ("load", "copies", "tidy", "load", "copies"):
         rollup.apply(name, batches[name])
