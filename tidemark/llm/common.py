@@ -65,16 +65,18 @@ def runs_of(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def whole_groups(batches, keys: tuple[int, ...]):
-    """Tables of sorted batches that never cut a run of equal keys."""
+    """Tables of sorted batches that never cut a run of equal keys. A run over many batches is put together once."""
     kept: list = []
+    ends = lambda batch, n: [batch.column(k)[n].as_py() for k in keys]
     for batch in batches:
         if not batch.num_rows:
             continue
         kept.append(batch)
+        if ends(kept[0], 0) == ends(batch, batch.num_rows - 1):  # one run so far
+            continue
         joined = pa.Table.from_batches(kept).combine_chunks()
         start, _ = runs_of([joined.column(k).to_numpy() for k in keys])
-        if start[-1]:
-            yield joined.slice(0, int(start[-1]))
-            kept = joined.slice(int(start[-1])).combine_chunks().to_batches()
+        yield joined.slice(0, int(start[-1]))
+        kept = joined.slice(int(start[-1])).combine_chunks().to_batches()
     if kept:
         yield pa.Table.from_batches(kept).combine_chunks()

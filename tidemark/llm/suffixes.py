@@ -89,17 +89,19 @@ def _repeated(hot: int):
         return pa.RecordBatch.from_arrays([pa.array(block[on]), pa.array(h[on]), pa.array(many[on])], ["block", "h", "hot"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 4
+        kept: list = []  # parts of columns; of one trigger over many batches they are joined once
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = [np.concatenate((a, batch.column(c).to_numpy())) for a, c in zip(held, ("h", "n", "phrases", "block"))]
+            kept.append([batch.column(c).to_numpy() for c in ("h", "n", "phrases", "block")])
+            if kept[0][0][0] == kept[-1][0][-1]:
+                continue
+            held = [np.concatenate(parts) for parts in zip(*kept)]
             cut = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last trigger may go on
-            if cut:
-                yield told(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if len(held[0]):
-            yield told(*held)
+            yield told(*(x[:cut] for x in held))
+            kept = [[x[cut:] for x in held]]
+        if kept:
+            yield told(*(np.concatenate(parts) for parts in zip(*kept)))
 
     return run
 
@@ -276,15 +278,14 @@ def _resolve(min_bytes: int, sorted_: int):
                 continue
             kept.append(batch)
             n += batch.num_rows
-            if n < sorted_:
+            if n < sorted_ or kept[0]["trigger"][0] == batch["trigger"][batch.num_rows - 1]:  # few, or one trigger so far
                 continue
             joined = pa.Table.from_batches(kept)
             triggers = joined["trigger"].to_numpy()
             cut = int(np.searchsorted(triggers, triggers[-1], "left"))  # the last trigger may go on
-            if cut:
-                yield answer(joined.slice(0, cut))
-                kept = joined.slice(cut).combine_chunks().to_batches()
-                n -= cut
+            yield answer(joined.slice(0, cut))
+            kept = joined.slice(cut).combine_chunks().to_batches()
+            n -= cut
         if kept:
             yield answer(pa.Table.from_batches(kept))
 
