@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
+from tidemark.functions import skills
 from tidemark.functions import text as t
 from tidemark.functions.vocabulary import LEVELS
 from tidemark.operators import market, quality
@@ -68,8 +69,8 @@ def test_security(spark):
 def test_extraction(spark):
     text = "Senior ML Engineer with 5+ years PyTorch, LangGraph, and MLflow; sklearn. Visa sponsorship available. Series B startup. Salary £90,000–£130,000."
     df = spark.createDataFrame([(1, "Senior ML Engineer", text)], "job_id int, title string, d string")
-    skills = {r.skill: r.confidence for r in t.extract_skills(df, "job_id", "d").collect()}
-    assert {"PyTorch", "LangGraph", "MLflow", "scikit-learn"} <= set(skills) and all(0 <= v <= 1 for v in skills.values())
+    found = {r.skill: r.confidence for r in skills.extract(df, "job_id", "d").collect()}
+    assert {"PyTorch", "LangGraph", "MLflow", "scikit-learn"} <= set(found) and all(0 <= v <= 1 for v in found.values())
     d = F.col("d")
     row = df.select(t.classify_role(F.col("title")), t.classify_level(F.col("title")), t.extract_salary(d), t.offers_sponsorship(d), t.is_startup(d), t.citizens_only(d)).first()
     assert tuple(row) == ("ml_engineer", "senior", (90000.0, 130000.0), True, True, False)

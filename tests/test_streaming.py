@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.streaming import streams
+from tidemark.streaming import stateful, streams
 
 START = dt.datetime(2024, 1, 1)
 
@@ -37,7 +37,7 @@ def test_limiter_equals_the_definition(spark, tmp_path):
     rng = random.Random(1)
     rows = [(rng.randrange(3), n, rng.randrange(300) * 10**6) for n in range(80)]
     src = stream(spark, tmp_path, rows, "user_id long, event_id long, ts long")
-    streams.run_available(streams.limited(src, 5, 60), "limits", "append", str(tmp_path / "c"))
+    streams.run_available(stateful.limited(src, 5, 60), "limits", "append", str(tmp_path / "c"))
     got = {r.event_id: r.allowed for r in spark.table("limits").collect()}
     want = {e: sum(v == u and s - 60 * 10**6 <= t < s for v, _, t in rows) < 5 for u, e, s in rows}
     assert got == want
@@ -48,8 +48,8 @@ def test_limiter_forgets_users_of_long_ago(spark, tmp_path):
     for user, second in ((1, 0), (2, 10_000), (3, 20_000)):
         spark.createDataFrame([(user, user, second * 10**6)], "user_id long, event_id long, ts long").coalesce(1).write.mode("append").parquet(path)
     src = streams.read_events(spark, path, "user_id long, event_id long, ts long")
-    query = streams.run_available(streams.limited(src, 5, 60, late=100), "forgotten", "append", str(tmp_path / "c"))
-    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress][-1] == 1  # the last user alone
+    streams.run_available(stateful.limited(src, 5, 60, late=100), "forgotten", "append", str(tmp_path / "c"))
+    assert [r.key.user_id for r in stateful.state_rows(spark, str(tmp_path / "c"), "hits").collect()] == [3]  # the last user alone
     assert spark.table("forgotten").filter("allowed").count() == 3
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import any_keyword, strip
-from tidemark.functions.vocabulary import RISKY, SKILLS
+from tidemark.functions.vocabulary import RISKY
 
 #: Personal data by type, in the order of redaction. Our patterns, to the published contract.
 PII = {
@@ -126,27 +126,6 @@ def strip_html(c: Column) -> Column:
 # --- extraction -----------------------------------------------------------------------------------------------
 
 
-def alias_table(spark, taxonomy=SKILLS) -> DataFrame:
-    """Alias in lower case, canonical skill, category: a fixed list."""
-    rows = [(a, name, category) for name, category, aliases in taxonomy for a in {name.lower(), *aliases}]
-    return spark.createDataFrame(rows, "alias string, skill string, skill_category string")
-
-
-def extract_skills(df: DataFrame, key: str, text: str, taxonomy=SKILLS) -> DataFrame:
-    """(key, skill, skill_category, extraction_method, confidence) by n-grams of up to three words against the alias table."""
-    token = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}+#./-]*"), F.lit(0))
-    clean = F.transform(token, lambda t: F.regexp_replace(t, r"[./-]+$", ""))
-    base = df.select(F.col(key).alias("key"), clean.alias("t"))
-    gram = lambda n: F.when(
-        F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.array_join(F.slice(F.col("t"), i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
-    grams = base.select("key", F.explode(F.array_distinct(F.concat(gram(1), gram(2), gram(3)))).alias("alias"))
-    found = grams.join(F.broadcast(alias_table(df.sparkSession, taxonomy)), "alias")  # a fixed list
-    return found.groupBy("key", "skill", "skill_category").agg(F.max(F.when(F.col("alias") == F.lower("skill"), 1.0).otherwise(0.9)).alias("confidence")).select(
-        F.col("key").alias(key), "skill", "skill_category", F.lit("taxonomy").alias("extraction_method"), "confidence"
-    )
-
-
 #: Role by title, first that fits.
 ROLE_PATTERNS = (
     ("ai_safety_researcher", r"safety|alignment"),

@@ -98,4 +98,11 @@ SKILLS = (
     ("Pandas", "data_analysis", ()), ("NumPy", "data_analysis", ()), ("Matplotlib", "visualisation", ()), ("FastAPI", "backend", ()), ("REST API", "backend", ("rest apis",)),
     ("CI/CD", "devops", ("cicd",)), ("Git", "devops", ()), ("PostgreSQL", "database", ("postgres",)), ("Redis", "database", ()), ("Deep Learning", "ml_concept", ()),
     ("Machine Learning", "ml_concept", ("ml",)), ("Reinforcement Learning", "ml_concept", ("rl",)), ("Statistics", "ml_concept", ()),
+    ("C#", "language", ()), ("MATLAB", "language", ()), ("JavaScript", "language", ("js",)), ("CUDA", "language", ()), ("Triton", "dl_framework", ()), ("ONNX", "dl_framework", ("onnxruntime",)), ("DeepSpeed", "dl_framework", ()),
+    ("PyTorch Lightning", "dl_framework", ("lightning",)), ("statsmodels", "ml_library", ()), ("Optuna", "ml_library", ()), ("Ray", "ml_library", ()), ("Dask", "ml_library", ()), ("DSPy", "llm_framework", ()), ("Haystack", "llm_framework", ()),
+    ("vLLM", "llm_framework", ()), ("Semantic Kernel", "llm_framework", ()), ("AutoGen", "llm_framework", ()), ("Fine-tuning", "llm_technique", ("fine tuning", "finetuning")), ("Quantisation", "llm_technique", ("quantization",)), ("Vector Search", "llm_technique", ()),
+    ("NLTK", "nlp", ()), ("Gensim", "nlp", ()), ("Detectron2", "computer_vision", ()), ("SLAM", "computer_vision", ()), ("Weights & Biases", "mlops", ("wandb",)), ("DVC", "mlops", ()), ("Feast", "mlops", ()), ("Prefect", "mlops", ()),
+    ("Ansible", "infra", ()), ("Helm", "infra", ()), ("Vertex AI", "cloud", ()), ("Bedrock", "cloud", ("amazon bedrock",)), ("Flink", "data_engineering", ("apache flink",)), ("Delta Lake", "data_engineering", ()), ("Redshift", "data_engineering", ()),
+    ("Polars", "data_analysis", ()), ("SciPy", "data_analysis", ()), ("Plotly", "visualisation", ()), ("Tableau", "visualisation", ()), ("Power BI", "visualisation", ("powerbi",)), ("Flask", "backend", ()), ("gRPC", "backend", ()),
+    ("Jenkins", "devops", ()), ("MongoDB", "database", ("mongo",)), ("Pinecone", "database", ()), ("Neo4j", "database", ()),
 )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
 from tidemark.functions.columns import dedup_hash
+from tidemark.functions.skills import extract as extract_skills
 from tidemark.functions.vocabulary import IMPLIED
 from tidemark.operators import cubes, market, quality, stores
 from tidemark.sources.schemas import conform
@@ -43,7 +44,7 @@ def ingest(raw: DataFrame, jobs: DataFrame, seen: DataFrame, now) -> tuple[DataF
 def enrich(jobs: DataFrame, skills: DataFrame) -> DataFrame:
     """Skills of postings that have none: those in the text, and those of the role where the text is short or names none."""
     bare = market.unenriched(jobs, skills)
-    found = t.extract_skills(bare, "job_id", "description")
+    found = extract_skills(bare, "job_id", "description")
     have = found.select("job_id").distinct().withColumn("_has", F.lit(True))
     thin = bare.join(have, "job_id", "left").filter((F.length(F.trim(F.coalesce("description", F.lit("")))) < 150) | F.col("_has").isNull())
     return found.unionByName(market.implied(thin, found, IMPLIED))

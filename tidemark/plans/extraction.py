@@ -6,19 +6,23 @@ fixed phrases; the oracle knows from the keys what has to be found.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
+from tidemark.functions import skills
 from tidemark.functions import text as t
-from tidemark.functions.vocabulary import LEVELS, SEEDS
+from tidemark.functions.vocabulary import LEVELS, SEEDS, SKILLS
 from tidemark.operators import cubes
 from tidemark.operators import market as m
 from tidemark.operators import quality, similarity, stores
 from tidemark.plans import serving
-from tidemark.sources import landed
+from tidemark.sources import landed, landing
 from tidemark.sources.binding import CTE, job_skills, jobs
 from tidemark.sources.tables import table
+from tidemark.tables import shared_dir
 
 TITLES = ("Senior ML Engineer", "Junior Data Scientist", "Lead Computer Vision Engineer", "Principal Research Scientist", "MLOps Engineer", "AI Product Manager", "Staff NLP Engineer", "Data Engineer", "Office Cook")
 ROLES = ("ml_engineer", "data_scientist", "computer_vision_engineer", "research_scientist", "mlops_engineer", "ai_product_manager", "nlp_engineer", "data_engineer", "other")
@@ -52,17 +56,54 @@ def posting_facts(spark, sf):
 
 def posting_skills(spark, sf):
     """Gate 1 with the whole taxonomy."""
-    return t.extract_skills(_postings(spark, sf), "job_id", "description").select("job_id", "skill", "skill_category", "confidence")
+    return skills.extract(_postings(spark, sf), "job_id", "description").select("job_id", "skill", "skill_category", "confidence")
 
 
-def board_postings(spark, sf):
-    """Payloads of three boards (JSON columns), parsed to one schema, fanned in, copies left out, AI roles only."""
+#: Sentences of an advertisement, with places for three names.
+SENTENCES = (
+    "Experience with %s, %s and %s is required.", "You will work with %s and %s; knowledge of %s is a plus.", "Our stack: %s, %s, %s.", "Strong skills in %s or %s (ideally %s too).",
+    "We build on %s. You know %s, and have shipped %s in production.", "Must have: %s / %s / %s.", "Hands-on use of %s with %s, plus %s.", "Ideal candidates have used %s, %s or %s at scale.",
+)
+#: What gate 1 is told; every third name of the taxonomy is left for gate 2 to find.
+LISTED = tuple(s for n, s in enumerate(SKILLS) if n % 3 != 2)
+
+
+def adverts(spark, sf):
+    """Advertisements out of documents: words of the text, sentences with names by the document's number, words again."""
+    n, words = F.col("doc_id"), F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")
+    names = [s[0] for s in SKILLS]
+    said = lambda k: F.format_string(SENTENCES[k], *[_pick(names, F.floor(n / 3) * 31 + n * (7 + 2 * j) + 17 * j + k) for j in range(3)])
+    one = lambda shift: F.element_at(F.array(*[said(k) for k in range(len(SENTENCES))]), (F.pmod(n + shift, F.lit(len(SENTENCES))) + 1).cast("int"))
+    prose = lambda start, size: F.concat(F.array_join(F.slice(words, start, size), " "), F.lit("."))
+    return table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", prose(1, 12), one(0), prose(13, 9), one(3)).alias("advert"))
+
+
+def posting_names(spark, sf):
+    """Gates 1 and 2 over advertisements, the tagger learnt from what gate 1 is sure of."""
+    posts = adverts(spark, sf)
+    return skills.extract(posts, "doc_id", "advert", LISTED, skills.train(posts, "advert", LISTED))
+
+
+def _landed(spark, sf) -> str:
+    """Payloads of three boards as files, a board's in one file, a payload a line; the path of their folder."""
     p = _postings(spark, sf).withColumn("b", F.col("job_id") % 3)
     n, url = F.col("job_id").cast("string"), F.concat(F.lit("https://x.io/"), F.col("job_id").cast("string"))
-    gh = p.filter("b = 0").select(F.col("company").alias("board"), F.to_json(F.struct(F.array(F.struct(n.alias("id"), "title", F.struct(F.lit("Remote").alias("name")).alias("location"), F.concat(F.lit("<p>"), "description", F.lit("</p>")).alias("content"), url.alias("absolute_url"))).alias("jobs"))).alias("payload"))
-    lv = p.filter("b = 1").select(F.col("company").alias("board"), F.to_json(F.array(F.struct(n.alias("id"), F.col("title").alias("text"), F.lit("Hybrid").alias("workplaceType"), F.col("description").alias("descriptionPlain"), url.alias("hostedUrl")))).alias("payload"))
-    ab = p.filter("b = 2").select(F.lit("x").alias("board"), F.to_json(F.struct(F.array(F.struct(n.alias("id"), "title", F.lit("Leeds").alias("location"), F.col("description").alias("descriptionHtml"), F.col("company").alias("organizationName"), url.alias("jobUrl"))).alias("jobs"))).alias("payload"))
-    rows = landed.fan_in([landed.greenhouse(gh), landed.lever(lv), landed.ashby(ab)])
+    gh = F.struct(F.array(F.struct(n.alias("id"), "title", F.struct(F.lit("Remote").alias("name")).alias("location"), F.concat(F.lit("<p>"), "description", F.lit("</p>")).alias("content"), url.alias("absolute_url"))).alias("jobs"))
+    lv = F.array(F.struct(n.alias("id"), F.col("title").alias("text"), F.lit("Hybrid").alias("workplaceType"), F.col("description").alias("descriptionPlain"), url.alias("hostedUrl")))
+    ab = F.struct(F.array(F.struct(n.alias("id"), "title", F.lit("Leeds").alias("location"), F.col("description").alias("descriptionHtml"), F.col("company").alias("organizationName"), url.alias("jobUrl"))).alias("jobs"))
+    kinds = (("greenhouse", gh, F.col("company")), ("lever", lv, F.col("company")), ("ashby", ab, F.lit("x")))
+    parts = [p.filter(F.col("b") == k).select(F.lit(kind).alias("kind"), board.alias("board"), F.lit(f"2024-01-0{k + 1}").alias("date"), F.to_json(body).alias("value")) for k, (kind, body, board) in enumerate(kinds)]
+    path = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    landed.fan_in(parts).repartition("kind", "board").write.partitionBy("kind", "board", "date").text(path)
+    return path
+
+
+def board_postings(spark, sf):
+    """Landed payloads of three boards, each kind's files read by a pushed filter, parsed to one schema, fanned in, copies left out, AI roles only."""
+    path = _landed(spark, sf)
+    payload = F.explode(F.split(F.col("content").cast("string"), "\n")).alias("payload")
+    of = lambda kind: landing.files(spark, path).filter(F.col("kind") == kind).select("board", payload)
+    rows = landed.fan_in([landed.greenhouse(of("greenhouse")), landed.lever(of("lever")), landed.ashby(of("ashby"))])
     first = landed.first_of_copies(landed.ai_roles(rows), [F.col("job_id")])
     return first.select("job_id", "title", "company", "location", "work_model", "source", "url")
 
@@ -197,7 +238,7 @@ def career_analysis(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        title_classes, posting_facts, posting_skills, board_postings, scouted, watchlist, parse_rate, cv_sections, cv_scores, cv_grades, yields_ema, agent_states, qa_gate, gap_horizons,
+        title_classes, posting_facts, posting_skills, posting_names, board_postings, scouted, watchlist, parse_rate, cv_sections, cv_scores, cv_grades, yields_ema, agent_states, qa_gate, gap_horizons,
         column_helpers, sanitised, career_analysis,
     )
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
+from tidemark.functions import skills
 from tidemark.functions import text as t
 from tidemark.operators import quality, similarity, stores, timeline
 from tidemark.operators.keyed import replaced, temporary
@@ -110,7 +111,7 @@ def salary_display(spark, sf):
 def skill_mentions_in_text(spark, sf):
     """Gate 1 of skill extraction, over conversations: words of the prose stand in for aliases."""
     turns = table(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
-    return t.extract_skills(turns, "id", "text", PROSE).groupBy("skill", "skill_category").agg(F.count("*").alias("n"))
+    return skills.extract(turns, "id", "text", PROSE).groupBy("skill", "skill_category").agg(F.count("*").alias("n"))
 
 
 # --- pages ----------------------------------------------------------------------------------------------------

@@ -1,20 +1,17 @@
 """Structured Streaming forms of the stateful operators; each transformation also runs on batch frames.
 
-State is bounded everywhere: by a watermark, by a time-to-live, or by a window that closes.
+State is bounded everywhere: by a watermark, by a time-to-live, or by a window that closes. Operators with state
+of their own are in stateful.py.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -41,43 +38,6 @@ def first_seen(df: DataFrame, keys: list[str], column: str = "ts", ttl: str = "3
     return df.withWatermark(column, ttl).dropDuplicatesWithinWatermark(keys)
 
 
-LIMITED = "user_id long, event_id long, allowed boolean"
-
-
-def limiter(limit: int, seconds: int, late: int) -> Callable:
-    """State function of a sliding-window limiter: below `limit` hits in the `seconds` before, the hit is allowed; denied hits count.
-
-    State keeps the hits that a row within `late` seconds may still look back on, and goes when the watermark passes the last.
-    """
-    window = seconds * 10**6
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames), ignore_index=True)
-        at = rows["ts"].to_numpy(np.int64)
-        hits = np.sort(np.concatenate([np.asarray(state.get[0] if state.exists else [], np.int64), at]))
-        before = np.searchsorted(hits, at, "left") - np.searchsorted(hits, at - window, "left")
-        last = int(hits[-1])
-        state.update((hits[hits >= last - window - late * 10**6].tolist(),))
-        state.setTimeoutTimestamp((last + window) // 1000 + late * 1000 + 1)
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "allowed": before < limit})
-
-    return run
-
-
-def limited(events: DataFrame, limit: int, seconds: int, late: int = 3600) -> DataFrame:
-    """events: user_id, event_id, ts (microseconds). A hit is judged on the hits known when it arrives.
-
-    Hits over `late` seconds behind the newest event are dropped by the watermark. A user without hits for the window
-    and that time is forgotten, so state holds only users of late.
-    """
-    due = F.timestamp_micros(F.col("ts") + late * 10**6)  # the first watermark is the epoch, before which no hit may be due
-    timed = events.withColumn("at", due).withWatermark("at", f"{late} seconds")
-    return timed.groupBy("user_id").applyInPandasWithState(limiter(limit, seconds, late), LIMITED, "hits array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 SEEN = "dedup_hash string, first_seen timestamp, last_seen timestamp, times_seen long"
 
 
