@@ -49,24 +49,9 @@ class Lanes:
             yield np.ascontiguousarray(before), np.ascontiguousarray(symbol), self.start[:on, part].T, there, self.owner[:on, part].T
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):  # far out it is 0
-        out = np.exp(-x)
-    out += 1
-    return np.reciprocal(out, out=out)
-
-
-def tanh(x: np.ndarray) -> np.ndarray:
-    """By the exponential, which numpy computes faster in single precision."""
-    out = sigmoid(x + x)
-    out += out
-    out -= 1
-    return out
-
-
 def columns(states: np.ndarray, there: np.ndarray, full: bool) -> np.ndarray:
-    """States (steps, hidden, lanes) as a column each, of those that are there."""
-    flat = states.transpose(1, 0, 2).reshape(states.shape[1], -1)
+    """States (hidden, steps, lanes) as a column each, of those that are there."""
+    flat = states.reshape(len(states), -1)
     return flat if full else flat[:, there.ravel()]
 
 
@@ -103,21 +88,38 @@ class Model:
         return self
 
     def run(self, before: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """States after each step (steps, hidden, lanes), and per step what backpropagation needs. h: hidden by lanes."""
+        """States after each step (hidden, steps, lanes), and per step what backpropagation needs. h: hidden by lanes."""
         size, steps = self.hidden, len(before)
-        given = self.x[before].transpose(0, 2, 1).copy()
-        states, kept = np.empty((steps, *h.shape), h.dtype), []
-        fresh, u = start.any(1), np.ascontiguousarray(self.u.T)
-        for t in range(steps):
-            if fresh[t]:
-                h = h.copy()
-                h[:, start[t]] = 0
-            a, x = u @ h, given[t]
-            gates = sigmoid(x[: 2 * size] + a[: 2 * size])
-            z, r, inner = gates[:size], gates[size:], a[2 * size :]
-            n = tanh(x[2 * size :] + r * inner)
-            kept.append((h, z, r, n, inner))
-            states[t] = h = n + z * (h - n)
+        sign = np.repeat(np.array([-1, -2], self.x.dtype), [2 * size, size])  # a sigmoid is 1 / (1 + exp(-x)), a tanh 2 / (1 + exp(-2 x)) - 1
+        given = np.take((self.x * sign).T.copy(), before.ravel(), axis=1).reshape(3 * size, *before.shape)
+        u = self.u.T.copy()
+        u[: 2 * size] *= -1
+        states, kept = np.empty((size, steps, h.shape[1]), h.dtype), []
+        fresh = start.any(1)
+        with np.errstate(over="ignore"):  # far out they are 0 and -1
+            for t in range(steps):
+                if fresh[t]:
+                    h = h.copy()
+                    h[:, start[t]] = 0
+                a, x = u @ h, given[:, t]
+                gates, inner = a[: 2 * size], a[2 * size :]
+                gates += x[: 2 * size]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                z, r = gates[:size], gates[size:]
+                n = r * inner
+                n *= -2
+                n += x[2 * size :]
+                np.exp(n, out=n)
+                n += 1
+                np.divide(2, n, out=n)
+                n -= 1
+                kept.append((h, z, r, n, inner))
+                after = np.subtract(h, n, out=states[:, t])
+                after *= z
+                after += n
+                h = after
         return states, kept
 
     def emit(self, states: np.ndarray, symbol: np.ndarray, learn: bool = False):
@@ -170,7 +172,7 @@ class Model:
         else:
             down = np.zeros((size, *there.shape), h.dtype)
             down[:, there] = flat
-        steps = np.empty((len(before), 3 * size, before.shape[1]), h.dtype)  # with respect to the input
+        steps = np.empty((3 * size, *before.shape), h.dtype)  # with respect to the input
         grads["u"] = np.zeros_like(self.u)
         dh = np.zeros_like(h)
         fresh = start.any(1)
@@ -178,7 +180,7 @@ class Model:
             last, z, r, n, a = kept[t]
             dh = dh + down[:, t]
             dn = dh * (1 - z) * (1 - n * n)
-            d = steps[t]
+            d = steps[:, t]
             d[:size] = dh * (last - n) * z * (1 - z)
             d[size : 2 * size] = dn * a * r * (1 - r)
             d[2 * size :] = dn * r  # with respect to h @ u first
@@ -189,10 +191,10 @@ class Model:
                 dh[:, start[t]] = 0
         given = before.ravel()
         order = np.argsort(given, kind="stable")
-        ids, first = np.unique(given[order], return_index=True)
-        rows = steps.transpose(0, 2, 1).reshape(-1, 3 * size)[order]
-        grads["x"] = ids, np.add.reduceat(rows, first, axis=0)
-        return float(out.sum(dtype=np.float64)), grads, states[-1]
+        given = given[order]
+        first = np.flatnonzero(np.append(True, given[1:] != given[:-1]))
+        grads["x"] = given[first], np.add.reduceat(np.take(steps.reshape(3 * size, -1), order, axis=1), first, axis=1).T
+        return float(out.sum(dtype=np.float64)), grads, states[:, -1]
 
     def learn(self, docs: list[np.ndarray], lanes: int, steps: int, rate: float, memory: dict) -> int:
         """One pass of Adagrad over the documents, a window at a time; memory: its sums of squares, kept between calls."""
@@ -222,7 +224,7 @@ class Model:
             count = before.shape[1]
             h = np.zeros((self.hidden, count), np.float32) if h is None else h[:, :count]
             states, _ = self.run(before, start, h)
-            h = states[-1]
+            h = states[:, -1]
             found = self.emit(columns(states, there, bool(there.all())), symbol[there])
             out += np.bincount(owner[there], found.astype(np.float64), len(docs))
         return out / np.log(10)

@@ -39,7 +39,7 @@ ROUNDS, LANES, STEPS, RATE = 2, 512, 32, 0.05
 #: Tokens that a task lays out at a time; a longer document is alone.
 TOKENS = 1 << 21
 #: Words that a task counts before it passes them on.
-COUNTED = 400_000
+COUNTED = 600_000
 SLICES = 64
 
 
@@ -67,28 +67,44 @@ def counted(rows: DataFrame) -> DataFrame:
     """word, n (occurrences), c (those in documents to learn from) over all of `texts`."""
 
     def count(batches):
-        tallies = Counter(), Counter()
+        every, held = Counter(), Counter()
 
         def told():
-            every = list(tallies[0].keys() | tallies[1].keys())
-            learnt = np.fromiter(map(tallies[0].__getitem__, every), np.int64, len(every))
-            other = np.fromiter(map(tallies[1].__getitem__, every), np.int64, len(every))
-            for t in tallies:
-                t.clear()
-            return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array(learnt + other), pa.array(learnt)], ["word", "n", "c"])
+            n = np.fromiter(every.values(), np.int64, len(every))
+            out = pa.RecordBatch.from_arrays([pa.array(every.keys(), pa.binary()), pa.array(n), pa.array(n - np.fromiter(map(held.get, every, itertools.repeat(0)), np.int64, len(every)))], ["word", "n", "c"])
+            every.clear(), held.clear()
+            return out
 
         for batch in batches:
-            for held, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tallies[held].update(words(text.as_py()))
-                if len(tallies[0]) + len(tallies[1]) > COUNTED:
+            for out, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = words(text.as_py())
+                every.update(found)
+                if out:
+                    held.update(found)
+                if len(every) > COUNTED:
                     yield told()
-        if tallies[0] or tallies[1]:
+        if every:
             yield told()
 
     found = rows.select("held", "text").mapInArrow(count, "word binary, n long, c long")
     return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Words and c of those that occur oftenest, `most` at most: whole bins of like numbers of occurrences, from the top."""
+    binned = counts.withColumn("bin", F.floor(F.log2(F.col("n").cast("double")) * 64))
+    least, total = None, 0
+    for r in sorted(binned.groupBy("bin").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.bin):  # 64 bins a doubling
+        total += r.words
+        if total > most:
+            break
+        least = r.bin
+    if least is None:
+        return []
+    found = binned.filter(F.col("bin") >= least).select("n", "word", "c").toArrow()
+    return [(w, c) for _, w, c in sorted(zip(*(found.column(k).to_pylist() for k in range(3))), key=lambda x: (-x[0], x[1]))]
+
+
 class Told:
     """The broadcast words: number, log10(c + 1), whether known, and the model's symbol; the last number is that of all other words."""
 
@@ -197,8 +213,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     counts = write_table(counted(rows), "counts")
     ends = rows.agg(F.count_if(~F.col("held"))).first()[0]
     total, number = counts.agg(F.coalesce(F.sum("c"), F.lit(0)) + ends, F.count_if(F.col("c") > 0) + int(ends > 0)).first()
-    first = counts.orderBy(F.desc("n"), "word").limit(hot)
-    words_ = Told([(bytes(r.word), r.c) for r in first.select("word", "c").collect()], ends, symbols)  # bounded: hot words of LONGEST bytes
+    words_ = Told(frequent(counts, hot), ends, symbols)  # bounded: hot words of LONGEST bytes
     told = spark.sparkContext.broadcast(words_)
     ids = write_table(numbered(rows, told), "symbols")
 
