@@ -2,6 +2,8 @@ import io
 import json
 import zipfile
 
+import pytest
+
 from tidemark.sources import landed
 
 
@@ -62,3 +64,18 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"hello")
     got = {r.path.rsplit("/", 1)[1]: r for r in landed.cv_files(spark, str(tmp_path)).collect()}
     assert got["a.docx"].raw_text == "Skills\nPython & SQL" and got["b.pdf"].raw_text == "Hello (x)" and not got["c.txt"].allowed and got["c.txt"].raw_text is None
+
+
+def test_unpacking_is_bounded():
+    import zlib
+
+    bomb = b"%PDF-1.4\nstream\n" + zlib.compress(b"0" * (200 << 20)) + b"\nendstream"
+    assert len(bomb) < landed.LARGEST
+    with pytest.raises(ValueError, match="too much"):
+        landed.pdf_text(bomb)
+    good = b"%PDF-1.4\nstream\n" + zlib.compress(b"BT (Hello) Tj ET") + b"\nendstream"
+    assert landed.pdf_text(good) == "Hello"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", (b"<w:t>" + bytes(range(32, 127)) * 10) * 60_000)
+    assert landed.scan_bytes(out.getvalue())[2] == "docx_zipbomb"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import extraction, market, records, serving
+from tidemark.plans import extraction, market, profiles, records, serving
 
 FLAGSHIP = "skill_demand"
-MODULES = (market, serving, records, extraction)
+MODULES = (market, serving, records, extraction, profiles)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:

@@ -14,6 +14,21 @@ def integrity(df: DataFrame, required: tuple[str, ...], value: str, low: float,
     return one.crossJoin(copies)  # a row each
 
 
+def posting_integrity(jobs: DataFrame, skills: DataFrame, now: Column, low: float = 10000, high: float = 600000) -> DataFrame:
+    """One row of checks: null rates of company, role and pay, pay out of range or with its minimum above its maximum, dates after now,
+    copies (of one company, role, place and day), and skills whose posting is not there."""
+    rate = lambda c, name: F.round(F.avg(c.cast("double")), 6).alias(name)
+    null = lambda c: F.col(c).isNull()
+    outside = lambda c: F.coalesce(~F.col(c).between(low, high), F.lit(False))
+    one = jobs.agg(
+        F.count("*").alias("total_rows"), rate(null("company"), "null_company"), rate(null("role_category"), "null_role"), rate(null("salary_min") & null("salary_max"), "null_salary"),
+        F.count_if(outside("salary_min") | outside("salary_max")).alias("salary_out_of_range"), F.count_if(F.col("salary_min") > F.col("salary_max")).alias("salary_crossed"), F.count_if(F.col("scraped_at") > now).alias("future_dates"),
+    )
+    copies = jobs.groupBy("company", F.coalesce("role_category", F.lit("")).alias("r"), "location", F.to_date("scraped_at").alias("d")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("copies"))
+    orphans = skills.join(jobs.select("job_id"), "job_id", "left_anti").agg(F.count("*").alias("orphan_skills"))
+    return one.crossJoin(copies).crossJoin(orphans)  # a row each
+
+
 def psi(expected: DataFrame, actual: DataFrame, column: str, low: float, high: float, bins: int = 10) -> DataFrame:
     """Population stability index over equal-width bins: sum of (a - e) ln(a / e), empty bins as half a row."""
     binned = lambda df, n: df.filter(F.col(column).isNotNull()).groupBy(F.least(F.greatest(F.floor((F.col(column) - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias(n))

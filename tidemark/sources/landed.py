@@ -146,7 +146,8 @@ def collect(spark: SparkSession, loaders: dict[str, Callable[[SparkSession], Dat
 # --- files ----------------------------------------------------------------------------------------------------
 
 LARGEST = 5 * 1024 * 1024
-BLOAT = 100
+#: Times a file's size that its contents may unpack to where that is over LARGEST, and bytes that they may unpack to in any case.
+BLOAT, UNPACKED = 100, 10 * LARGEST
 SCANNED = T.StructType(
     [T.StructField("allowed", T.BooleanType()), T.StructField("file_type", T.StringType()), T.StructField("rejection_reason", T.StringType()), T.StructField("file_hash", T.StringType()), T.StructField("size_bytes", T.LongType())]
 )
@@ -176,7 +177,7 @@ def scan_bytes(data: bytes | None, largest: int = LARGEST) -> tuple:
             return reject("docx_corrupt", "docx")
         if any("vbaproject" in n.lower() for n in names):
             return reject("docx_macro_detected", "docx")
-        if size > BLOAT * len(data) and size > largest:
+        if size > UNPACKED or size > BLOAT * len(data) and size > largest:
             return reject("docx_zipbomb", "docx")
         if "word/document.xml" not in names:
             return reject("docx_corrupt", "docx")
@@ -201,16 +202,20 @@ def docx_text(data: bytes) -> str:
 
 
 def pdf_text(data: bytes) -> str:
-    """Strings shown by a PDF's content streams, plain or deflated; a text without layout."""
+    """Strings shown by a PDF's content streams, plain or deflated; a text without layout. Streams that unpack to over UNPACKED bytes raise an error."""
     import re
     import zlib
 
-    out = []
+    out, left = [], UNPACKED
     for body in re.findall(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
         try:
-            body = zlib.decompress(body)
+            unpacker = zlib.decompressobj()
+            body = unpacker.decompress(body, left + 1)
         except zlib.error:
             pass
+        left -= len(body)
+        if left < 0:
+            raise ValueError("the streams unpack to too much")
         for line in re.findall(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|')|\[(?:[^\]])*\]\s*TJ", body):
             shown = b"".join(re.findall(rb"\(((?:\\.|[^\\()])*)\)", line))
             out.append(re.sub(rb"\\(.)", rb"\1", shown).decode("latin-1"))
