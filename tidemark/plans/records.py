@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as c
 from tidemark.functions import skills
 from tidemark.functions import text as t
-from tidemark.operators import quality, similarity, stores, timeline
+from tidemark.operators import quality, similarity, sketches, stores, timeline
 from tidemark.operators.keyed import replaced, temporary
 from tidemark.sources.binding import CTE, jobs
 from tidemark.sources.landed import links
@@ -265,6 +265,15 @@ def psi(spark, sf):
     return quality.psi(o.filter("o_orderdate < timestamp_ntz'1998-01-01'"), o.filter("o_orderdate >= timestamp_ntz'1998-01-01'"), "o_totalprice", 0, 500000)
 
 
+def sketch_drift(spark, sf):
+    """Drift of order values from 1998 on against the years before, and customers of both, out of sketches by day merged over weeks."""
+    days = write_table(sketches.daily(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "o_custkey"), "sketches")
+    weeks = sketches.merged(days, (F.date_trunc("week", "day").cast("date").alias("week"),))
+    old, new = (sketches.merged(weeks.filter(f"week {side} date'1998-01-05'")) for side in ("<", ">="))
+    told = lambda df, name: df.select(F.col("n").alias(f"n_{name}"), sketches.distinct("items").alias(f"customers_{name}"), F.round(sketches.quantile("quantiles", 0.5), 2).alias(f"median_{name}"))
+    return sketches.drift(old, new).crossJoin(told(old, "before")).crossJoin(told(new, "after"))  # a row each
+
+
 def ops_status(spark, sf):
     e = _hits(spark, sf).groupBy("user_id").agg((F.sum("value") > 3000).alias("cost_over"), (F.count_if(F.col("event_type") == "error") > 18).alias("pipeline_failed"), (F.count_if(F.col("event_type") == "signup") > 14).alias("infra_down"))
     return quality.ops_status(e).select("user_id", F.array_join("issues", ",").alias("issues"), "status")
@@ -275,7 +284,7 @@ QUERIES = {
     for f in (
         pii_scrub, injection_scores, threat_entries, risky_terms, draft_review, control_characters, dedup_hashes, exact_copies, posting_classes, document_classes, near_vectors, salary_display, skill_mentions_in_text, page_links,
         events_by_key, seen_store, new_within_ttl, weekly_dedup, upsert_postings, upsert_history, touched, insert_ignored, roles_filled, expired_entries, run_log, rolling_yields, rate_limiter, sessions, cost_alerts, adoption_lag,
-        integrity, psi, ops_status,
+        integrity, psi, sketch_drift, ops_status,
     )
 }
 
