@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.vocabulary import IMPLIED
 from tidemark.operators import market as m
 from tidemark.operators import similarity
+from tidemark.operators.clustered import Clustered
 from tidemark.sources.binding import CTE, WEEK, job_skills, jobs
 from tidemark.sources.tables import table
 
@@ -68,6 +69,15 @@ def jobs_page(spark, sf):
     return m.page(jobs(spark, sf), job_skills(spark, sf), 2, 20, role="ml_engineer", work_model="onsite", visa=True).select("job_id", "scraped_at", "company", "skills", "total", "pages")
 
 
+def clustered_page(spark, sf):
+    """A far page of filtered postings out of the clustered layout, with its skills."""
+    rows = jobs(spark, sf).select("job_id", "scraped_at", "company", "role_category", "work_model", "offers_sponsorship")
+    store = Clustered.temporary(rows, [("scraped_at", True), ("job_id", False)], ["role_category", "work_model", "offers_sponsorship"], 32)
+    page = store.page(9, 20, role_category="ml_engineer", work_model="onsite", offers_sponsorship=True)
+    own = job_skills(spark, sf).join(F.broadcast(page.select("job_id")), "job_id", "left_semi")  # at most 100 rows
+    return page.join(m.top_skills_of(own), "job_id", "left").select("job_id", "scraped_at", "company", "skills", "total", "pages")
+
+
 def top_skills_per_job(spark, sf):
     return m.top_skills_of(job_skills(spark, sf))
 
@@ -133,7 +143,7 @@ def latest_snapshot(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (jobs_page, top_skills_per_job, unenriched_jobs, implied_skills, pipeline_health, newest_of_role, skill_gaps, match_score, sector_fit, sector_fit_contained, market_match, latest_snapshot)
+    for f in (jobs_page, clustered_page, top_skills_per_job, unenriched_jobs, implied_skills, pipeline_health, newest_of_role, skill_gaps, match_score, sector_fit, sector_fit_contained, market_match, latest_snapshot)
 }
 
 
@@ -177,3 +187,4 @@ ORACLES = {
     "latest_snapshot": _with(""", w AS (SELECT date_trunc('week', scraped_at)::DATE AS week_start, coalesce(role_category, 'other') AS role_category, count(*) AS job_count FROM jobs GROUP BY 1, 2)
         SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY role_category ORDER BY week_start DESC) = 1"""),
 }
+ORACLES["clustered_page"] = ORACLES["jobs_page"].replace("LIMIT 20 OFFSET 20", "LIMIT 20 OFFSET 160")
