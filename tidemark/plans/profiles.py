@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import skills
 from tidemark.functions import text as t
-from tidemark.operators import cubes, quality, stores
+from tidemark.operators import cubes, quality, skillvec, stores
 from tidemark.operators import market as m
 from tidemark.operators.keyed import replaced, temporary
 from tidemark.plans import serving
@@ -99,6 +99,21 @@ def cv_analysis(spark, sf):
     return out.select("id", "allowed", "rejection_reason", F.array_join("pii", ",").alias("pii"), F.round("keyword", 4).alias("keyword"), "structure", "completeness", F.array_join("skills", ",").alias("skills"), "match_score", gaps.alias("gaps"))
 
 
+#: Columns of the skill vectors here; the tables name 25 skills.
+RANK = 12
+
+
+def market_match_by_vectors(spark, sf):
+    """Every customer's skills, as the CVs name them, against the 300 newest data scientists' postings by skill vectors of a year's postings."""
+    j, s = jobs(spark, sf), job_skills(spark, sf)
+    year = j.filter((F.col("scraped_at") >= m.ts("1998-01-01")) & (F.col("scraped_at") < m.ts("1999-01-01")))
+    known = skillvec.vectors(skillvec.ppmi(s.join(year.select("job_id"), "job_id", "left_semi")), RANK)
+    k = F.col("c_custkey")
+    named = F.array(*[F.concat(F.lit("brand#"), (F.pmod(k * step + add, F.lit(25)) + 1).cast("string")) for step, add in ((1, 0), (3, 5), (7, 11))])
+    people = table(spark, sf, "customer").select(k.alias("id"), F.explode(named).alias("skill"))
+    return skillvec.market_match(people, serving.newest_sample(j, "data_scientist"), s, known, RANK)
+
+
 def career_postings(spark, sf):
     """Every page's ld+json postings, or its links; every third page is given a script and every second two links."""
     k = F.col("page_id")
@@ -144,7 +159,7 @@ def snapshot_store(spark, sf):
     return store.read()
 
 
-QUERIES = {f.__name__: f for f in (cv_analysis, career_postings, posting_integrity, market_skills, skill_store, snapshot_store)}
+QUERIES = {f.__name__: f for f in (cv_analysis, market_match_by_vectors, career_postings, posting_integrity, market_skills, skill_store, snapshot_store)}
 
 _K = "c_custkey"
 _OWN = [f"'Brand#' || (({_K} * {step} + {add}) % 25 + 1)" for step, add in ((1, 0), (3, 5), (7, 11))]

@@ -70,10 +70,10 @@ def jobs_page(spark, sf):
 
 
 def clustered_page(spark, sf):
-    """A far page of filtered postings out of the clustered layout, with its skills."""
+    """The third page of filtered postings out of the clustered layout, with its skills."""
     rows = jobs(spark, sf).select("job_id", "scraped_at", "company", "role_category", "work_model", "offers_sponsorship")
     store = Clustered.temporary(rows, [("scraped_at", True), ("job_id", False)], ["role_category", "work_model", "offers_sponsorship"], 32)
-    page = store.page(9, 20, role_category="ml_engineer", work_model="onsite", offers_sponsorship=True)
+    page = store.page(3, 20, role_category="ml_engineer", work_model="onsite", offers_sponsorship=True)
     own = job_skills(spark, sf).join(F.broadcast(page.select("job_id")), "job_id", "left_semi")  # at most 100 rows
     return page.join(m.top_skills_of(own), "job_id", "left").select("job_id", "scraped_at", "company", "skills", "total", "pages")
 
@@ -187,4 +187,4 @@ ORACLES = {
     "latest_snapshot": _with(""", w AS (SELECT date_trunc('week', scraped_at)::DATE AS week_start, coalesce(role_category, 'other') AS role_category, count(*) AS job_count FROM jobs GROUP BY 1, 2)
         SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY role_category ORDER BY week_start DESC) = 1"""),
 }
-ORACLES["clustered_page"] = ORACLES["jobs_page"].replace("LIMIT 20 OFFSET 20", "LIMIT 20 OFFSET 160")
+ORACLES["clustered_page"] = ORACLES["jobs_page"].replace("LIMIT 20 OFFSET 20", "LIMIT 20 OFFSET 40")
