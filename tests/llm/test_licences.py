@@ -1,3 +1,6 @@
+import random
+import re
+
 from tidemark.llm import licences
 
 S = licences.SENTENCES
@@ -72,3 +75,65 @@ def test_wrapped_and_line_by_line_notices_in_one_document(spark):
     assert got[2].sentence_ids == ["mitReleased", "ccBy", "gplOnly"] and got[2].licences == ["CC-BY-4.0", "GPL-2-only", "MIT"]
     assert got[3].sentence_ids == ["gplOnly", "mitReleased", "?"]
     assert got[4].sentence_ids == ["mitReleased", "?", "reserved"]
+
+
+def plain(text):
+    """The rules of the scan, read with plain loops: identifiers in order of position, unknown ones as ?, and licences."""
+    a = re.ASCII
+    quotes = "[\"'“”‘’]"
+
+    def norm(s):
+        s = re.sub(quotes, "", s.lower())
+        s = re.sub(r"\s+", " ", re.sub(r"[0-9]+(\.[0-9]+)*", "<v>", s), flags=a)
+        return re.sub(r"^[\s*#/;.!?-]+|[\s*#/;.!?]+$", "", s, flags=a)
+
+    known = {sentence: name for name, sentence in S.items()}
+    hinted = lambda s: re.search(licences.RAW_HINT, s.lower(), a)
+    version = lambda s: (re.search(r"[0-9]+(\.[0-9]+)*", s) or [""])[0]
+    hits = []
+    for sentence in re.split(licences.WRAPPED, text or "", flags=a):
+        if not hinted(sentence):
+            continue
+        if norm(sentence) in known:
+            hits.append((known[norm(sentence)], version(sentence)))
+            continue
+        lines = [x for x in re.split(r"\n+", sentence) if re.sub(rf"{quotes}|\s", "", x, flags=a)]
+        found, k = [], 0
+        while len(lines) > 1 and k < len(lines):
+            runs = [n for n in range(1, len(lines) - k + 1) if norm("\n".join(lines[k : k + n])) in known]
+            if runs:
+                run = "\n".join(lines[k : k + runs[-1]])
+                found.append((known[norm(run)], version(run)))
+            elif hinted(lines[k]):
+                found.append(("?", ""))
+            k += runs[-1] if runs else 1
+        hits += found if any(name != "?" for name, _ in found) else [("?", "")]
+    left, named = list(hits), set()
+    for ids, licence in licences.RULES:
+        k = 0
+        while k + len(ids) <= len(left):
+            if all(left[k + n] and left[k + n][0] == name for n, name in enumerate(ids)):
+                named.add(licence.replace("{v}", left[k][1]))
+                left[k : k + len(ids)] = [None]
+            k += 1
+    return [name for name, _ in hits], sorted(named)
+
+
+def test_equals_a_plain_reading(spark):
+    """Over the documents of two scales, and texts of notices that lines and paragraphs part in all kinds of ways."""
+    rng = random.Random(9)
+    said = [s.replace("<v>", rng.choice(["2", "3.0", "2.1"])) for s in S.values()]
+    texts = []
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            words = rng.choice([*said, "a licence of its own", "plain words here", 'the "public domain" of old', "all rights\nreserved"]).split(" ")
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                at = rng.randrange(1, max(2, len(words)))
+                words[at:at] = [rng.choice(["\n", "\n# ", "\t", "\n\n"])]
+            parts.append(" ".join(words) + rng.choice([".", "", "!", ":", ";"]))
+        texts.append(rng.choice(["\n", " ", "\n\n", ". "]).join(parts))
+    texts += [r.text for sf in ("sf0.001", "sf0.01") for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()]
+    got = scan(spark, list(enumerate(texts)))
+    wrong = [(x, got[k].sentence_ids, got[k].licences, plain(x)) for k, x in enumerate(texts) if (got[k].sentence_ids, got[k].licences) != plain(x)]
+    assert wrong[:3] == [] and sum(bool(got[k].licences) for k in range(len(texts))) > 200

@@ -180,7 +180,7 @@ def _hits(sentence: Column, known: Column) -> Column:
             """The longest known run of lines from line i on: its identifier, text and length, or null."""
             runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size(ls) - i)), lambda n: F.array_join(F.slice(ls, i + 1, n), "\n"))
             named = F.transform(runs, lambda s, n: F.struct(known[_normal(s)].alias("id"), s.alias("s"), (n + 1).alias("n")))
-            return F.element_at(F.reverse(F.filter(named, lambda r: r["id"].isNotNull())), 1)
+            return F.get(F.reverse(F.filter(named, lambda r: r["id"].isNotNull())), F.lit(0))  # null where no run is known
 
         def at(state: Column, i: Column) -> Column:
             """Lines below "upto" are used; a line that begins no known sentence is not tried."""

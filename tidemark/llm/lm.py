@@ -129,21 +129,24 @@ def numbered(rows: DataFrame, told) -> DataFrame:
 
     def number(batches):
         t = told.value
-        pairs = pa.struct([("word", pa.binary()), ("times", pa.int32())])
         for batch in batches:
-            out: list = [[] for _ in range(7)]
+            out: list = [[] for _ in range(6)]
+            rare_words, rare_times, ends = [], [], [0]
             for text in batch.column(3):
                 found = words(text.as_py())
                 at = np.fromiter(map(t.number.get, found, itertools.repeat(t.other)), np.int64, len(found))
                 symbol, log = t.symbol[at], t.log[at]
                 rest = symbol == REST
-                miss = np.flatnonzero(at == t.other)
-                rare = Counter(found[k] for k in miss.tolist())
-                row = (len(found) + 1, int(t.known[at].sum()) + t.end[1], float(log.sum()) + t.end[0], float(log[rest].sum()), int(rest.sum()), np.append(symbol, np.uint16(END)).tobytes(), [{"word": w, "times": n} for w, n in rare.items()])
+                rare = Counter(map(found.__getitem__, np.flatnonzero(at == t.other).tolist()))
+                rare_words.extend(rare.keys())
+                rare_times.extend(rare.values())
+                ends.append(len(rare_words))
+                row = (len(found) + 1, int(t.known[at].sum()) + t.end[1], float(log.sum()) + t.end[0], float(log[rest].sum()), int(rest.sum()), np.append(symbol, np.uint16(END)).tobytes())
                 for column, value in zip(out, row):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pairs))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(out, kinds)]], ["row", "key", "held", "n_tokens", "n_known", "logs", "rest", "n_rest", "ids", "rare"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary())
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int32())], ["word", "times"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(out, kinds)], rare], ["row", "key", "held", "n_tokens", "n_known", "logs", "rest", "n_rest", "ids", "rare"])
 
     return rows.select("row", "key", "held", "text").mapInArrow(number, schema)
 
