@@ -17,7 +17,7 @@ from tidemark.functions.skills import extract as extract_skills
 from tidemark.functions.vocabulary import IMPLIED
 from tidemark.operators import cubes, market, quality, stores
 from tidemark.sources.schemas import conform
-from tidemark.tables import write_table
+from tidemark.tables import drop_table, write_table
 
 
 def prepare(raw: DataFrame, now) -> DataFrame:
@@ -54,7 +54,9 @@ def analyse(jobs: DataFrame, skills: DataFrame, week: str, now=None) -> DataFram
     """The week's snapshot out of the cells of its two weeks, which postings and skills are read for once."""
     weeks = market.in_week(week) | market.in_week(week, 1)
     cells = write_table(cubes.cells(jobs.filter(weeks), skills, ("postings", "skills")), "cells")
-    return quality.snapshot_quality(cubes.snapshot(cells, week, now=now))
+    snapshot = write_table(quality.snapshot_quality(cubes.snapshot(cells, week, now=now)), "snapshot")
+    drop_table(cells)
+    return snapshot
 
 
 @dataclass
@@ -93,22 +95,34 @@ def weekly(
 
     What came in is stored whatever the gates say; nothing is after a closed one. checks (maps health, batch, drift, of
     one row or more): the quality gate, which has to pass for all rows before anything is analysed. Each step's result
-    is written once and read from there, so no sink can change what a later step reads.
+    is written once and read from there, so no sink can change what a later step reads; what was written goes with the run's end.
     """
-    run = Run()
-    new, jobs_now, seen_now = (write_table(df, name) for df, name in zip(ingest(raw, jobs, seen, now), ("new", "jobs", "seen")))
+    run, held = Run(), []
+    try:
+        return _weekly(run, held, raw, jobs, skills, seen, now, week, sinks, least, checks)
+    finally:
+        drop_table(*held)
+
+
+def _weekly(run: Run, held: list, raw, jobs, skills, seen, now, week: str, sinks, least: int, checks) -> Run:
+    def written(df: DataFrame, name: str) -> DataFrame:
+        held.append(write_table(df, name))
+        return held[-1]
+
+    new, jobs_now, seen_now = (written(df, name) for df, name in zip(ingest(raw, jobs, seen, now), ("new", "jobs", "seen")))
     run.step("collected", new.agg(F.count("*").alias("new"), F.countDistinct("source").alias("sources")), lambda s: s["new"] >= least)
-    skills = write_table(skills, "skills")
+    skills = written(skills, "skills")
     sinks["jobs"](jobs_now)
     sinks["seen"](seen_now)
     if run.passed and checks is not None:
         run.step("checked", quality.gate(checks, "health", "batch", "drift").agg(F.count("*").alias("checks"), F.count_if(~F.col("passed")).alias("failed")), lambda s: s["failed"] == 0)
     if not run.passed:
         return run
-    more = write_table(enrich(jobs_now, skills), "enriched")
+    more = written(enrich(jobs_now, skills), "enriched")
     sinks["skills"](more)
     every = skills.unionByName(more.select(*skills.columns))
-    snapshot = write_table(analyse(jobs_now, every, week, now), "snapshot")
+    snapshot = analyse(jobs_now, every, week, now)
+    held.append(snapshot)
     run.step("analysed", snapshot.agg(F.count("*").alias("roles"), F.count_if(F.col("quality") == "poor").alias("poor")), lambda s: s["roles"] > 0)
     sinks["snapshot"](snapshot)
     wanted = [name for name in HISTORIES if name in sinks]
