@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing
+from tidemark.llm import packing, tokens
 from tidemark.llm.common import table
 from tidemark.llm.tokens import Encoder
 
@@ -112,3 +112,16 @@ def test_nulls_ties_and_clashing_columns(spark, slow):
     assert packing.pack(df.limit(0)).collect() == []
     twice = packing.pack(df.union(df), capacity=16).collect()
     assert len({(r.sequence_id, r.offset) for r in twice}) == 2 * len(out)
+
+
+def test_an_encoder_that_forgets_encodes_alike(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "γάμμα", "x" * 500, f"w{rng.randrange(400)}"]) for _ in range(200)) for _ in range(20)]
+    whole = tokens.Encoder(path)
+    want = [whole.encode(t, t.encode()) for t in texts]
+    for most in (0, 900, 5000, 40_000):
+        monkeypatch.setattr(tokens, "REMEMBERED", most)
+        small = tokens.Encoder(path)
+        assert [small.encode(t, t.encode()) for t in texts] == want
+        assert small._inner.held <= most and sum(tokens.ENTRY for _ in small._inner) <= most

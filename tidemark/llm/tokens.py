@@ -15,8 +15,9 @@ import json
 import re
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of chunks, ids and their entries (about ENTRY bytes each) that one worker remembers of a kind of chunk; beyond it starts anew.
-REMEMBERED, ENTRY = 32 << 20, 200
+#: Bytes of chunks, ids and their entries (about ENTRY bytes each) that one worker remembers of a kind of chunk, and as many
+#: again of those before, which come back when they are met.
+REMEMBERED, ENTRY = 40 << 20, 200
 _CONTROL = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 #: UTF-8 starts of white space beyond ASCII (some also start other characters: those texts take the plain way).
 _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
@@ -51,12 +52,15 @@ def added(path: str) -> dict[str, int]:
 
 class _Chunks(dict):
     def __init__(self, encode, lead: str):
-        self.encode, self.lead, self.held = encode, lead, 0
+        self.encode, self.lead, self.held, self.before = encode, lead, 0, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        found = array.array("I", self.encode(self.lead + chunk)).tobytes()
+        found = self.before.pop(chunk, None)
+        if found is None:
+            found = array.array("I", self.encode(self.lead + chunk)).tobytes()
         size = ENTRY + 4 * len(chunk) + len(found)  # a character takes 4 bytes at most
         if self.held + size > REMEMBERED:
+            self.before = self.copy()
             self.clear()
             self.held = 0
         if size <= REMEMBERED:
