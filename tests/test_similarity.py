@@ -145,3 +145,10 @@ def test_blocks_that_cannot_hold_a_near_pair_never_meet(spark):
     assert pairs.count() < count * (count + 1) / 2 / 3
     got = [(r.a, r.b) for r in similarity.all_cosine_pairs(df, "key", "vector", 0.99, 64).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_blocks_are_not_shuffled_for_their_pairs(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(900)], "key long, vector array<double>")
+    plan = similarity.all_cosine_pairs(df, "key", "vector", 0.9, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan

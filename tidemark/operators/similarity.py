@@ -116,8 +116,8 @@ def three_signals(df: DataFrame, key: str, text: str, vectors: DataFrame | None
     return df.select(key).join(roots, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("first"))
 
 
-#: Vectors in a block of all_cosine_pairs, in the sample that gives the pivots, and most pivots and annuli of one.
-BLOCK, SAMPLE, PIVOTS, ANNULI = 512, 2048, 128, 64
+#: Vectors in a block of all_cosine_pairs, in the sample that gives the pivots, most pivots and annuli of one, and files of the blocks.
+BLOCK, SAMPLE, PIVOTS, ANNULI, FILES = 512, 2048, 128, 64, 48
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -143,12 +143,14 @@ def _centres(sample: np.ndarray, count: int) -> np.ndarray:
 
 
 def cosine_blocks(df: DataFrame, key: str, vector: str, least: float, block: int = BLOCK, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Blocks of vectors (cell, salt, d, k, v: keys and vectors as bytes), written, and the pairs of them that can hold a cosine of `least`.
+    """Blocks of vectors (cell, salt, d, p, low, high, apart, k, v: keys and vectors as bytes), written, and the pairs of them that can hold a cosine of `least`.
 
     Vectors are unit vectors in balls about pivots, cut into annuli by their angle from the pivot. By the triangle
     inequality of angles, vectors of two annuli are at least the pivots' angle less both outer ones apart, or one's
-    inner angle less the pivots' and the other's outer one; a pair of annuli whose bound is beyond the angle of
-    `least` never meets. No result depends on the pivots, which a bounded sample gives.
+    inner angle less the pivots' and the other's outer one; a pair of blocks whose bound is beyond the angle of
+    `least` never meets. No result depends on the pivots, which a bounded sample gives. A block knows its own inner and
+    outer angle and its pivot's angles to all others, so the pairs are a product under a condition, in which each task
+    reads two of FILES parts of the blocks: no block is shuffled for its pairs.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
@@ -175,22 +177,19 @@ def cosine_blocks(df: DataFrame, key: str, vector: str, least: float, block: int
     cuts = {r.p: r.cuts[:: max(1, ANNULI * block // max(r.n, 1))] for r in placed.groupBy("p").agg(F.count("*").alias("n"), F.percentile_approx("angle", shares).alias("cuts")).collect()}  # a row a pivot
     known = spark.createDataFrame([(p, c) for p, c in cuts.items()], "p int, cuts array<double>")
     celled = placed.join(F.broadcast(known), "p").withColumn("cell", F.col("p") * ANNULI + F.size(F.filter("cuts", lambda c: c < F.col("angle"))))  # at most PIVOTS rows
-    sizes = celled.groupBy("cell", "p", F.size("v").alias("d")).agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-    sizes = write_table(sizes.withColumn("salts", F.ceil(F.col("n") / block).cast("int")), "cells")
+    sizes = celled.groupBy("cell", F.size("v").alias("d")).agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
     parts = F.broadcast(sizes.groupBy("cell").agg(F.max("salts").alias("salts")))  # at most PIVOTS * ANNULI rows
-    dealt = celled.join(parts, "cell").select("cell", F.pmod(F.xxhash64("n"), F.col("salts")).cast("int").alias("salt"), F.size("v").alias("d"), "k", "v")
-    blocks = write_table(dealt.groupBy("cell", "salt", "d").applyInArrow(_pack, "cell int, salt int, d int, k binary, v binary"), "blocks")
+    salt = F.pmod(F.xxhash64("n"), F.col("salts")).cast("int").alias("salt")
+    dealt = celled.join(parts, "cell").select("cell", salt, F.size("v").alias("d"), "p", "angle", "k", "v")
+    packed = dealt.groupBy("cell", "salt", "d").applyInArrow(_pack(np.arccos(np.clip(centres @ centres.T, -1, 1))), "cell int, salt int, d int, p int, low double, high double, apart array<double>, k binary, v binary")
+    blocks = write_table(packed.repartition(FILES), "blocks")
     drop_table(placed)
-    angles = np.arccos(np.clip(centres @ centres.T, -1, 1))
-    between = spark.createDataFrame([(p, q, float(angles[p, q])) for p in range(len(centres)) for q in range(len(centres))], "p int, q int, apart double")
-    one = sizes.select("p", "d", F.col("cell").alias("cell"), "low", "high")
-    two = sizes.select(F.col("p").alias("q"), "d", F.col("cell").alias("cell2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    met = one.join(F.broadcast(between), "p").join(two, ["q", "d"]).filter("cell <= cell2")  # PIVOTS * PIVOTS rows
-    bound = F.greatest(F.col("apart") - F.col("high") - F.col("high2"), F.col("low") - F.col("apart") - F.col("high2"), F.col("low2") - F.col("apart") - F.col("high"))
-    near = met.filter(bound <= float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6).select("cell", "cell2", "d")
-    ends = blocks.select("cell", "salt", "d")
-    pairs = near.join(ends, ["cell", "d"]).join(ends.toDF("cell2", "salt2", "d"), ["cell2", "d"]).filter("cell < cell2 or salt <= salt2")
-    return blocks, pairs.select("cell", "salt", "cell2", "salt2", "d")
+    other = blocks.select("cell", "salt", "d", "p", "low", "high", "k", "v").toDF("cell2", "salt2", "d2", "p2", "low2", "high2", "k2", "v2")
+    apart = F.element_at("apart", F.col("p2") + 1)
+    bound = F.greatest(apart - F.col("high") - F.col("high2"), F.col("low") - apart - F.col("high2"), F.col("low2") - apart - F.col("high"))
+    once = (F.col("cell") < F.col("cell2")) | ((F.col("cell") == F.col("cell2")) & (F.col("salt") <= F.col("salt2")))
+    near = (F.col("d") == F.col("d2")) & once & (bound <= float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6)
+    return blocks, blocks.join(other.hint("shuffle_replicate_nl"), near)
 
 
 def all_cosine_pairs(df: DataFrame, key: str, vector: str, least: float, block: int = BLOCK) -> DataFrame:
@@ -199,18 +198,20 @@ def all_cosine_pairs(df: DataFrame, key: str, vector: str, least: float, block:
     Keys are longs. A null key, a null vector or element, a vector of zeros, and vectors of unlike lengths have no cosine.
     No key or vector makes a large block. Where vectors gather nowhere all blocks can meet, and the work is that of all pairs.
     """
-    blocks, pairs = cosine_blocks(df, key, vector, least, block)
-    left, right = blocks.toDF("cell", "salt", "d", "ka", "va"), blocks.toDF("cell2", "salt2", "d", "kb", "vb")
-    met = pairs.join(left.hint("merge"), ["cell", "salt", "d"]).join(right.hint("merge"), ["cell2", "salt2", "d"])
+    _, met = cosine_blocks(df, key, vector, least, block)
     same = ((F.col("cell") == F.col("cell2")) & (F.col("salt") == F.col("salt2"))).alias("same")
-    found = met.select(same, "d", "ka", "va", "kb", "vb").mapInArrow(_meet(least), "a long, b long, s double")
+    found = met.select(same, "d", "k", "v", "k2", "v2").mapInArrow(_meet(least), "a long, b long, s double")
     return found.select("a", "b", F.round("s", 6).alias("similarity"))
 
 
-def _pack(block: pa.Table) -> pa.Table:
-    keys = block["k"].to_numpy()
-    vectors = block["v"].combine_chunks().flatten().to_numpy()
-    return pa.table({**{c: block[c][:1] for c in ("cell", "salt", "d")}, "k": pa.array([keys.tobytes()], pa.binary()), "v": pa.array([vectors.tobytes()], pa.binary())})
+def _pack(apart: np.ndarray):
+    def pack(block: pa.Table) -> pa.Table:
+        keys, angles = block["k"].to_numpy(), block["angle"].to_numpy()
+        vectors = block["v"].combine_chunks().flatten().to_numpy()
+        told = {"low": pa.array([angles.min()]), "high": pa.array([angles.max()]), "apart": pa.array([apart[block["p"][0].as_py()]], pa.list_(pa.float64()))}
+        return pa.table({**{c: block[c][:1] for c in ("cell", "salt", "d", "p")}, **told, "k": pa.array([keys.tobytes()], pa.binary()), "v": pa.array([vectors.tobytes()], pa.binary())})
+
+    return pack
 
 
 def _meet(least: float):
