@@ -152,3 +152,27 @@ def test_blocks_are_not_shuffled_for_their_pairs(spark):
     df = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(900)], "key long, vector array<double>")
     plan = similarity.all_cosine_pairs(df, "key", "vector", 0.9, 64)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_only_texts_in_a_pair_are_held_whole(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"w{k}x{n}" for n in range(40))) for k in range(60)] + [(100 + k, " ".join([f"w{k}x{n}" for n in range(40)] + ["more"])) for k in range(3)]
+    kept = {}
+    write = similarity.write_table
+    monkeypatch.setattr(similarity, "write_table", lambda df, tag: kept.setdefault(tag, []).append(write(df, tag)) or kept[tag][-1])
+    monkeypatch.setattr(similarity, "drop_table", lambda *tables: None)
+    rng.shuffle(rows)
+    links = similarity.near_links(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    assert {(r.a, r.b) for r in links} == {(k, 100 + k) for k in range(3)}
+    assert sum(t.count() for t in kept["sets"]) == 6 and kept["prefixes"][0].count() < 6 * 40
+
+
+def test_links_do_not_depend_on_which_shingles_are_told_as_common(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = [f"p{n}" for n in range(30)]
+    rows = [(k, " ".join(passage + [f"y{rng.randrange(12)}x{n}" for n in range(rng.randrange(0, 12))])) for k in range(160)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = brute(rows)
+    for seen in (1, 1000):
+        monkeypatch.setattr(similarity, "SEEN", seen)
+        assert {r.id: r.first for r in similarity.three_signals(df, "id", "text").collect()} == want

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from fractions import Fraction
 
 import numpy as np
@@ -43,36 +44,105 @@ def exact_groups(df: DataFrame, key: str, hashed: Column) -> DataFrame:
     return with_group(rows, "h", df.count(), first=F.min("key")).select(F.col("key").alias(key), "first")
 
 
-def shingles(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
-    """Distinct hashed word shingles of each text (key, h); a shorter text is one shingle, one without words has none."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
-    base = df.select(F.col(key).alias("key"), words.alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1)))
-    return base.select("key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " "))))).alias("h"))
+#: Words of a shingle; one of so many texts tells which shingles are common, from SEEN of these on; most of them that are told; bytes of words that a task remembers.
+WIDTH, EVERY, SEEN, COMMON, REMEMBERED = 5, 8, 2, 1 << 18, 64 << 20
+_U = np.uint64
 
 
-def near_links(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+class _Words(dict):
+    """Hashes of words, kept up to a number of bytes."""
+
+    held = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self.held += len(word) + 100
+        self[word] = n = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return n
+
+
+def _shingled(text: bytes, words: _Words) -> np.ndarray:
+    """Hashes of a text's distinct shingles, ascending; a text of fewer than WIDTH words is one shingle, one without words has none."""
+    found = text.split()  # of bytes: white space of ASCII
+    if words.held > REMEMBERED:
+        words.clear()
+        words.held = 0
+    w = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    width = min(WIDTH, len(w))
+    if not width:
+        return w
+    h = np.full(len(w) - width + 1, width, np.uint64)
+    for n in range(width):
+        h = _mix(h * _U(0x9E3779B97F4A7C15) + w[n : len(w) - width + 1 + n])
+    return np.unique(h)
+
+
+def shingles(df: DataFrame, key: str, text: str, common: np.ndarray | None = None, least: Fraction | None = None) -> DataFrame:
+    """Each text's key, number of distinct hashed word shingles m, and these (s) in one order for all texts: by hash, those of `common` behind the others.
+
+    common: hashes from the rarest on. With `least` only the first m - ceil(least * m) + 1 are returned. Texts without words are left out.
+    """
+    spark = df.sparkSession
+    common = np.zeros(0, np.uint64) if common is None else common
+    order = np.argsort(common)
+    told = spark.sparkContext.broadcast((common[order], order))
+    num, den = (least.numerator, least.denominator) if least is not None else (0, 1)
+
+    def run(batches):
+        words, (known, place) = _Words(), told.value
+        for batch in batches:
+            at, sizes, lists = [], [], []
+            for n, body in enumerate(batch.column(1)):
+                h = _shingled(body.as_py(), words)
+                if len(h):
+                    if len(known):
+                        to = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        on = known[to] == h
+                        h = np.concatenate((h[~on], h[on][np.argsort(place[to[on]])]))
+                    at.append(n), sizes.append(len(h)), lists.append(h[: len(h) + (num * -len(h)) // den + 1] if least is not None else h)
+            ends = np.cumsum([0, *map(len, lists)])
+            flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["key", "m", "s"])
+
+    rows = df.select(F.col(key).cast("long").alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "key long, m int, s array<long>")
+
+
+def common_shingles(df: DataFrame, key: str, text: str) -> np.ndarray:
+    """Hashes of shingles that many texts hold, by a part of the texts, rarest first; COMMON at most."""
+    part = df.filter(F.pmod(F.xxhash64(key), F.lit(EVERY)) == 0)
+    counts = shingles(part, key, text).select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN)
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()  # bounded
+    return found["h"].to_numpy()[::-1].view(np.uint64).copy()
+
+
+def near_links(df: DataFrame, key: str, text: str, least: float = 0.8, keys: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that tie all texts together whose shingle sets reach the Jaccard similarity: an exact prefix-filter join.
 
-    A set's shingles are ordered rare first, the same way for all. Two sets of the similarity share a shingle among the
-    first |s| - ceil(least * |s|) + 1 of both, so only these are indexed, and of these only shingles that several
-    sets hold. A pair meets in the list of such a shingle if the sets' lengths, and what is left of both behind
-    the shingle's places, allow the similarity. Each list is held against its least key first, which is linear;
-    then members of unlike classes meet in it, so that a list of near copies costs no pairs. Rows of a list, and of a
-    text with many partners, that are many are dealt to several tasks. Keys are longs, one row each.
+    A set's shingles are in one order for all sets. Two sets of the similarity share a shingle among the first
+    |s| - ceil(least * |s|) + 1 of both, so only these are indexed, and of these only shingles that several
+    sets hold. The order is that of the hashes, with common shingles last: which ones these are is told by a part of the texts
+    and decides how long the lists get, never what is found. A pair meets in the list of such a shingle if the sets' lengths,
+    and what is left of both behind the shingle's places, allow the similarity. Each list is held against its least key first,
+    which is linear; then members of unlike classes meet in it, so that a list of near copies costs no pairs. Rows of a list,
+    and of a text with many partners, that are many are dealt to several tasks. Whole sets are made only of texts that are in a pair.
+    Keys are longs, one row each; with `keys` (a column of that name) only these texts are held.
     """
     ratio = Fraction(str(least))
     num, den = ratio.numerator, ratio.denominator
-    hashed = write_table(shingles(df, key, text), "shingles")
-    counted = with_group(hashed, "h", hashed.count())
-    sets = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("t"))
-    sets = write_table(sets.select("key", F.size("t").alias("m"), "t"), "sets")
-    drop_table(hashed)
-    first = F.col("m") - F.expr(f"({num} * m + {den - 1}) div {den}").cast("int") + 1
-    index = sets.select("key", "m", F.posexplode(F.slice("t", 1, first)).alias("at", "x")).filter("x.n > 1").select("key", "m", (F.col("at") + 1).alias("at"), F.col("x.h").alias("h"))
-    index = write_table(index, "prefixes")
-    total = index.count()
-    lists = index.groupBy("h").agg(F.min(F.struct("key", "m", "at")).alias("low"), F.count("*").alias("n")).filter("n > 1")
+    first = write_table(shingles(df, key, text, common_shingles(df, key, text), ratio), "first")
+    held = first if keys is None else first.join(keys.select(F.col(key).alias("key")), "key", "left_semi")
+    index = held.select("key", "m", F.posexplode("s").alias("at", "h")).withColumn("at", F.col("at") + 1)
+    several = write_table(index.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "several")
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    index = write_table(salted_join(index, several.select("h"), "h", hot_keys(several, "h", total)), "prefixes")
+    drop_table(first, several)
+    lists = index.groupBy("h").agg(F.min(F.struct("key", "m", "at")).alias("low"), F.count("*").alias("n"))
     member = write_table(salted_join(index, lists, "h", hot_keys(lists, "h", total)), "members")
 
     def may(a: Column, at: Column, b: Column, to: Column) -> Column:
@@ -82,9 +152,11 @@ def near_links(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFr
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = write_table(pairs.distinct(), "pairs")
-        count, held = pairs.count(), sets.select("key", "m", F.transform("t", lambda x: x["h"]).alias("s"))
+        ends = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
+        sets = write_table(shingles(df.select(F.col(key).cast("long").alias(key), text).join(ends, key, "left_semi"), key, text), "sets")
+        count = pairs.count()
         for end in ("a", "b"):
-            mine = held.toDF(end, f"m{end}", f"s{end}")
+            mine = sets.toDF(end, f"m{end}", f"s{end}")
             pairs = salted_join(pairs, mine, end, hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), end, count))
         same = F.size(F.array_intersect("sa", "sb"))
         return pairs.filter(den * same >= num * (F.col("ma") + F.col("mb") - same)).select("a", "b")
@@ -99,15 +171,14 @@ def near_links(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFr
     end = lambda x: held.select("h", "n", *[F.col(c).alias(f"{c}{x}") for c in ("key", "root", "m", "at")])
     met = sized_join(end("a"), end("b"), "h", "n", total).filter((F.col("roota") < F.col("rootb")) & may(F.col("ma"), F.col("ata"), F.col("mb"), F.col("atb")))
     out = write_table(links.union(verified(met.select(F.col("keya").alias("a"), F.col("keyb").alias("b")))), "links")
-    drop_table(sets, index, member, links, rooted)
+    drop_table(index, member, links, rooted)
     return out
 
 
 def three_signals(df: DataFrame, key: str, text: str, vectors: DataFrame | None = None, least_cosine: float = 0.95) -> DataFrame:
     """Every row with the least key of its class: equal hash, near text, or near vector (vectors: key, vector; all that can be near are compared)."""
     exact = write_table(exact_groups(df, key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), "exact")
-    first = df.join(exact.filter(F.col(key) == F.col("first")).select(key).distinct(), key, "left_semi")
-    near = near_links(first, key, text)
+    near = near_links(df, key, text, keys=exact.filter(F.col(key) == F.col("first")).select(key))
     links = near.union(exact.select(F.col("first").alias("a"), F.col(key).alias("b")))
     if vectors is not None:
         links = links.union(all_cosine_pairs(vectors, "key", "vector", least_cosine).select("a", "b"))
