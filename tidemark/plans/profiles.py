@@ -20,11 +20,14 @@ from tidemark.sources import landed
 from tidemark.sources.binding import CTE, WEEK, job_skills, jobs
 from tidemark.sources.schemas import conform
 from tidemark.sources.tables import table
+from tidemark.tables import drop_table, write_table
 
 #: The names that the tables' postings ask for.
 BRANDS = tuple((f"Brand#{n}", "brand", ()) for n in range(1, 26))
 #: Skills of a role that a CV is held against, those that make up its score, and gaps told.
 ASKED, TOP, GAPS = 20, 10, 8
+#: Tasks a core that CV files are dealt to: reading one is much work for few bytes, by which Spark would deal them.
+DEALT = 3
 
 
 def demanded(jobs_: DataFrame, skills_: DataFrame, role: str, since: str, until: str, k: int = ASKED) -> DataFrame:
@@ -54,20 +57,24 @@ def analyse(files: DataFrame, demand: DataFrame, taxonomy=skills.SKILLS) -> Data
     Only the scrubbed text is read for skills and words. A file that may not be opened, or cannot be parsed, has
     a reason and nothing else. ids are unique. demand: of `demanded`.
     """
-    scanned = files.select("id", "content", landed.scan_file("content").alias("scan")).select("id", "content", "scan.*")
+    tasks = DEALT * files.sparkSession.sparkContext.defaultParallelism
+    scanned = files.repartition(tasks, "id").select("id", "content", landed.scan_file("content").alias("scan")).select("id", "content", "scan.*")
     parsed = scanned.withColumn("cv", F.when(F.col("allowed"), landed.parse_cv("content", "file_type")))
     reason = F.coalesce("rejection_reason", "cv.error")
     told = parsed.select("id", (F.col("allowed") & F.col("cv.error").isNull()).alias("allowed"), reason.alias("rejection_reason"), F.when(reason.isNull(), F.col("cv.raw_text")).alias("text"))
-    clean = F.coalesce(t.scrub(F.col("text")), F.lit(""))
-    read = told.withColumns({"pii": t.pii_types(F.col("text")), "raw_text": clean, "sections": t.sections(clean), "page_count": F.lit(1), "has_tables": F.lit(False), "has_images": F.lit(False)})
-    read = read.select("*", t.contact_flags(F.coalesce("text", F.lit(""))).alias("f")).select("*", "f.*").drop("f", "text")
+    told = write_table(told.withColumn("raw_text", F.coalesce(t.scrub(F.col("text")), F.lit(""))), "texts")  # what follows reads it more than once
+    read = told.withColumns({"pii": t.pii_types(F.col("text")), "sections": t.sections(F.col("raw_text")), "page_count": F.lit(1), "has_tables": F.lit(False), "has_images": F.lit(False)})
+    kept = write_table(read.select("*", t.contact_flags(F.coalesce("text", F.lit(""))).alias("f")).select("*", "f.*").drop("f", "text"), "read")
+    drop_table(told)
     wanted = demand.agg(F.array_sort(F.collect_list(F.struct("rank", "skill", "demand", "salary", "recency"))).alias("wanted"))  # ASKED rows
-    read = read.crossJoin(F.broadcast(wanted)).withColumn("first", F.transform(F.slice("wanted", 1, TOP), lambda x: x["skill"]))  # one row is broadcast
+    read = kept.crossJoin(F.broadcast(wanted)).withColumn("first", F.transform(F.slice("wanted", 1, TOP), lambda x: x["skill"]))  # one row is broadcast
     scored = t.ats_scores(read, F.col("first"))
     own = skills.extract(read.filter("allowed"), "id", "raw_text", taxonomy).groupBy("id").agg(F.array_sort(F.collect_set(F.lower("skill"))).alias("skills"))
     met = scored.join(own, "id", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
     missing = F.slice(F.filter("wanted", lambda x: ~F.array_contains(F.col("skills"), x["skill"])), 1, GAPS)
     met = met.withColumns({"match_score": F.round(F.size(F.array_intersect("skills", "first")) / F.greatest(F.size("first"), F.lit(1)), 2), "missing": missing})
+    met = write_table(met.drop("raw_text", "sections", "wanted", "first"), "met")
+    drop_table(kept)
     plan = t.gap_plan(met.filter("allowed").select(F.col("id").alias("person"), F.explode("missing").alias("x")).select("person", "x.rank", "x.skill", "x.demand", "x.salary", "x.recency"))
     plan = plan.groupBy(F.col("person").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "skill", "priority_score", "horizon"))).alias("gaps"))
     only = lambda c: F.when(F.col("allowed"), F.col(c)).alias(c)
