@@ -121,3 +121,16 @@ def test_documents_against_brute_force(spark, sf_dir):
     got = {(x.source, x.lang, x.tokenizer): [x.docs, x.tokens, x.bytes] for x in rollup.op8_token_rollup(spark, sf_dir).collect()}
     assert got == want
     assert any(rollup._tidy(d.text) != d.text for d in docs)  # the batch of revisions is not empty
+
+
+def test_tidying_passes_over_a_text_only_where_there_is_something_to_tidy(monkeypatch):
+    def plain(text):
+        lines = re.sub(r" +(?=\n|$)", "", re.sub(r"[ \t]+", " ", text)).split("\n")
+        return "\n".join(line for n, line in enumerate(lines) if not n or line != lines[n - 1])
+
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab \t\n \r\u00a0") for _ in range(rng.randrange(12)))
+        assert rollup._tidy(text) == plain(text)
+    monkeypatch.setattr(rollup.re, "sub", None)
+    assert rollup._tidy("one two\nthree\nthree") == "one two\nthree"

@@ -208,7 +208,11 @@ class Rollup:
 
 def _tidy(text: str) -> str:
     """Runs of blanks as one, none at a line's end, and a line that repeats the one before it left out."""
-    lines = re.sub(r" +(?=\n|$)", "", re.sub(r"[ \t]+", " ", text)).split("\n")
+    if "  " in text or "\t" in text:  # else there is nothing to make one
+        text = re.sub(r"[ \t]+", " ", text)
+    if " \n" in text or text.endswith(" "):
+        text = re.sub(r" +(?=\n|$)", "", text)
+    lines = text.split("\n")
     return "\n".join(line for n, line in enumerate(lines) if not n or line != lines[n - 1])
 
 
