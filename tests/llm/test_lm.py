@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import gru, lm
@@ -69,6 +70,28 @@ def test_gradients_against_differences():
             assert abs((sides[1] - sides[0]) / 2e-5 - grads[name][spot]) < 1e-4, name
 
 
+def test_long_documents_are_laid_out_together(monkeypatch):
+    monkeypatch.setattr(lm, "TOKENS", 4096)
+    monkeypatch.setattr(lm, "LANES", 64)  # a lane's share is 64 tokens
+    docs = [np.full(1000 if n % 40 == 3 else 20, n, np.uint16) for n in range(800)]
+    batch = lambda at: pa.RecordBatch.from_arrays([pa.array(range(at, at + 100)), pa.array([d.tobytes() for d in docs[at : at + 100]], pa.binary())], ["row", "ids"])
+    out = [(np.concatenate([p.column(0).to_numpy() for p in parts]), found) for parts, found in lm._laid(map(batch, range(0, 800, 100)), 1)]
+    assert sorted(np.concatenate([r for r, _ in out])) == list(range(800))
+    assert all(len(r) == len(found) and all((d == docs[k]).all() and len(d) == len(docs[k]) for k, d in zip(r, found)) for r, found in out)
+    steps = sum(int(gru.Lanes(found, 64).size[0]) for _, found in out)
+    assert steps < 5000  # the 20 long documents fill four lay-outs of 1000 steps; with a long one in every lay-out there were nine
+
+
+@pytest.mark.parametrize("far", [80.0, 0.0])
+def test_scores_by_blocks_and_with_far_logits(monkeypatch, far):
+    monkeypatch.setattr(gru, "BLOCK", 7)
+    monkeypatch.setattr(gru, "FAR", far)
+    model, docs = shaken(), documents(np.random.default_rng(9), 30, 23)
+    assert np.allclose(model.score(docs, 8, 16), [plain(model, d) for d in docs], rtol=1e-4, atol=1e-4)
+    model.c[:, 0] *= 1000  # exp of these logits is nothing or infinite
+    assert np.isfinite(model.score(docs, 8, 16)).all()
+
+
 def test_learns_what_frequencies_do_not_tell():
     rng = np.random.default_rng(6)
     docs = [np.append((np.arange(n) + rng.integers(0, 5)) % 5 + 2, gru.END).astype(np.uint16) for n in rng.integers(20, 60, size=200)]

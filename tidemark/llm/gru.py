@@ -15,6 +15,10 @@ import numpy as np
 
 #: The symbol that ends a document; it is also what a document's first symbol follows.
 END, REST = 0, 1
+#: States that meet the softmax at a time, so that their logits stay in the cache.
+BLOCK = 2048
+#: Logits within this need no greatest one taken off before exp.
+FAR = 80.0
 
 
 class Lanes:
@@ -49,10 +53,10 @@ class Lanes:
             yield np.ascontiguousarray(before), np.ascontiguousarray(symbol), self.start[:on, part].T, there, self.owner[:on, part].T
 
 
-def columns(states: np.ndarray, there: np.ndarray, full: bool) -> np.ndarray:
-    """States (hidden, steps, lanes) as a column each, of those that are there."""
-    flat = states.reshape(len(states), -1)
-    return flat if full else flat[:, there.ravel()]
+def rows(states: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """States (steps, lanes, hidden) as a row each, of those that are there."""
+    flat = states.reshape(-1, states.shape[-1])
+    return flat if there.all() else flat[there.ravel()]
 
 
 class Model:
@@ -87,114 +91,153 @@ class Model:
             at += old.size
         return self
 
-    def run(self, before: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """States after each step (hidden, steps, lanes), and per step what backpropagation needs. h: hidden by lanes."""
-        size, steps = self.hidden, len(before)
-        sign = np.repeat(np.array([-1, -2], self.x.dtype), [2 * size, size])  # a sigmoid is 1 / (1 + exp(-x)), a tanh 2 / (1 + exp(-2 x)) - 1
-        given = np.take((self.x * sign).T.copy(), before.ravel(), axis=1).reshape(3 * size, *before.shape)
-        u = self.u.T.copy()
-        u[: 2 * size] *= -1
-        states, kept = np.empty((size, steps, h.shape[1]), h.dtype), []
+    def _gates(self) -> np.ndarray:
+        """u by gate: hidden by hidden each, a view."""
+        return self.u.reshape(self.hidden, 3, self.hidden).swapaxes(0, 1)
+
+    def run(self, before: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        """States after each step (steps, lanes, hidden); gates z, r and n by step; and n's product with the state times -2, by step. h: lanes by hidden.
+
+        A step works on whole blocks of memory, so that a window of few lanes costs few calls, and one of many streams.
+        """
+        size, (steps, lanes), symbols = self.hidden, before.shape, len(self.x)
+        sign = np.array([-1, -1, -2], self.x.dtype)[:, None, None]  # a sigmoid is 1 / (1 + exp(-x)), a tanh 2 / (1 + exp(-2 x)) - 1
+        by_gate = (self.x.reshape(symbols, 3, size).swapaxes(0, 1) * sign).reshape(-1, size)
+        gates = np.take(by_gate, before[:, None].astype(np.intp) + np.arange(0, 3 * symbols, symbols)[:, None], axis=0)
+        u = self._gates() * sign
+        states, inner = np.empty((steps, lanes, size), h.dtype), []
         fresh = start.any(1)
         with np.errstate(over="ignore"):  # far out they are 0 and -1
             for t in range(steps):
                 if fresh[t]:
                     h = h.copy()
-                    h[:, start[t]] = 0
-                a, x = u @ h, given[:, t]
-                gates, inner = a[: 2 * size], a[2 * size :]
-                gates += x[: 2 * size]
-                np.exp(gates, out=gates)
-                gates += 1
-                np.reciprocal(gates, out=gates)
-                z, r = gates[:size], gates[size:]
-                n = r * inner
-                n *= -2
-                n += x[2 * size :]
+                    h[start[t]] = 0
+                a, g, after = np.matmul(h, u), gates[t], states[t]
+                zr, n = g[:2], g[2]
+                zr += a[:2]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                n += np.multiply(zr[1], a[2], out=after)
                 np.exp(n, out=n)
                 n += 1
                 np.divide(2, n, out=n)
                 n -= 1
-                kept.append((h, z, r, n, inner))
-                after = np.subtract(h, n, out=states[:, t])
-                after *= z
+                inner.append(a[2])
+                np.subtract(h, n, out=after)
+                after *= zr[0]
                 after += n
                 h = after
-        return states, kept
+        return states, gates, inner
+
+    def _bounded(self, by: np.ndarray, bias: np.ndarray) -> bool:
+        """Whether no logit of a state (whose components lie within 1) is beyond what exp can take; hidden is the last axis of by."""
+        found = np.abs(by).sum(-1) + np.abs(np.where(np.isfinite(bias), bias, 0))
+        return bool(found.max(initial=0) < FAR)
 
     def emit(self, states: np.ndarray, symbol: np.ndarray, learn: bool = False):
-        """Natural log probability of each symbol given its state (a column each); with learn, the gradients of their sum's negative as well."""
+        """Natural log probability of each symbol given its state (a row each); with learn, the gradients of their sum's negative as well."""
         own = symbol // np.uint16(self.size)
         order = np.argsort(own, kind="stable")  # by radix: 16 bits
         ends = np.searchsorted(own[order], np.arange(self.classes + 1))
-        states, symbol, own = states[:, order], symbol[order], own[order]
-        place = np.arange(len(symbol))
+        states, symbol, own = np.take(states, order, axis=0), symbol[order], own[order].astype(np.intp)
+        inside = symbol.astype(np.intp) - own * self.size
+        near = bool(np.abs(states).max(initial=0) <= 1)
+        plain_c, plain_w = near and self._bounded(self.c.T, self.c0), near and self._bounded(self.w, self.w0)
+        out, place = np.empty(len(symbol), states.dtype), np.arange(min(len(symbol), BLOCK))
+        down = np.empty_like(states) if learn else None
 
-        def chosen(logits, at):
-            logits -= logits.max(0)
-            e = np.exp(logits)
+        def chosen(by, bias, plain, h, at):
+            e = by @ h.T
+            e += bias[:, None]
+            if not plain:
+                e -= e.max(0)
+            told = e[at, place[: len(at)]]
+            np.exp(e, out=e)
             total = e.sum(0)
-            out = logits[at, place[: len(at)]] - np.log(total)
+            told -= np.log(total)
             if learn:
-                e /= total
+                e *= np.reciprocal(total, out=total)
                 e[at, place[: len(at)]] -= 1
-            return out, e
+            return told, e
 
-        out, e = chosen(self.c.T @ states + self.c0[:, None], own)
+        by = np.ascontiguousarray(self.c.T)
         if learn:
-            d = self.c @ e
-            grads = {"c": states @ e.T, "c0": e.sum(1), "w": np.zeros_like(self.w), "w0": np.zeros_like(self.w0)}
-        for k in np.flatnonzero(np.diff(ends)):
-            at = slice(ends[k], ends[k + 1])
-            h = states[:, at]
-            found, e = chosen(self.w[k] @ h + self.w0[k][:, None], symbol[at] - k * self.size)
-            out[at] += found
+            grads = {n: np.zeros_like(getattr(self, n)) for n in ("c", "c0", "w", "w0")}
+        for begin in range(0, len(symbol), BLOCK):
+            at = slice(begin, begin + BLOCK)
+            h = states[at]
+            out[at], e = chosen(by, self.c0, plain_c, h, own[at])
             if learn:
-                d[:, at] += self.w[k].T @ e
-                grads["w"][k], grads["w0"][k] = e @ h.T, e.sum(1)
+                np.matmul(e.T, by, out=down[at])
+                grads["c"] += (e @ h).T
+                grads["c0"] += e.sum(1)
+        for k in np.flatnonzero(np.diff(ends)):
+            for begin in range(ends[k], ends[k + 1], BLOCK):
+                at = slice(begin, min(begin + BLOCK, ends[k + 1]))
+                h = states[at]
+                found, e = chosen(self.w[k], self.w0[k], plain_w, h, inside[at])
+                out[at] += found
+                if learn:
+                    down[at] += e.T @ self.w[k]
+                    grads["w"][k] += e @ h
+                    grads["w0"][k] += e.sum(1)
         told = np.empty_like(out)
         told[order] = out
         if learn:
-            down = np.empty_like(d)
-            down[:, order] = d
-            return told, down, grads
+            back = np.empty_like(order)
+            back[order] = np.arange(len(order))
+            return told, np.take(down, back, axis=0), grads
         return told
 
     def gradients(self, window: tuple, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        """Sum of log probabilities of a window, gradients of its negative, and the state after it."""
+        """Sum of log probabilities of a window, gradients of its negative, and the state after it. h: hidden by lanes."""
         before, symbol, start, there, _ = window
-        states, kept = self.run(before, start, h)
-        size = self.hidden
-        full = bool(there.all())
-        out, flat, grads = self.emit(columns(states, there, full), symbol[there], True)
-        if full:
-            down = flat.reshape(size, *there.shape)
+        h = np.ascontiguousarray(h.T)
+        states, gates, inner = self.run(before, start, h)
+        size, (steps, lanes) = self.hidden, before.shape
+        out, flat, grads = self.emit(rows(states, there), symbol[there], True)
+        if len(flat) == there.size:
+            down = flat.reshape(states.shape)
         else:
-            down = np.zeros((size, *there.shape), h.dtype)
-            down[:, there] = flat
-        steps = np.empty((3 * size, *before.shape), h.dtype)  # with respect to the input
-        grads["u"] = np.zeros_like(self.u)
-        dh = np.zeros_like(h)
+            down = np.zeros_like(states)
+            down[there] = flat
+        last = np.concatenate([h[None], states[:-1]])
+        last[start] = 0
+        d = np.empty((3, steps, lanes, size), h.dtype)  # with respect to the state's product with u
+        dn = np.empty_like(states)  # with respect to n's input
+        back, dh, more = np.ascontiguousarray(self._gates().swapaxes(1, 2)), np.zeros_like(h), np.empty_like(h)
         fresh = start.any(1)
-        for t in range(len(before) - 1, -1, -1):
-            last, z, r, n, a = kept[t]
-            dh = dh + down[:, t]
-            dn = dh * (1 - z) * (1 - n * n)
-            d = steps[:, t]
-            d[:size] = dh * (last - n) * z * (1 - z)
-            d[size : 2 * size] = dn * a * r * (1 - r)
-            d[2 * size :] = dn * r  # with respect to h @ u first
-            grads["u"] += last @ d.T
-            dh = dh * z + self.u @ d
-            d[2 * size :] = dn
+        for t in range(steps - 1, -1, -1):
+            (z, r, n), own, (dz, dr, da) = gates[t], dn[t], d[:, t]
+            dh += down[t]
+            np.subtract(1, z, out=more)
+            more *= dh
+            np.subtract(last[t], n, out=dz)
+            dz *= more
+            dz *= z
+            np.multiply(n, n, out=own)
+            np.subtract(1, own, out=own)
+            own *= more
+            np.multiply(own, r, out=da)
+            np.subtract(1, r, out=dr)
+            dr *= inner[t]
+            dr *= -0.5
+            dr *= da
+            dh *= z
+            for part in np.matmul(d[:, t], back):
+                dh += part
             if fresh[t]:
-                dh[:, start[t]] = 0
+                dh[start[t]] = 0
+        plain = last.reshape(-1, size).T
+        grads["u"] = np.concatenate([plain @ d[g].reshape(-1, size) for g in range(3)], axis=1)
         given = before.ravel()
         order = np.argsort(given, kind="stable")
         given = given[order]
         first = np.flatnonzero(np.append(True, given[1:] != given[:-1]))
-        grads["x"] = given[first], np.add.reduceat(np.take(steps.reshape(3 * size, -1), order, axis=1), first, axis=1).T
-        return float(out.sum(dtype=np.float64)), grads, states[:, -1]
+        summed = [np.add.reduceat(np.take(g.reshape(-1, size), order, axis=0), first, axis=0) for g in (d[0], d[1], dn)]
+        grads["x"] = given[first], np.concatenate(summed, axis=1)
+        return float(out.sum(dtype=np.float64)), grads, states[-1].T
 
     def learn(self, docs: list[np.ndarray], lanes: int, steps: int, rate: float, memory: dict) -> int:
         """One pass of Adagrad over the documents, a window at a time; memory: its sums of squares, kept between calls."""
@@ -206,11 +249,13 @@ class Model:
             _, grads, h = self.gradients(window, h)
             for name, g in grads.items():
                 value = getattr(self, name)
-                past = memory.setdefault(name, np.full_like(value, 1.0))
+                if name not in memory:
+                    memory[name] = np.full_like(value, 1.0)
                 at, g = g if name == "x" else (slice(None), g)
                 g = np.clip(g / tokens**0.5, -5, 5)
-                past[at] += g * g
-                value[at] -= rate * g / np.sqrt(past[at])
+                past = memory[name][at] + g * g
+                memory[name][at] = past
+                value[at] -= rate * g / np.sqrt(past)
             seen += tokens
         return seen
 
@@ -222,9 +267,9 @@ class Model:
         laid, h = Lanes(docs, lanes), None
         for before, symbol, start, there, owner in laid.windows(steps):
             count = before.shape[1]
-            h = np.zeros((self.hidden, count), np.float32) if h is None else h[:, :count]
-            states, _ = self.run(before, start, h)
-            h = states[:, -1]
-            found = self.emit(columns(states, there, bool(there.all())), symbol[there])
+            h = np.zeros((count, self.hidden), np.float32) if h is None else h[:count]
+            states, _, _ = self.run(before, start, h)
+            h = states[-1]
+            found = self.emit(rows(states, there), symbol[there])
             out += np.bincount(owner[there], found.astype(np.float64), len(docs))
         return out / np.log(10)

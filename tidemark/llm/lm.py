@@ -27,6 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from tidemark.llm.gru import END, REST, Model
 HOT, LONGEST = 200_000, 64
 SYMBOLS, CLASS, HIDDEN = 576, 24, 16
 ROUNDS, LANES, STEPS, RATE = 2, 512, 32, 0.05
-#: Tokens that a task lays out at a time; a longer document is alone.
+#: Tokens that a task lays out at a time, twice as many at its end.
 TOKENS = 1 << 21
 #: Words that a task counts before it passes them on.
 COUNTED = 600_000
@@ -152,21 +153,28 @@ def numbered(rows: DataFrame, told) -> DataFrame:
 
 
 def _laid(batches, column: int):
-    """Batches joined to lists of (batch parts, documents) of about TOKENS tokens."""
-    held, docs, total = [], [], 0
+    """Batches joined to lists of (batch parts, documents) of about TOKENS tokens.
+
+    Documents longer than a lane's share of these wait for one another, the last of them for the other documents' rest: a
+    lay-out takes as many steps as its longest document, so with one in each most steps would be of a few lanes.
+    """
+    held, docs, total = ([], []), ([], []), [0, 0]
     for batch in batches:
-        start = 0
-        for n, ids in enumerate(batch.column(column)):
-            doc = np.frombuffer(ids.as_buffer(), np.uint16)
-            docs.append(doc)
-            total += len(doc)
-            if total >= TOKENS:
-                yield [*held, batch.slice(start, n + 1 - start)], docs
-                held, docs, total, start = [], [], 0, n + 1
-        if start < batch.num_rows:
-            held.append(batch.slice(start))
-    if docs:
-        yield held, docs
+        late = np.asarray(pc.binary_length(batch.column(column))) > TOKENS // LANES * 2
+        for kind, mask in enumerate((~late, late)):
+            part, start = batch.filter(pa.array(mask)), 0
+            for n, ids in enumerate(part.column(column)):
+                doc = np.frombuffer(ids.as_buffer(), np.uint16)
+                docs[kind].append(doc)
+                total[kind] += len(doc)
+                if total[kind] >= TOKENS:
+                    yield [*held[kind], part.slice(start, n + 1 - start)], docs[kind][:]
+                    held[kind].clear(), docs[kind].clear()
+                    total[kind], start = 0, n + 1
+            if start < part.num_rows:
+                held[kind].append(part.slice(start))
+    if docs[0] or docs[1]:
+        yield [*held[0], *held[1]], [*docs[0], *docs[1]]
 
 
 def train(ids: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
