@@ -3,7 +3,7 @@
 A cell is (kind, day, role, item, other, value) and n, a count. Cells of sets of postings add up, so a change of
 postings is a set of signed cells: those of the rows as they were, taken off, and of the rows as they are, put on.
 A posting that is scraped again thus moves from its old day to the new one. The cells of a store
-are kept in hash buckets of days (operators/keyed.py): a batch rewrites the buckets of the days it changes, a
+are kept in hash buckets of days (operators/keyed.py): a batch adds files to the buckets of the days it changes, a
 reader of two weeks opens those of 14 days.
 
 Kinds: facts (postings, fresh, sponsored, remote, hybrid, startup, mentions), skills, places (raw locations, made
@@ -25,19 +25,18 @@ from tidemark.operators.keyed import KeyedStore, Merged
 KEYS = ["kind", "day", "role", "item", "other", "value"]
 #: What a posting's own columns give; what its skills give; what its pairs of skills give.
 KINDS = ("postings", "skills", "pairs")
+#: Files put beside a bucket before it is folded.
+FILES = 64
 
 
 def _cell(kind: str, item: Column, other: Column | None = None, value: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("kind"), item.cast("string").alias("item"), (F.lit("") if other is None else other).alias("other"), (F.lit(None).cast("double") if value is None else value).alias("value"))
 
 
-def cells(jobs: DataFrame, skills: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """Cells of postings (each once) and their skills: KEYS and n. Postings are read once for each of `kinds`, skills once for each of the last two.
-
-    A null role is other; a null or empty place, a null company and pay that cannot be used give no cell.
-    """
+def _named(jobs: DataFrame, skills: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """KEYS and n of every cell that postings count in, not summed up; a skill is counted by day and role before it becomes two cells."""
     based = jobs.withColumns({"day": F.to_date("scraped_at"), "role": F.coalesce("role_category", F.lit("other"))})
-    parts = []
+    parts, one = [], F.lit(1).cast("long").alias("n")
     if "postings" in kinds:
         known = m.usable_pay()
         fresh = F.col("first_seen") >= F.date_trunc("week", F.col("scraped_at")) if "first_seen" in jobs.columns else F.lit(True)
@@ -45,32 +44,49 @@ def cells(jobs: DataFrame, skills: DataFrame, kinds: tuple[str, ...] = KINDS) ->
         told = [F.when(c, _cell("facts", F.lit(name))) for name, c in flags.items()]
         told += [F.when(F.coalesce("location", F.lit("")) != "", _cell("places", F.col("location"))), F.when(F.col("company").isNotNull(), _cell("companies", F.col("company")))]
         told += [F.when(known, _cell("pay", F.lit(""), value=midpoint(F.col("salary_min"), F.col("salary_max")).cast("double")))]
-        parts.append(based.select("day", "role", F.explode(F.array_compact(F.array(*told))).alias("c")))
+        parts.append(based.select("day", "role", F.explode(F.array(*told)).alias("c"), one).filter("c is not null"))  # a lambda over the array would not be compiled
     days = based.select("job_id", "day", "role")
     if "skills" in kinds:
-        parts.append(skills.select("job_id", "skill").join(days, "job_id").select("day", "role", F.explode(F.array(_cell("skills", F.col("skill")), _cell("facts", F.lit("mentions")))).alias("c")))
+        named = skills.select("job_id", "skill").join(days, "job_id").groupBy("day", "role", "skill").agg(F.count("*").alias("n"))
+        parts.append(named.select("day", "role", F.explode(F.array(_cell("skills", F.col("skill")), _cell("facts", F.lit("mentions")))).alias("c"), "n"))
     if "pairs" in kinds:
         sets = skills.select("job_id", "skill").join(days, "job_id").groupBy("job_id", "day", "role").agg(F.array_sort(F.collect_set("skill")).alias("s"))
         inner = lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: _cell("pairs", x, y))
         singles = F.transform(F.array_append("s", ""), lambda x: _cell("named", x))
-        parts.append(sets.select("day", "role", F.explode(F.concat(singles, F.flatten(F.transform("s", inner)))).alias("c")))
-    every = reduce(DataFrame.unionByName, parts).select("day", "role", "c.*")
-    return every.groupBy(*KEYS).agg(F.count("*").alias("n"))
+        parts.append(sets.select("day", "role", F.explode(F.concat(singles, F.flatten(F.transform("s", inner)))).alias("c"), one))
+    return reduce(DataFrame.unionByName, parts).select("day", "role", "c.*", "n").select(*KEYS, "n")
+
+
+def cells(jobs: DataFrame, skills: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Cells of postings (each once) and their skills: KEYS and n. Postings are read once for each of `kinds`, skills once for each of the last two.
+
+    A null role is other; a null or empty place, a null company and pay that cannot be used give no cell.
+    """
+    return _named(jobs, skills, kinds).groupBy(*KEYS).agg(F.sum("n").alias("n"))
 
 
 def added(old: DataFrame, new: DataFrame) -> DataFrame:
     """Cells that are summed up; those of 0 go."""
-    return old.select(*KEYS, "n").unionByName(new.select(*KEYS, "n")).groupBy(*KEYS).agg(F.sum("n").alias("n")).filter("n <> 0")
+    return summed(old.select(*KEYS, "n").unionByName(new.select(*KEYS, "n")))
+
+
+def summed(cells_: DataFrame) -> DataFrame:
+    """One cell of each KEYS; those of 0 go."""
+    return cells_.groupBy(*KEYS).agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 def changes(before: DataFrame, after: DataFrame, skills_before: DataFrame, skills_after: DataFrame | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Signed cells of a change of postings: as they were (with no row where a posting is new) and as they are (none where it goes)."""
-    off, on = cells(before, skills_before, kinds), cells(after, skills_after if skills_after is not None else skills_before, kinds)
+    off, on = _named(before, skills_before, kinds), _named(after, skills_after if skills_after is not None else skills_before, kinds)
     return added(on, off.withColumn("n", -F.col("n")))
 
 
 class DayCube:
-    """The cells of all postings in a keyed store by day."""
+    """The cells of all postings in a keyed store by day.
+
+    A batch is written beside the cells it changes, and the reader sums up; a bucket is folded once what was put beside it
+    outgrows it. So a batch costs as much as it holds, and the cube at most some times what was put into it.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.store = KeyedStore(spark, path)
@@ -82,13 +98,16 @@ class DayCube:
 
     def apply(self, signed: DataFrame, run: str | None = None, number: int = 0) -> Merged | None:
         """Put a batch of `changes` in force; a run's number counts once."""
-        return self.store.merge(signed, added, run, number)
+        done = self.store.append(signed, run, number)
+        if done:
+            self.store.fold(summed, FILES)
+        return done
 
     def days(self, since: str, until: str) -> DataFrame:
         """Cells of the days from since to before until; only the buckets of these days are opened."""
         spark = self.store.spark
         wanted = spark.range(1).select(F.explode(F.sequence(F.lit(since).cast("date"), F.date_sub(F.lit(until).cast("date"), 1))).alias("day"))
-        return self.store.touched_by(wanted).filter((F.col("day") >= F.lit(since).cast("date")) & (F.col("day") < F.lit(until).cast("date")))
+        return summed(self.store.touched_by(wanted).filter((F.col("day") >= F.lit(since).cast("date")) & (F.col("day") < F.lit(until).cast("date"))))
 
 
 # --- what is composed of cells ------------------------------------------------------------------------------------

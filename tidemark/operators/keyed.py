@@ -28,6 +28,8 @@ from tidemark.tables import drop_table, shared_dir, write_table
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 #: Manifests that vacuum keeps.
 KEPT = 2
+#: Slices of a bucket's keys that tasks may write apart.
+SLICES = 16
 
 
 @dataclass(frozen=True)
@@ -106,17 +108,21 @@ class KeyedStore:
     def bucket(keys: list[str], buckets: int) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, keys: list[str], buckets: int, most: int | None = None) -> list[dict]:
-        """New files of the rows, one a bucket, as the manifest lists them."""
+    def _write(self, rows: DataFrame, keys: list[str], buckets: int) -> list[dict]:
+        """New files of the rows as the manifest lists them: few rows are one file a bucket, many are dealt to tasks by slices of it."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        dealt = rows.withColumn("_bucket", self.bucket(keys, buckets))
-        dealt.repartition(max(1, min(most or buckets, buckets)), "_bucket").sortWithinPartitions("_bucket", *keys).write.partitionBy("_bucket").parquet(folder)
-        text = [F.col(k).cast("string") for k in keys]
+        dealt = rows.withColumns({"_bucket": self.bucket(keys, buckets), "_slice": F.pmod(F.hash(*keys), F.lit(SLICES))})
+        dealt.repartition("_bucket", "_slice").drop("_slice").sortWithinPartitions("_bucket", *keys).write.partitionBy("_bucket").parquet(folder)
         written = self.spark.read.schema(rows.schema).parquet(folder) if self._any(folder) else None
         if written is None:
             return []
-        told = written.select(F.col("_metadata.file_path").alias("file"), F.struct(*keys).alias("k"), F.struct(*[t.alias(k) for k, t in zip(keys, text)]).alias("t"))
-        ends = told.groupBy("file").agg(F.count("*").alias("rows"), F.min_by("t", "k").alias("low"), F.max_by("t", "k").alias("high"))
+        file = F.col("_metadata.file_path").alias("file")
+        if len(keys) == 1:  # least and greatest of a number or a date are held in place; those of structs would sort all rows
+            key, text = F.col(keys[0]), lambda c: F.array(c.cast("string"))
+            ends = written.select(file, key.alias("k")).groupBy("file").agg(F.count("*").alias("rows"), text(F.when(F.count("k") == F.count("*"), F.min("k"))).alias("low"), text(F.max("k")).alias("high"))
+        else:
+            told = written.select(file, F.struct(*keys).alias("k"), F.struct(*[F.col(k).cast("string").alias(k) for k in keys]).alias("t"))
+            ends = told.groupBy("file").agg(F.count("*").alias("rows"), F.min_by("t", "k").alias("low"), F.max_by("t", "k").alias("high"))
         out = []
         for r in ends.collect():  # a row a file
             name = r.file[r.file.index("/data/") + 1 :]
@@ -175,30 +181,64 @@ class KeyedStore:
         """
         said = self.manifest()
         own = write_table(batch, "batch")
-        wanted, written, base, retries = self._buckets(own, said), None, None, 0
         try:
-            while True:
-                if run is not None and number <= said["runs"].get(run, -1):
-                    self._forget(written or [])
-                    return None
-                old = [f for f in said["files"] if f["bucket"] in wanted]
-                if written is None or [f["file"] for f in old] != base:  # the first time, or others changed these buckets
-                    self._forget(written or [])
-                    schema = StructType.fromJson(json.loads(said["schema"]))
-                    rows = how(self._rows(said, old), own).select(*[F.col(f.name).cast(f.dataType) for f in schema])
-                    written, base = self._write(rows, said["keys"], said["buckets"], len(wanted)) if wanted else [], [f["file"] for f in old]
-                    if any(f["bucket"] not in wanted for f in written):
-                        self._forget(written)
-                        raise ValueError("a merge made rows of buckets that its batch does not touch")
-                files = [f for f in said["files"] if f["bucket"] not in wanted] + written
-                runs = said["runs"] | ({run: number} if run is not None else {})
-                version = said["version"] + 1
-                if self._commit(version, {**{k: said[k] for k in ("keys", "buckets", "schema")}, "files": files, "runs": runs}):
-                    return Merged(version, tuple(sorted(wanted)), tuple(base), tuple(f["file"] for f in written), retries)
-                said, retries = self.manifest(), retries + 1
+            return self._rewrite(said, self._buckets(own, said), lambda old: how(old, own), run, number)
         finally:
             drop_table(own)
 
+    def append(self, rows: DataFrame, run: str | None = None, number: int = 0) -> Merged | None:
+        """Put rows beside those that are there; no file is read. None where the run's batch is in the store already.
+
+        For stores whose rows of one key are combined by the reader; `fold` combines them for good.
+        """
+        said, written, retries = self.manifest(), None, 0
+        while True:
+            if run is not None and number <= said["runs"].get(run, -1):
+                self._forget(written or [])
+                return None
+            if written is None:
+                written = [f | {"added": True} for f in self._write(rows, said["keys"], said["buckets"])]
+            if (version := self._next(said, said["files"] + written, run, number)) is not None:
+                return Merged(version, tuple(sorted({f["bucket"] for f in written})), (), tuple(f["file"] for f in written), retries)
+            said, retries = self.manifest(), retries + 1
+
+    def fold(self, how: Callable[[DataFrame], DataFrame], most: int) -> Merged | None:
+        """Rewrite, as how(their rows) has them, the buckets with more appended rows than others, or over `most` appended files. None where there are none."""
+        said = self.manifest()
+        rows, files = ({}, {}), {}
+        for f in said["files"]:
+            late, k = f.get("added", False), f["bucket"]
+            rows[late][k] = rows[late].get(k, 0) + f["rows"]
+            files[k] = files.get(k, 0) + late
+        full = {k for k in files if rows[True].get(k, 0) > rows[False].get(k, 0) or files[k] > most}
+        return self._rewrite(said, full, how) if full else None
+
+    def _next(self, said: dict, files: list[dict], run: str | None, number: int) -> int | None:
+        """The version after `said`, now of these files; None where another writer made it."""
+        runs = said["runs"] | ({run: number} if run is not None else {})
+        version = said["version"] + 1
+        return version if self._commit(version, {**{k: said[k] for k in ("keys", "buckets", "schema")}, "files": files, "runs": runs}) else None
+
+    def _rewrite(self, said: dict, wanted: set[int], how: Callable[[DataFrame], DataFrame], run: str | None = None, number: int = 0) -> Merged | None:
+        written, base, retries = None, None, 0
+        while True:
+            if run is not None and number <= said["runs"].get(run, -1):
+                self._forget(written or [])
+                return None
+            old = [f for f in said["files"] if f["bucket"] in wanted]
+            if written is None or [f["file"] for f in old] != base:  # the first time, or others changed these buckets
+                self._forget(written or [])
+                schema = StructType.fromJson(json.loads(said["schema"]))
+                rows = how(self._rows(said, old)).select(*[F.col(f.name).cast(f.dataType) for f in schema])
+                written, base = self._write(rows, said["keys"], said["buckets"]) if wanted else [], [f["file"] for f in old]
+                if any(f["bucket"] not in wanted for f in written):
+                    self._forget(written)
+                    raise ValueError("a merge made rows of buckets that its batch does not touch")
+            files = [f for f in said["files"] if f["bucket"] not in wanted] + written
+            if (version := self._next(said, files, run, number)) is not None:
+                return Merged(version, tuple(sorted(wanted)), tuple(base), tuple(f["file"] for f in written), retries)
+            said, retries = self.manifest(), retries + 1
+
     def vacuum(self, keep: int = KEPT) -> list[str]:
         """Drop all but the last versions, and the folders of files that none of them lists. Readers and writers of older ones must be done."""
         versions = self.versions()

@@ -155,7 +155,7 @@ def snapshot_views(spark, sf):
 
 def _maintained(spark, sf, kinds, weeks_wanted: tuple[str, str]):
     """Cells of a cube that was built and then changed: it starts without every 11th posting, which come in; every 5th but one is
-    scraped again a week later; every 13th goes. Returned are the cells of the days wanted, read by day."""
+    scraped again a week later; every 13th goes. Returned are the cells of the days wanted, read by day and written once."""
     j, s = jobs(spark, sf), job_skills(spark, sf)
     late = F.col("job_id") % 11 == 0
     cube = cubes.DayCube.create(f"{shared_dir(spark)}/cube-{uuid.uuid4().hex}", j.filter(~late), s, kinds, 16)
@@ -164,7 +164,7 @@ def _maintained(spark, sf, kinds, weeks_wanted: tuple[str, str]):
     cube.apply(cubes.changes(again, again.withColumn("scraped_at", F.expr("scraped_at + interval 7 days")), s, kinds=kinds), "postings", 1)
     gone = j.filter(F.col("job_id") % 13 == 0).withColumn("scraped_at", F.when(F.col("job_id") % 5 == 1, F.expr("scraped_at + interval 7 days")).otherwise(F.col("scraped_at")))
     cube.apply(cubes.changes(gone, j.limit(0), s, kinds=kinds), "postings", 2)
-    return cube.days(*weeks_wanted)
+    return write_table(cube.days(*weeks_wanted), "cells")
 
 
 def cube_snapshot(spark, sf):
