@@ -62,6 +62,18 @@ def test_match_and_its_fallback(spark):
     assert all(tuple(r)[1:] == skillvec.UNKNOWN for r in few)
 
 
+def test_persons_of_the_same_skills_are_matched_once(spark, monkeypatch):
+    rows = rows_of(random.Random(7))
+    df = spark.createDataFrame(rows, "job_id long, skill string")
+    known = skillvec.vectors(skillvec.ppmi(df), 4)
+    people = spark.createDataFrame([(i, s) for i in range(200) for s in ("s0x0", f"s1x{i % 2}", "s0x0", None)] + [(None, "s0x0")], "id long, skill string")
+    sizes, means = [], skillvec.means
+    monkeypatch.setattr(skillvec, "means", lambda r, *more: (sizes.append(r.count()), means(r, *more))[1])
+    got = {r.id: tuple(r)[1:] for r in skillvec.market_match(people, df.select("job_id").distinct(), df, known, 4).collect()}
+    assert sizes[0] == 4  # two sets of two skills
+    assert len(got) == 201 and len({got[i] for i in range(0, 200, 2)}) == 1 and got[0] != got[1] and got[None] == skillvec.UNKNOWN
+
+
 def test_the_registered_match_equals_exact_vectors(spark, sf_dir):
     j, s = jobs(spark, sf_dir), job_skills(spark, sf_dir)
     year = {r.job_id for r in j.filter("scraped_at >= timestamp_ntz'1998-01-01' and scraped_at < timestamp_ntz'1999-01-01'").collect()}

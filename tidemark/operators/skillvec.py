@@ -7,12 +7,13 @@ eigenvectors of the symmetric matrix. Nothing but Gram matrices of RANK + MORE c
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.similarity import cosine
 from tidemark.tables import drop_table, write_table
 
 RANK, MORE, ROUNDS = 16, 8, 6
@@ -111,14 +112,19 @@ def market_match(people: DataFrame, postings: DataFrame, rows: DataFrame, known:
     """Per person (id, skill): match_pct and the shares strong, moderate and weak of the postings (job_id) by the cosine of mean skill vectors.
 
     rows: job_id, skill. Fewer than `least` postings, or a person without a known skill, give the figures of UNKNOWN.
+    Persons of the same skills are held against the postings once, so most of the work is by distinct sets of skills.
     """
-    have = means(people, "id", known, rank)
+    sets = people.groupBy("id").agg(F.array_sort(F.collect_set("skill")).alias("own")).withColumn("own", F.when(F.col("id").isNotNull(), F.col("own")).otherwise(F.array().cast("array<string>")))
+    have = means(sets.select("own").distinct().select("own", F.explode("own").alias("skill")), "own", known, rank)
     held = means(rows.join(postings.select("job_id").distinct(), "job_id", "left_semi"), "job_id", known, rank)
     enough = held.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0)))).filter(F.col("_n") >= least)  # the sample of postings, some hundred
-    near = have.withColumnRenamed("v", "own").crossJoin(F.broadcast(enough.select("v"))).select("id", F.coalesce(cosine(F.col("own"), F.col("v")), F.lit(0.0)).alias("s"))
+    by = lambda a, b: reduce(lambda out, i: out + F.col(a)[i] * F.col(b)[i], range(rank), F.lit(0.0))  # noqa: E731 - unrolled, so that it is compiled
+    enough = enough.select("v", by("v", "v").alias("vv"))
+    near = have.withColumnRenamed("v", "mine").withColumn("mm", by("mine", "mine")).crossJoin(F.broadcast(enough))
+    near = near.select("own", F.coalesce(F.try_divide(by("mine", "v"), F.sqrt(F.col("mm") * F.col("vv"))), F.lit(0.0)).alias("s"))
     s = F.round("s", 9)
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
     percent = F.round(F.least(F.greatest(F.avg("s") * 100, F.lit(0.0)), F.lit(100.0)), 1)
-    found = near.groupBy("id").agg(percent.alias("match_pct"), share(s > 0.75).alias("strong"), share((s > 0.55) & (s <= 0.75)).alias("moderate"), share(s <= 0.55).alias("weak"))
-    every = people.select("id").distinct().join(found, "id", "left")
+    found = near.groupBy("own").agg(percent.alias("match_pct"), share(s > 0.75).alias("strong"), share((s > 0.55) & (s <= 0.75)).alias("moderate"), share(s <= 0.55).alias("weak"))
+    every = sets.join(found, "own", "left")
     return every.select("id", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in zip(("match_pct", "strong", "moderate", "weak"), UNKNOWN)])
