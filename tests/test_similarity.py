@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidemark.operators import similarity
 from tidemark.plans import records
 
@@ -176,3 +178,72 @@ def test_links_do_not_depend_on_which_shingles_are_told_as_common(spark, monkeyp
     for seen in (1, 1000):
         monkeypatch.setattr(similarity, "SEEN", seen)
         assert {r.id: r.first for r in similarity.three_signals(df, "id", "text").collect()} == want
+
+
+def kept_tables(monkeypatch):
+    kept, write = {}, similarity.write_table
+    monkeypatch.setattr(similarity, "write_table", lambda df, tag: kept.setdefault(tag, []).append(write(df, tag)) or kept[tag][-1])
+    monkeypatch.setattr(similarity, "drop_table", lambda *tables: None)
+    return kept
+
+
+def test_words_and_shingles_are_those_of_plain_splitting_in_stretches_of_any_size(monkeypatch):
+    rng, bits = random.Random(1), [b"a", b"b", b" ", b"\n", b"cc ", b"longword", b"\xc3\xa9", b"\x00", b"\x1c", b"a b c d e f g h "]
+    for stretch in (5, 16, 1 << 16):
+        monkeypatch.setattr(similarity, "STRETCH", stretch)
+        monkeypatch.setattr(similarity, "_POWERS", similarity._powers(stretch))
+        words, bags = {}, {}
+        for _ in range(60):
+            texts = [b"".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 5, 30]))) for _ in range(rng.randrange(1, 6))]
+            data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+            hashes, until = similarity._word_hashes(data, ends)
+            split = [t.split() for t in texts]
+            assert np.diff(until, prepend=0).tolist() == [len(w) for w in split]
+            assert all(words.setdefault(w, h) == h for w, h in zip((w for one in split for w in one), hashes.tolist(), strict=True))
+            shingled, stop = similarity._shingled(data, ends)
+            for w, h in zip(split, np.split(shingled, stop[:-1])):
+                bag = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+                assert len(h) == len(bag) and bags.setdefault(bag, h.tolist()) == h.tolist()
+        assert len(set(words.values())) == len(words) and len({tuple(h) for h in bags.values()}) == len(bags)
+
+
+def test_equal_texts_and_equal_vectors_are_compared_once(spark, monkeypatch):
+    kept = kept_tables(monkeypatch)
+    rng = random.Random(2)
+    texts = [" ".join(f"w{k}x{n}" for n in range(30)) for k in range(4)]
+    df = spark.createDataFrame([(k, texts[k % 4]) for k in range(80)], "id long, text string")
+    vectors = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(3)]
+    near = spark.createDataFrame([(k, vectors[k % 3] if k < 60 else vectors[0][:5] + [vectors[0][5] + 0.001]) for k in range(80)], "key long, vector array<double>")
+    got = {r.id: r.first for r in similarity.three_signals(df, "id", "text", near).collect()}
+    assert set(got.values()) == {0}
+    assert kept["first"][0].count() == 4 and kept["vectors"][1].count() == 4
+    assert kept["tied"][0].count() < 80  # not the pairs
+
+
+def test_pairs_of_a_block_become_a_forest_that_ties_the_same(spark):
+    rng = random.Random(6)
+    rows = [(k, [float(rng.randrange(-3, 4)) for _ in range(3)]) for k in range(700)]
+    df = spark.createDataFrame(rows, "key long, vector array<double>")
+    least = 0.995
+    pairs = [(r.a, r.b) for r in similarity.all_cosine_pairs(df, "key", "vector", least, 128).collect()]
+    links = [(r.a, r.b) for r in similarity.cosine_links(df, "key", "vector", least, 128).collect()]
+
+    def roots(edges):
+        root = list(range(700))
+        while True:
+            before = list(root)
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+            if root == before:
+                return root
+
+    assert roots(links) == roots(pairs) and len(links) < len(pairs)
+
+
+def test_whole_sets_meet_only_where_outlines_leave_room(spark, monkeypatch):
+    kept = kept_tables(monkeypatch)
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rows = [(k, " ".join(words("p", 60) + words(f"y{k}x", 40))) for k in range(12)] + [(100 + k, " ".join(words("z", 90) + words(f"q{k}", 2))) for k in range(2)]
+    got = {(r.a, r.b) for r in similarity.near_links(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got == {(100, 101)}
+    assert sum(t.count() for t in kept["pairs"]) > 1 and {(r.a, r.b) for t in kept["kept"] for r in t.collect()} == {(100, 101)}

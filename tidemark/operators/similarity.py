@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from fractions import Fraction
 
 import numpy as np
@@ -44,9 +43,12 @@ def exact_groups(df: DataFrame, key: str, hashed: Column) -> DataFrame:
     return with_group(rows, "h", df.count(), first=F.min("key")).select(F.col("key").alias(key), "first")
 
 
-#: Words of a shingle; one of so many texts tells which shingles are common, from SEEN of these on; most of them that are told; bytes of words that a task remembers.
-WIDTH, EVERY, SEEN, COMMON, REMEMBERED = 5, 8, 2, 1 << 18, 64 << 20
+#: Words of a shingle; one of so many texts tells which shingles are common, from SEEN of these on; most of them that are told; bytes of text that are hashed at once; bits of a set's outline.
+WIDTH, EVERY, SEEN, COMMON, STRETCH, OUTLINE = 5, 8, 2, 1 << 18, 1 << 16, 2048
 _U = np.uint64
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))  # as bytes.split
+_ODD = _U(0x9E3779B97F4A7C15)
+_LETTER, _PLACE = (np.random.default_rng(seed).integers(0, 1 << 63, size, np.uint64) * _U(2) + _U(1) for seed, size in ((1, 256), (2, WIDTH)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,62 +57,139 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Words(dict):
-    """Hashes of words, kept up to a number of bytes."""
-
-    held = 0
-
-    def __missing__(self, word: bytes) -> int:
-        self.held += len(word) + 100
-        self[word] = n = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return n
-
-
-def _shingled(text: bytes, words: _Words) -> np.ndarray:
-    """Hashes of a text's distinct shingles, ascending; a text of fewer than WIDTH words is one shingle, one without words has none."""
-    found = text.split()  # of bytes: white space of ASCII
-    if words.held > REMEMBERED:
-        words.clear()
-        words.held = 0
-    w = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    width = min(WIDTH, len(w))
-    if not width:
-        return w
-    h = np.full(len(w) - width + 1, width, np.uint64)
-    for n in range(width):
-        h = _mix(h * _U(0x9E3779B97F4A7C15) + w[n : len(w) - width + 1 + n])
-    return np.unique(h)
-
-
-def shingles(df: DataFrame, key: str, text: str, common: np.ndarray | None = None, least: Fraction | None = None) -> DataFrame:
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and those of its inverse, modulo 2^64."""
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, n, np.uint64)))) for n in (int(_ODD), pow(int(_ODD), -1, 1 << 64)))
+
+
+_POWERS = _powers(STRETCH)
+
+
+def _stretches(data: np.ndarray, ends: np.ndarray):
+    """Cuts (from, to) of the bytes of several texts, of STRETCH at most where no word is longer; no word is cut. ends: where texts end, ascending."""
+    at, size, most = 0, len(data), STRETCH
+    while at < size:
+        to = min(at + most, size)
+        if to < size:
+            space = np.flatnonzero(_SPACE[data[at:to]])[-1:]
+            text = ends[max(0, np.searchsorted(ends, to, "right") - 1)]
+            to = max(at + int(space[0]) + 1 if len(space) else at, int(text) if text <= to else at)
+            if to == at:
+                most *= 2
+                continue
+        yield at, to
+        at, most = to, STRETCH
+
+
+def _word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of several texts whose bytes follow each other, and how many words lie before each text's end."""
+    hashes, starts = [], []
+    for at, to in _stretches(data, ends):
+        part = data[at:to]
+        up, down = _POWERS if len(part) <= STRETCH else _powers(len(part))
+        space = _SPACE[part]
+        cut = np.zeros(len(part) + 1, bool)  # a word may begin here, as one ends here
+        cut[0] = cut[-1] = True
+        cut[1:] |= np.append(space[1:], True)
+        cut[1:-1] |= space[:-1]
+        cut[ends[np.searchsorted(ends, at) : np.searchsorted(ends, to, "right")] - at] = True
+        first, last = np.flatnonzero(cut[:-1] & ~space), np.flatnonzero(cut[1:] & ~space) + 1
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_LETTER[part] * up[: len(part)], out=sums[1:])
+        hashes.append(_mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _ODD))
+        starts.append(first + at)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends)
+
+
+def _shingled(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct shingles, ascending, and where each text's end; a text of fewer than WIDTH words is one shingle, one without words has none."""
+    words, until = _word_hashes(data, ends)
+    count = np.diff(until, prepend=0)
+    sizes = np.where(count >= WIDTH, count - WIDTH + 1, np.minimum(count, 1))
+    stop = np.cumsum(sizes)
+    out = np.zeros(stop[-1], np.uint64)
+    for width in range(1, WIDTH):
+        short = np.flatnonzero(count == width)
+        begin = until[short] - width
+        out[stop[short] - 1] = _mix(sum((words[begin + n] * _PLACE[n] for n in range(width)), np.full(len(short), width, np.uint64)))
+    if len(words) >= WIDTH:
+        h = np.full(len(words) - WIDTH + 1, WIDTH, np.uint64)
+        for n in range(WIDTH):
+            h += words[n : len(h) + n] * _PLACE[n]
+        out[np.repeat(count >= WIDTH, sizes)] = _mix(h[np.arange(WIDTH, len(words) + 1) <= np.repeat(until, count)[: len(h)]])
+    for a, b in zip((stop - sizes).tolist(), stop.tolist()):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[(stop - sizes)[sizes > 0]] = True
+    return out[new], np.concatenate(([0], np.cumsum(new)))[stop]
+
+
+def shingles(df: DataFrame, key: str, text: str, common: np.ndarray | None = None, least: Fraction | None = None, outlined: bool = False) -> DataFrame:
     """Each text's key, number of distinct hashed word shingles m, and these (s) in one order for all texts: by hash, those of `common` behind the others.
 
     common: hashes from the rarest on. With `least` only the first m - ceil(least * m) + 1 are returned. Texts without words are left out.
+    With `outlined` also OUTLINE bits (outline): one is set if a shingle's hash has its number as remainder.
+    All words of a batch are hashed at once, in stretches; only sorting goes text by text.
     """
     spark = df.sparkSession
     common = np.zeros(0, np.uint64) if common is None else common
     order = np.argsort(common)
     told = spark.sparkContext.broadcast((common[order], order))
     num, den = (least.numerator, least.denominator) if least is not None else (0, 1)
+    names = ["key", "m", "s", "outline"][: 4 if outlined else 3]
 
     def run(batches):
-        words, (known, place) = _Words(), told.value
+        known, place = told.value
+        seen = np.zeros(1 << 22, bool)
+        seen[known >> _U(42)] = True
+
+        def rank(h: np.ndarray) -> np.ndarray:
+            """The places of common shingles among these, -1 for others."""
+            out = np.full(len(h), -1)
+            maybe = np.flatnonzero(seen[h >> _U(42)])
+            to = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+            on = known[to] == h[maybe]
+            out[maybe[on]] = place[to[on]]
+            return out
+
         for batch in batches:
-            at, sizes, lists = [], [], []
-            for n, body in enumerate(batch.column(1)):
-                h = _shingled(body.as_py(), words)
-                if len(h):
-                    if len(known):
-                        to = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        on = known[to] == h
-                        h = np.concatenate((h[~on], h[on][np.argsort(place[to[on]])]))
-                    at.append(n), sizes.append(len(h)), lists.append(h[: len(h) + (num * -len(h)) // den + 1] if least is not None else h)
-            ends = np.cumsum([0, *map(len, lists)])
-            flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["key", "m", "s"])
+            texts = batch.column(1).cast(pa.binary())
+            offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            begin = 0
+            while begin < len(texts):  # texts of about STRETCH bytes together, or one that is longer
+                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + STRETCH, "right")) - 1)
+                h, stop = _shingled(data[offsets[begin] : offsets[end]], offsets[begin + 1 : end + 1].astype(np.int64) - offsets[begin])
+                m = np.diff(stop, prepend=0)
+                if least is not None:
+                    first = m + (num * -m) // den + 1
+                    first[m == 0] = 0
+                    ranks = rank(h) if len(known) else np.full(len(h), -1)
+                    some = np.concatenate(([0], np.cumsum(ranks >= 0)))
+                    lists = []
+                    for a, b, n, c in zip((stop - m).tolist(), stop.tolist(), first.tolist(), (some[stop] - some[stop - m]).tolist()):
+                        part = h[a:b]
+                        if c:
+                            told_off = ranks[a:b] >= 0
+                            part = part[~told_off] if b - a - c >= n else np.concatenate((part[~told_off], part[told_off][np.argsort(ranks[a:b][told_off])]))
+                        lists.append(part[:n])
+                    h, stop = np.concatenate(lists), np.cumsum(first)
+                at = np.flatnonzero(m)
+                columns = []
+                if outlined:
+                    bits = np.zeros((len(m), OUTLINE), bool)
+                    bits[np.repeat(np.arange(len(m)), m), h % _U(OUTLINE)] = True
+                    longs = pa.array(np.packbits(bits[at], axis=1).view(np.int64).ravel())
+                    columns = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * np.int32(OUTLINE // 64)), longs)]
+                flat = pa.array(h.view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin + at)), pa.array(m[at].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stop[at])).astype(np.int32)), flat), *columns], names)
+                begin = end
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "key long, m int, s array<long>")
+    return rows.mapInArrow(run, "key long, m int, s array<long>" + ", outline array<long>" * outlined)
 
 
 def common_shingles(df: DataFrame, key: str, text: str) -> np.ndarray:
@@ -121,7 +200,7 @@ def common_shingles(df: DataFrame, key: str, text: str) -> np.ndarray:
     return found["h"].to_numpy()[::-1].view(np.uint64).copy()
 
 
-def near_links(df: DataFrame, key: str, text: str, least: float = 0.8, keys: DataFrame | None = None) -> DataFrame:
+def near_links(df: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
     """Links (a, b) that tie all texts together whose shingle sets reach the Jaccard similarity: an exact prefix-filter join.
 
     A set's shingles are in one order for all sets. Two sets of the similarity share a shingle among the first
@@ -130,14 +209,14 @@ def near_links(df: DataFrame, key: str, text: str, least: float = 0.8, keys: Dat
     and decides how long the lists get, never what is found. A pair meets in the list of such a shingle if the sets' lengths,
     and what is left of both behind the shingle's places, allow the similarity. Each list is held against its least key first,
     which is linear; then members of unlike classes meet in it, so that a list of near copies costs no pairs. Rows of a list,
-    and of a text with many partners, that are many are dealt to several tasks. Whole sets are made only of texts that are in a pair.
-    Keys are longs, one row each; with `keys` (a column of that name) only these texts are held.
+    and of a text with many partners, that are many are dealt to several tasks. Whole sets are made only of texts that are in a pair,
+    and are put beside each other only where their outlines of OUTLINE bits leave room for the similarity.
+    Keys are longs, one row each.
     """
     ratio = Fraction(str(least))
     num, den = ratio.numerator, ratio.denominator
     first = write_table(shingles(df, key, text, common_shingles(df, key, text), ratio), "first")
-    held = first if keys is None else first.join(keys.select(F.col(key).alias("key")), "key", "left_semi")
-    index = held.select("key", "m", F.posexplode("s").alias("at", "h")).withColumn("at", F.col("at") + 1)
+    index = first.select("key", "m", F.posexplode("s").alias("at", "h")).withColumn("at", F.col("at") + 1)
     several = write_table(index.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "several")
     total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     index = write_table(salted_join(index, several.select("h"), "h", hot_keys(several, "h", total)), "prefixes")
@@ -153,42 +232,62 @@ def near_links(df: DataFrame, key: str, text: str, least: float = 0.8, keys: Dat
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = write_table(pairs.distinct(), "pairs")
         ends = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-        sets = write_table(shingles(df.select(F.col(key).cast("long").alias(key), text).join(ends, key, "left_semi"), key, text), "sets")
-        count = pairs.count()
-        for end in ("a", "b"):
-            mine = sets.toDF(end, f"m{end}", f"s{end}")
-            pairs = salted_join(pairs, mine, end, hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), end, count))
-        same = F.size(F.array_intersect("sa", "sb"))
-        return pairs.filter(den * same >= num * (F.col("ma") + F.col("mb") - same)).select("a", "b")
+        sets = write_table(shingles(df.select(F.col(key).cast("long").alias(key), text).join(ends, key, "left_semi"), key, text, outlined=True), "sets")
+
+        def beside(pairs: DataFrame, column: str) -> DataFrame:
+            count = pairs.count()
+            known = sets.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key", "left_semi")
+            for end in ("a", "b"):
+                mine = known.select(F.col("key").alias(end), F.col("m").alias(f"m{end}"), F.col(column).alias(f"s{end}"))
+                pairs = salted_join(pairs, mine, end, hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), end, count))
+            return pairs
+
+        def without(x: str, y: str) -> Column:
+            """At least so many shingles has one text that the other has not: a bit that only one outline has."""
+            return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, bits: n + bits)
+
+        def enough(same: Column) -> Column:
+            return (num + den) * same >= num * (F.col("ma") + F.col("mb"))
+
+        most = F.least(F.col("ma") - without("sa", "sb"), F.col("mb") - without("sb", "sa"))
+        kept = write_table(beside(pairs, "outline").filter(enough(most)).select("a", "b"), "kept")
+        out = write_table(beside(kept, "s").filter(enough(F.size(F.array_intersect("sa", "sb")))).select("a", "b"), "links")
+        drop_table(pairs, sets, kept)
+        return out
 
     low = F.col("low")
     stars = member.filter((F.col("key") > low["key"]) & may(F.col("m"), F.col("at"), low["m"], low["at"])).select(low["key"].alias("a"), F.col("key").alias("b"))
-    links = write_table(verified(stars), "links")
+    links = verified(stars)
     rooted = member.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).drop("low", "n")
     rooted = write_table(rooted, "rooted")
     mixed = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 < r1").select("h", "n")
     held = salted_join(rooted, mixed, "h", hot_keys(mixed, "h", total))
     end = lambda x: held.select("h", "n", *[F.col(c).alias(f"{c}{x}") for c in ("key", "root", "m", "at")])
     met = sized_join(end("a"), end("b"), "h", "n", total).filter((F.col("roota") < F.col("rootb")) & may(F.col("ma"), F.col("ata"), F.col("mb"), F.col("atb")))
-    out = write_table(links.union(verified(met.select(F.col("keya").alias("a"), F.col("keyb").alias("b")))), "links")
-    drop_table(index, member, links, rooted)
+    more = verified(met.select(F.col("keya").alias("a"), F.col("keyb").alias("b")))
+    out = write_table(links.union(more), "links")
+    drop_table(index, member, links, more, rooted)
     return out
 
 
 def three_signals(df: DataFrame, key: str, text: str, vectors: DataFrame | None = None, least_cosine: float = 0.95) -> DataFrame:
     """Every row with the least key of its class: equal hash, near text, or near vector (vectors: key, vector; all that can be near are compared)."""
-    exact = write_table(exact_groups(df, key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), "exact")
-    near = near_links(df, key, text, keys=exact.filter(F.col(key) == F.col("first")).select(key))
+    hashes = write_table(df.select(key, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("h")), "hashes")
+    exact = write_table(exact_groups(hashes, key, F.col("h")), "exact")
+    drop_table(hashes)
+    same = F.col(key) == F.col("first")
+    few = 2 * exact.filter(same).count() < exact.count()  # the shorter list of keys is the one that is joined
+    near = near_links(df.filter(F.col(key).isNotNull()).join(exact.filter(same if few else ~same).select(key), key, "left_semi" if few else "left_anti"), key, text)
     links = near.union(exact.select(F.col("first").alias("a"), F.col(key).alias("b")))
     if vectors is not None:
-        links = links.union(all_cosine_pairs(vectors, "key", "vector", least_cosine).select("a", "b"))
+        links = links.union(cosine_links(vectors, "key", "vector", least_cosine))
     roots = write_table(components(links), "roots")
     drop_table(exact, near)
     return df.select(key).join(roots, F.col(key) == F.col("node"), "left").select(key, F.coalesce("root", key).alias("first"))
 
 
-#: Vectors in a block of all_cosine_pairs, in the sample that gives the pivots, most pivots and annuli of one, and files of the blocks.
-BLOCK, SAMPLE, PIVOTS, ANNULI, FILES = 512, 2048, 128, 64, 48
+#: Least and most vectors in a block of all_cosine_pairs, and rows of it that are held at once; vectors in the sample that gives the pivots, most pivots and annuli of one, and files of the blocks.
+BLOCK, LARGE, HELD, SAMPLE, PIVOTS, ANNULI, FILES = 512, 8192, 256, 2048, 128, 64, 48
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -213,7 +312,13 @@ def _centres(sample: np.ndarray, count: int) -> np.ndarray:
     return centres
 
 
-def cosine_blocks(df: DataFrame, key: str, vector: str, least: float, block: int = BLOCK, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _with_cosine(df: DataFrame, key: str, vector: str) -> DataFrame:
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    size = dot(F.col("v"), F.col("v"))
+    return rows.filter(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).filter((size > 0) & (size < float("inf")))
+
+
+def cosine_blocks(df: DataFrame, key: str, vector: str, least: float, block: int | None = None, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Blocks of vectors (cell, salt, d, p, low, high, apart, k, v: keys and vectors as bytes), written, and the pairs of them that can hold a cosine of `least`.
 
     Vectors are unit vectors in balls about pivots, cut into annuli by their angle from the pivot. By the triangle
@@ -224,12 +329,10 @@ def cosine_blocks(df: DataFrame, key: str, vector: str, least: float, block: int
     reads two of FILES parts of the blocks: no block is shuffled for its pairs.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    size = dot(F.col("v"), F.col("v"))
-    rows = rows.filter(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).filter((size > 0) & (size < float("inf")))
-    rows = write_table(rows.withColumn("n", F.monotonically_increasing_id()), "vectors")
+    rows = write_table(_with_cosine(df, key, vector).withColumn("n", F.monotonically_increasing_id()), "vectors")
     count, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     width = width or 1
+    block = block or min(LARGE, max(BLOCK, count // 64))  # what is read for pairs of blocks shrinks with their size
     sample = rows.select("v", F.xxhash64("n").alias("h")).orderBy("h").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()  # bounded: the sample
     pivots = pivots or max(1, min(PIVOTS, round(count**0.5 / 16)))
     centres = _centres(_padded(sample, width), pivots) if count else np.ones((1, width))
@@ -263,18 +366,34 @@ def cosine_blocks(df: DataFrame, key: str, vector: str, least: float, block: int
     return blocks, blocks.join(other.hint("shuffle_replicate_nl"), near)
 
 
-def all_cosine_pairs(df: DataFrame, key: str, vector: str, least: float, block: int = BLOCK) -> DataFrame:
+def all_cosine_pairs(df: DataFrame, key: str, vector: str, least: float, block: int | None = None) -> DataFrame:
     """Pairs (a < b) of any two rows whose cosine is at least `least` > 0, exactly: blocks that can hold such a pair meet.
 
     Keys are longs. A null key, a null vector or element, a vector of zeros, and vectors of unlike lengths have no cosine.
     No key or vector makes a large block. Where vectors gather nowhere all blocks can meet, and the work is that of all pairs.
     """
     _, met = cosine_blocks(df, key, vector, least, block)
-    same = ((F.col("cell") == F.col("cell2")) & (F.col("salt") == F.col("salt2"))).alias("same")
-    found = met.select(same, "d", "k", "v", "k2", "v2").mapInArrow(_meet(least), "a long, b long, s double")
+    found = _both(met).mapInArrow(_meet(least), "a long, b long, s double")
     return found.select("a", "b", F.round("s", 6).alias("similarity"))
 
 
+def cosine_links(df: DataFrame, key: str, vector: str, least: float, block: int | None = None) -> DataFrame:
+    """Links (a, b) that tie the same rows together as the pairs of all_cosine_pairs: equal vectors meet others once, and two blocks give a forest of their pairs."""
+    rows = write_table(_with_cosine(df, key, vector), "vectors")
+    folded = write_table(exact_groups(rows, "k", F.col("v")), "folded")
+    once = rows.join(folded.filter("k = first").select("k").distinct(), "k", "left_semi")
+    blocks, met = cosine_blocks(once, "k", "v", least, block)
+    found = _both(met).mapInArrow(_meet(least, True), "a long, b long")
+    out = write_table(found.union(folded.filter("k > first").select(F.col("first").alias("a"), F.col("k").alias("b"))), "tied")
+    drop_table(rows, folded, blocks)
+    return out
+
+
+def _both(met: DataFrame) -> DataFrame:
+    same = ((F.col("cell") == F.col("cell2")) & (F.col("salt") == F.col("salt2"))).alias("same")
+    return met.select(same, "d", "k", "v", "k2", "v2")
+
+
 def _pack(apart: np.ndarray):
     def pack(block: pa.Table) -> pa.Table:
         keys, angles = block["k"].to_numpy(), block["angle"].to_numpy()
@@ -285,19 +404,69 @@ def _pack(apart: np.ndarray):
     return pack
 
 
-def _meet(least: float):
-    def pairs(batches):
+def _near(va: np.ndarray, vb: np.ndarray, least: float):
+    """Places and cosines of the pairs of two blocks, HELD rows of the first at a time: products in single precision, with room for their rounding, tell which are computed in double."""
+    room = np.float32(least - (va.shape[1] + 4) * 2.0**-23)
+    sa, sb = (va * va).sum(1), (vb * vb).sum(1)
+    ua, ub = ((v / np.sqrt(s)[:, None]).astype(np.float32) for v, s in ((va, sa), (vb, sb)))
+    for at in range(0, len(va), HELD):
+        s = ua[at : at + HELD] @ ub.T
+        if not s.max() >= room:
+            continue
+        i, j = np.nonzero(s >= room)
+        if len(i) * 16 > s.size:
+            s = (va[at : at + HELD] @ vb.T) / np.sqrt(np.outer(sa[at : at + HELD], sb))
+            i, j = np.nonzero(s >= least)
+            yield i + at, j, s[i, j]
+        else:
+            i += at
+            s = np.einsum("ij,ij->i", va[i], vb[j]) / np.sqrt(sa[i] * sb[j])
+            there = s >= least
+            yield i[there], j[there], s[there]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (least key, key) that tie together what the pairs tie together, one a key that is not the least."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = np.split(ends.ravel(), 2)
+    root = np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(root[x], root[y]), root.copy()
+        for end in (x, y, root[x], root[y]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    other = root != np.arange(len(nodes))
+    return nodes[root[other]], nodes[other]
+
+
+def _meet(least: float, forest: bool = False):
+    def found(batches):
         for batch in batches:
             for n in range(batch.num_rows):
                 same, d, ka, va, kb, vb = (batch.column(c)[n] for c in range(6))
                 ka, kb = (np.frombuffer(k.as_buffer(), np.int64) for k in (ka, kb))
                 va, vb = (np.frombuffer(v.as_buffer(), np.float64).reshape(len(k), d.as_py()) for v, k in ((va, ka), (vb, kb)))
-                s = (va @ vb.T) / np.sqrt(np.outer((va * va).sum(1), (vb * vb).sum(1)))
-                i, j = np.nonzero(s >= least)
-                a, b, s = ka[i], kb[j], s[i, j]
-                there = a < b if same.as_py() else a != b
-                a, b, s = a[there], b[there], s[there]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], ["a", "b", "s"])
-
-    return pairs
+                for i, j, s in _near(va, vb, least):
+                    a, b = ka[i], kb[j]
+                    there = a < b if same.as_py() else a != b
+                    yield np.minimum(a, b)[there], np.maximum(a, b)[there], s[there]
+                yield None
+
+    def pairs(batches):
+        for one in found(batches):
+            if one and len(one[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in one], ["a", "b", "s"])
+
+    def links(batches):
+        kept = []
+        for one in found(batches):
+            if one and len(one[0]):
+                kept.append(_forest(*one[:2]))
+            elif one is None and kept:  # a pair of blocks ends
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _forest(*(np.concatenate(c) for c in zip(*kept)))], ["a", "b"])
+                kept = []
+
+    return links if forest else pairs
